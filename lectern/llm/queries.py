@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from lectern.llm.sharding import op1_sharding
+from lectern.llm.simhash import op2_simhash_near_dedup
+from lectern.llm.tokenfiles import op3_token_files
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding}
+    return {
+        "op1_sharding": op1_sharding,
+        "op2_simhash_near_dedup": op2_simhash_near_dedup,
+        "op3_token_files": op3_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
