@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from lectern.llm.packing import op8_packing
 from lectern.llm.sharding import op1_sharding
 from lectern.llm.simhash import op2_simhash_near_dedup
+from lectern.llm.tokencount import op10_token_counts
 from lectern.llm.tokenfiles import op3_token_files
+from lectern.llm.topk import OP7_SQL, op7_exact_topk
 
 
 def queries() -> dict:
@@ -12,8 +15,11 @@ def queries() -> dict:
         "op1_sharding": op1_sharding,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_token_files": op3_token_files,
+        "op7_exact_topk": op7_exact_topk,
+        "op8_packing": op8_packing,
+        "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_topk": OP7_SQL}
