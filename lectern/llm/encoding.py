@@ -37,7 +37,7 @@ class WordEncoder:
             told = json.load(f)
         parts = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         steps = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
-        self.by_word = parts[0].get("behavior") == "Removed" and r"[^\s\p{L}\p{N}]+" in str(parts[0].get("pattern")) and steps == ["NFC", "Replace", "Lowercase"] and not any(x["lstrip"] or x["rstrip"] or " " in x["content"] for x in told["added_tokens"])
+        self.by_word = parts[0].get("behavior") == "Removed" and r"[^\s\p{L}\p{N}]+" in (parts[0].get("pattern") or {}).get("Regex", "") and steps == ["NFC", "Replace", "Lowercase"] and not any(x["lstrip"] or x["rstrip"] or " " in x["content"] for x in told["added_tokens"])
         self.limit = memo
         self.words: dict[str, bytes] = {"": b""}
 
