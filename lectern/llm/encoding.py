@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Letters that lower-casing and composition treat one by one, then marks that are a token of their own.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+#: Characters that lower-casing and composition treat one by one.
+LATIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
+#: A lone mark between a letter and white space, which is a token of its own.
+MARK = re.compile(r"([.,;:!?])(?<=[A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?])(?=[ \n]|$)")
 
 
 class WordEncoder:
     """``encode(text)`` gives little-endian ids of ``width`` bytes each."""
 
-    def __init__(self, path: str, memo: int = 1_000_000) -> None:
+    def __init__(self, path: str, memo: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,35 +53,48 @@ class WordEncoder:
             out += [ids[s:e] for s, e in zip([0, *ends[:-1]], ends)]
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > self.limit:
-            self.words = {"": b""}
-        split = {w: m.groups() for w in words if (m := SIMPLE(w))}
-        need = {w for w in words if w not in split}
-        for core, marks in split.values():
-            need.update((core.lower(), marks))
-        need = [w for w in need if w not in self.words]
-        memo = self.words
-        memo.update(zip(need, self._batch(need)))
-        for w, (core, marks) in split.items():
-            memo[w] = memo[core.lower()] + memo[marks]
+    def _split(self, text: str | None) -> list[str]:
+        """The text's space-separated words, marks set apart and letters lowered where that changes no id."""
+        text = MARK.sub(r" \1", text or "")
+        return (text.lower() if LATIN(text) else text).replace("\n", " ").split(" ")
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            own = set(words)
-            if len(own) > self.limit // 2:  # a text of more words than the memo holds, in slices
-                return b"".join(self.encode(" ".join(words[k : k + self.limit // 2])) for k in range(0, len(words), self.limit // 2))
-            self._learn([w for w in own if w not in self.words])
-            if len(own - self.words.keys()):
-                self._learn([w for w in own if w not in self.words])
-            return b"".join(map(self.words.__getitem__, words))
+            return [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, dtype=self.kind).tobytes() for t in texts]
+        out: list[bytes | None] = []
+        waiting: list[tuple[int, list[str], list[bytes | None]]] = []
+        new: set[str] = set()
+
+        def finish() -> None:
+            fresh = dict(zip(new, self._batch(list(new))))
+            for at, words, parts in waiting:
+                out[at] = b"".join([fresh[w] if p is None else p for w, p in zip(words, parts)])
+            if len(self.words) + len(fresh) > self.limit:
+                self.words = {"": b""}
+            self.words.update(fresh)
+            waiting.clear()
+            new.clear()
+
+        for text in texts:
+            words = self._split(text)
+            if len(words) > self.limit // 4:  # a text of more words than the memo should take at once goes in slices
+                step = self.limit // 8
+                out.append(b"".join(self.encode(" ".join(words[k : k + step])) for k in range(0, len(words), step)))
+                continue
+            parts = list(map(self.words.get, words))
+            if None in parts:
+                new.update(w for w, p in zip(words, parts) if p is None)
+                waiting.append((len(out), words, parts))
+                out.append(None)
+                if len(new) >= 10_000:
+                    finish()
+            else:
+                out.append(b"".join(parts))
+        finish()
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_many([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -96,7 +111,7 @@ def encode_texts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         e = encoder(path)
         end = np.array([end_id], dtype=e.kind).tobytes()
         for frame in frames:
-            ids = [e.encode(t) + end for t in frame["text"]]
+            ids = [x + end for x in e.encode_many(frame["text"].tolist())]
             yield frame.drop(columns="text").assign(ids=ids, n_tokens=[len(x) // e.width for x in ids], ids_width=e.width)
 
     return docs.mapInPandas(run, schema)
