@@ -1,8 +1,62 @@
-"""The corpus pipeline: STAGES applied in turn, each written as Parquet and read back."""
+"""The corpus pipeline: toxicity, line dedup, near dedup, decontamination and packing of ``documents``.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame that is written as
+Parquet and read back as the next stage's docs. All but the last return the columns of ``documents``; extra columns pass
+through. SQL can't express the learned and hashed stages, so tests compare them with brute-force versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm.common import written
+from lectern.llm.decontam import leaked
+from lectern.llm.encoding import tokenizer_path
+from lectern.llm.linededup import remove_boilerplate
+from lectern.llm.packing import COLUMNS, pack
+from lectern.llm.simhash import one_of_each_group
+from lectern.llm.toxicity import fit, score_column
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the fitted model does not hold for toxic (score below 0.5)."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = fit(docs.select("doc_id", "text"), labels)
+    return docs.withColumn("__toxicity", score_column(model)).where("__toxicity.score < 0.5").drop("__toxicity")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines that spread over ten sites or more and stand earlier elsewhere."""
+    kept = remove_boilerplate(docs, site="source", min_sites=10)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group linked by five-word shingle sets of similarity 0.8."""
+    return one_of_each_group(docs, words=5, similarity=0.8)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item within a fifth of its words in edits."""
+    return docs.where(~leaked(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), F.col("text")))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of 4096-id sequences, sources mixed in each by their share of what was kept."""
+    return pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2).select(*COLUMNS, "queue", "ids")
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages applied to ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

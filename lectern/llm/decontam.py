@@ -25,7 +25,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 words_of = re.compile(r"[^\W_]+").findall
@@ -194,18 +194,23 @@ def leaks_of(frame: pd.DataFrame, items: Items, most_words: int = 400_000) -> It
         yield from search(group, words)
 
 
+def item_batches(benchmark: DataFrame, max_edit: float, min_words: int, sampled: int, target: float, max_items: int) -> Iterator:
+    """Broadcasts of at most about ``max_items`` items each."""
+    rows = benchmark.select("item_id", "text")
+    batches = max(1, math.ceil(rows.count() / max_items))
+    for b in range(batches):
+        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(batches)) == b).orderBy("item_id", "text").collect()
+        items = Items([(r.item_id, r.text) for r in own], max_edit, min_words, sampled, target)
+        yield benchmark.sparkSession.sparkContext.broadcast(items)
+
+
 SCHEMA = "doc_id long, item_id long, edits int, item_words int, end_word int"
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2, min_words: int = 8, sampled: int = 3, target: float = 0.97, max_items: int = 20_000) -> DataFrame:
     """One row for each (document, item) whose least edit distance is at most max_edit of the item's words."""
-    spark = docs.sparkSession
-    rows = benchmark.select("item_id", "text")
-    batches = max(1, math.ceil(rows.count() / max_items))
     found = []
-    for b in range(batches):
-        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(batches)) == b).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(Items([(r.item_id, r.text) for r in own], max_edit, min_words, sampled, target))
+    for shared in item_batches(benchmark, max_edit, min_words, sampled, target, max_items):
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -216,6 +221,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2, min
     return reduce(DataFrame.unionByName, found)
 
 
+def _flag(shared):
+    @F.pandas_udf("boolean")
+    def of(texts: pd.Series) -> pd.Series:
+        frame = pd.DataFrame({"doc_id": range(len(texts)), "text": texts.to_numpy()})
+        hit = {row[0] for row in leaks_of(frame, shared.value)}
+        return pd.Series([i in hit for i in range(len(texts))], dtype="bool")
+
+    return of
+
+
+def leaked(benchmark: DataFrame, text: Column, max_edit: float = 0.2, min_words: int = 8, sampled: int = 3, target: float = 0.97, max_items: int = 20_000) -> Column:
+    """Whether a text holds an item as ``find_leaks`` would report it; false for a null text."""
+    flags = []
+    for shared in item_batches(benchmark, max_edit, min_words, sampled, target, max_items):
+        flags.append(_flag(shared)(text))
+    return reduce(Column.__or__, flags)
+
+
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return find_leaks(docs, benchmark)

@@ -17,12 +17,10 @@ ignored; texts of any length are read whole.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import blocked_links, components, cut, star
@@ -104,16 +102,15 @@ BANDS, ROWS = 20, 4
 
 
 def _signature(words: int):
-    """Digest of the normalised words, SimHash, and one key for each min-wise sampled sub-bag of ROWS shingles."""
+    """SimHash, and one key for each min-wise sampled sub-bag of ROWS shingles."""
     rng = np.random.default_rng(SEED)
     odd = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
-    @F.pandas_udf("digest string, fp long, keys array<long>")
+    @F.pandas_udf("fp long, keys array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
-            digest = hashlib.md5(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())).hexdigest()
             hashes = shingle_hashes(t, words)
             distinct = np.unique(hashes)
             low = np.zeros(BANDS * ROWS, np.uint64)
@@ -125,21 +122,26 @@ def _signature(words: int):
                     mixed *= np.uint64(0xBF58476D1CE4E5B9)
                     np.minimum(low, mixed.min(axis=0), out=low)
             keys = [xxhash.xxh64_intdigest(x.tobytes()) - 2**63 for x in low.reshape(BANDS, ROWS)]
-            out.append((digest, majority(hashes), keys))
-        return pd.DataFrame(out, columns=["digest", "fp", "keys"])
+            out.append((majority(hashes), keys))
+        return pd.DataFrame(out, columns=["fp", "keys"])
 
     return of
 
 
 def _shingle_set(words: int):
-    @F.pandas_udf("digest string, hashes binary")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        out = [(hashlib.md5(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())).hexdigest(), np.unique(shingle_hashes(t, words)).tobytes()) for t in texts]
-        return pd.DataFrame(out, columns=["digest", "hashes"])
+    @F.pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words)).tobytes() for t in texts], dtype=object)
 
     return of
 
 
+def word_digest(text: str) -> Column:
+    """Names a text's words: ASCII lower case, ASCII white space."""
+    lower = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.md5(F.trim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " ")))
+
+
 def similar_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """Whether the Jaccard similarity of each two sets reaches ``similarity``; two empty sets are equal."""
     sizes = np.array([len(s) for s in sets])
@@ -184,7 +186,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
     digest names a document's normalised words; every table bucket links its members to its smallest digest, which
     gathers candidate clusters, and inside each cluster all pairs are compared exactly, block against block.
     """
-    signed = cut(docs.select("doc_id", _signature(words)(F.col("text")).alias("s")).select("doc_id", "s.*"))
+    signed = cut(docs.select("doc_id", word_digest("text").alias("digest"), _signature(words)(F.col("text")).alias("s")).select("doc_id", "digest", "s.*"))
     known = cut(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     masks = [m - 2**64 if m >= 2**63 else m for m in covering_masks(radius)]
     keyed = known.select("digest", F.posexplode(F.concat(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks]), "keys")).alias("table", "key"))
@@ -194,19 +196,23 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
     nowhere = F.lit(-(2**63))  # stands for a missing doc_id in joins
     members = clusters.join(known.select("digest", F.coalesce("rep", nowhere).alias("rep")), "digest")
     texts = docs.select(F.coalesce("doc_id", nowhere).alias("rep"), "text")
-    sets = (
-        texts.join(members.select("rep").distinct(), "rep", "left_semi")
-        .select("rep", _shingle_set(words)(F.col("text")).alias("s"))
-        .select("rep", "s.*")
-        .dropDuplicates(["rep", "digest"])
-    )
-    loaded = cut(members.join(sets, ["rep", "digest"]).select("cluster", "digest", "hashes"))
+    sets = texts.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", word_digest("text").alias("digest"), _shingle_set(words)(F.col("text")).alias("hashes"))
+    loaded = cut(members.join(sets, ["rep", "digest"]).select("cluster", "digest", "hashes").dropDuplicates(["digest"]))
     groups = components(blocked_links(loaded, ["cluster"], "digest", _near_sets(similarity), block))
     named = known.join(groups.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("component", "digest").alias("group_digest"))
     chosen = named.groupBy("group_digest").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest")).alias("k")).select("group_digest", F.col("k.rep").alias("group_id"), F.col("k.digest").alias("kept_digest"))
     return signed.select("doc_id", "digest").join(named.select("digest", "group_digest"), "digest").join(chosen, "group_digest").select("doc_id", "digest", "group_digest", "group_id", "kept_digest")
 
 
+def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of ``similar_groups``: the smallest doc_id's, rows without one last."""
+    kept = similar_groups(docs, words, similarity).select(F.col("group_id").alias("__kept_id"), F.col("kept_digest").alias("__digest")).distinct()
+    marked = docs.withColumn("__digest", word_digest("text"))
+    same = marked["doc_id"].eqNullSafe(kept["__kept_id"]) & (marked["__digest"] == kept["__digest"])
+    once = Window.partitionBy("doc_id", "__digest").orderBy("doc_id")
+    return marked.join(kept, same, "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n", "__digest")
+
+
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, radius=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
