@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import importlib
+
+from lectern.plans import registry
+
+MODULES = ["library_queries"]
+
+for _name in MODULES:
+    importlib.import_module(f"lectern.plans.{_name}")
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
