@@ -101,16 +101,22 @@ class Items:
     def keys(self, words: np.ndarray, starts: np.ndarray, length: int, repetition: int) -> np.ndarray:
         """The sampled outputs of the CGK walk of words[start : start + length], as one integer."""
         picks, bits = walk(self.seed, repetition, length, self.sampled)
-        at, ends = starts.copy(), starts + length
+        at = starts.astype(np.int32)
+        ends, last = at + length, len(words) - 1
+        bucket = (words % BUCKETS).astype(np.int16)
         key = np.zeros(len(starts), np.uint64)
         wanted = set(picks.tolist())
         for step in range(len(bits)):
-            over = at >= ends
-            now = words[np.minimum(at, len(words) - 1)]
+            if step < length:  # no walk can have left its window
+                over, here = None, at
+            else:
+                over, here = at >= ends, np.minimum(at, last)
             if step in wanted:
-                key = (key + np.where(over, self.size, now).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+                now = words.take(here) if over is None else np.where(over, self.size, words.take(here))
+                key = (key + now.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(31)
-            at += np.where(over, 0, bits[step][now % BUCKETS])
+            move = bits[step].take(bucket.take(here))
+            at += move if over is None else np.where(over, 0, move).astype(np.int8)
         return key
 
     def _keys_of(self, length: int, members: list[int], repetition: int) -> tuple[np.ndarray, np.ndarray]:
