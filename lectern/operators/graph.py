@@ -37,13 +37,15 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, max_i
     shares = _cut(multiple.join(out, "src").select("src", "dst", (F.col("m") / F.col("d")).alias("share")))
     sources = _cut(out.select(F.col("src").alias("doc_id"), F.lit(True).alias("linked")))
     now = _cut(ids.join(sources, "doc_id", "left").select("doc_id", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / n).alias("pagerank")))
-    for _ in range(max_iter):
-        loose = now.where("not linked").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0))).first()[0]
-        given = now.join(shares, now["doc_id"] == shares["src"]).groupBy(F.col("dst").alias("doc_id")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
-        base = (1 - damping) / n + damping * loose / n
-        fresh = _cut(now.join(given, "doc_id", "left").select("doc_id", "linked", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("pagerank"), F.col("pagerank").alias("was")))
-        moved = fresh.agg(F.sum(F.abs(F.col("pagerank") - F.col("was")))).first()[0]
-        now = fresh.drop("was")
+    for start in range(0, max_iter, 5):  # five rounds a job
+        was = now
+        for _ in range(min(5, max_iter - start)):
+            loose = now.where("not linked").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("loose"))
+            given = now.join(shares, now["doc_id"] == shares["src"]).groupBy(F.col("dst").alias("doc_id")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
+            base = F.lit((1 - damping) / n) + F.col("loose") * (damping / n)
+            now = now.join(given, "doc_id", "left").crossJoin(F.broadcast(loose)).select("doc_id", "linked", (base + damping * F.coalesce("got", F.lit(0.0))).alias("pagerank"))
+        now = _cut(now)
+        moved = now.join(was.select("doc_id", F.col("pagerank").alias("was")), "doc_id").agg(F.sum(F.abs(F.col("pagerank") - F.col("was")))).first()[0]
         if moved < tol:
             break
     return now.select("doc_id", "pagerank")
