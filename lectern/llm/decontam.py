@@ -98,12 +98,11 @@ class Items:
         self.tables = {length: [self._keys_of(length, members, r) for r in range(most)] for length, members in self.classes}
         self.repetitions = self._calibrated(target, most)
 
-    def keys(self, words: np.ndarray, starts: np.ndarray, length: int, repetition: int) -> np.ndarray:
-        """The sampled outputs of the CGK walk of words[start : start + length], as one integer."""
+    def keys(self, words: np.ndarray, bucket: np.ndarray, starts: np.ndarray, length: int, repetition: int) -> np.ndarray:
+        """The sampled outputs of the CGK walk of words[start : start + length], as one integer; bucket is words modulo BUCKETS."""
         picks, bits = walk(self.seed, repetition, length, self.sampled)
         at = starts.astype(np.int32)
         ends, last = at + length, len(words) - 1
-        bucket = (words % BUCKETS).astype(np.int16)
         key = np.zeros(len(starts), np.uint64)
         wanted = set(picks.tolist())
         for step in range(len(bits)):
@@ -121,7 +120,7 @@ class Items:
 
     def _keys_of(self, length: int, members: list[int], repetition: int) -> tuple[np.ndarray, np.ndarray]:
         words = np.array([w for n in members for w in self.items[n][:length]], np.int32)
-        keys = self.keys(words, np.arange(len(members)) * length, length, repetition)
+        keys = self.keys(words, words % BUCKETS, np.arange(len(members)) * length, length, repetition)
         order = np.argsort(keys, kind="stable")
         return keys[order], np.array(members)[order]
 
@@ -145,7 +144,7 @@ class Items:
             seen = most + 1
             for r in range(most):
                 keys, members = self.tables[length][r]
-                hits = np.isin(keys[members == n], self.keys(words, starts, length, r))
+                hits = np.isin(keys[members == n], self.keys(words, words % BUCKETS, starts, length, r))
                 if hits.any():
                     seen = r + 1
                     break
@@ -155,6 +154,7 @@ class Items:
     def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, item) of windows that share an LSH key with an item of their class."""
         at, own = [], []
+        bucket = (words % BUCKETS).astype(np.int16)
         for length, _ in self.classes:
             inside, least = self.known[length]
             held = np.concatenate([[0], np.cumsum(inside[words], dtype=np.int32)])
@@ -163,7 +163,7 @@ class Items:
                 continue
             for r in range(self.repetitions):
                 keys, members = self.tables[length][r]
-                mine = self.keys(words, starts, length, r)
+                mine = self.keys(words, bucket, starts, length, r)
                 low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
                 hit = np.flatnonzero(high > low)
                 for k in hit.tolist():
