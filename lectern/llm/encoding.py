@@ -29,7 +29,7 @@ MARK = re.compile(r"([.,;:!?])(?<=[A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?])(?=[ \n]|$)")
 class WordEncoder:
     """``encode(text)`` gives little-endian ids of ``width`` bytes each."""
 
-    def __init__(self, path: str, memo: int = 800_000) -> None:
+    def __init__(self, path: str, memo: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -111,8 +111,10 @@ def encode_texts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         e = encoder(path)
         end = np.array([end_id], dtype=e.kind).tobytes()
         for frame in frames:
-            ids = [x + end for x in e.encode_many(frame["text"].tolist())]
-            yield frame.drop(columns="text").assign(ids=ids, n_tokens=[len(x) // e.width for x in ids], ids_width=e.width)
+            for k in range(0, len(frame), 1000):
+                part = frame.iloc[k : k + 1000]
+                ids = [x + end for x in e.encode_many(part["text"].tolist())]
+                yield part.drop(columns="text").assign(ids=ids, n_tokens=[len(x) // e.width for x in ids], ids_width=e.width)
 
     return docs.mapInPandas(run, schema)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.common import shared_folder
-from lectern.llm.encoding import documents, encode_texts, tokenizer_path, wide
+from lectern.llm.encoding import documents, encode_texts, encoder, tokenizer_path, wide
 
 PACKS = "part int, pack int, dict_hash string, ids_width int, doc_ids array<long>, offsets array<long>, counts array<long>, payload binary"
 
@@ -67,20 +67,24 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
             offsets = [0, *np.cumsum([len(b) for b in body]).tolist()]
             return pd.DataFrame({"part": [part], "pack": [n], "dict_hash": [name], "ids_width": [width], "doc_ids": [ids], "offsets": [offsets], "counts": [counts], "payload": [b"".join(body)]})
 
+        coder = encoder(tokenizer)
+        end, width = np.array([end_id], dtype=coder.kind).tobytes(), coder.width
         for frame in frames:
-            for d, x, c, w in zip(frame["doc_id"], frame["ids"], frame["n_tokens"], frame["ids_width"]):
-                ids.append(None if pd.isna(d) else int(d))
-                body.append(press.compress(x))
-                counts.append(int(c))
-                held, width = held + len(body[-1]), int(w)
-                if held >= pack_bytes:
-                    yield row()
-                    ids, body, counts, held, n = [], [], [], 0, n + 1
+            for k in range(0, len(frame), 500):
+                part = frame.iloc[k : k + 500]
+                for d, x in zip(part["doc_id"], coder.encode_many(part["text"].tolist())):
+                    ids.append(None if pd.isna(d) else int(d))
+                    body.append(press.compress(x + end))
+                    counts.append(len(x) // width + 1)
+                    held += len(body[-1])
+                    if held >= pack_bytes:
+                        yield row()
+                        ids, body, counts, held, n = [], [], [], 0, n + 1
         if body:
             yield row()
 
     ranged = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    encode_texts(ranged, tokenizer, end_id).mapInPandas(pack, PACKS).write.option("compression", "none").parquet(f"{path}/packs")
+    ranged.mapInPandas(pack, PACKS).write.option("compression", "none").parquet(f"{path}/packs")
 
 
 def read_dictionary(spark, path: str) -> tuple[str, bytes]:
