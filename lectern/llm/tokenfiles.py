@@ -71,8 +71,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
         end, width = np.array([end_id], dtype=coder.kind).tobytes(), coder.width
         for frame in frames:
             for k in range(0, len(frame), 500):
-                part = frame.iloc[k : k + 500]
-                for d, x in zip(part["doc_id"], coder.encode_many(part["text"].tolist())):
+                rows = frame.iloc[k : k + 500]
+                for d, x in zip(rows["doc_id"], coder.encode_many(rows["text"].tolist())):
                     ids.append(None if pd.isna(d) else int(d))
                     body.append(press.compress(x + end))
                     counts.append(len(x) // width + 1)
