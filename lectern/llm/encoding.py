@@ -22,6 +22,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Characters that lower-casing and composition treat one by one.
 LATIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
+#: Words that are one run of letters to the tokenizer.
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
 #: A lone mark between a letter and white space, which is a token of its own.
 MARK = re.compile(r"([.,;:!?])(?<=[A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?])(?=[ \n]|$)")
 
@@ -43,14 +45,18 @@ class WordEncoder:
         self.limit = memo
         self.words: dict[str, bytes] = {"": b""}
 
-    def _batch(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for k in range(0, len(words), 2000):
-            part = words[k : k + 2000]
-            met = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(met.ids, dtype=self.kind).tobytes()
-            ends = (np.searchsorted(np.array(met.word_ids, dtype=np.int64), np.arange(len(part)), side="right") * self.width).tolist()
-            out += [ids[s:e] for s, e in zip([0, *ends[:-1]], ends)]
+    def _batch(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word. Plain lower-case words are one token unit each, so they go as one text; others as split input."""
+        out: dict[str, bytes] = {}
+        plain = [w for w in words if PLAIN(w)]
+        other = [w for w in words if not PLAIN(w)]
+        for group, whole in ((plain, True), (other, False)):
+            for k in range(0, len(group), 2000):
+                part = group[k : k + 2000]
+                met = self.tokenizer.encode(" ".join(part) if whole else part, is_pretokenized=not whole, add_special_tokens=False)
+                ids = np.array(met.ids, dtype=self.kind).tobytes()
+                ends = (np.searchsorted(np.array(met.word_ids, dtype=np.int64), np.arange(len(part)), side="right") * self.width).tolist()
+                out.update(zip(part, (ids[s:e] for s, e in zip([0, *ends[:-1]], ends))))
         return out
 
     def _split(self, text: str | None) -> list[str]:
@@ -66,7 +72,7 @@ class WordEncoder:
         new: set[str] = set()
 
         def finish() -> None:
-            fresh = dict(zip(new, self._batch(list(new))))
+            fresh = self._batch(list(new))
             for at, words, parts in waiting:
                 out[at] = b"".join([fresh[w] if p is None else p for w, p in zip(words, parts)])
             if len(self.words) + len(fresh) > self.limit:
