@@ -6,7 +6,7 @@ import importlib
 
 from lectern.plans import registry
 
-MODULES = ["library_queries", "vector_queries", "job_queries", "graph_queries", "citation_queries", "structure_queries", "ingest_queries", "context_queries"]
+MODULES = ["library_queries", "vector_queries", "job_queries", "graph_queries", "citation_queries", "structure_queries", "ingest_queries", "context_queries", "stream_queries", "more_queries"]
 
 for _name in MODULES:
     importlib.import_module(f"lectern.plans.{_name}")
