@@ -146,7 +146,7 @@ class Model:
         return -math.expm1(sum(math.log1p(-min(s, 1 - 1e-15)) for s in scores))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = 12_000, features_kept: int = 1024, least: int = 5, rounds: int = 400, decay: float = 1e-4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = 12_000, features_kept: int = 512, least: int = 5, rounds: int = 400, decay: float = 1e-5) -> Model:
     """Sentence weights whose noisy-or over each labelled document best explains its label."""
     sample = cut(fit_sample(docs, labels, fit_docs))
     odds = telling_features(sample, features_kept, least)
