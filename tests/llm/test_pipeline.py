@@ -32,8 +32,10 @@ def test_stages_take_effect(spark, sf):
     toxic = "The idiot said so. What a moron and a clown, worthless scum. " * 3
     more = spark.createDataFrame([(9001, toxic), (9002, "zq " + item + " end"), (9003, "lone words here")], "doc_id long, text string")
     both = docs.unionByName(more, allowMissingColumns=True)
-    kept = {r.doc_id for r in stage("toxicity")(spark, both, sf).select("doc_id").collect()}
-    assert 9001 not in kept and 9003 in kept and len(kept) > 0.8 * docs.count()
+    much = sf.replace("sf0.001", "sf0.1")  # labels enough to learn from
+    large = spark.read.parquet(f"{much}/documents.parquet").unionByName(more.withColumn("doc_id", F.col("doc_id") + 10**6), allowMissingColumns=True)
+    kept = {r.doc_id for r in stage("toxicity")(spark, large, much).select("doc_id").collect()}
+    assert 1009001 not in kept and 1009003 in kept and len(kept) > 0.85 * large.count()
     kept = {r.doc_id for r in stage("decontamination")(spark, both, sf).select("doc_id").collect()}
     assert 9002 not in kept and 9003 in kept
     unique = stage("near_dedup")(spark, both, sf)
