@@ -227,3 +227,10 @@ def source_list(sources: DataFrame) -> DataFrame:
     """(query_id, listing): one line a source with page and relevance in per cent (C-24, C-27)."""
     line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.col("filename"), F.lit(" (page "), F.col("page_num").cast("string"), F.lit(") - "), F.round(F.col("score") * 100).cast("int").cast("string"), F.lit("%"))
     return sources.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("listing"))
+
+
+def numbered_listing(chunks: DataFrame, key: str) -> DataFrame:
+    """(key, listing): chunks of a key as numbered paragraphs in order (C-24)."""
+    item = F.concat(F.lit("["), (F.col("pos") + 1).cast("string"), F.lit("] "), F.col("text"))
+    rows = F.sort_array(F.collect_list(F.struct("pos", item.alias("t"))))
+    return chunks.groupBy(key).agg(F.array_join(F.transform(rows, lambda x: x["t"]), "\n\n").alias("listing"))

@@ -319,3 +319,8 @@ def format_dimension(spark, supported: DataFrame) -> DataFrame:
     groups = spark.createDataFrame(rows, "group_name string, extension string")
     held = supported.select(F.concat(F.lit("."), F.col("format")).alias("extension")).distinct()
     return groups.join(held, "extension", "left_semi").groupBy("group_name").agg(F.array_join(F.sort_array(F.collect_list("extension")), ",").alias("extensions"))
+
+
+def append(df: DataFrame, table: str, path: str) -> None:
+    """Appends rows that conform to ``table`` to its Parquet folder (S-03)."""
+    conform(df, table).write.mode("append").parquet(path)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from lectern.operators import library, vectors
+from lectern.operators import context, ingest, library, vectors
 from lectern.plans.registry import query
+from lectern.sources.schemas import schema
+from lectern.streaming import streams
 
 
 @query("F08_page_and_chunk_by_id", "SELECT id, doc_id, 'chunk' AS kind FROM lib_chunks WHERE pos = 1 UNION ALL SELECT id, doc_id, 'page' FROM lib_pages WHERE page_num = 1")
@@ -69,3 +73,58 @@ def _(lib):
     v = lib.documents.select("doc_id", F.expr("1").alias("one"), graph.alias("metadata"))
     get = lambda field, kind, default: F.coalesce(F.expr(f"try_variant_get(try_parse_json(metadata), '$.graph.{field}', '{kind}')"), F.lit(default))
     return v.select("doc_id", get("pagerank_score", "double", 0.0).alias("pagerank"), get("hub_score", "int", 0).alias("hub_score"))
+
+
+@query("S03_batch_append", "SELECT doc_id, filename, format FROM lib_documents")
+def _(lib):
+    path = f"{streams.shared(lib.spark)}/lectern-append-{uuid.uuid4().hex}"
+    for part in (0, 1):
+        library.append(lib.documents.where(F.col("num") % 2 == part).select("doc_id", "filename", "format"), "documents", path)
+    return lib.spark.read.schema(schema("documents")).parquet(path).select("doc_id", "filename", "format")
+
+
+@query("C10_token_estimate", "SELECT id, CAST(length(text) // 4 AS BIGINT) AS tokens FROM lib_chunks")
+def _(lib):
+    return lib.chunks.select("id", context.tokens(F.col("text")).alias("tokens"))
+
+
+@query("C16_citation_map", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY num % 97, doc_id) AS INTEGER) AS number FROM lib_documents QUALIFY number <= 10")
+def _(lib):
+    hits = lib.documents.select(F.col("project_id").alias("query_id"), "doc_id", F.lit(1).alias("page_num"), F.struct(F.col("doc_id")).alias("pos"), (-(F.col("num") % 97)).alias("score"))
+    return context.ranked_hits(hits).select("doc_id", F.col("rank").alias("number"))
+
+
+@query("C24_numbered_listing", "SELECT doc_id, md5(string_agg('[' || (pos + 1) || '] ' || text, chr(10) || chr(10) ORDER BY pos)) AS listing_md5 FROM lib_chunks GROUP BY doc_id")
+def _(lib):
+    return context.numbered_listing(lib.chunks, "doc_id").select("doc_id", F.md5("listing").alias("listing_md5"))
+
+
+@query("E09_tolerant_edges", "SELECT DISTINCT src_doc_id, dst_doc_id, relation_type FROM lib_relations")
+def _(lib):
+    twice = lib.relations.unionByName(lib.relations)
+    checked = library.checked_relations(twice, lib.documents, lib.relations.where("false"))
+    return checked.where("reason is null").select("src_doc_id", "dst_doc_id", "relation_type")
+
+
+@query("I08_summary_chunks", "SELECT doc_id || ':enrichment-summary' AS id, filename || chr(10) || chr(10) || 'Topics: ' || lang AS text FROM lib_documents")
+def _(lib):
+    e = F.to_json(F.struct(F.struct(F.col("filename").alias("summary")).alias("document_summary"), F.struct(F.array("lang").alias("topics")).alias("semantic_metadata")))
+    return ingest.summary_chunks(lib.documents.select("doc_id", ingest.parsed_enrichment(e).alias("enrichment"))).select("id", "text")
+
+
+@query("T07_session_sources", "SELECT conv_id AS key, count(*) AS turns, count(*) FILTER (WHERE role = 'assistant') AS answers FROM conversations GROUP BY conv_id")
+def _(lib):
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(mins=F.col("turn").cast("int"))
+    turns = lib.given("conversations").select(F.col("conv_id").alias("key"), at.alias("ts"), "role", F.md5("text").alias("source"))
+    return streams.sessions(turns).select("key", "turns", "answers")
+
+
+@query("T10_periodic_enrichment", "SELECT event_type AS doc_id, count(*) AS n FROM events GROUP BY event_type")
+def _(lib):
+    path = f"{streams.shared(lib.spark)}/lectern-enriched-{uuid.uuid4().hex}"
+
+    def enrich(batch, epoch):
+        batch.groupBy(F.col("event_type").alias("doc_id")).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    streams.enriched_periodically(streams.table_stream(lib.spark, f"{lib.dir}/events.parquet"), enrich)
+    return lib.spark.read.schema("doc_id string, n long").parquet(f"{path}/batch=*").groupBy("doc_id").agg(F.sum("n").alias("n"))
