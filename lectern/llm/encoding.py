@@ -42,6 +42,8 @@ class WordEncoder:
         parts = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         steps = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
         self.by_word = parts[0].get("behavior") == "Removed" and r"[^\s\p{L}\p{N}]+" in (parts[0].get("pattern") or {}).get("Regex", "") and steps == ["NFC", "Replace", "Lowercase"] and not any(x["lstrip"] or x["rstrip"] or " " in x["content"] for x in told["added_tokens"])
+        #: Special strings are matched case by case on the raw text, so what only lowering would turn into one stays as it is.
+        self.added = [x["content"].lower() for x in told["added_tokens"]]
         self.limit = memo
         self.words: dict[str, bytes] = {"": b""}
 
@@ -61,8 +63,13 @@ class WordEncoder:
 
     def _split(self, text: str | None) -> list[str]:
         """The text's space-separated words, marks set apart and letters lowered where that changes no id."""
-        text = MARK.sub(r" \1", text or "")
-        return (text.lower() if LATIN(text) else text).replace("\n", " ").split(" ")
+        text = MARK.sub(r" \1", text or "").replace("\n", " ")
+        if not LATIN(text):
+            return text.split(" ")
+        low = text.lower()
+        if not any(x in low for x in self.added):
+            return low.split(" ")
+        return [raw if any(x in w for x in self.added) else w for raw, w in zip(text.split(" "), low.split(" "))]
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import xxhash
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -233,6 +233,15 @@ def test_word_encoder(texts):
     assert [np.frombuffer(x, "<u2").tolist() for x in e.encode_many(texts)] == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|StartOfText|>", "<|endof", "TEXT|>", "A", "b", "É", "日", " ", "\n", ".", "!", "<|"]), max_size=12).map("".join), max_size=6))
+@example(["a <|ENDOFTEXT|> b"])
+def test_word_encoder_special_strings(texts):
+    e = ENCODERS.setdefault("w", WordEncoder(WORDS, memo=200))
+    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in e.encode_many(texts)] == want
+
+
 # ---- 4 suffix arrays
 
 
