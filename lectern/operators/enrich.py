@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ class Settings:
     min_jaccard: float = 0.5
     largest_community: int = 20
     interval_s: int = 3600
-    max_iter: int = 20
+    max_iter: int = 100
 
 
 def representatives(chunks: DataFrame) -> DataFrame:
@@ -92,18 +93,20 @@ def node_properties(documents: DataFrame, ranks: DataFrame, communities: DataFra
 
 
 def full_run(spark: SparkSession, steps: dict, s: Settings | None = None) -> DataFrame:
-    """One row a step: name, rows made, error, milliseconds; a failing step doesn't stop the next (E-07).
+    """One row a step: name, rows made, error, milliseconds, settled; a failing step doesn't stop the next (E-07).
 
-    steps maps a name to a function that returns the step's DataFrame.
+    steps maps a name to a function that returns the step's DataFrame, those with rounds also whether they settled.
     """
     rows = []
     for name, make in steps.items():
         began = time.time()
         try:
-            rows.append((name, make().count(), None, int((time.time() - began) * 1000)))
+            made = make()
+            df, settled = made if isinstance(made, tuple) else (made, None)
+            rows.append((name, df.count(), None, int((time.time() - began) * 1000), settled))
         except Exception as e:  # isolated by contract; the error is in the result
-            rows.append((name, 0, str(e).splitlines()[0][:500], int((time.time() - began) * 1000)))
-    return spark.createDataFrame(rows, "step string, rows long, error string, ms long")
+            rows.append((name, 0, str(e).splitlines()[0][:500], int((time.time() - began) * 1000), None))
+    return spark.createDataFrame(rows, "step string, rows long, error string, ms long, settled boolean")
 
 
 def without_own_edges(relations: DataFrame, relation_type: str) -> DataFrame:
@@ -114,10 +117,20 @@ def without_own_edges(relations: DataFrame, relation_type: str) -> DataFrame:
 def enrichment_steps(documents: DataFrame, relations: DataFrame, chunks: DataFrame, vector_chunks: DataFrame, s: Settings) -> dict:
     """The four steps of a full run as functions."""
     base = without_own_edges(relations, "overlaps_topic")
-    labels = lambda: graph.label_propagation(documents, base, s.max_iter)
+    labels = cache(lambda: graph.labels_settled(documents, base, s.max_iter))
+
+    def overlaps() -> tuple[DataFrame, bool]:
+        communities, settled = labels()
+        return community_edges(communities, s), settled
+
+    def properties() -> tuple[DataFrame, bool]:
+        ranks, ranked = graph.pagerank_settled(documents, relations, max_iter=s.max_iter)
+        communities, settled = labels()
+        return node_properties(documents, ranks, communities, graph.hub_scores(relations)), ranked and settled
+
     return {
         "similar_to": lambda: similar_edges(vector_chunks, s),
         "same_topic": lambda: topic_edges(heading_sets(chunks), s),
-        "overlaps_topic": lambda: community_edges(labels(), s),
-        "node_properties": lambda: node_properties(documents, graph.pagerank(documents, relations, max_iter=s.max_iter), labels(), graph.hub_scores(relations)),
+        "overlaps_topic": overlaps,
+        "node_properties": properties,
     }

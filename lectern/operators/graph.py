@@ -28,10 +28,15 @@ def edge_set(relations: DataFrame, documents: DataFrame, project_id: str | None
 
 def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
     """(doc_id, pagerank), summing to 1; dangling mass is spread evenly, parallel edges count (G-03)."""
+    return pagerank_settled(vertices, edges, damping, max_iter, tol)[0]
+
+
+def pagerank_settled(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6) -> tuple[DataFrame, bool]:
+    """``pagerank`` and whether it settled before the rounds ran out."""
     ids = _cut(vertices.select("doc_id").distinct())
     n = ids.count()
     if not n:
-        return ids.withColumn("pagerank", F.lit(0.0))
+        return ids.withColumn("pagerank", F.lit(0.0)), True
     multiple = edges.groupBy(F.col("src_doc_id").alias("src"), F.col("dst_doc_id").alias("dst")).agg(F.count("*").alias("m"))
     out = multiple.groupBy("src").agg(F.sum("m").alias("d"))
     shares = _cut(multiple.join(out, "src").select("src", "dst", (F.col("m") / F.col("d")).alias("share")))
@@ -47,8 +52,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, max_i
         now = _cut(now)
         moved = now.join(was.select("doc_id", F.col("pagerank").alias("was")), "doc_id").agg(F.sum(F.abs(F.col("pagerank") - F.col("was")))).first()[0]
         if moved < tol:
-            break
-    return now.select("doc_id", "pagerank")
+            return now.select("doc_id", "pagerank"), True
+    return now.select("doc_id", "pagerank"), False
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -71,6 +76,11 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
 
 def label_propagation(vertices: DataFrame, edges: DataFrame, max_iter: int = 100) -> DataFrame:
     """(doc_id, community): synchronous majority labels; a vertex votes once for its own, ties go to the smallest label (G-05)."""
+    return labels_settled(vertices, edges, max_iter)[0]
+
+
+def labels_settled(vertices: DataFrame, edges: DataFrame, max_iter: int = 100) -> tuple[DataFrame, bool]:
+    """``label_propagation`` and whether a round without change came before the rounds ran out."""
     ends = edges.where("src_doc_id <> dst_doc_id").select(F.col("src_doc_id").alias("doc_id"), F.col("dst_doc_id").alias("other"))
     near = _cut(ends.unionByName(ends.select(F.col("other").alias("doc_id"), F.col("doc_id").alias("other"))))
     now = _cut(vertices.select("doc_id").distinct().withColumn("community", F.col("doc_id")))
@@ -82,8 +92,8 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, max_iter: int = 100
         changed = after.where("community <> fresh").limit(1).count()
         now = after.select("doc_id", F.col("fresh").alias("community"))
         if not changed:
-            break
-    return now
+            return now, True
+    return now, False
 
 
 def distances(edges: DataFrame, sources: DataFrame, max_depth: int = 1_000_000) -> DataFrame:

@@ -78,8 +78,8 @@ def _(lib):
 @query("E07_full_run")
 def _(lib):
     v = lib.vectors.select(F.col("chunk").alias("id"), "doc", (F.col("chunk") % 3).alias("word_count"), "tokens")
-    s = enrich.Settings(max_iter=5)
-    return enrich.full_run(lib.spark, enrich.enrichment_steps(lib.documents, lib.relations, lib.chunks, v, s), s).select("step", "rows", "error")
+    s = enrich.Settings()
+    return enrich.full_run(lib.spark, enrich.enrichment_steps(lib.documents, lib.relations, lib.chunks, v, s), s).select("step", "rows", "error", "settled")
 
 
 @query("C01_ranked_sources", HITS + " SELECT query_id, doc_id, page_num, chunk_id, CAST(rank AS INTEGER) AS rank FROM top")

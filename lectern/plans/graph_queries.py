@@ -38,7 +38,8 @@ def _(lib):
 
 @query("G05_label_propagation")
 def _(lib):
-    return ops.label_propagation(lib.documents, lib.relations, max_iter=20)
+    communities, settled = ops.labels_settled(lib.documents, lib.relations)
+    return communities.withColumn("settled", F.lit(settled))
 
 
 @query(

@@ -62,6 +62,17 @@ def test_components_and_labels(spark):
     assert lab["A"] == lab["B"] == lab["E"] != lab["C"] == lab["D"] == lab["F"]
 
 
+def test_enrichment_runs_until_it_settles(spark):
+    n = [f"{i:02}" for i in range(26)]  # the smallest label walks one hop a round
+    chain = edges(spark, list(zip(n, n[1:])))
+    docs = nodes(spark, n)
+    made = enrich.enrichment_steps(docs, chain, None, None, enrich.Settings())["node_properties"]()
+    got = enrich.full_run(spark, {"node_properties": lambda: made}).collect()
+    assert [(r.rows, r.error, r.settled) for r in got] == [(26, None, True)]
+    assert {r.community_id for r in made[0].collect()} == {"00"}
+    assert not graph.labels_settled(docs, chain, 3)[1] and not graph.pagerank_settled(docs, chain, max_iter=5)[1]
+
+
 def test_paths_and_order(spark):
     chain = edges(spark, [("A", "B"), ("B", "C")])
     d = {r.doc_id: r.distance for r in graph.distances(chain, nodes(spark, ["A"])).collect()}
