@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.operators.library import extension
+from lectern.sources.derived import padded
 
 ENRICHMENT = (
     "document_summary struct<summary: string, key_points: array<string>, document_type: string>,"
@@ -36,7 +37,7 @@ def document_record(parsed: DataFrame) -> DataFrame:
 
 
 def page_id(page: Column) -> Column:
-    return F.concat(F.col("doc_id"), F.lit("-page"), F.lpad(page.cast("string"), 3, "0"))
+    return F.concat(F.col("doc_id"), F.lit("-page"), padded(page, 3))
 
 
 def page_records(parsed: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.sources.derived import padded
 from lectern.sources.schemas import KEYS, REQUIRED, conform
 
 # Fixed values of the library: extension groups, interface states, identifier patterns.
@@ -263,7 +264,7 @@ def inconsistent_chunks(chunks: DataFrame) -> DataFrame:
 
 def page_info(pages: DataFrame) -> DataFrame:
     """Conventional image paths of pages (F-16)."""
-    n = F.lpad(F.col("page_num").cast("string"), 3, "0")
+    n = padded(F.col("page_num"), 3)
     path = F.concat(F.lit("/images/"), F.col("doc_id"), F.lit("/page"), n)
     return pages.withColumn("image_path", F.concat(path, F.lit(".png"))).withColumn("thumb_path", F.concat(path, F.lit("_thumb.jpg")))
 

@@ -34,8 +34,7 @@ def _(lib):
 
 @query("K03_sentences", SENT + " SELECT answer_id, CAST(idx AS INTEGER) AS idx, regexp_replace(s, '^[ \\n]+|[ \\n]+$', '', 'g') AS text FROM se")
 def _(lib):
-    a = lib.answers.where(F.col("text").rlike(ops.SENTENCE))
-    return ops.sentences(a).select("answer_id", "idx", "text")
+    return ops.sentences(lib.answers).select("answer_id", "idx", "text")
 
 
 @query("K04_sentence_list", SENT + " SELECT answer_id, len(m) AS n FROM sx")

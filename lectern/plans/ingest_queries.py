@@ -45,7 +45,7 @@ def _(lib):
 
 @query("I02_page_records", "SELECT doc_id || '-page' || lpad(CAST(pos + 1 AS VARCHAR), 3, '0') AS id, doc_id, pos + 1 AS page_num FROM lib_chunks WHERE pos < 999")
 def _(lib):
-    return ops.page_records(_parsed(lib)).where("page_num <= 999").select("id", "doc_id", "page_num")
+    return ops.page_records(_parsed(lib)).select("id", "doc_id", "page_num")
 
 
 @query("I03_page_figures", "SELECT DISTINCT c.doc_id, c.page_num, 'f' || c.doc_id AS figures FROM lib_chunks c JOIN lib_documents d ON c.doc_id = d.doc_id WHERE c.pos % 2 = 1 AND d.num % 5 <> 0")
@@ -126,6 +126,11 @@ def _(lib):
     return lib.chunks.where(~F.col("section_path").rlike("[^ -~]")).select("id", ops.slug(F.col("section_path")).alias("slug"))
 
 
+@query("I19_slug_all")
+def _(lib):
+    return lib.chunks.select("id", ops.slug(F.col("section_path")).alias("slug"))
+
+
 @query("I20_parsed_enrichment", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type END AS summary FROM events")
 def _(lib):
     good = F.to_json(F.struct(F.struct(F.col("event_type").alias("summary")).alias("document_summary")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Formats by doc_id modulo 5, job states by event type, window and step in words.
@@ -31,6 +31,12 @@ def word_windows(df: DataFrame, text: str = "text", size: int = WINDOW, step: in
     return exploded.withColumn("chunk_text", F.array_join("__p", " ")).withColumn("word_count", F.size("__p").cast("long")).drop("__w", "__s", "__p")
 
 
+def padded(number: Column, width: int) -> Column:
+    """Digits with leading zeros; longer numbers stay whole, which lpad alone would cut."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), "0")
+
+
 class Library:
     """Library tables derived from one folder of given tables."""
 
@@ -62,7 +68,7 @@ class Library:
         first = F.split("chunk_text", " ")
         timed = F.col("format") == "mp3"
         return c.select(
-            F.concat("doc_id", F.lit("-chunk"), F.lpad(F.col("pos").cast("string"), 4, "0")).alias("id"),
+            F.concat("doc_id", F.lit("-chunk"), padded(F.col("pos"), 4)).alias("id"),
             "doc_id",
             F.floor(F.col("pos") / PER_PAGE + 1).alias("page_num"),
             F.col("pos").cast("long").alias("pos"),
@@ -77,7 +83,7 @@ class Library:
     @cached_property
     def pages(self) -> DataFrame:
         return self.chunks.groupBy("doc_id", "page_num").agg(F.count("*").alias("n_chunks"), F.sum("word_count").alias("words")).select(
-            F.concat("doc_id", F.lit("-page"), F.lpad(F.col("page_num").cast("string"), 3, "0")).alias("id"), "doc_id", "page_num", "n_chunks", "words"
+            F.concat("doc_id", F.lit("-page"), padded(F.col("page_num"), 3)).alias("id"), "doc_id", "page_num", "n_chunks", "words"
         )
 
     @cached_property

@@ -1,5 +1,6 @@
 """Small cases with known results: boosts, blends, graphs, deletion, budgets, replies, sessions."""
 
+import re
 import struct
 
 import pytest
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lectern.operators import context, enrich, graph, ingest, library, vectors
 from lectern.operators import citations as cite
+from lectern.plans import catalog, registry  # noqa: F401  catalog registers the queries
+from lectern.sources.derived import padded
 from lectern.sources.schemas import conform, schema_differences
 from lectern.streaming import streams
 
@@ -87,6 +90,23 @@ def test_paths_and_order(spark):
     assert strong["A"] == strong["B"] == strong["C"] != strong["D"]
 
 
+def test_no_rows_left_out(spark, sf, tmp_path):
+    texts = [(0, "x" * 1_048_577, "en"), (1, "Ünïcode straße a", "de"), (5, " ".join(["w"] * 200_100), "en")]
+    spark.createDataFrame([(*t, "s", len(t[1])) for t in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 2, "assistant", "no end"), (2, 2, "assistant", "One. Two.")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.ok, r.message) for r in run("S20_upload_check")}["0"] == (False, "File too large: 1048577 bytes (max 1MB)")
+    assert {(r.answer_id, r.idx, r.text) for r in run("K03_sentences")} >= {("1-2", 0, "no end")}
+    pages = {r.id for r in run("I02_page_records") if r.doc_id == "5"}
+    assert len(pages) == 1001 - (5 % 7 == 0) and {"5-page999", "5-page1000", "5-page1001"} <= pages
+    numbers = spark.createDataFrame([(n,) for n in (7, 9999, 10000, 100001)], "n long").select(padded(F.col("n"), 4).alias("p"))
+    assert [r.p for r in numbers.collect()] == ["0007", "9999", "10000", "100001"]
+    parts = registry.library(spark, sf).chunks.select("id", "section_path").collect()
+    slow = {r.id: re.sub("^-+|-+$", "", re.sub("[^a-z0-9_-]+", "-", r.section_path.lower()))[:128] or "project" for r in parts}
+    assert any(not r.section_path.isascii() for r in parts)
+    assert {r.id: r.slug for r in registry.QUERIES["I19_slug_all"](spark, sf).collect()} == slow
+
+
 def test_cascade(spark):
     d = nodes(spark, ["d1", "d2", "d3"]).withColumn("project_id", F.lit("p"))
     c = spark.createDataFrame([(f"{x}-{i}", x) for x in ("d1", "d2", "d3") for i in range(3)], "id string, doc_id string")
