@@ -132,10 +132,33 @@ def paths(reached: DataFrame, targets: DataFrame, max_steps: int = 10) -> DataFr
     return now.select("source", "target", "path")
 
 
+def forest_depths(vertices: DataFrame, parents: DataFrame) -> DataFrame:
+    """(doc_id, root, layer) where each dst of parents(src, dst) has one src; both null on and behind cycles.
+
+    The ancestor known of each vertex is twice as far off after every round, so a chain of n takes log2(n) rounds.
+    """
+    n = vertices.count()
+    root = F.col("src").isNull()
+    now = _cut(vertices.join(parents.withColumnRenamed("dst", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("src", "doc_id").alias("far"), F.when(root, 0).otherwise(1).cast("long").alias("hops")))
+    reach = 1
+    while True:
+        ahead = now.select(F.col("doc_id").alias("far"), F.col("far").alias("next"), F.col("hops").alias("more"))
+        moved = _cut(now.join(ahead, "far"))
+        if reach > n or not moved.where("more > 0").limit(1).count():
+            settled = F.col("more") == 0
+            return moved.select("doc_id", F.when(settled, F.col("far")).alias("root"), F.when(settled, F.col("hops").cast("int")).alias("layer"))
+        now = moved.select("doc_id", F.col("next").alias("far"), (F.col("hops") + F.col("more")).alias("hops"))
+        reach *= 2
+
+
 def topological_layers(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((doc_id, layer) of vertices in dependency order, vertices on or behind cycles) (G-08, G-09)."""
     left = _cut(vertices.select("doc_id").distinct())
     step = _cut(edges.select(F.col("src_doc_id").alias("src"), F.col("dst_doc_id").alias("dst")).distinct())
+    own = _cut(step.join(left.withColumnRenamed("doc_id", "src"), "src", "left_semi").join(left.withColumnRenamed("doc_id", "dst"), "dst", "left_semi"))
+    if not own.groupBy("dst").count().where("count > 1").limit(1).count():  # at most one parent each: log rounds
+        found = _cut(forest_depths(left, own))
+        return found.where("layer is not null").select("doc_id", "layer"), found.where("layer is null").select("doc_id")
     done, layer = None, 0
     while True:
         blocked = step.join(left.withColumnRenamed("doc_id", "src"), "src", "left_semi").select(F.col("dst").alias("doc_id")).distinct()

@@ -51,6 +51,12 @@ def _(lib):
     return ops.distances(lib.relations.where(SERIES), first, max_depth=10).select("source", "doc_id", "distance")
 
 
+@query("G06_distances_all")
+def _(lib):
+    series = lib.relations.where(SERIES).select(F.col("src_doc_id").alias("src"), F.col("dst_doc_id").alias("dst"))
+    return ops.forest_depths(lib.documents.select("doc_id"), series).where("layer > 0").select(F.col("root").alias("source"), "doc_id", F.col("layer").alias("distance"))
+
+
 @query("G07_strong_components", ", v AS (SELECT DISTINCT event_type AS doc_id FROM events) SELECT doc_id, (SELECT max(doc_id) FROM v) AS component FROM v WHERE (SELECT count(DISTINCT src) FROM lib_transitions) > 1")
 def _(lib):
     return ops.strong_components(*_types(lib))
@@ -64,6 +70,11 @@ def _(lib):
     return ops.topological_layers(d, edges)[0]
 
 
+@query("G08_topological_order_all")
+def _(lib):
+    return ops.topological_layers(lib.documents, lib.relations.where(SERIES))[0]
+
+
 @query("G09_has_cycle", "SELECT true AS cyclic FROM lib_transitions WHERE src = dst LIMIT 1")
 def _(lib):
     return lib.spark.range(1).select(F.lit(ops.has_cycle(*_types(lib))).alias("cyclic"))
@@ -157,6 +168,12 @@ def _(lib):
     return ops.numbered(ops.reading_order(d, edges), ["sort_key", "doc_id"]).select("doc_id", "method", F.col("position").cast("long").alias("position"))
 
 
+@query("G22_reading_order_all")
+def _(lib):
+    found = ops.numbered(ops.reading_order(lib.documents, lib.relations.where(SERIES)), ["sort_key", "doc_id"])
+    return found.select("doc_id", "method", F.col("position").cast("long").alias("position"))
+
+
 @query("G23_graph_stats", "SELECT (SELECT count(*) FROM lib_documents) AS documents, (SELECT count(*) FROM lib_relations) AS relations, (SELECT count(DISTINCT relation_type) FROM lib_relations) AS types")
 def _(lib):
     r = lib.relations.agg(F.count("*").alias("relations"), F.count_distinct("relation_type").alias("types"))

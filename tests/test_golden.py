@@ -90,6 +90,29 @@ def test_paths_and_order(spark):
     assert strong["A"] == strong["B"] == strong["C"] != strong["D"]
 
 
+def test_layers_of_chains_and_trees(spark):
+    rho = edges(spark, [("A", "B"), ("B", "C"), ("A", "D"), ("X", "Y"), ("Y", "X"), ("Y", "Z"), ("S", "S")])
+    layers, rest = graph.topological_layers(nodes(spark, "ABCDEXYZS"), rho)
+    assert {r.doc_id: r.layer for r in layers.collect()} == {"A": 0, "B": 1, "C": 2, "D": 1, "E": 0}
+    assert {r.doc_id for r in rest.collect()} == {"X", "Y", "Z", "S"}
+    n = [f"{i:02}" for i in range(40)]
+    step = edges(spark, list(zip(n, n[1:]))).selectExpr("src_doc_id src", "dst_doc_id dst")
+    assert {tuple(r) for r in graph.forest_depths(nodes(spark, n), step).collect()} == {(d, "00", i) for i, d in enumerate(n)}
+
+
+def test_whole_series(spark, sf):
+    chains = {}
+    docs = registry.library(spark, sf).documents.select("doc_id", "num", "project_id").orderBy("num").collect()
+    for r in docs:
+        chains.setdefault(r.project_id or (r.doc_id,), []).append(r.doc_id)
+    layer = {d: i for c in chains.values() for i, d in enumerate(c)}
+    assert {r.doc_id: r.layer for r in registry.QUERIES["G08_topological_order_all"](spark, sf).collect()} == layer
+    order = sorted(layer, key=lambda d: (layer[d], d))
+    assert {r.doc_id: (r.method, r.position) for r in registry.QUERIES["G22_reading_order_all"](spark, sf).collect()} == {d: ("topological", i) for i, d in enumerate(order, 1)}
+    far = {(c[0], d, i) for c in chains.values() for i, d in enumerate(c) if i}
+    assert {tuple(r) for r in registry.QUERIES["G06_distances_all"](spark, sf).collect()} == far
+
+
 def test_no_rows_left_out(spark, sf, tmp_path):
     texts = [(0, "x" * 1_048_577, "en"), (1, "Ünïcode straße a", "de"), (5, " ".join(["w"] * 200_100), "en")]
     spark.createDataFrame([(*t, "s", len(t[1])) for t in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
