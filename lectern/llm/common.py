@@ -58,6 +58,24 @@ def running_start(df: DataFrame, group: list[str], key: list[str], value: str, o
     )
 
 
+def ordered_start(df: DataFrame, step: str, key: list[str], value: str, out: str, per_bucket: int) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over all rows before this one in the order of ``step``, then ``key``.
+
+    ``step`` is a number whose every value holds few rows. Sums of ``per_bucket`` steps, and of 4,096 such buckets, meet
+    in the ordered windows; the rows themselves are summed inside their bucket.
+    """
+    dealt = df.withColumn("__bucket", F.floor(F.col(step) / per_bucket))
+    sums = dealt.groupBy("__bucket").agg(F.sum(value).alias("__sum")).withColumn("__group", F.floor(F.col("__bucket") / 4096))
+    groups = sums.groupBy("__group").agg(F.sum("__sum").alias("__sum"))
+    ahead = Window.orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)  # one row for 4,096 buckets
+    within = Window.partitionBy("__group").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    bases = groups.select("__group", F.coalesce(F.sum("__sum").over(ahead), none).alias("__ahead"))
+    base = sums.join(bases, "__group").select("__bucket", (F.col("__ahead") + F.coalesce(F.sum("__sum").over(within), none)).alias("__base"))
+    inside = Window.partitionBy("__bucket").orderBy(step, *key).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(base, "__bucket").withColumn(out, F.col("__base") + F.coalesce(F.sum(value).over(inside), none)).drop("__bucket", "__base")
+
+
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; component is the smallest node reachable.
 

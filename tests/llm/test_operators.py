@@ -405,11 +405,55 @@ def test_packing(spark, docs, empty, odd):
     for _, g in got.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]]
-    share = got.groupby("queue").length.sum() / got.length.sum()
-    mixed = got[got.sequence_id < fill.index.max()].groupby(["sequence_id", "queue"]).length.sum().unstack(fill_value=0)
-    assert ((mixed - 64 * share).abs().max() <= len(share) + 1).all()
     assert packing.pack(empty, WORDS, 2).count() == 0
-    assert packing.pack(odd, WORDS, 2).agg(F.sum("length")).first()[0] == packing.pack(odd, WORDS, 2, max_queues=1).agg(F.sum("length")).first()[0]
+    want = sum(len(tok.encode(rows()[i] or "", add_special_tokens=False).ids) + 1 for i in (8, 8, 9, 10, 10, 10)) + 1
+    assert packing.pack(odd, WORDS, 2).agg(F.sum("length")).first()[0] == want
+
+
+def slow_round_robin(queues, quanta, part):
+    """Packets in the order a deficit round-robin pays them; ``queues`` holds lists of sizes."""
+    left = {q: [min(part, n - at) for n in sizes for at in range(0, n, part)] for q, sizes in queues.items()}
+    deficit, paid = dict.fromkeys(queues, 0.0), []
+    while any(left.values()):
+        share = sum(quanta[q] for q in queues if left[q])
+        for q in sorted(queues):
+            if left[q]:
+                deficit[q] += quanta[q] / share * sum(quanta.values())
+            while left[q] and deficit[q] >= left[q][0] - 1e-6:
+                deficit[q] -= left[q][0]
+                paid.append((q, left[q].pop(0)))
+    return paid
+
+
+def test_packing_round_robin(spark):
+    """Payments and their order against a plain round-robin, with the corpus's own shares."""
+    tok, r = Tokenizer.from_file(WORDS), random.Random(8)
+    texts = [" ".join(["the"] * r.choice((1, 3, 10, 40, 90))) for _ in range(240)]
+    sources = [r.choice("aaab") for _ in texts]
+    got = packing.pack(table(spark, texts, sources=sources), WORDS, 2, length=64, part=16).toPandas().sort_values(["sequence_id", "offset"])
+    order = got.groupby(["queue", "doc_id"]).apply(lambda g: g.sort_values("start").iloc[0], include_groups=False).reset_index().sort_values(["sequence_id", "offset"])
+    sizes = {q: [int(n) for n in g.doc_tokens] for q, g in order.groupby("queue")}
+    whole = sum(map(sum, sizes.values()))
+    want = slow_round_robin(sizes, {q: 64 * sum(n) / whole for q, n in sizes.items()}, 16)
+    flat = [q for q, n in want for _ in range(n)]
+    assert flat == [q for q, n in zip(got.queue, got.length) for _ in range(n)]
+    cut = got[(got.start > 0) & (got.start % 16 > 0)]
+    assert (cut.offset == 0).all()  # besides long documents' parts only windows' ends cut
+    assert len(tok.encode(texts[0], add_special_tokens=False).ids) + 1 == got[got.doc_id == 0].doc_tokens.iloc[0]
+
+
+def test_packing_targets(spark):
+    texts = ["the cat"] * 300
+    docs = table(spark, texts, sources=["a", "b", "c", None, "d", "d"] * 50)
+    got = packing.pack(docs, WORDS, 2, length=30, targets={"a": 0.4, None: 0.2, "b": 0.2}).toPandas()
+    assert got.length.sum() == 900 and set(got.queue) == {"=a", "=b", "none", "rest"}
+    early = got[got.sequence_id < 10].groupby("queue").length.sum()
+    for q, share in (("=a", 0.4), ("none", 0.2), ("=b", 0.2), ("rest", 0.2)):
+        assert abs(early[q] - 300 * share) <= 3 + 30 * share
+    late = got[got.sequence_id >= 20]
+    assert set(late.queue) == {"rest"} or late.groupby("queue").length.sum()["rest"] > 100  # others ran dry
+    with pytest.raises(ValueError):
+        packing.pack(docs, WORDS, 2, targets={"a": 1.0})
 
 
 # ---- 9 toxicity
