@@ -174,6 +174,15 @@ def star(near: np.ndarray) -> np.ndarray:
         label = low
 
 
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    mark = "__"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def bytes_of(text: str | Column) -> Column:
     """UTF-8 bytes of a text, null as none."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import cut, private
 
 KEY = ["__h1", "__h2"]
 
@@ -51,28 +51,32 @@ def spread_lines(lines: DataFrame, min_sites: int, margin: float = 0.25, lg_k: i
     return clear.unionByName(exact).select(*KEY, "sites", F.col("first.__doc").alias("first_doc"), F.col("first.__at").alias("first_at"))
 
 
-def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = 10, margin: float = 0.25) -> DataFrame:
-    """``docs`` with the text of kept lines, and __lines and __removed: how many lines there were and how many went."""
-    lines = cut(line_rows(docs.select("doc_id", "text", F.col(site).alias("__s")), "__s"))
+def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = 10, margin: float = 0.25, counts: tuple[str, str] | None = None) -> DataFrame:
+    """``docs`` with the text of kept lines; ``counts`` names two columns to add: how many lines there were and how many went."""
+    if counts and {c.lower() for c in counts} & {c.lower() for c in docs.columns}:
+        raise ValueError("the table has a column named like one of counts")
+    lines = cut(line_rows(docs.select("doc_id", "text", F.col(f"`{site}`").alias("__s")), "__s"))
     spread = spread_lines(lines, min_sites, margin)
     later = ~(F.col("__doc").eqNullSafe(F.col("first_doc")) & (F.col("__at") == F.col("first_at")))
-    gone = lines.join(spread, KEY).where(later).groupBy("__doc").agg(F.collect_set("__at").alias("__gone"))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__doc"]), "left").drop("__doc")
-    parts = F.split("text", "\n")
-    numbered = F.filter(F.arrays_zip(parts.alias("line"), F.sequence(F.lit(0), F.size(parts) - 1).alias("at")), lambda x: ~F.array_contains(F.col("__gone"), x["at"]))
-    kept = F.array_join(F.transform(numbered, lambda x: x["line"]), "\n")
-    return (
-        joined.withColumn("__lines", F.when(F.length("text") > 0, F.size(parts)).otherwise(0))
-        .withColumn("__removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")))
-        .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
-        .drop("__gone")
-    )
+    doc, gone = private(docs, "doc", "gone")
+    cuts = lines.join(spread, KEY).where(later).groupBy(F.col("__doc").alias(doc)).agg(F.collect_set("__at").alias(gone))
+    joined = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts[doc]), "left")
+    parts, cut_lines = F.split("text", "\n"), F.col(gone)
+    numbered = F.filter(F.arrays_zip(parts.alias("line"), F.sequence(F.lit(0), F.size(parts) - 1).alias("at")), lambda x: ~F.array_contains(cut_lines, x["at"]))
+    kept = F.when(cut_lines.isNull(), F.col("text")).otherwise(F.array_join(F.transform(numbered, lambda x: x["line"]), "\n"))
+    told = []
+    if counts:
+        told = [
+            F.when(F.length("text") > 0, F.size(parts)).otherwise(0).alias(counts[0]),
+            F.when(cut_lines.isNull(), 0).otherwise(F.size(cut_lines)).alias(counts[1]),
+        ]
+    return joined.select(*[kept.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns], *told)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    found = remove_boilerplate(docs, site="source", min_sites=10)
-    return found.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__removed").cast("long").alias("n_removed"), F.md5("text").alias("kept_md5"))
+    found = remove_boilerplate(docs, site="source", min_sites=10, counts=("lines", "removed"))
+    return found.select("doc_id", F.col("lines").cast("long").alias("n_lines"), F.col("removed").cast("long").alias("n_removed"), F.md5("text").alias("kept_md5"))
 
 
 OP6_SQL = """

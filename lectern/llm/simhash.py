@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import blocked_links, components, cut, star
+from lectern.llm.common import blocked_links, components, cut, private, star
 
 SEED = 42
 
@@ -193,11 +193,11 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
     low = keyed.groupBy("table", "key").agg(F.min("digest").alias("b"), F.count("*").alias("n")).where("n > 1")
     near = keyed.join(low, ["table", "key"]).where("digest <> b").select(F.col("digest").alias("a"), "b").distinct()
     clusters = components(near).select(F.col("node").alias("digest"), F.col("component").alias("cluster"))
-    nowhere = F.lit(-(2**63))  # stands for a missing doc_id in joins
+    nowhere = F.lit(-(2**63))  # stands for a missing doc_id in the join, which the digest spreads
     members = clusters.join(known.select("digest", F.coalesce("rep", nowhere).alias("rep")), "digest")
-    texts = docs.select(F.coalesce("doc_id", nowhere).alias("rep"), "text")
-    sets = texts.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", word_digest("text").alias("digest"), _shingle_set(words)(F.col("text")).alias("hashes"))
-    loaded = cut(members.join(sets, ["rep", "digest"]).select("cluster", "digest", "hashes").dropDuplicates(["digest"]))
+    texts = docs.select(F.coalesce("doc_id", nowhere).alias("rep"), word_digest("text").alias("digest"), "text")
+    sets = texts.join(members, ["rep", "digest"]).select("cluster", "digest", _shingle_set(words)(F.col("text")).alias("hashes"))
+    loaded = cut(sets.dropDuplicates(["digest"]))
     groups = components(blocked_links(loaded, ["cluster"], "digest", _near_sets(similarity), block))
     named = known.join(groups.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("component", "digest").alias("group_digest"))
     chosen = named.groupBy("group_digest").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest")).alias("k")).select("group_digest", F.col("k.rep").alias("group_id"), F.col("k.digest").alias("kept_digest"))
@@ -206,11 +206,12 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
 
 def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of ``similar_groups``: the smallest doc_id's, rows without one last."""
-    kept = similar_groups(docs, words, similarity).select(F.col("group_id").alias("__kept_id"), F.col("kept_digest").alias("__digest")).distinct()
-    marked = docs.withColumn("__digest", word_digest("text"))
-    same = marked["doc_id"].eqNullSafe(kept["__kept_id"]) & (marked["__digest"] == kept["__digest"])
-    once = Window.partitionBy("doc_id", "__digest").orderBy("doc_id")
-    return marked.join(kept, same, "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n", "__digest")
+    digest, number, kept_id, kept_digest = private(docs, "digest", "n", "kept_id", "kept_digest")
+    kept = similar_groups(docs, words, similarity).select(F.col("group_id").alias(kept_id), F.col("kept_digest").alias(kept_digest)).distinct()
+    marked = docs.withColumn(digest, word_digest("text"))
+    same = marked["doc_id"].eqNullSafe(kept[kept_id]) & (marked[digest] == kept[kept_digest])
+    once = Window.partitionBy("doc_id", digest).orderBy(*[F.col(f"`{c}`") for c, kind in docs.dtypes if kind in ("string", "bigint", "int", "double")])
+    return marked.join(kept, same, "left_semi").withColumn(number, F.row_number().over(once)).where(F.col(number) == 1).drop(number, digest)
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
