@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Citation and sentence patterns, abbreviations, chunk marker formats.
@@ -74,10 +74,15 @@ def sentences(answers: DataFrame) -> DataFrame:
 
 
 def sentence_list(text: Column) -> Column:
-    """Trimmed sentences without those that end in an abbreviation (K-04)."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
-    last = lambda s: F.regexp_replace(F.element_at(F.split(s, r"\s+"), -1), r"\.+$", "")
-    return F.filter(found, lambda s: ~last(s).isin(ABBREVIATIONS))
+    """Trimmed sentences without those that end in an abbreviation, then what follows the last one taken (K-04)."""
+    found, between = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), F.split(text, SENTENCE, -1)
+    trimmed = lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")
+    last = lambda s: F.regexp_replace(F.element_at(F.split(trimmed(s), r"\s+"), -1), r"\.+$", "")
+    taken = lambda s: ~last(s).isin(ABBREVIATIONS)
+    n = F.coalesce(F.array_max(F.transform(found, lambda s, i: F.when(taken(s), i + 1))), F.lit(0))
+    after = lambda parts: F.length(F.array_join(F.slice(parts, n + 1, F.greatest(F.size(parts), F.lit(1))), ""))
+    rest = trimmed(F.right(text, after(found) + after(between)))
+    return F.concat(F.filter(F.transform(found, lambda s: F.when(taken(s), trimmed(s))), lambda s: s.isNotNull()), F.filter(F.array(rest), lambda s: s != ""))
 
 
 def assigned(found: DataFrame, sents: DataFrame) -> DataFrame:
@@ -112,13 +117,21 @@ def inside(found: DataFrame, low: Column, high: Column) -> DataFrame:
 
 
 def payload(answers: DataFrame) -> DataFrame:
-    """One row an answer: clean text, citations with their sentences, number of sentences (K-10)."""
-    sents = sentences(answers)
-    pairs = assigned(citations(answers), sents)
-    by_id, _ = citation_maps(pairs)
-    gathered = by_id.groupBy("answer_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("id", "sentences")))).alias("citations"))
-    counted = sents.groupBy("answer_id").agg(F.count("*").alias("n_sentences"))
-    return answers.select("answer_id", clean_text(F.col("text")).alias("clean")).join(gathered, "answer_id", "left").join(counted, "answer_id", "left")
+    """One row an answer: text, citations, sentences with the ids they cite, and each id's sentences (K-10)."""
+    found, sents = citations(answers), sentences(answers)
+    pairs = assigned(found, sents)
+    _, by_sentence = citation_maps(pairs)
+    marks = found.groupBy("answer_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "id", "marker"))).alias("citations"))
+    cited = sents.join(by_sentence.withColumnRenamed("sentence", "idx"), ["answer_id", "idx"], "left")
+    one = F.struct("idx", "text", "start", "end", F.coalesce("ids", F.array().cast("array<int>")).alias("citation_ids"))
+    told = cited.groupBy("answer_id").agg(F.sort_array(F.collect_list(one)).alias("sentences"))
+    named = pairs.join(sents.select("answer_id", F.col("idx").alias("sentence"), "text"), ["answer_id", "sentence"])
+    of_id = named.groupBy("answer_id", "id").agg(F.sort_array(F.collect_set(F.struct(F.col("sentence").alias("sentence_index"), F.col("text").alias("sentence_text")))).alias("s"))
+    gathered = of_id.groupBy("answer_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("id", "s")))).alias("citation_map"))
+    whole = answers.select("answer_id", "text")
+    for part in (marks, told, gathered):
+        whole = whole.join(part, "answer_id", "left")
+    return whole
 
 
 # ---- alignment ---------------------------------------------------------------------------------------------------
@@ -127,14 +140,15 @@ def payload(answers: DataFrame) -> DataFrame:
 def chunk_positions(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """(id, doc_id, position): where a chunk's first 100 characters begin in its document, white space aside (M-01).
 
-    The first 20 characters are the anchor; candidates are tried in turn. Null where there is none.
+    The first 20 characters are the anchor; candidates are tried in turn. Null where there is none. A document meets the
+    list of its chunks' beginnings once.
     """
     import re
 
     space = re.compile(r"\s+").sub
 
-    def position(markdown: str, text: str) -> int | None:
-        head = text[:100].strip()
+    def position(markdown: str, head: str) -> int | None:
+        head = head.strip()
         if not head:
             return None
         wanted, anchor = space(" ", head), head[:20]
@@ -147,10 +161,15 @@ def chunk_positions(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            at = [position(m, t) if m and t else None for m, t in zip(frame["markdown"], frame["text"])]
-            yield pd.DataFrame({"id": frame["id"], "doc_id": frame["doc_id"], "position": pd.array(at, dtype="Int64")})
+            out = []
+            for doc, markdown, heads in zip(frame["doc_id"], frame["markdown"], frame["heads"]):
+                out += [(h["id"], doc, position(markdown, h["head"]) if markdown and h["head"] else None) for h in heads]
+            part = pd.DataFrame(out, columns=["id", "doc_id", "position"])
+            part["position"] = part["position"].astype("Int64")
+            yield part
 
-    return chunks.select("id", "doc_id", "text").join(documents.select("doc_id", "markdown"), "doc_id").mapInPandas(run, "id string, doc_id string, position long")
+    heads = chunks.groupBy("doc_id").agg(F.collect_list(F.struct("id", F.substring("text", 1, 100).alias("head"))).alias("heads"))
+    return heads.join(documents.select("doc_id", "markdown"), "doc_id").mapInPandas(run, "id string, doc_id string, position long")
 
 
 def with_markers(placed: DataFrame, documents: DataFrame) -> DataFrame:
@@ -159,7 +178,7 @@ def with_markers(placed: DataFrame, documents: DataFrame) -> DataFrame:
     lists = placed.where("position is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list(item), asc=False).alias("places"))
 
     def insert(text: Column, x: Column) -> Column:
-        page, section = x["page_num"].cast("string"), F.coalesce(x["section_path"], F.lit(""))
+        page, section = x["page_num"].cast("string"), F.regexp_replace(F.coalesce(x["section_path"], F.lit("")), '"', "&quot;")
         head = F.concat(F.lit("<!-- chunk:"), x["id"], F.lit(" page:"), page, F.lit(' section:"'), section, F.lit('" -->\n<div data-chunk-id="'), x["id"], F.lit('" data-page="'), page, F.lit('" data-section="'), section, F.lit('">\n'))
         end = F.least(x["position"] + x["length"], F.length(text)).cast("int")
         return F.concat(F.substr(text, F.lit(1), x["position"]), head, F.substr(text, x["position"] + 1, end - x["position"]), F.lit("\n</div>\n"), F.substr(text, end + 1))
@@ -207,9 +226,14 @@ def time_segments(chunks: DataFrame) -> DataFrame:
 
 
 def active_chunks(events: DataFrame, chunks: DataFrame, bucket_s: int = 60) -> DataFrame:
-    """Each playback event (event_id, doc_id, t) with the chunk playing then: start <= t < end (M-08). Time buckets keep long documents apart."""
-    low, high = F.floor(F.col("start_time") / bucket_s), F.floor(F.col("end_time") / bucket_s)
-    c = chunks.where("start_time is not null").select("doc_id", "id", "start_time", "end_time", F.explode(F.sequence(low, high)).alias("b"))
-    e = events.withColumn("b", F.floor(F.col("t") / bucket_s))
-    hit = e.join(c, ["doc_id", "b"]).where("start_time <= t and t < end_time")
-    return hit.withColumn("__n", F.row_number().over(Window.partitionBy("event_id").orderBy("start_time", "id"))).where("__n = 1").select("event_id", "doc_id", "t", F.col("id").alias("chunk_id"))
+    """Each playback event (event_id, doc_id, t) with the chunk playing then: start <= t < end (M-08).
+
+    Chunks without times are asked for a time tag at the beginning of their text, where none with times plays. Time buckets
+    keep long documents apart.
+    """
+    timed = F.col("start_time").isNotNull() & F.col("end_time").isNotNull()
+    tag = lambda i: F.regexp_extract("text", r"^\[time:\s*([0-9.]+)-([0-9.]+)\]", i).try_cast("double")
+    c = chunks.select("doc_id", "id", F.when(timed, 0).otherwise(1).alias("side"), F.when(timed, F.col("start_time")).otherwise(tag(1)).alias("s"), F.when(timed, F.col("end_time")).otherwise(tag(2)).alias("e"))
+    spread = c.where("s < e").withColumn("b", F.explode(F.sequence(F.floor(F.col("s") / bucket_s), F.floor(F.col("e") / bucket_s))))
+    hit = events.withColumn("b", F.floor(F.col("t") / bucket_s)).join(spread, ["doc_id", "b"]).where("s <= t and t < e")
+    return hit.groupBy("event_id", "doc_id", "t").agg(F.min(F.struct("side", "s", "id"))["id"].alias("chunk_id"))

@@ -44,9 +44,13 @@ def ranked_hits(hits: DataFrame, most: int = MAX_SOURCES) -> DataFrame:
 
 
 def with_metadata(sources: DataFrame, pages: DataFrame, documents: DataFrame) -> DataFrame:
-    """Sources with file name and extension, from the page or else the document; dropped where neither exists (C-03)."""
-    p = pages.select("doc_id", "page_num", F.lit(True).alias("__page"))
-    d = documents.select("doc_id", "filename", "format", "markdown")
+    """Sources with what their page and document tell: file name, extension, time, section path and parent heading.
+
+    Dropped where neither page nor document exists (C-03).
+    """
+    told = F.from_json("structure" if "structure" in pages.columns else F.lit(None).cast("string"), "section_path string, parent_heading string")
+    p = pages.select("doc_id", "page_num", told["section_path"].alias("section_path"), told["parent_heading"].alias("parent_heading"), F.lit(True).alias("__page"))
+    d = documents.select("doc_id", "filename", "format", F.col("created_at").alias("timestamp"), "markdown")
     joined = sources.join(p, ["doc_id", "page_num"], "left").join(d, "doc_id", "left")
     return joined.where(F.col("__page").isNotNull() | F.col("filename").isNotNull()).withColumn("filename", F.coalesce("filename", F.lit("unknown"))).drop("__page")
 
@@ -85,9 +89,18 @@ def ends(relations: DataFrame) -> DataFrame:
 
 
 def related(sources: DataFrame, relations: DataFrame, top: int = RELATED_TOP) -> DataFrame:
-    """(query_id, doc_id, related): distinct neighbours of each of the top sources, in order (C-07)."""
+    """(query_id, doc_id, related, relation_types) of each of the top sources (C-07).
+
+    Neighbours stand in the order in which the source's relations, by source, target and type, first name them; types are
+    those that first name a neighbour, in the same order.
+    """
     held = sources.where(F.col("rank") <= top).select("query_id", "doc_id").distinct()
-    return held.join(ends(relations), "doc_id").groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_set("other")).alias("related"))
+    own = F.struct("src_doc_id", "dst_doc_id", "relation_type")
+    r = relations.select(own.alias("r"))
+    both = r.select(F.col("r.src_doc_id").alias("doc_id"), F.col("r.dst_doc_id").alias("other"), "r").unionByName(r.select(F.col("r.dst_doc_id").alias("doc_id"), F.col("r.src_doc_id").alias("other"), "r"))
+    first = held.join(both, "doc_id").groupBy("query_id", "doc_id", "other").agg(F.min("r").alias("r"))
+    lists = first.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("r", "other"))).alias("l"))
+    return lists.select("query_id", "doc_id", F.transform("l", lambda x: x["other"]).alias("related"), F.array_distinct(F.transform("l", lambda x: x["r"]["relation_type"])).alias("relation_types"))
 
 
 def supplementary(sources: DataFrame, relations: DataFrame, most: int = SUPPLEMENTARY) -> DataFrame:
@@ -159,11 +172,15 @@ def context_metadata(sources: DataFrame, kept: DataFrame) -> DataFrame:
     return joined.select("query_id", "sources", "visual", "textual", "context_tokens", (F.col("visual") * IMAGE_TOKENS).alias("image_tokens"), (F.col("sources") < F.col("__all")).alias("truncated"))
 
 
-def visual_dependency(text: str, pictures: Column, tables: Column, element_type: Column) -> Column:
-    """Whether a chunk needs its pictures: related ones, its type, or what its text refers to (C-17)."""
+def visual_reason(text: str, pictures: Column, tables: Column, element_type: Column) -> Column:
+    """Why a chunk needs its pictures: related ones, its type, or what its text refers to; null if it doesn't (C-17)."""
     lower = F.lower(F.col(text))
     said = reduce(Column.__or__, [lower.rlike(p) for p in VISUAL_PATTERNS])
-    return F.coalesce(F.size(pictures) > 0, F.lit(False)) | F.coalesce(F.size(tables) > 0, F.lit(False)) | F.coalesce(F.lower(element_type).isin(VISUAL_TYPES), F.lit(False)) | F.coalesce(said, F.lit(False))
+    return F.when(F.size(pictures) > 0, "related_pictures").when(F.size(tables) > 0, "related_tables").when(F.lower(element_type).isin(VISUAL_TYPES), "element_type").when(said, "text")
+
+
+def visual_dependency(text: str, pictures: Column, tables: Column, element_type: Column) -> Column:
+    return visual_reason(text, pictures, tables, element_type).isNotNull()
 
 
 def relevant(scored: DataFrame, threshold: float = 7.0) -> DataFrame:
@@ -185,27 +202,47 @@ def compressible(text: Column, is_visual: Column) -> Column:
     return ~is_visual & (F.length(text) >= MIN_COMPRESS)
 
 
-def accepted_compression(original: Column, compressed: Column) -> Column:
-    """struct(text, method): the compressed text where it is shorter, else the original (C-21)."""
+def accepted_compression(original: Column, compressed: Column, structured: Column | None = None) -> Column:
+    """struct(text, method, valid): the compressed text where it is shorter, else the original (C-21).
+
+    A structured reply's method is harmony_json, or rejected where it is not shorter; that of a plain one is legacy.
+    """
     use = F.coalesce(compressed != "", F.lit(False)) & (F.length(compressed) < F.length(original))
-    return F.struct(F.when(use, compressed).otherwise(original).alias("text"), F.when(use, "compressed").otherwise("original").alias("method"))
+    method = F.when(use, "harmony_json").otherwise("rejected")
+    if structured is not None:
+        method = F.when(structured, method).otherwise("legacy")
+    return F.struct(F.when(use, compressed).otherwise(original).alias("text"), method.alias("method"), use.alias("valid"))
 
 
 def reply_json(reply: Column) -> Column:
-    """The longest flat object of a reply, else what its outer braces hold; null if that is no JSON (C-22)."""
-    flat = F.regexp_extract_all(reply, F.lit(r"\{[^{}]*\}"), F.lit(0))
+    """The longest flat object with a key in a reply; where there is none, what the outer braces hold; null if that is no JSON (C-22)."""
+    flat = F.regexp_extract_all(reply, F.lit(r'\{[^{}]*"[^"]+"\s*:\s*[^{}]*\}'), F.lit(0))
     longest = F.array_max(F.transform(flat, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("x"))))["x"]
     outer = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
-    good = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
-    return F.coalesce(good(longest), good(F.when(outer != "", outer)))
+    chosen = F.when(F.size(flat) > 0, longest).otherwise(outer)
+    return F.when(F.try_parse_json(F.when(chosen != "", chosen)).isNotNull(), chosen)
+
+
+def _field(reply: Column, name: str) -> tuple[Column, Column]:
+    """(value, type) of a top-level field of the JSON in a reply."""
+    held = F.try_variant_get(F.try_parse_json(reply_json(reply)), f"$.{name}", "variant")
+    return held, F.schema_of_variant(held)
 
 
 def reply_score(reply: Column) -> Column:
-    """A relevance reply's score, 5 where there is none or it isn't between 0 and 10 (C-22)."""
-    s = F.get_json_object(reply_json(reply), "$.score").cast("double")
+    """A relevance reply's score, 5 where there is none that is a number between 0 and 10 (C-22)."""
+    held, kind = _field(reply, "score")
+    s = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(held, "$", "double"))
     return F.when(s.between(0, 10), s).otherwise(5.0)
 
 
+def reply_facts(reply: Column) -> Column:
+    """A compression reply's facts, the reply itself where there is no text that isn't blank (C-22)."""
+    held, kind = _field(reply, "facts")
+    facts = F.when(kind == "STRING", F.try_variant_get(held, "$", "string"))
+    return F.when(F.regexp_replace(facts, r"\s+", "") != "", facts).otherwise(reply)
+
+
 def reply_channel(reply: Column, channel: str = "final") -> Column:
     """The text of the last message of a channel in a tagged reply, else the whole (C-23)."""
     found = F.regexp_extract_all(reply, F.lit(r"(?s)<\|channel\|>" + channel + r"<\|message\|>(.*?)(?=<\||$)"), F.lit(1))

@@ -8,8 +8,10 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.operators import graph, vectors
+from lectern.sources.shared import cut
 
 
 @dataclass(frozen=True)
@@ -37,22 +39,35 @@ def both_directions(pairs: DataFrame, relation_type: str, metadata: Column) -> D
 
 
 def similar_edges(chunks: DataFrame, s: Settings) -> DataFrame:
-    """similar_to: each document's representative against all chunks, nearest documents of enough similarity (E-02)."""
-    rep = representatives(chunks)
-    hits = vectors.search(chunks.select(F.col("id").alias("chunk"), "doc", "tokens"), rep.select(F.col("doc").alias("query_id"), "tokens"), 10 * (s.neighbours + 1))
-    near = vectors.nearest_documents(hits.where("query_id <> doc"), s.neighbours)
-    scored = near.withColumn("score", F.round(1 - F.col("distance"), 4)).where(F.col("score") >= s.min_similarity)
-    pairs = scored.groupBy(F.least("query_id", "doc").alias("a"), F.greatest("query_id", "doc").alias("b")).agg(F.max("score").alias("score"))
-    return both_directions(pairs, "similar_to", F.to_json(F.struct("score")))
+    """similar_to: each document's representative against all chunks (E-02).
+
+    The nearest documents are scored again by exact MaxSim of the representatives; those of enough similarity get edges both
+    ways, a pair once with its best score.
+    """
+    rep = cut(representatives(chunks))
+    asked = rep.select(F.col("doc").alias("query_id"), "tokens")
+    hits = vectors.search(chunks.select(F.col("id").alias("chunk"), "doc", "tokens"), asked, 10 * (s.neighbours + 1))
+    near = vectors.nearest_documents(hits, s.neighbours + 1).where("query_id <> doc")
+    scored = vectors.reranked(near, asked, rep.select("doc", "tokens"), s.neighbours + 1).where(F.col("similarity") >= s.min_similarity)
+    pairs = scored.groupBy(F.least("query_id", "doc").alias("a"), F.greatest("query_id", "doc").alias("b")).agg(F.max("similarity").alias("score"))
+    return both_directions(pairs, "similar_to", F.to_json(F.struct(F.round("score", 4).alias("score"), F.lit("maxsim_reranked").alias("method"))))
 
 
 def heading_sets(chunks: DataFrame) -> DataFrame:
-    """Distinct (doc_id, heading): parent heading and section path parts, trimmed and lower (E-03)."""
-    named = F.concat(F.array("parent_heading"), F.split("section_path", " > "))
+    """Distinct (doc_id, heading) of chunks: parent heading, and section path as a whole or, of a list, each entry; trimmed and lower (E-03)."""
+    listed = isinstance(chunks.schema["section_path"].dataType, T.ArrayType)
+    named = F.concat(F.array("parent_heading"), F.coalesce("section_path", F.array().cast("array<string>")) if listed else F.array("section_path"))
     h = chunks.select("doc_id", F.explode(named).alias("h")).select("doc_id", F.lower(F.trim("h")).alias("heading"))
     return h.where("heading <> ''").distinct()
 
 
+def with_context(chunks: DataFrame) -> DataFrame:
+    """``chunks(doc_id, context)`` with the context's parent_heading and section_path, a list of one where it is a text; broken contexts drop out."""
+    told, lists = F.from_json("context", "parent_heading string, section_path string"), F.from_json("context", "section_path array<string>")
+    path = F.coalesce(lists["section_path"], F.array(told["section_path"]))
+    return chunks.where(F.try_parse_json("context").isNotNull()).select("doc_id", told["parent_heading"].alias("parent_heading"), path.alias("section_path"))
+
+
 def topic_edges(headings: DataFrame, s: Settings) -> DataFrame:
     """same_topic: pairs of documents that share headings, Jaccard of at least min_jaccard (E-04).
 
@@ -82,14 +97,21 @@ def community_edges(communities: DataFrame, s: Settings) -> DataFrame:
 
 
 def node_properties(documents: DataFrame, ranks: DataFrame, communities: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(doc_id, pagerank_score, community_id, hub_score) with defaults (E-06)."""
-    return (
-        documents.select("doc_id")
-        .join(ranks, "doc_id", "left")
-        .join(communities, "doc_id", "left")
-        .join(hubs, "doc_id", "left")
-        .select("doc_id", F.round(F.coalesce("pagerank", F.lit(0.0)), 6).alias("pagerank_score"), F.col("community").alias("community_id"), F.coalesce("hub_score", F.lit(0)).alias("hub_score"))
-    )
+    """(doc_id, pagerank_score, community_id, hub_score) of documents that have at least one, with defaults (E-06)."""
+    joined = documents.select("doc_id").join(ranks, "doc_id", "left").join(communities, "doc_id", "left").join(hubs, "doc_id", "left")
+    some = F.coalesce(F.col("pagerank").cast("string"), F.col("community").cast("string"), F.col("hub_score").cast("string")).isNotNull()
+    return joined.where(some).select("doc_id", F.round(F.coalesce("pagerank", F.lit(0.0)), 6).alias("pagerank_score"), F.col("community").alias("community_id"), F.coalesce("hub_score", F.lit(0)).alias("hub_score"))
+
+
+def with_graph_metadata(documents: DataFrame, properties: DataFrame, at: Column | None = None) -> DataFrame:
+    """``documents`` whose metadata holds the properties and the time under ``graph``; other keys stay (E-06)."""
+    kept = F.coalesce(F.try_parse_json("metadata").cast("map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
+    when = F.date_format(at if at is not None else F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    graph_of = F.struct("pagerank_score", "community_id", "hub_score", when.alias("enriched_at"))
+    own = properties.select("doc_id", F.parse_json(F.to_json(graph_of, {"ignoreNullFields": "false"})).alias("__graph"))
+    merged = F.to_json(F.map_concat(F.map_filter(kept, lambda k, v: k != "graph"), F.create_map(F.lit("graph"), F.col("__graph"))))
+    joined = documents.join(own, "doc_id", "left")
+    return joined.withColumn("metadata", F.when(F.col("__graph").isNull(), F.col("metadata")).otherwise(merged)).drop("__graph")
 
 
 def full_run(spark: SparkSession, steps: dict, s: Settings | None = None) -> DataFrame:

@@ -6,17 +6,10 @@ every round with reliable checkpoints in the folder named by spark.checkpoint.di
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lectern-graph-"))
-    return df.checkpoint(eager=True)
+from lectern.sources.shared import cut
 
 
 def edge_set(relations: DataFrame, documents: DataFrame, project_id: str | None = None) -> DataFrame:
@@ -33,15 +26,15 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, max_i
 
 def pagerank_settled(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6) -> tuple[DataFrame, bool]:
     """``pagerank`` and whether it settled before the rounds ran out."""
-    ids = _cut(vertices.select("doc_id").distinct())
+    ids = cut(vertices.select("doc_id").distinct())
     n = ids.count()
     if not n:
         return ids.withColumn("pagerank", F.lit(0.0)), True
     multiple = edges.groupBy(F.col("src_doc_id").alias("src"), F.col("dst_doc_id").alias("dst")).agg(F.count("*").alias("m"))
     out = multiple.groupBy("src").agg(F.sum("m").alias("d"))
-    shares = _cut(multiple.join(out, "src").select("src", "dst", (F.col("m") / F.col("d")).alias("share")))
-    sources = _cut(out.select(F.col("src").alias("doc_id"), F.lit(True).alias("linked")))
-    now = _cut(ids.join(sources, "doc_id", "left").select("doc_id", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / n).alias("pagerank")))
+    shares = cut(multiple.join(out, "src").select("src", "dst", (F.col("m") / F.col("d")).alias("share")))
+    sources = cut(out.select(F.col("src").alias("doc_id"), F.lit(True).alias("linked")))
+    now = cut(ids.join(sources, "doc_id", "left").select("doc_id", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / n).alias("pagerank")))
     for start in range(0, max_iter, 5):  # five rounds a job
         was = now
         for _ in range(min(5, max_iter - start)):
@@ -49,7 +42,7 @@ def pagerank_settled(vertices: DataFrame, edges: DataFrame, damping: float = 0.8
             given = now.join(shares, now["doc_id"] == shares["src"]).groupBy(F.col("dst").alias("doc_id")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
             base = F.lit((1 - damping) / n) + F.col("loose") * (damping / n)
             now = now.join(given, "doc_id", "left").crossJoin(F.broadcast(loose)).select("doc_id", "linked", (base + damping * F.coalesce("got", F.lit(0.0))).alias("pagerank"))
-        now = _cut(now)
+        now = cut(now)
         moved = now.join(was.select("doc_id", F.col("pagerank").alias("was")), "doc_id").agg(F.sum(F.abs(F.col("pagerank") - F.col("was")))).first()[0]
         if moved < tol:
             return now.select("doc_id", "pagerank"), True
@@ -59,14 +52,14 @@ def pagerank_settled(vertices: DataFrame, edges: DataFrame, damping: float = 0.8
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(doc_id, component): the smallest id of each undirected component, isolated vertices included (G-04)."""
     e = edges.where("src_doc_id <> dst_doc_id").select(F.greatest("src_doc_id", "dst_doc_id").alias("u"), F.least("src_doc_id", "dst_doc_id").alias("v")).distinct()
-    now, mark = _cut(e), None
+    now, mark = cut(e), None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = _cut(small.where("u <> v").distinct())
+        now = cut(small.where("u <> v").distinct())
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break
@@ -82,13 +75,13 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, max_iter: int = 100
 def labels_settled(vertices: DataFrame, edges: DataFrame, max_iter: int = 100) -> tuple[DataFrame, bool]:
     """``label_propagation`` and whether a round without change came before the rounds ran out."""
     ends = edges.where("src_doc_id <> dst_doc_id").select(F.col("src_doc_id").alias("doc_id"), F.col("dst_doc_id").alias("other"))
-    near = _cut(ends.unionByName(ends.select(F.col("other").alias("doc_id"), F.col("doc_id").alias("other"))))
-    now = _cut(vertices.select("doc_id").distinct().withColumn("community", F.col("doc_id")))
+    near = cut(ends.unionByName(ends.select(F.col("other").alias("doc_id"), F.col("doc_id").alias("other"))))
+    now = cut(vertices.select("doc_id").distinct().withColumn("community", F.col("doc_id")))
     for _ in range(max_iter):
         votes = near.join(now.select(F.col("doc_id").alias("other"), "community"), "other").select("doc_id", "community").unionByName(now)
         counted = votes.groupBy("doc_id", "community").agg(F.count("*").alias("n"))
         best = counted.groupBy("doc_id").agg(F.min(F.struct(-F.col("n"), F.col("community"))).alias("b")).select("doc_id", F.col("b.community").alias("fresh"))
-        after = _cut(now.join(best, "doc_id"))
+        after = cut(now.join(best, "doc_id"))
         changed = after.where("community <> fresh").limit(1).count()
         now = after.select("doc_id", F.col("fresh").alias("community"))
         if not changed:
@@ -101,32 +94,32 @@ def distances(edges: DataFrame, sources: DataFrame, max_depth: int = 1_000_000)
 
     The parent is the smallest (parent, relation_type) that reaches a document first.
     """
-    step = _cut(edges.select(F.col("src_doc_id").alias("at"), F.col("dst_doc_id").alias("next"), "relation_type").distinct())
+    step = cut(edges.select(F.col("src_doc_id").alias("at"), F.col("dst_doc_id").alias("next"), "relation_type").distinct())
     start = sources.select(F.col("doc_id").alias("source")).distinct()
     frontier = start.select("source", F.col("source").alias("doc_id"), F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("relation_type"))
-    seen = frontier = _cut(frontier)
+    seen = frontier = cut(frontier)
     depth = 0
     while depth < max_depth:
         depth += 1
         ahead = frontier.join(step, frontier["doc_id"] == step["at"]).select("source", F.col("next").alias("doc_id"), F.col("at").alias("parent"), step["relation_type"])
         first = ahead.groupBy("source", "doc_id").agg(F.min(F.struct("parent", "relation_type")).alias("p"))
         fresh = first.join(seen.select("source", "doc_id"), ["source", "doc_id"], "left_anti").select("source", "doc_id", F.lit(depth).alias("distance"), "p.parent", "p.relation_type")
-        frontier = _cut(fresh)
+        frontier = cut(fresh)
         if not frontier.limit(1).count():
             break
-        seen = _cut(seen.unionByName(frontier))
+        seen = cut(seen.unionByName(frontier))
     return seen.where("distance > 0")
 
 
 def paths(reached: DataFrame, targets: DataFrame, max_steps: int = 10) -> DataFrame:
     """(source, target, path): the steps 'from>to:type' back from each (source, target) along parents (G-12)."""
-    tree = _cut(reached.where(F.col("distance") <= max_steps))
+    tree = cut(reached.where(F.col("distance") <= max_steps))
     now = targets.join(tree.select("source", F.col("doc_id").alias("target"), "distance"), ["source", "target"]).select("source", "target", F.col("target").alias("at"), F.lit("").alias("path"))
     for _ in range(max_steps):
         up = now.join(tree.select("source", F.col("doc_id").alias("at"), "parent", "relation_type"), ["source", "at"], "left")
         link = F.concat("parent", F.lit(">"), "at", F.lit(":"), "relation_type")
         longer = F.when(F.col("path") == "", link).otherwise(F.concat(link, F.lit(" "), F.col("path")))
-        now = _cut(up.select("source", "target", F.coalesce("parent", "at").alias("at"), F.when(F.col("parent").isNotNull(), longer).otherwise(F.col("path")).alias("path")))
+        now = cut(up.select("source", "target", F.coalesce("parent", "at").alias("at"), F.when(F.col("parent").isNotNull(), longer).otherwise(F.col("path")).alias("path")))
         if not now.where("at <> source").limit(1).count():
             break
     return now.select("source", "target", "path")
@@ -139,11 +132,11 @@ def forest_depths(vertices: DataFrame, parents: DataFrame) -> DataFrame:
     """
     n = vertices.count()
     root = F.col("src").isNull()
-    now = _cut(vertices.join(parents.withColumnRenamed("dst", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("src", "doc_id").alias("far"), F.when(root, 0).otherwise(1).cast("long").alias("hops")))
+    now = cut(vertices.join(parents.withColumnRenamed("dst", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("src", "doc_id").alias("far"), F.when(root, 0).otherwise(1).cast("long").alias("hops")))
     reach = 1
     while True:
         ahead = now.select(F.col("doc_id").alias("far"), F.col("far").alias("next"), F.col("hops").alias("more"))
-        moved = _cut(now.join(ahead, "far"))
+        moved = cut(now.join(ahead, "far"))
         if reach > n or not moved.where("more > 0").limit(1).count():
             settled = F.col("more") == 0
             return moved.select("doc_id", F.when(settled, F.col("far")).alias("root"), F.when(settled, F.col("hops").cast("int")).alias("layer"))
@@ -151,22 +144,30 @@ def forest_depths(vertices: DataFrame, parents: DataFrame) -> DataFrame:
         reach *= 2
 
 
+def topological_order(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, layer, position) in dependency order; an error if the graph is cyclic (G-08)."""
+    layers, rest = topological_layers(vertices, edges)
+    if rest.limit(1).count():
+        raise ValueError("the graph has a cycle")
+    return numbered(layers, ["layer", "doc_id"])
+
+
 def topological_layers(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((doc_id, layer) of vertices in dependency order, vertices on or behind cycles) (G-08, G-09)."""
-    left = _cut(vertices.select("doc_id").distinct())
-    step = _cut(edges.select(F.col("src_doc_id").alias("src"), F.col("dst_doc_id").alias("dst")).distinct())
-    own = _cut(step.join(left.withColumnRenamed("doc_id", "src"), "src", "left_semi").join(left.withColumnRenamed("doc_id", "dst"), "dst", "left_semi"))
+    left = cut(vertices.select("doc_id").distinct())
+    step = cut(edges.select(F.col("src_doc_id").alias("src"), F.col("dst_doc_id").alias("dst")).distinct())
+    own = cut(step.join(left.withColumnRenamed("doc_id", "src"), "src", "left_semi").join(left.withColumnRenamed("doc_id", "dst"), "dst", "left_semi"))
     if not own.groupBy("dst").count().where("count > 1").limit(1).count():  # at most one parent each: log rounds
-        found = _cut(forest_depths(left, own))
+        found = cut(forest_depths(left, own))
         return found.where("layer is not null").select("doc_id", "layer"), found.where("layer is null").select("doc_id")
     done, layer = None, 0
     while True:
         blocked = step.join(left.withColumnRenamed("doc_id", "src"), "src", "left_semi").select(F.col("dst").alias("doc_id")).distinct()
-        free = _cut(left.join(blocked, "doc_id", "left_anti").withColumn("layer", F.lit(layer)))
+        free = cut(left.join(blocked, "doc_id", "left_anti").withColumn("layer", F.lit(layer)))
         if not free.limit(1).count():
             return (done if done is not None else free), left
-        done = free if done is None else _cut(done.unionByName(free))
-        left = _cut(left.join(free, "doc_id", "left_anti"))
+        done = free if done is None else cut(done.unionByName(free))
+        left = cut(left.join(free, "doc_id", "left_anti"))
         layer += 1
 
 
@@ -176,32 +177,35 @@ def has_cycle(vertices: DataFrame, edges: DataFrame) -> bool:
 
 def strong_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(doc_id, component): strongly connected components by forward-backward colouring, named by their largest id (G-07)."""
-    left = _cut(vertices.select("doc_id").distinct())
-    step = _cut(edges.where("src_doc_id <> dst_doc_id").select(F.col("src_doc_id").alias("src"), F.col("dst_doc_id").alias("dst")).distinct())
+    left = cut(vertices.select("doc_id").distinct())
+    step = cut(edges.where("src_doc_id <> dst_doc_id").select(F.col("src_doc_id").alias("src"), F.col("dst_doc_id").alias("dst")).distinct())
     done = None
     for _ in range(max_rounds):
         if not left.limit(1).count():
             break
-        own = _cut(step.join(left.withColumnRenamed("doc_id", "src"), "src", "left_semi").join(left.withColumnRenamed("doc_id", "dst"), "dst", "left_semi"))
-        colour = _cut(left.withColumn("c", F.col("doc_id")))
+        own = cut(step.join(left.withColumnRenamed("doc_id", "src"), "src", "left_semi").join(left.withColumnRenamed("doc_id", "dst"), "dst", "left_semi"))
+        colour = cut(left.withColumn("c", F.col("doc_id")))
         while True:  # the largest id that reaches each vertex
             got = own.join(colour.select(F.col("doc_id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("doc_id")).agg(F.max("c").alias("g"))
-            fresh = _cut(colour.join(got, "doc_id", "left").select("doc_id", "c", F.greatest("c", F.coalesce("g", "c")).alias("n")))
+            fresh = cut(colour.join(got, "doc_id", "left").select("doc_id", "c", F.greatest("c", F.coalesce("g", "c")).alias("n")))
             moved = fresh.where("c <> n").limit(1).count()
             colour = fresh.select("doc_id", F.col("n").alias("c"))
             if not moved:
                 break
-        roots = _cut(colour.where("doc_id = c"))
+        roots = cut(colour.where("doc_id = c"))
         held = roots
         while True:  # what reaches its colour's root inside the colour
             back = own.join(held.select(F.col("doc_id").alias("dst"), "c"), "dst").select(F.col("src").alias("doc_id"), "c").distinct().join(colour, ["doc_id", "c"], "left_semi")
-            fresh = _cut(back.join(held, "doc_id", "left_anti"))
+            fresh = cut(back.join(held, "doc_id", "left_anti"))
             if not fresh.limit(1).count():
                 break
-            held = _cut(held.unionByName(fresh))
+            held = cut(held.unionByName(fresh))
         found = held.select("doc_id", F.col("c").alias("component"))
-        done = found if done is None else _cut(done.unionByName(found))
-        left = _cut(left.join(found, "doc_id", "left_anti"))
+        done = found if done is None else cut(done.unionByName(found))
+        left = cut(left.join(found, "doc_id", "left_anti"))
+    else:
+        if left.limit(1).count():
+            raise RuntimeError("strong components did not settle")
     return done if done is not None else left.withColumn("component", F.col("doc_id"))
 
 
@@ -236,10 +240,10 @@ def edge_counts(relations: DataFrame) -> DataFrame:
 
 
 def community_members(communities: DataFrame, documents: DataFrame) -> DataFrame:
-    """Communities with their size and members in order (G-17, G-18)."""
-    named = communities.join(documents.select("doc_id", "filename"), "doc_id", "left")
-    size = F.count("*").over(Window.partitionBy("community"))
-    return named.withColumn("size", size).select("community", "size", "doc_id", "filename")
+    """(community, size, doc_id, filename): largest communities first, members by id; large ones stay flat (G-17, G-18)."""
+    sizes = communities.groupBy("community").agg(F.count("*").alias("size"))
+    named = communities.join(sizes, "community").join(documents.select("doc_id", "filename"), "doc_id", "left")
+    return named.select("community", "size", "doc_id", "filename").orderBy(F.desc("size"), "community", "doc_id")
 
 
 def top_ranked(ranks: DataFrame, documents: DataFrame, n: int) -> DataFrame:
@@ -264,20 +268,30 @@ def edge_list(relations: DataFrame, doc_id: str | None = None, relation_type: st
     return relations.orderBy("src_doc_id", "dst_doc_id", "relation_type").limit(limit)
 
 
-def reading_order(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, method, layer or pagerank as sort keys): topological where acyclic, else by PageRank (G-22)."""
+def reading_order(vertices: DataFrame, edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(doc_id, method, position): topological where acyclic, else by falling PageRank (G-22).
+
+    The order is that of the whole graph; ``members(doc_id)``, say one community, keeps its own and numbers them anew.
+    """
     layers, rest = topological_layers(vertices, edges)
     if rest.limit(1).count():
-        ranks = pagerank(vertices, edges)
-        return ranks.select("doc_id", F.lit("pagerank").alias("method"), (-F.col("pagerank")).alias("sort_key"))
-    return layers.select("doc_id", F.lit("topological").alias("method"), F.col("layer").cast("double").alias("sort_key"))
-
-
-def numbered(ordered: DataFrame, by: list[str], out: str = "position") -> DataFrame:
-    """1-based positions in a global order, from range partitions and their sizes (G-01, G-22)."""
-    ranged = _cut(ordered.repartitionByRange(*by).withColumn("__p", F.spark_partition_id()))
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    base = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*by))
-    return ranged.join(F.broadcast(base), "__p").withColumn(out, F.col("__base") + inside).drop("__p", "__base")
+        found = pagerank(vertices, edges).select("doc_id", F.lit("pagerank").alias("method"), (-F.col("pagerank")).alias("__key"))
+    else:
+        found = layers.select("doc_id", F.lit("topological").alias("method"), F.col("layer").cast("double").alias("__key"))
+    if members is not None:
+        found = found.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    return numbered(found, ["__key", "doc_id"]).drop("__key")
+
+
+def numbered(rows: DataFrame, by: list[str], out: str = "position", within: str | None = None) -> DataFrame:
+    """1-based positions in a global order, or in the order within each value of a column (S-19, G-01, G-22).
+
+    Rows are dealt into ranges; counts of the ranges give where each begins, so a frequent value spreads over tasks.
+    """
+    keys = [within] if within else []
+    ranged = cut(rows.repartitionByRange(*keys, *by).withColumn("__p", F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, "__p").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = sizes.select(*keys, "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__p").orderBy(*by))
+    return ranged.join(base, [*keys, "__p"]).withColumn(out, F.col("__base") + inside).drop("__p", "__base")

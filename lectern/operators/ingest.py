@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.operators.library import extension
+from lectern.operators.library import checked_relations, extension
 from lectern.sources.derived import padded
 
 ENRICHMENT = (
@@ -41,9 +41,11 @@ def page_id(page: Column) -> Column:
 
 
 def page_records(parsed: DataFrame) -> DataFrame:
-    """One page row for each page embedding, numbered from 1 (I-02)."""
-    p = parsed.select("doc_id", F.posexplode("visual_embeddings").alias("__i", "embedding"))
-    return p.select(page_id(F.col("__i") + 1).alias("id"), "doc_id", (F.col("__i") + 1).cast("long").alias("page_num"), "embedding")
+    """One page row for each page embedding, numbered from 1, with the image and structure of its position (I-02)."""
+    at = lambda name: F.get(F.col(name), F.col("__i")) if name in parsed.columns else F.lit(None)
+    p = parsed.select("*", F.posexplode("visual_embeddings").alias("__i", "embedding"))
+    number = F.col("__i") + 1
+    return p.select(page_id(number).alias("id"), "doc_id", number.cast("long").alias("page_num"), "embedding", at("images").cast("binary").alias("image"), at("structures").cast("string").alias("structure"))
 
 
 def page_figures(chunks: DataFrame, figures: DataFrame) -> DataFrame:
@@ -142,10 +144,12 @@ def synthetic_chunks(parsed: DataFrame, figure_pages: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("word_count", word_count(F.col("text")))
 
 
-def ingest_relations(parsed: DataFrame) -> DataFrame:
-    """Relations of parser rows, the source being the row's document by default (I-13)."""
+def ingest_relations(parsed: DataFrame, documents: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(relations to store, failures with a reason) of parser rows, the source being the row's document by default (I-13)."""
     r = parsed.select("doc_id", F.explode("relations").alias("r"))
-    return r.select(F.coalesce("r.src_doc_id", "doc_id").alias("src_doc_id"), "r.dst_doc_id", "r.relation_type", "r.metadata").where("dst_doc_id is not null and relation_type is not null")
+    named = r.select(F.coalesce("r.src_doc_id", "doc_id").alias("src_doc_id"), "r.dst_doc_id", "r.relation_type", "r.metadata").where("dst_doc_id is not null and relation_type is not null")
+    checked = checked_relations(named, documents, existing)
+    return checked.where("reason is null").drop("reason"), checked.where("reason is not null")
 
 
 def unpack_vectors(blob: Column) -> Column:
@@ -182,9 +186,15 @@ def pack_vectors(tokens: Column) -> Column:
     return of(tokens)
 
 
-def storage_sizes(chunks: DataFrame) -> DataFrame:
-    """Bytes of text and of vectors for each document (I-15); chunks(doc_id, text, blob)."""
-    return chunks.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("text_bytes"), F.sum(F.coalesce(F.octet_length("blob"), F.lit(0))).alias("vector_bytes"))
+def storage_sizes(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, text_bytes, visual_bytes): embedding and UTF-8 text bytes of chunks, embedding and image bytes of pages (I-15).
+
+    chunks(doc_id, text, blob), pages(doc_id, image, blob).
+    """
+    of = lambda *names: F.sum(sum((F.coalesce(F.octet_length(n), F.lit(0)) for n in names), F.lit(0)))
+    text = chunks.groupBy("doc_id").agg(of("text", "blob").alias("text_bytes"))
+    visual = pages.groupBy("doc_id").agg(of("image", "blob").alias("visual_bytes"))
+    return text.join(visual, "doc_id", "full").fillna(0, ["text_bytes", "visual_bytes"])
 
 
 def filtered_metadata(values: Column, dropped: list[str]) -> Column:

@@ -40,10 +40,14 @@ def queue_summary(jobs: DataFrame) -> DataFrame:
 
 
 def queue_items(jobs: DataFrame, now: Column) -> DataFrame:
-    """Jobs with known status (else queued) and elapsed seconds since they started (J-07)."""
+    """Jobs with known status (else queued), elapsed seconds since they started, and when they were queued (J-07).
+
+    A start that is no time gives no elapsed time; a missing or broken queue time counts as ``now``.
+    """
     known = F.when(F.col("status").isin(*STAGES), F.col("status")).otherwise("queued")
-    elapsed = F.when(F.col("started_at").isNotNull(), now.cast("timestamp").cast("double") - F.col("started_at").cast("timestamp").cast("double")).otherwise(0.0)
-    return jobs.withColumn("status", known).withColumn("elapsed", elapsed)
+    time = lambda c: F.col(c).cast("string").try_cast("timestamp")
+    elapsed = F.coalesce(now.cast("timestamp").cast("double") - time("started_at").cast("double"), F.lit(0.0))
+    return jobs.withColumns({"status": known, "elapsed": elapsed, "timestamp": F.coalesce(time("queued_at"), now.cast("timestamp"))})
 
 
 def status_counts(jobs: DataFrame) -> DataFrame:

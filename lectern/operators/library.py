@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.operators.graph import numbered
 from lectern.sources.derived import padded
 from lectern.sources.schemas import KEYS, REQUIRED, conform
 
@@ -67,12 +68,23 @@ def checked_relations(incoming: DataFrame, documents: DataFrame, existing: DataF
     )
 
 
-def patched(table: DataFrame, patch: DataFrame, key: list[str], allowed: list[str]) -> DataFrame:
-    """``table`` with the non-null values of ``patch`` in allowed columns; ids that are not in it are a no-op (S-09, S-10)."""
+def patched(table: DataFrame, patch: DataFrame, key: list[str], allowed: list[str], order: Column | None = None) -> DataFrame:
+    """``table`` with the values of ``patch`` in allowed columns; ids that are not in it are a no-op (S-09, S-10).
+
+    A null of the patch leaves the value alone; columns that its array ``cleared`` names are set to null. Of patch rows that
+    repeat an id the last by ``order`` counts, without it the one of the greatest values.
+    """
     take = [c for c in allowed if c in patch.columns]
-    p = patch.select(*key, *[(F.to_json(c) if isinstance(patch.schema[c].dataType, (T.StructType, T.MapType)) else F.col(c)).alias(f"__{c}") for c in take])
-    joined = table.join(p, key, "left")
-    return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in take else F.col(c) for c in table.columns])
+    none = F.array().cast("array<string>")
+    values = [(F.to_json(c) if isinstance(patch.schema[c].dataType, (T.StructType, T.MapType)) else F.col(c)).alias(c) for c in take]
+    row = F.struct(*values, (F.coalesce("cleared", none) if "cleared" in patch.columns else none).alias("cleared"))
+    p = patch.groupBy(*key).agg(F.max_by(row, order if order is not None else row).alias("__p"))
+
+    def value(c: str) -> Column:
+        given = F.coalesce(F.col(f"__p.{c}"), F.col(c)) if c in take else F.col(c)
+        return F.when(F.array_contains("__p.cleared", c), None).otherwise(given).alias(c)
+
+    return table.join(p, key, "left").select(*[value(c) if c in allowed else F.col(c) for c in table.columns])
 
 
 def cascade_delete(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
@@ -101,9 +113,10 @@ def without_relation(relations: DataFrame, gone: DataFrame) -> DataFrame:
     return relations.join(gone.select(*KEYS["doc_relations"]).distinct(), KEYS["doc_relations"], "left_anti")
 
 
-def replace_type(relations: DataFrame, relation_type: str, fresh: DataFrame) -> DataFrame:
-    """Relations with those of one type replaced (S-14)."""
-    return relations.where(F.col("relation_type") != relation_type).unionByName(fresh, allowMissingColumns=True)
+def replace_type(relations: DataFrame, relation_type: str, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(relations with those of one type replaced, one-row count of the rows deleted) (S-14)."""
+    kept, deleted = delete_where(relations, F.col("relation_type") == relation_type)
+    return kept.unionByName(fresh, allowMissingColumns=True), deleted
 
 
 def write_relations(relations: DataFrame, path: str) -> None:
@@ -130,10 +143,11 @@ def intake(files: DataFrame, cap: int) -> DataFrame:
 
 
 def suffixed_names(uploads: DataFrame, order: list[str]) -> DataFrame:
-    """Uploads with stored_name: the second of a name gets _1, the third _2 (S-19)."""
-    n = F.row_number().over(Window.partitionBy("filename").orderBy(*order)) - 1
+    """Uploads with stored_name: the second of a name gets _1, the third _2 (S-19). A frequent name spreads over tasks."""
     stem, ext = F.regexp_extract("filename", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("filename", r"^(.*?)(\.[^.]*)?$", 2)
-    return uploads.withColumn("__n", n).withColumn("stored_name", F.when(F.col("__n") == 0, F.col("filename")).otherwise(F.concat(stem, F.lit("_"), F.col("__n").cast("string"), ext))).drop("__n")
+    n = F.col("__n") - 1
+    name = F.when(n == 0, F.col("filename")).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), ext))
+    return numbered(uploads, order, "__n", within="filename").withColumn("stored_name", name).drop("__n")
 
 
 def extension(name: str | Column) -> Column:
@@ -166,10 +180,16 @@ def impact(gone: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     return out.join(ends.groupBy("doc_id").agg(F.count("*").alias("relations")), "doc_id", "left").fillna(0, ["pages", "chunks", "relations"])
 
 
-def duplicate_names(uploads: DataFrame, documents: DataFrame) -> DataFrame:
-    """Uploads with the newest existing document of their name, and a registration id (S-25)."""
+def duplicate_names(uploads: DataFrame, documents: DataFrame, force: bool = False) -> DataFrame:
+    """Uploads (filename, registered_at, size_bytes) with the newest document of their name and a registration id (S-25).
+
+    ``force`` takes every upload for new.
+    """
     newest = documents.groupBy("filename").agg(F.max_by("doc_id", F.struct("created_at", "doc_id")).alias("existing_doc_id"))
-    return uploads.join(newest, "filename", "left").withColumn("is_duplicate", F.col("existing_doc_id").isNotNull())
+    held = uploads.withColumn("registration_id", registration_id("filename", "registered_at", "size_bytes"))
+    if force:
+        return held.withColumn("existing_doc_id", F.lit(None).cast("string")).withColumn("is_duplicate", F.lit(False))
+    return held.join(newest, "filename", "left").withColumn("is_duplicate", F.col("existing_doc_id").isNotNull())
 
 
 def registration_id(name: str, time: str, size: str) -> Column:
@@ -179,6 +199,22 @@ def registration_id(name: str, time: str, size: str) -> Column:
 # ---- reads -------------------------------------------------------------------------------------------------------
 
 
+def lookup(table: DataFrame, keys: DataFrame, key: str, parsed: dict[str, str]) -> DataFrame:
+    """One row for each key, its values null where the table has none, JSON columns read by their schemas (F-01, F-08)."""
+    joined = keys.select(key).distinct().join(table, key, "left")
+    return joined.withColumns({c: F.from_json(c, kind) for c, kind in parsed.items()})
+
+
+def page_images(pages: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc_id, page_num, image) of the asked pages that hold an image (F-09)."""
+    return pages.join(asked.select("doc_id", "page_num").distinct(), ["doc_id", "page_num"], "left_semi").where(_held("image", pages)).select("doc_id", "page_num", "image")
+
+
+def _held(column: str, df: DataFrame) -> Column:
+    """Whether a binary column is there and not empty."""
+    return F.coalesce(F.octet_length(column) > 0, F.lit(False)) if column in df.columns else F.lit(False)
+
+
 def listed(documents: DataFrame, formats: list[str] | None = None, project_id: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Newest first, with optional format and project (F-03)."""
     if formats:
@@ -204,6 +240,16 @@ def roll_up(documents: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFr
     return joined.withColumn("has_images", F.col("page_count") > 0).withColumn("collections", kinds)
 
 
+FLAGS = "vtt_available boolean, markdown_available boolean, has_word_timestamps boolean"
+
+
+def detail(documents: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``roll_up`` with the flags of the documents' metadata, false where it doesn't tell (F-15)."""
+    told = F.from_json("metadata", FLAGS)
+    flags = {name: F.coalesce(told[name], F.lit(False)) for name in ("vtt_available", "markdown_available", "has_word_timestamps")}
+    return roll_up(documents, pages, chunks).withColumns(flags).withColumnRenamed("has_word_timestamps", "has_timestamps")
+
+
 def name_contains(documents: DataFrame, text: str) -> DataFrame:
     """Case-insensitive literal substring of the file name (F-10)."""
     return documents.where(F.lower("filename").contains(text.lower()))
@@ -240,6 +286,47 @@ def interface_state(status: str) -> Column:
     return F.coalesce(*[F.when(F.col(status) == k, F.lit(v)) for k, v in INTERFACE_STATES.items()], F.lit("processing"))
 
 
+JOB_METADATA = "format string, file_size long, author string, published string, pages long, visual_embeddings long, text_embeddings long, text_chunks long"
+
+
+def status_records(jobs: DataFrame) -> DataFrame:
+    """Interface records of jobs (F-21).
+
+    The type is in upper case; embedding counts are told of completed jobs that have any, progress of unfinished and failed
+    ones, the error of failed ones only. Empty metadata is null.
+    """
+    m, state = F.from_json("metadata", JOB_METADATA), interface_state("status")
+    said = lambda c: F.when(c != "", c)
+    some = lambda c: F.when(c > 0, c)
+    pages = F.coalesce(some(m["pages"]), some(F.col("total_pages")) if "total_pages" in jobs.columns else F.lit(None))
+    told = F.struct(said(m["author"]).alias("author"), said(m["published"]).alias("published"), pages.cast("long").alias("pages"), some(m["file_size"]).alias("size_bytes"))
+    counts = {k: F.coalesce(m[f], F.lit(0)) for k, f in (("visual_count", "visual_embeddings"), ("text_count", "text_embeddings"), ("chunk_count", "text_chunks"))}
+    embeddings = F.struct(*[c.alias(k) for k, c in counts.items()])
+    error = F.when(state == "error", F.col("error"))
+    return jobs.select(
+        F.col("doc_id").alias("id"),
+        F.col("filename").alias("title"),
+        state.alias("status"),
+        F.upper(F.coalesce(m["format"], F.lit("unknown"))).alias("file_type"),
+        F.when(F.coalesce(told["author"], told["published"], told["pages"].cast("string"), told["size_bytes"].cast("string")).isNotNull(), told).alias("metadata"),
+        F.when((state == "completed") & (F.greatest(*counts.values()) > 0), embeddings).alias("embeddings"),
+        F.when(state != "completed", F.struct("progress", F.col("stage").alias("current_stage"), error.alias("error_message"))).alias("processing"),
+        F.col("started_at").alias("created_at"),
+        F.col("completed_at").alias("processed_at"),
+    )
+
+
+def status_list(records: DataFrame, status: str | None = None, file_type: str | None = None, sort_by: str = "date", sort_order: str = "desc", limit: int = 100, offset: int = 0) -> DataFrame:
+    """One page of ``status_records`` by comma-separated states and types, sorted by date, name or status (F-19)."""
+    listed_in = lambda text, case: [case(x.strip()) for x in text.split(",")]
+    if status:
+        records = records.where(F.col("status").isin(listed_in(status, str.lower)))
+    if file_type:
+        records = records.where(F.col("file_type").isin(listed_in(file_type, str.upper)))
+    by = {"name": F.lower("title"), "status": F.col("status")}.get(sort_by, F.col("created_at"))
+    return records.orderBy(by.desc() if sort_order.lower() == "desc" else by.asc(), "id").offset(offset).limit(limit)
+
+
 def totals(documents: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: documents, pages and chunks (F-22)."""
     counts = [df.agg(F.count("*").alias(n)) for n, df in (("documents", documents), ("pages", pages), ("chunks", chunks))]
@@ -262,22 +349,33 @@ def inconsistent_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.where(parsed.isNull() | (parsed["doc_id"] != F.col("doc_id")))
 
 
+def page_path(suffix: str) -> Column:
+    """The conventional address of a page's picture."""
+    return F.concat(F.lit("/images/"), F.col("doc_id"), F.lit("/page"), padded(F.col("page_num"), 3), F.lit(suffix))
+
+
 def page_info(pages: DataFrame) -> DataFrame:
-    """Conventional image paths of pages (F-16)."""
-    n = padded(F.col("page_num"), 3)
-    path = F.concat(F.lit("/images/"), F.col("doc_id"), F.lit("/page"), n)
-    return pages.withColumn("image_path", F.concat(path, F.lit(".png"))).withColumn("thumb_path", F.concat(path, F.lit("_thumb.jpg")))
+    """Image and thumbnail addresses of pages: what their structure names, else the conventional ones (F-16)."""
+    told = F.from_json("structure" if "structure" in pages.columns else F.lit(None).cast("string"), "image_path string, thumb_path string")
+    return pages.withColumns({c: F.coalesce(path_to_url(told[c]), page_path(end)) for c, end in (("image_path", ".png"), ("thumb_path", "_thumb.jpg"))})
 
 
 def first_page(pages: DataFrame) -> DataFrame:
-    """The first page's thumbnail of each document, else its image (F-18)."""
-    return page_info(pages).groupBy("doc_id").agg(F.min_by(F.coalesce("thumb_path", "image_path"), "page_num").alias("thumbnail"), F.min("page_num").alias("page_num"))
+    """(doc_id, page_num, thumbnail) of each document's first page (F-18).
+
+    A page that holds a thumbnail or an image is served under its conventional address; else the last two parts of a stored
+    thumbnail path; else there is none.
+    """
+    legacy = F.split(F.col("thumb_path") if "thumb_path" in pages.columns else F.lit(None).cast("string"), "/")
+    address = F.when(_held("thumb", pages) | _held("image", pages), page_path(".png")).when(F.size(legacy) >= 2, F.concat(F.lit("/images/"), F.array_join(F.slice(legacy, -2, 2), "/")))
+    return pages.groupBy("doc_id").agg(F.min("page_num").alias("page_num"), F.min_by(F.struct(address.alias("t")), "page_num")["t"].alias("thumbnail"))
 
 
-def path_to_url(path: str) -> Column:
-    """The last two segments of a path (F-26)."""
-    parts = F.filter(F.split(F.col(path), "/"), lambda x: x != "")
-    return F.concat(F.lit("/"), F.array_join(F.when(F.size(parts) >= 2, F.slice(parts, -2, 2)).otherwise(parts), "/"))
+def path_to_url(path: str | Column) -> Column:
+    """Address of a stored picture by the last two parts of its path; a name without folders and null stay (F-26)."""
+    given = F.col(path) if isinstance(path, str) else path
+    parts = F.split(given, "/")
+    return F.when(F.size(parts) < 2, given).otherwise(F.concat(F.lit("/images/"), F.array_join(F.slice(parts, -2, 2), "/")))
 
 
 def details_url(doc_id: str, page: Column | None = None, chunk: Column | None = None, base: str = "") -> Column:

@@ -36,13 +36,18 @@ def flipped(y: Column, height: Column | None = None) -> Column:
 
 
 def scaled(df: DataFrame, width: Column, height: Column, shown_width: Column, shown_height: Column, least: float = 0.0) -> DataFrame:
-    """Boxes x1, y1, x2, y2 in display units, clamped, at least ``least`` wide and high (B-04)."""
-    sx, sy = shown_width / width, shown_height / height
+    """Boxes x1, y1, x2, y2 in display units, clamped, at least ``least`` wide and high (B-04).
+
+    ``problem`` tells of dimensions that are not positive; such rows have no display box.
+    """
+    sx, sy = (F.try_divide(a, b) for a, b in ((shown_width, width), (shown_height, height)))
     clamp = lambda c, most: F.greatest(F.lit(0.0), F.least(c, most.cast("double")))
-    out = df
+    bad = lambda a, b, name: F.when(~F.coalesce((a > 0) & (b > 0), F.lit(False)), F.concat(F.lit(f"invalid {name} dimensions: "), F.coalesce(a.cast("string"), F.lit("none")), F.lit("x"), F.coalesce(b.cast("string"), F.lit("none"))))
+    out = df.withColumn("problem", F.coalesce(bad(width, height, "original"), bad(shown_width, shown_height, "displayed")))
     for c, s, most in (("x1", sx, shown_width), ("y1", sy, shown_height), ("x2", sx, shown_width), ("y2", sy, shown_height)):
-        out = out.withColumn(f"s{c}", clamp(F.col(c) * s, most))
-    return out.withColumn("shown_w", F.greatest(F.col("sx2") - F.col("sx1"), F.lit(least))).withColumn("shown_h", F.greatest(F.col("sy2") - F.col("sy1"), F.lit(least)))
+        out = out.withColumn(f"s{c}", F.when(F.col("problem").isNull(), clamp(F.col(c) * s, most)))
+    size = lambda a, b: F.when(F.col("problem").isNull(), F.greatest(F.col(b) - F.col(a), F.lit(least)))
+    return out.withColumn("shown_w", size("sx1", "sx2")).withColumn("shown_h", size("sy1", "sy2"))
 
 
 def box_problem(width: Column, height: Column) -> Column:

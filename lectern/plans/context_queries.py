@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import context as ops
-from lectern.operators import enrich
+from lectern.operators import enrich, graph
 from lectern.plans.registry import query
 
 HITS = """, hits AS (SELECT project_id AS query_id, c.doc_id, page_num, pos, c.id AS chunk_id, c.text, d.num % 2 = 0 AS is_visual, ((d.num * 37 + pos * 11) % 100) / 100.0::DOUBLE AS score FROM lib_chunks c JOIN lib_documents d ON c.doc_id = d.doc_id WHERE word_count > 20),
@@ -41,14 +41,22 @@ def _(lib):
     return enrich.similar_edges(v, enrich.Settings(min_similarity=0.15))
 
 
-@query("E03_heading_sets", "SELECT DISTINCT doc_id, lower(trim(unnest(list_concat([parent_heading], string_split(section_path, ' > '))), ' ')) AS heading FROM lib_chunks")
+@query("E03_heading_sets", "SELECT DISTINCT doc_id, lower(trim(unnest([parent_heading, section_path]), ' ')) AS heading FROM lib_chunks")
 def _(lib):
     return enrich.heading_sets(lib.chunks)
 
 
+@query("E03_context_headings", "SELECT DISTINCT doc_id, lower(trim(unnest(CASE WHEN pos % 3 = 0 THEN list_concat([parent_heading], string_split(section_path, ' > ')) WHEN pos % 3 = 1 THEN [section_path] ELSE [] END), ' ')) AS heading FROM lib_chunks")
+def _(lib):
+    """Contexts with a list, with a text, and broken ones."""
+    path = F.split("section_path", " > ")
+    context = F.when(F.col("pos") % 3 == 0, F.to_json(F.struct("parent_heading", path.alias("section_path")))).when(F.col("pos") % 3 == 1, F.to_json(F.struct("section_path"))).otherwise("{broken")
+    return enrich.heading_sets(enrich.with_context(lib.chunks.select("doc_id", context.alias("context"))))
+
+
 @query(
     "E04_topic_edges",
-    """, h AS (SELECT DISTINCT doc_id, lower(trim(unnest(list_concat([parent_heading], string_split(section_path, ' > '))), ' ')) AS heading FROM lib_chunks), n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1),
+    """, h AS (SELECT DISTINCT doc_id, lower(trim(unnest([parent_heading, section_path]), ' ')) AS heading FROM lib_chunks), n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1),
 s AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM h a JOIN h b ON a.heading = b.heading AND a.doc_id < b.doc_id GROUP BY ALL),
 j AS (SELECT a, b FROM s JOIN n x ON s.a = x.doc_id JOIN n y ON s.b = y.doc_id WHERE c >= 0.5 * (x.n + y.n - c))
 SELECT a AS src_doc_id, b AS dst_doc_id, 'same_topic' AS relation_type FROM j UNION ALL SELECT b, a, 'same_topic' FROM j""",
@@ -67,14 +75,24 @@ def _(lib):
     return enrich.community_edges(c, enrich.Settings()).select("src_doc_id", "dst_doc_id")
 
 
-@query("E06_node_properties", "SELECT d.doc_id, d.project_id AS community_id, coalesce(h.n, 0) AS hub_score FROM lib_documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM (SELECT src_doc_id AS doc_id FROM lib_relations UNION ALL SELECT dst_doc_id FROM lib_relations) GROUP BY 1) h ON d.doc_id = h.doc_id")
+@query("E05_label_communities")
 def _(lib):
-    from lectern.operators import graph
+    return enrich.community_edges(graph.label_propagation(lib.documents, lib.relations), enrich.Settings()).select("src_doc_id", "dst_doc_id")
+
 
+@query("E06_node_properties", "SELECT d.doc_id, d.project_id AS community_id, coalesce(h.n, 0) AS hub_score FROM lib_documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM (SELECT src_doc_id AS doc_id FROM lib_relations UNION ALL SELECT dst_doc_id FROM lib_relations) GROUP BY 1) h ON d.doc_id = h.doc_id")
+def _(lib):
     ranks = lib.documents.select("doc_id", F.lit(0.0).alias("pagerank"))
     return enrich.node_properties(lib.documents, ranks, lib.documents.select("doc_id", F.col("project_id").alias("community")), graph.hub_scores(lib.relations)).select("doc_id", "community_id", "hub_score")
 
 
+@query("E06_graph_metadata")
+def _(lib):
+    found = enrich.node_properties(lib.documents, graph.pagerank(lib.documents, lib.relations), graph.label_propagation(lib.documents, lib.relations), graph.hub_scores(lib.relations))
+    stored = enrich.with_graph_metadata(lib.documents.withColumn("metadata", F.to_json(F.struct("lang"))), found, F.lit("2024-03-01 00:00:00").cast("timestamp"))
+    return stored.select("doc_id", "metadata")
+
+
 @query("E07_full_run")
 def _(lib):
     v = lib.vectors.select(F.col("chunk").alias("id"), "doc", (F.col("chunk") % 3).alias("word_count"), "tokens")
@@ -87,9 +105,16 @@ def _(lib):
     return _sources(lib).select("query_id", "doc_id", "page_num", "chunk_id", "rank")
 
 
-@query("C03_source_metadata", HITS + " SELECT query_id, t.doc_id, page_num, d.filename, d.format FROM top t JOIN lib_documents d ON t.doc_id = d.doc_id")
+@query(
+    "C03_source_metadata",
+    HITS + """ SELECT query_id, t.doc_id, t.page_num, d.filename, d.format, d.created_at AS timestamp, CASE WHEN t.page_num % 2 = 1 THEN 'page ' || p.n_chunks END AS section_path, CASE WHEN t.page_num % 2 = 1 THEN p.id END AS parent_heading
+FROM top t JOIN lib_documents d ON t.doc_id = d.doc_id JOIN lib_pages p ON p.doc_id = t.doc_id AND p.page_num = t.page_num""",
+)
 def _(lib):
-    return ops.with_metadata(_sources(lib), lib.pages, lib.documents).select("query_id", "doc_id", "page_num", "filename", "format")
+    told = F.to_json(F.struct(F.concat(F.lit("page "), F.col("n_chunks").cast("string")).alias("section_path"), F.col("id").alias("parent_heading")))
+    pages = lib.pages.withColumn("structure", F.when(F.col("page_num") % 2 == 1, told))
+    found = ops.with_metadata(_sources(lib), pages, lib.documents)
+    return found.select("query_id", "doc_id", "page_num", "filename", "format", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "section_path", "parent_heading")
 
 
 @query("C04_page_text", "SELECT id, md5(text) AS text_md5 FROM lib_chunks")
@@ -98,10 +123,18 @@ def _(lib):
     return c.select("id", F.md5(ops.page_text("m", "page")).alias("text_md5"))
 
 
-@query("C05_estimated_page", "SELECT doc_id, md5(CASE WHEN length(markdown) < 1000 THEN markdown ELSE markdown END) AS text_md5 FROM lib_documents WHERE strpos(markdown, chr(10) || chr(10)) = 0")
+@query(
+    "C05_estimated_page",
+    """, g AS (SELECT doc_id, unnest([1, 2, 5]) AS page, markdown AS m, [x FOR x IN string_split(markdown, chr(10) || chr(10)) IF regexp_replace(x, '\\s', '', 'g') <> ''] AS p FROM lib_documents WHERE markdown IS NOT NULL)
+SELECT doc_id, page, md5(CASE WHEN length(m) < 1000 THEN m WHEN len(p) = 0 THEN CASE WHEN (page - 1) * 800 < length(m) THEN substr(m, (page - 1) * 800 + 1, 800) ELSE left(m, 800) END
+WHEN len(p) > (page - 1) * 3 THEN array_to_string(p[(page - 1) * 3 + 1:page * 3], chr(10) || chr(10)) ELSE array_to_string(p[greatest(len(p) - 2, 1):], chr(10) || chr(10)) END) AS text_md5
+FROM (SELECT doc_id, page, CASE WHEN page = 5 THEN replace(m, chr(10), chr(10) || chr(10)) ELSE m END AS m, CASE WHEN page = 5 THEN [x FOR x IN string_split(replace(m, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) IF regexp_replace(x, '\\s', '', 'g') <> ''] ELSE p END AS p FROM g)""",
+)
 def _(lib):
-    d = lib.documents.where("instr(markdown, '\n\n') = 0").withColumn("page", F.lit(1))
-    return d.select("doc_id", F.md5(ops.estimated_page("markdown", "page")).alias("text_md5"))
+    """Pages 1, 2 and 5 of every document; for page 5 each line is a paragraph."""
+    d = lib.documents.where("markdown is not null").withColumn("page", F.explode(F.array(F.lit(1), F.lit(2), F.lit(5))))
+    d = d.withColumn("markdown", F.when(F.col("page") == 5, F.replace("markdown", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("markdown")))
+    return d.select("doc_id", "page", F.md5(ops.estimated_page("markdown", "page")).alias("text_md5"))
 
 
 @query("C06_text_twins", HITS + " SELECT query_id, count(*) AS n, count(*) FILTER (WHERE v) AS visual FROM (SELECT query_id, is_visual AS v FROM top UNION ALL SELECT query_id, false FROM top WHERE is_visual AND length(text) >= 100) GROUP BY query_id")
@@ -112,9 +145,15 @@ def _(lib):
 ENDS = ", e AS (SELECT src_doc_id AS doc_id, dst_doc_id AS other FROM lib_relations UNION ALL SELECT dst_doc_id, src_doc_id FROM lib_relations)"
 
 
-@query("C07_related", HITS + ENDS + " SELECT t.query_id, t.doc_id, string_agg(DISTINCT e.other, ',' ORDER BY e.other) AS related FROM (SELECT DISTINCT query_id, doc_id FROM top WHERE rank <= 5) t JOIN e ON t.doc_id = e.doc_id GROUP BY ALL")
+@query(
+    "C07_related",
+    HITS + """, e AS (SELECT src_doc_id AS doc_id, dst_doc_id AS other, src_doc_id, dst_doc_id, relation_type FROM lib_relations UNION ALL SELECT dst_doc_id, src_doc_id, src_doc_id, dst_doc_id, relation_type FROM lib_relations),
+f AS (SELECT t.query_id, t.doc_id, e.other, min((src_doc_id, dst_doc_id, relation_type)) AS r FROM (SELECT DISTINCT query_id, doc_id FROM top WHERE rank <= 5) t JOIN e ON t.doc_id = e.doc_id GROUP BY ALL),
+k AS (SELECT query_id, doc_id, r[3] AS kind, min(r) AS r FROM f GROUP BY ALL), ty AS (SELECT query_id, doc_id, string_agg(kind, ',' ORDER BY r) AS relation_types FROM k GROUP BY ALL)
+SELECT f.query_id, f.doc_id, string_agg(other, ',' ORDER BY r) AS related, any_value(ty.relation_types) AS relation_types FROM f JOIN ty ON f.query_id = ty.query_id AND f.doc_id = ty.doc_id GROUP BY ALL""",
+)
 def _(lib):
-    return ops.related(_sources(lib), lib.relations).select("query_id", "doc_id", F.array_join("related", ",").alias("related"))
+    return ops.related(_sources(lib), lib.relations).select("query_id", "doc_id", F.array_join("related", ",").alias("related"), F.array_join("relation_types", ",").alias("relation_types"))
 
 
 @query(
@@ -162,11 +201,17 @@ def _(lib):
     return ops.context_metadata(_sources(lib), _kept(lib)).select("query_id", "sources", "visual", "context_tokens", "truncated")
 
 
-@query("C17_visual_dependency", "SELECT id, pos % 3 = 0 OR regexp_matches(lower(text), '\\bgraph\\b|\\bchart\\b|\\bdiagram\\b|\\b(figure|table) +[0-9]+\\b') OR pos % 4 = 1 AS visual FROM lib_chunks")
+@query(
+    "C17_visual_dependency",
+    """SELECT id, visual_reason IS NOT NULL AS visual, visual_reason FROM (SELECT id, CASE WHEN pos % 3 = 0 THEN 'related_pictures' WHEN pos % 5 = 4 THEN 'related_tables' WHEN pos % 4 = 1 THEN 'element_type'
+WHEN regexp_matches(lower(text), '\\bgraph\\b|\\bchart\\b|\\bdiagram\\b|\\b(figure|table)\\s+[0-9]+\\b|\\bsee\\s+(figure|table|chart|diagram)\\b|\\bas\\s+shown\\s+in\\s+(figure|table|chart)\\b') THEN 'text' END AS visual_reason
+FROM (SELECT id, pos, CASE WHEN pos % 7 = 2 THEN 'As Shown in Figure ' ELSE '' END || text AS text FROM lib_chunks))""",
+)
 def _(lib):
-    pics = F.when(F.col("pos") % 3 == 0, F.array("id")).otherwise(F.array().cast("array<string>"))
-    kind = F.when(F.col("pos") % 4 == 1, "Table").otherwise("text")
-    return lib.chunks.select("id", ops.visual_dependency("text", pics, F.array().cast("array<string>"), kind).alias("visual"))
+    none, pos = F.array().cast("array<string>"), F.col("pos")
+    c = lib.chunks.withColumn("text", F.concat(F.when(pos % 7 == 2, "As Shown in Figure ").otherwise(""), "text"))
+    given = ("text", F.when(pos % 3 == 0, F.array("id")).otherwise(none), F.when(pos % 5 == 4, F.array("id")).otherwise(none), F.when(pos % 4 == 1, "Table").otherwise("text"))
+    return c.select("id", ops.visual_dependency(*given).alias("visual"), ops.visual_reason(*given).alias("visual_reason"))
 
 
 @query("C18_relevant", HITS + " SELECT chunk_id, CASE WHEN is_visual THEN 9.0 ELSE score * 10 END AS relevance FROM hits WHERE is_visual OR score * 10 >= 7")
@@ -185,20 +230,29 @@ def _(lib):
     return _hits(lib).select("chunk_id", ops.compressible(F.col("text"), F.col("is_visual")).alias("eligible"))
 
 
-@query("C21_accepted", "SELECT id, CASE WHEN pos % 2 = 0 AND length(parent_heading) < length(text) THEN 'compressed' ELSE 'original' END AS method FROM lib_chunks")
+@query("C21_accepted", "SELECT id, CASE WHEN pos % 3 = 2 THEN 'legacy' WHEN pos % 2 = 0 AND length(parent_heading) < length(text) THEN 'harmony_json' ELSE 'rejected' END AS method, md5(CASE WHEN pos % 2 = 0 AND length(parent_heading) < length(text) THEN parent_heading ELSE text END) AS text_md5 FROM lib_chunks")
 def _(lib):
     short = F.when(F.col("pos") % 2 == 0, F.col("parent_heading")).otherwise(F.concat("text", F.lit(" more")))
-    return lib.chunks.select("id", ops.accepted_compression(F.col("text"), short)["method"].alias("method"))
+    return lib.chunks.select("id", ops.accepted_compression(F.col("text"), short, F.col("pos") % 3 != 2).alias("c")).select("id", "c.method", F.md5("c.text").alias("text_md5"))
 
 
-@query("C22_reply_score", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(event_id % 10 AS DOUBLE) WHEN 1 THEN CAST(event_id % 10 AS DOUBLE) ELSE 5.0 END AS score FROM events")
+@query("C22_reply_score", "SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 5) THEN CAST(event_id % 10 AS DOUBLE) ELSE 5.0 END AS score FROM events")
 def _(lib):
     s = (F.col("event_id") % 10).cast("string")
     obj = F.concat(F.lit('{"score": '), s, F.lit("}"))
-    text = F.element_at(F.array(obj, F.concat(F.lit("Here: {x} "), obj, F.lit(" done")), F.lit("none"), F.lit('{"score": 99}')), (F.col("event_id") % 4 + 1).cast("int"))
+    quoted, nested = F.concat(F.lit('{"score": "'), s, F.lit('"}')), F.concat(F.lit('{"score": '), s, F.lit(', "why": {}}'))
+    text = F.element_at(F.array(obj, F.concat(F.lit("Here: {x} "), obj, F.lit(" done")), F.lit("none"), F.lit('{"score": 99}'), quoted, nested), (F.col("event_id") % 6 + 1).cast("int"))
     return lib.given("events").select("event_id", ops.reply_score(text).alias("score"))
 
 
+@query("C22_reply_facts", """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'f ' || conv_id WHEN 1 THEN '{"facts": "  "}' WHEN 2 THEN 'plain ' || conv_id ELSE '{"facts": 3}' END AS facts FROM conversations""")
+def _(lib):
+    c = F.col("conv_id").cast("string")
+    fact = F.concat(F.lit('Reply: {"facts": "f '), c, F.lit('"} end'))
+    text = F.element_at(F.array(fact, F.lit('{"facts": "  "}'), F.concat(F.lit("plain "), c), F.lit('{"facts": 3}')), (F.col("turn") % 4 + 1).cast("int"))
+    return lib.given("conversations").select("conv_id", "turn", ops.reply_facts(text).alias("facts"))
+
+
 @query("C23_reply_channel", "SELECT event_id, event_type AS final FROM events")
 def _(lib):
     tagged = F.concat(F.lit("<|channel|>analysis<|message|>hm<|end|><|channel|>final<|message|>"), "event_type", F.lit("<|return|>"))

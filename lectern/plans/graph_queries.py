@@ -42,35 +42,36 @@ def _(lib):
     return communities.withColumn("settled", F.lit(settled))
 
 
-@query(
-    "G06_distances",
-    ", k AS (SELECT project_id, num, doc_id, row_number() OVER (PARTITION BY project_id ORDER BY num) AS n FROM lib_documents WHERE project_id IS NOT NULL) SELECT a.doc_id AS source, b.doc_id, CAST(b.n - a.n AS INTEGER) AS distance FROM k a JOIN k b ON a.project_id = b.project_id AND a.n = 1 AND b.n BETWEEN 2 AND 11",
-)
-def _(lib):
-    first = lib.documents.where("project_id is not null").groupBy("project_id").agg(F.min_by("doc_id", "num").alias("doc_id"))
-    return ops.distances(lib.relations.where(SERIES), first, max_depth=10).select("source", "doc_id", "distance")
+FAR = ", k AS (SELECT project_id, num, doc_id, row_number() OVER (PARTITION BY project_id ORDER BY num) AS n FROM lib_documents WHERE project_id IS NOT NULL) SELECT a.doc_id AS source, b.doc_id, CAST(b.n - a.n AS INTEGER) AS distance FROM k a JOIN k b ON a.project_id = b.project_id AND a.n = 1 AND b.n > 1"
 
 
-@query("G06_distances_all")
+@query("G06_distances", FAR)
 def _(lib):
+    """From the first document of each series; a forest's distances need only log rounds."""
     series = lib.relations.where(SERIES).select(F.col("src_doc_id").alias("src"), F.col("dst_doc_id").alias("dst"))
     return ops.forest_depths(lib.documents.select("doc_id"), series).where("layer > 0").select(F.col("root").alias("source"), "doc_id", F.col("layer").alias("distance"))
 
 
+@query("G06_distances_near", FAR + " AND b.n <= 11")
+def _(lib):
+    first = lib.documents.where("project_id is not null").groupBy("project_id").agg(F.min_by("doc_id", "num").alias("doc_id"))
+    return ops.distances(lib.relations.where(SERIES), first, max_depth=10).select("source", "doc_id", "distance")
+
+
 @query("G07_strong_components", ", v AS (SELECT DISTINCT event_type AS doc_id FROM events) SELECT doc_id, (SELECT max(doc_id) FROM v) AS component FROM v WHERE (SELECT count(DISTINCT src) FROM lib_transitions) > 1")
 def _(lib):
     return ops.strong_components(*_types(lib))
 
 
-@query("G08_topological_order", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY num) - 1 AS INTEGER) AS layer FROM (SELECT * FROM lib_documents WHERE lang = 'es' AND project_id IS NOT NULL)")
+LAYERS = "SELECT doc_id, CAST(CASE WHEN project_id IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY project_id ORDER BY num) - 1 END AS INTEGER) AS layer FROM lib_documents"
+
+
+@query("G08_topological_order", f"SELECT doc_id, layer, row_number() OVER (ORDER BY layer, doc_id) AS position FROM ({LAYERS})")
 def _(lib):
-    d = lib.documents.where("lang = 'es' and project_id is not null")
-    after = F.lead("doc_id").over(ops.Window.partitionBy("project_id").orderBy("num"))
-    edges = d.select(F.col("doc_id").alias("src_doc_id"), after.alias("dst_doc_id")).where("dst_doc_id is not null")
-    return ops.topological_layers(d, edges)[0]
+    return ops.topological_order(lib.documents, lib.relations.where(SERIES)).select("doc_id", "layer", F.col("position").cast("long").alias("position"))
 
 
-@query("G08_topological_order_all")
+@query("G08_topological_order_all", LAYERS)
 def _(lib):
     return ops.topological_layers(lib.documents, lib.relations.where(SERIES))[0]
 
@@ -100,12 +101,12 @@ def _(lib):
     return ops.distances(lib.relations, lib.documents.where("format = 'png'"), max_depth=2).select("source", "doc_id", F.col("distance").alias("depth"))
 
 
-@query("G12_paths", ", k AS (SELECT doc_id, lead(doc_id, 1) OVER w AS b, lead(doc_id, 2) OVER w AS c, row_number() OVER w AS n FROM lib_documents WHERE project_id IS NOT NULL WINDOW w AS (PARTITION BY project_id ORDER BY num)) SELECT doc_id AS source, c AS target, doc_id || '>' || b || ':series_member ' || b || '>' || c || ':series_member' AS path FROM k WHERE n = 1 AND c IS NOT NULL")
+@query("G12_paths", ", k AS (SELECT project_id, num, doc_id, row_number() OVER (PARTITION BY project_id ORDER BY num) AS n FROM lib_documents WHERE project_id IS NOT NULL), h AS (SELECT *, doc_id || '>' || lead(doc_id) OVER (PARTITION BY project_id ORDER BY num) || ':series_member' AS step FROM k) SELECT a.doc_id AS source, t.doc_id AS target, string_agg(h.step, ' ' ORDER BY h.n) AS path FROM k a JOIN k t ON a.project_id = t.project_id AND a.n = 1 AND t.n BETWEEN 2 AND 11 JOIN h ON h.project_id = a.project_id AND h.n < t.n GROUP BY ALL")
 def _(lib):
-    w = ops.Window.partitionBy("project_id").orderBy("num")
-    ends = lib.documents.where("project_id is not null").select(F.col("doc_id").alias("source"), F.lead("doc_id", 2).over(w).alias("target"), F.row_number().over(w).alias("n")).where("n = 1 and target is not null").select("source", "target")
-    reached = ops.distances(lib.relations.where(SERIES), ends.select(F.col("source").alias("doc_id")), max_depth=3)
-    return ops.paths(reached, ends)
+    """From the first document of each series to every one within the ten steps of a path."""
+    first = lib.documents.where("project_id is not null").groupBy("project_id").agg(F.min_by("doc_id", "num").alias("doc_id"))
+    reached = ops.distances(lib.relations.where(SERIES), first, max_depth=10)
+    return ops.paths(reached, reached.select("source", F.col("doc_id").alias("target")))
 
 
 @query(
@@ -160,18 +161,22 @@ def _(lib):
     return ops.edge_list(lib.relations, relation_type="same_author").select("src_doc_id", "dst_doc_id", "relation_type")
 
 
-@query("G22_reading_order", "SELECT doc_id, 'topological' AS method, row_number() OVER (ORDER BY layer, doc_id) AS position FROM (SELECT doc_id, row_number() OVER (PARTITION BY project_id ORDER BY num) - 1 AS layer FROM lib_documents WHERE lang = 'fr' AND project_id IS NOT NULL)")
+@query("G22_reading_order", f"SELECT doc_id, 'topological' AS method, row_number() OVER (ORDER BY layer, doc_id) AS position FROM ({LAYERS}) WHERE doc_id IN (SELECT doc_id FROM lib_documents WHERE lang = 'fr')")
 def _(lib):
-    d = lib.documents.where("lang = 'fr' and project_id is not null")
-    after = F.lead("doc_id").over(ops.Window.partitionBy("project_id").orderBy("num"))
-    edges = d.select(F.col("doc_id").alias("src_doc_id"), after.alias("dst_doc_id")).where("dst_doc_id is not null")
-    return ops.numbered(ops.reading_order(d, edges), ["sort_key", "doc_id"]).select("doc_id", "method", F.col("position").cast("long").alias("position"))
+    """The order of the whole graph, for the members of one group."""
+    found = ops.reading_order(lib.documents, lib.relations.where(SERIES), lib.documents.where("lang = 'fr'"))
+    return found.select("doc_id", "method", F.col("position").cast("long").alias("position"))
 
 
-@query("G22_reading_order_all")
+@query("G22_reading_order_all", f"SELECT doc_id, 'topological' AS method, row_number() OVER (ORDER BY layer, doc_id) AS position FROM ({LAYERS})")
 def _(lib):
-    found = ops.numbered(ops.reading_order(lib.documents, lib.relations.where(SERIES)), ["sort_key", "doc_id"])
-    return found.select("doc_id", "method", F.col("position").cast("long").alias("position"))
+    return ops.reading_order(lib.documents, lib.relations.where(SERIES)).select("doc_id", "method", F.col("position").cast("long").alias("position"))
+
+
+@query("G22_reading_order_ranked")
+def _(lib):
+    """Authors' links go both ways, so the whole graph is cyclic and PageRank orders it."""
+    return ops.reading_order(lib.documents, lib.relations).select("doc_id", "method", F.col("position").cast("long").alias("position"))
 
 
 @query("G23_graph_stats", "SELECT (SELECT count(*) FROM lib_documents) AS documents, (SELECT count(*) FROM lib_relations) AS relations, (SELECT count(DISTINCT relation_type) FROM lib_relations) AS types")

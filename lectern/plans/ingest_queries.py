@@ -43,9 +43,14 @@ def _(lib):
     return ops.document_record(_parsed(lib))
 
 
-@query("I02_page_records", "SELECT doc_id || '-page' || lpad(CAST(pos + 1 AS VARCHAR), 3, '0') AS id, doc_id, pos + 1 AS page_num FROM lib_chunks WHERE pos < 999")
+@query("I02_page_records", """SELECT doc_id || '-page' || lpad(CAST(pos + 1 AS VARCHAR), greatest(3, CAST(length(CAST(pos + 1 AS VARCHAR)) AS INTEGER)), '0') AS id, doc_id, pos + 1 AS page_num,
+CASE WHEN pos % 2 = 0 THEN md5(id) END AS image_md5, CASE WHEN pos % 3 = 0 THEN parent_heading END AS heading FROM lib_chunks""")
 def _(lib):
-    return ops.page_records(_parsed(lib)).select("id", "doc_id", "page_num")
+    p = _parsed(lib)
+    images = F.transform("chunks", lambda c, i: F.when(i % 2 == 0, F.encode(c["id"], "UTF-8")))
+    structures = F.transform("chunks", lambda c, i: F.when(i % 3 == 0, F.to_json(F.struct(F.element_at(F.split(c["content"], " "), 1).alias("heading")))))
+    r = ops.page_records(p.withColumn("images", images).withColumn("structures", structures))
+    return r.select("id", "doc_id", "page_num", F.md5("image").alias("image_md5"), F.from_json("structure", "heading string")["heading"].alias("heading"))
 
 
 @query("I03_page_figures", "SELECT DISTINCT c.doc_id, c.page_num, 'f' || c.doc_id AS figures FROM lib_chunks c JOIN lib_documents d ON c.doc_id = d.doc_id WHERE c.pos % 2 = 1 AND d.num % 5 <> 0")
@@ -87,9 +92,17 @@ def _(lib):
     return s.select("id", "text", F.col("page_num").cast("int").alias("page_num"))
 
 
-@query("I13_ingest_relations", f"SELECT doc_id AS src_doc_id, doc_id || 'x' AS dst_doc_id, 'cites' AS relation_type FROM lib_documents {HELD}")
+@query(
+    "I13_ingest_relations",
+    f"""SELECT d.doc_id AS src_doc_id, CAST(d.num + 1 AS VARCHAR) AS dst_doc_id, 'cites' AS relation_type, CASE WHEN t.doc_id IS NULL THEN 'target missing' WHEN d.num % 5 = 0 THEN 'edge exists' END AS reason
+FROM (SELECT * FROM lib_documents {HELD}) d LEFT JOIN lib_documents t ON CAST(d.num + 1 AS VARCHAR) = t.doc_id""",
+)
 def _(lib):
-    return ops.ingest_relations(_parsed(lib)).select("src_doc_id", "dst_doc_id", "relation_type")
+    next_one = (F.col("num") + 1).cast("string")
+    cites = F.array(F.struct(F.lit(None).cast("string").alias("src_doc_id"), next_one.alias("dst_doc_id"), F.lit("cites").alias("relation_type"), F.lit(None).cast("string").alias("metadata")))
+    known = lib.documents.where("num % 5 = 0").select(F.col("doc_id").alias("src_doc_id"), next_one.alias("dst_doc_id"), F.lit("cites").alias("relation_type"))
+    stored, failed = ops.ingest_relations(_parsed(lib).withColumn("relations", cites), lib.documents, known)
+    return stored.withColumn("reason", F.lit(None).cast("string")).unionByName(failed).select("src_doc_id", "dst_doc_id", "relation_type", "reason")
 
 
 @query("I14_vector_blobs", "SELECT chunk, CAST(8 + 4 * sum(len(embedding)) AS BIGINT) AS bytes, count(*) AS tokens, true AS same FROM lib_tokens GROUP BY chunk")
@@ -99,9 +112,11 @@ def _(lib):
     return back.select("chunk", F.octet_length("blob").cast("long").alias("bytes"), F.size("tokens").cast("long").alias("tokens"), (F.col("back") == F.col("tokens")).alias("same"))
 
 
-@query("I15_storage_sizes", "SELECT doc_id, CAST(sum(strlen(text)) AS BIGINT) AS text_bytes, CAST(sum(strlen(id)) AS BIGINT) AS vector_bytes FROM lib_chunks GROUP BY doc_id")
+@query("I15_storage_sizes", """SELECT c.doc_id, c.n AS text_bytes, p.n AS visual_bytes FROM (SELECT doc_id, CAST(sum(strlen(text) + strlen(id)) AS BIGINT) AS n FROM lib_chunks GROUP BY doc_id) c
+JOIN (SELECT doc_id, CAST(sum(strlen(id) + CASE WHEN page_num % 2 = 0 THEN 5 ELSE 0 END) AS BIGINT) AS n FROM lib_pages GROUP BY doc_id) p ON c.doc_id = p.doc_id""")
 def _(lib):
-    return ops.storage_sizes(lib.chunks.select("doc_id", "text", F.encode("id", "UTF-8").alias("blob")))
+    pages = lib.pages.select("doc_id", F.when(F.col("page_num") % 2 == 0, F.encode(F.lit("image"), "UTF-8")).alias("image"), F.encode("id", "UTF-8").alias("blob"))
+    return ops.storage_sizes(lib.chunks.select("doc_id", "text", F.encode("id", "UTF-8").alias("blob")), pages).select("doc_id", "text_bytes", "visual_bytes")
 
 
 @query("I16_word_windows", "SELECT id, md5(text) AS text_md5, word_count FROM lib_chunks")
@@ -121,9 +136,9 @@ def _(lib):
     return lib.documents.where("format = 'mp3'").select("doc_id", ops.audio_metadata(m).alias("m")).select("doc_id", F.col("m")["audio_title"].alias("title"), F.length(F.col("m")["audio_comment"]).cast("long").alias("comment"))
 
 
-@query("I19_slug", "SELECT id, coalesce(nullif(left(regexp_replace(regexp_replace(lower(section_path), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 128), ''), 'project') AS slug FROM lib_chunks WHERE NOT regexp_matches(section_path, '[^ -~]')")
+@query("I19_slug", "SELECT id, coalesce(nullif(left(regexp_replace(regexp_replace(lower(section_path), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 128), ''), 'project') AS slug FROM lib_chunks")
 def _(lib):
-    return lib.chunks.where(~F.col("section_path").rlike("[^ -~]")).select("id", ops.slug(F.col("section_path")).alias("slug"))
+    return lib.chunks.select("id", ops.slug(F.col("section_path")).alias("slug"))
 
 
 @query("I19_slug_all")

@@ -41,10 +41,16 @@ def _(lib):
     return ops.queue_summary(lib.jobs)
 
 
-@query("J07_queue_items", "SELECT doc_id, status, epoch(TIMESTAMP '2024-03-01 00:00:00') - epoch(queued_at) AS elapsed FROM lib_jobs")
+@query(
+    "J07_queue_items",
+    """SELECT doc_id, CASE WHEN changes % 5 = 4 THEN 'queued' ELSE status END AS status, CASE WHEN changes % 3 = 0 THEN 0.0 ELSE epoch(TIMESTAMP '2024-03-01 00:00:00') - epoch(queued_at) END AS elapsed,
+CASE WHEN changes % 2 = 0 THEN queued_at ELSE TIMESTAMP '2024-03-01 00:00:00' END AS timestamp FROM lib_jobs""",
+)
 def _(lib):
-    now = F.lit("2024-03-01 00:00:00").cast("timestamp")
-    return ops.queue_items(lib.jobs.withColumnRenamed("queued_at", "started_at"), now).select("doc_id", "status", F.round("elapsed", 6).alias("elapsed"))
+    """Some jobs have an unknown status, a start that is no time, or a broken queue time."""
+    now, text = F.lit("2024-03-01 00:00:00").cast("timestamp"), F.col("queued_at").cast("string")
+    odd = {"status": F.when(F.col("changes") % 5 == 4, "paused").otherwise(F.col("status")), "started_at": F.when(F.col("changes") % 3 == 0, "soon").otherwise(text), "queued_at": F.when(F.col("changes") % 2 == 0, text).otherwise("broken")}
+    return ops.queue_items(lib.jobs.withColumns(odd), now).select("doc_id", "status", F.round("elapsed", 6).alias("elapsed"), F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
 
 
 @query("J08_status_counts", "SELECT count(*) FILTER (WHERE status NOT IN ('completed', 'failed')) AS active, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed FROM lib_jobs")

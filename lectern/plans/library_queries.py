@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import library as ops
 from lectern.plans.registry import query
+from lectern.sources.derived import FORMATS
 from lectern.sources.schemas import conform
+from lectern.sources.shared import shared_folder
 
 
 @query("S01_table_scan", "SELECT 'documents' AS t, count(*) AS n FROM lib_documents UNION ALL SELECT 'pages', count(*) FROM lib_pages UNION ALL SELECT 'chunks', count(*) FROM lib_chunks UNION ALL SELECT 'doc_relations', count(*) FROM lib_relations UNION ALL SELECT 'processing_jobs', count(*) FROM lib_jobs UNION ALL SELECT 'projects', count(*) FROM lib_projects")
@@ -97,10 +103,19 @@ def _(lib):
     return ops.without_relation(lib.relations, lib.relations.where("relation_type = 'same_author' and src_doc_id < dst_doc_id"))
 
 
-@query("S14_replace_type", "SELECT relation_type, count(*) AS n FROM (SELECT relation_type FROM lib_relations WHERE relation_type <> 'same_author' UNION ALL SELECT 'same_author' FROM lib_relations WHERE relation_type = 'series_member') GROUP BY relation_type")
+@query(
+    "S14_replace_type",
+    """, r AS (SELECT relation_type FROM lib_relations WHERE relation_type <> 'same_author' UNION ALL SELECT 'same_author' FROM lib_relations WHERE relation_type = 'series_member')
+SELECT relation_type, count(*) AS n, count(*) AS stored, (SELECT count(*) FROM lib_relations WHERE relation_type = 'same_author') AS deleted FROM r GROUP BY relation_type""",
+)
 def _(lib):
     fresh = lib.relations.where("relation_type = 'series_member'").withColumn("relation_type", F.lit("same_author"))
-    return ops.replace_type(lib.relations, "same_author", fresh).groupBy("relation_type").agg(F.count("*").alias("n"))
+    left, deleted = ops.replace_type(lib.relations, "same_author", fresh)
+    path = f"{shared_folder(lib.spark)}/lectern-relations-{uuid.uuid4().hex}"
+    for part in (lib.relations, fresh):  # the second overwrites the partition of its type alone
+        ops.write_relations(part, path)
+    stored = lib.spark.read.schema("src_doc_id string, dst_doc_id string, relation_type string").parquet(path).groupBy("relation_type").agg(F.count("*").alias("stored"))
+    return left.groupBy("relation_type").agg(F.count("*").alias("n")).join(stored, "relation_type").crossJoin(deleted)
 
 
 @query("S15_delete_where", "SELECT count(*) FILTER (WHERE word_count < 100) AS deleted FROM lib_chunks")
@@ -136,13 +151,23 @@ def _(lib):
 
 @query(
     "S20_upload_check",
-    "SELECT doc_id, format IN ('pdf', 'md', 'docx') AND strlen(markdown) <= 1048576 AS ok, CASE WHEN format NOT IN ('pdf', 'md', 'docx') THEN 'Unsupported format: .' || format ELSE '' END AS message FROM lib_documents WHERE strlen(markdown) <= 1048576",
+    """SELECT doc_id, format IN ('pdf', 'md', 'docx') AND NOT coalesce(strlen(markdown) > 1048576, false) AS ok,
+CASE WHEN format NOT IN ('pdf', 'md', 'docx') THEN 'Unsupported format: .' || format WHEN strlen(markdown) > 1048576 THEN 'File too large: ' || strlen(markdown) || ' bytes (max 1MB)' ELSE '' END AS message FROM lib_documents""",
 )
 def _(lib):
-    d = lib.documents.withColumn("size", F.octet_length("markdown")).where("size is not null")
+    d = lib.documents.withColumn("size", F.octet_length("markdown"))
     return d.select("doc_id", ops.upload_check("filename", "size", ["pdf", "md", "docx"], 1).alias("c")).select("doc_id", "c.ok", "c.message")
 
 
+@query(
+    "S20_upload_check_small_cap",
+    """, u AS (SELECT url, strlen(html) AS n, page_id % 3 = 0 AS known FROM pages) SELECT url, n AS size, CASE WHEN NOT known THEN 'Unsupported format: .bin' WHEN n > 2097152 THEN 'File too large: ' || n || ' bytes (max 2MB)' ELSE '' END AS message FROM (SELECT url, n * 1000 AS n, known FROM u)""",
+)
+def _(lib):
+    p = lib.given("pages").select("url", (F.octet_length("html") * 1000).cast("long").alias("size"), F.when(F.col("page_id") % 3 == 0, "a.html").otherwise("a.bin").alias("filename"))
+    return p.select("url", "size", ops.upload_check("filename", "size", ["html"], 2)["message"].alias("message"))
+
+
 @query("S21_row_json", "SELECT CAST(json_object('id', id, 'doc_id', doc_id, 'page_num', page_num) AS VARCHAR) AS j FROM lib_pages")
 def _(lib):
     p = lib.pages.select("id", "doc_id", "page_num", F.encode("id", "UTF-8").alias("thumb"))
@@ -172,18 +197,21 @@ def _(lib):
 
 @query(
     "S25_duplicate_names",
-    """, u AS (SELECT DISTINCT 'Doc_' || user_id || '.pdf' AS filename, user_id FROM events)
-SELECT u.user_id, d.doc_id AS existing_doc_id, d.doc_id IS NOT NULL AS is_duplicate FROM u LEFT JOIN lib_documents d ON u.filename = d.filename""",
+    """, u AS (SELECT user_id, 'Doc_' || user_id || '.pdf' AS filename, strftime(min(ts), '%Y-%m-%d') AS registered_at, count(*) AS size_bytes FROM events GROUP BY user_id)
+SELECT u.user_id, sha256(u.filename || '_' || registered_at || '_' || size_bytes) AS registration_id, d.doc_id AS existing_doc_id, d.doc_id IS NOT NULL AS is_duplicate, false AS forced FROM u LEFT JOIN lib_documents d ON u.filename = d.filename""",
 )
 def _(lib):
-    up = lib.given("events").select("user_id").distinct().withColumn("filename", F.concat(F.lit("Doc_"), F.col("user_id").cast("string"), F.lit(".pdf")))
-    return ops.duplicate_names(up, lib.documents).select("user_id", "existing_doc_id", "is_duplicate")
+    up = lib.given("events").groupBy("user_id").agg(F.date_format(F.min("ts"), "yyyy-MM-dd").alias("registered_at"), F.count("*").alias("size_bytes")).withColumn("filename", F.concat(F.lit("Doc_"), F.col("user_id").cast("string"), F.lit(".pdf")))
+    forced = ops.duplicate_names(up, lib.documents, force=True).select("user_id", F.col("is_duplicate").alias("forced"))
+    return ops.duplicate_names(up, lib.documents).join(forced, "user_id").select("user_id", "registration_id", "existing_doc_id", "is_duplicate", "forced")
 
 
-@query("F01_document_by_id", "SELECT d.doc_id, d.filename FROM lib_documents d WHERE d.num IN (SELECT user_id FROM events)")
+@query("F01_document_by_id", "SELECT k.doc_id, d.filename, d.lang, d.format AS kind FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS doc_id FROM events) k LEFT JOIN lib_documents d ON k.doc_id = d.doc_id")
 def _(lib):
-    keys = lib.given("events").select(F.col("user_id").cast("string").alias("doc_id")).distinct()
-    return lib.documents.join(keys, "doc_id", "left_semi").select("doc_id", "filename")
+    keys = lib.given("events").select(F.col("user_id").cast("string").alias("doc_id"))
+    stored = lib.documents.select("doc_id", "filename", F.to_json(F.struct("lang", F.struct("format").alias("file"))).alias("metadata"))
+    found = ops.lookup(stored, keys, "doc_id", {"metadata": "lang string, file struct<format: string>"})
+    return found.select("doc_id", "filename", "metadata.lang", F.col("metadata.file.format").alias("kind"))
 
 
 @query("F02_markdown", "SELECT doc_id, md5(markdown) AS markdown_md5 FROM lib_documents")
@@ -240,14 +268,30 @@ def _(lib):
     return ops.roll_up(lib.documents, lib.pages, lib.chunks).select("doc_id", "page_count", "chunk_count", "has_images")
 
 
+@query(
+    "F15_document_detail",
+    """SELECT d.doc_id, CASE WHEN EXISTS (SELECT 1 FROM lib_chunks c WHERE c.doc_id = d.doc_id) THEN 'visual,text' ELSE '' END AS collections,
+num % 3 = 0 AS vtt_available, coalesce(num % 3 = 0 AND lang = 'en', false) AS markdown_available, false AS has_timestamps FROM lib_documents d""",
+)
+def _(lib):
+    told = F.when(F.col("num") % 3 == 0, F.to_json(F.struct(F.lit(True).alias("vtt_available"), (F.col("lang") == "en").alias("markdown_available"))))
+    d = ops.detail(lib.documents.withColumn("metadata", told), lib.pages, lib.chunks)
+    return d.select("doc_id", F.array_join("collections", ",").alias("collections"), "vtt_available", "markdown_available", "has_timestamps")
+
+
 @query("F15_collections", "SELECT d.doc_id, CASE WHEN EXISTS (SELECT 1 FROM lib_chunks c WHERE c.doc_id = d.doc_id) THEN 'visual,text' ELSE '' END AS collections FROM lib_documents d")
 def _(lib):
     return ops.roll_up(lib.documents, lib.pages, lib.chunks).select("doc_id", F.array_join("collections", ",").alias("collections"))
 
 
-@query("F16_page_paths", "SELECT id, '/images/' || doc_id || '/page' || lpad(CAST(page_num AS VARCHAR), 3, '0') || '.png' AS image_path FROM lib_pages")
+PAD = "lpad(CAST(page_num AS VARCHAR), greatest(3, CAST(length(CAST(page_num AS VARCHAR)) AS INTEGER)), '0')"
+
+
+@query("F16_page_paths", f"SELECT id, '/images/' || doc_id || CASE WHEN page_num % 2 = 0 THEN '/p' || page_num ELSE '/page' || {PAD} END || '.png' AS image_path, '/images/' || doc_id || '/page' || {PAD} || '_thumb.jpg' AS thumb_path FROM lib_pages")
 def _(lib):
-    return ops.page_info(lib.pages).select("id", "image_path")
+    stored = F.concat(F.lit("data/page_images/"), "doc_id", F.lit("/p"), F.col("page_num").cast("string"), F.lit(".png"))
+    told = F.when(F.col("page_num") % 2 == 0, F.to_json(F.struct(stored.alias("image_path"))))
+    return ops.page_info(lib.pages.withColumn("structure", told)).select("id", "image_path", "thumb_path")
 
 
 @query("F17_chunk_info", "SELECT id, start_time IS NOT NULL AS has_timestamps, word_count FROM lib_chunks")
@@ -255,15 +299,51 @@ def _(lib):
     return lib.chunks.select("id", F.col("start_time").isNotNull().alias("has_timestamps"), "word_count")
 
 
-@query("F18_first_thumbnail", "SELECT doc_id, '/images/' || doc_id || '/page001_thumb.jpg' AS thumbnail FROM lib_pages GROUP BY doc_id")
+@query(
+    "F18_first_thumbnail",
+    """SELECT d.doc_id, CASE WHEN num % 4 < 2 THEN '/images/' || d.doc_id || '/page001.png' WHEN num % 4 = 2 THEN '/images/' || d.doc_id || '/t.jpg' END AS thumbnail
+FROM lib_documents d WHERE EXISTS (SELECT 1 FROM lib_pages p WHERE p.doc_id = d.doc_id)""",
+)
+def _(lib):
+    p = lib.pages.join(lib.documents.select("doc_id", "num"), "doc_id")
+    body, kind = F.encode("id", "UTF-8"), F.col("num") % 4
+    held = p.select("doc_id", "page_num", F.when(kind == 0, body).alias("thumb"), F.when(kind == 1, body).alias("image"), F.when(kind == 2, F.concat(F.lit("data/"), "doc_id", F.lit("/t.jpg"))).alias("thumb_path"))
+    return ops.first_page(held).select("doc_id", "thumbnail")
+
+
+JOBS = """, j AS (SELECT doc_id, status, changes, queued_at, list_extract(['pdf', 'md', 'mp3', 'docx', 'png'], CAST(changes % 5 AS INTEGER) + 1) AS f,
+CASE status WHEN 'completed' THEN 'completed' WHEN 'failed' THEN 'error' ELSE 'processing' END AS state FROM lib_jobs)"""
+
+
+def _job_records(lib):
+    kind = F.element_at(F.array(*[F.lit(f) for f in FORMATS]), (F.col("changes") % 5 + 1).cast("int"))
+    told = F.struct(kind.alias("format"), (F.col("changes") * 100).alias("file_size"), F.when(F.col("changes") % 2 == 0, F.col("changes")).alias("text_chunks"))
+    error = F.when(F.col("status") == "failed", F.concat(F.lit("failed after "), F.col("changes").cast("string")))
+    jobs = lib.jobs.select("doc_id", F.concat("doc_id", F.lit("."), kind).alias("filename"), "status", F.lit(0.5).alias("progress"), F.col("status").alias("stage"), error.alias("error"), F.col("queued_at").alias("started_at"), F.when(F.col("status") == "completed", F.col("updated_at")).alias("completed_at"), F.to_json(told).alias("metadata"))
+    return ops.status_records(jobs)
+
+
+@query("F19_status_list", JOBS + " SELECT doc_id AS id, state AS status, upper(f) AS file_type FROM j WHERE state IN ('completed', 'error') AND f IN ('pdf', 'md') ORDER BY lower(doc_id || '.' || f), doc_id LIMIT 50 OFFSET 5")
 def _(lib):
-    return ops.first_page(lib.pages).select("doc_id", "thumbnail")
+    return ops.status_list(_job_records(lib), "completed, Error", "pdf,MD", "name", "asc", 50, 5).select("id", "status", "file_type")
 
 
-@query("F19_status_list", "SELECT doc_id, status, updated_at FROM lib_jobs WHERE status IN ('completed', 'failed') ORDER BY updated_at DESC, doc_id LIMIT 50")
+@query("F19_status_orders", JOBS + """, a AS (SELECT 'date' AS mode, doc_id AS id FROM j ORDER BY queued_at DESC, doc_id LIMIT 20), b AS (SELECT 'status' AS mode, doc_id AS id FROM j ORDER BY state, doc_id LIMIT 20), c AS (SELECT 'name' AS mode, doc_id AS id FROM j ORDER BY lower(doc_id || '.' || f) DESC, doc_id LIMIT 20), d AS (SELECT 'oldest' AS mode, doc_id AS id FROM j ORDER BY queued_at, doc_id LIMIT 20)
+SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d""")
+def _(lib):
+    r = _job_records(lib)
+    modes = (("date", "date", "desc"), ("status", "status", "asc"), ("name", "name", "desc"), ("oldest", "date", "asc"))
+    pages = [ops.status_list(r, sort_by=by, sort_order=way, limit=20).select(F.lit(mode).alias("mode"), "id") for mode, by, way in modes]
+    return reduce(DataFrame.unionByName, pages)
+
+
+@query(
+    "F21_status_records",
+    JOBS + """ SELECT doc_id AS id, state AS status, upper(f) AS file_type, changes * 100 AS size_bytes, CASE WHEN state = 'completed' AND changes % 2 = 0 THEN changes END AS chunk_count,
+CASE WHEN state <> 'completed' THEN status END AS stage, CASE WHEN state = 'error' THEN 'failed after ' || changes END AS error FROM j""",
+)
 def _(lib):
-    wanted = F.array_contains(F.split(F.lit("completed,failed"), ","), F.col("status"))
-    return lib.jobs.where(wanted).orderBy(F.desc("updated_at"), "doc_id").limit(50).select("doc_id", "status", "updated_at")
+    return _job_records(lib).select("id", "status", "file_type", "metadata.size_bytes", "embeddings.chunk_count", F.col("processing.current_stage").alias("stage"), F.col("processing.error_message").alias("error"))
 
 
 @query("F20_interface_state", "SELECT doc_id, CASE status WHEN 'completed' THEN 'completed' WHEN 'failed' THEN 'error' ELSE 'processing' END AS state FROM lib_jobs")
@@ -281,7 +361,7 @@ def _(lib):
     return lib.chunks.select("id", ops.id_check("id").alias("ok"))
 
 
-@query("F24_chunk_id", "SELECT id, doc_id AS parsed_doc, CAST(pos AS INTEGER) AS number FROM lib_chunks WHERE pos < 10000")
+@query("F24_chunk_id", "SELECT id, CASE WHEN pos < 10000 THEN doc_id END AS parsed_doc, CASE WHEN pos < 10000 THEN CAST(pos AS INTEGER) END AS number FROM lib_chunks")
 def _(lib):
     return lib.chunks.select("id", ops.parsed_chunk_id("id").alias("p")).select("id", F.col("p.doc_id").alias("parsed_doc"), "p.number")
 
@@ -292,7 +372,7 @@ def _(lib):
     return ops.inconsistent_chunks(moved).select("id", "doc_id")
 
 
-@query("F26_path_url", "SELECT page_id, '/' || array_to_string(list_slice([x FOR x IN string_split(url, '/') IF x <> ''], -2, -1), '/') AS u FROM pages")
+@query("F26_path_url", "SELECT page_id, CASE WHEN contains(url, '/') THEN '/images/' || array_to_string(list_slice(string_split(url, '/'), -2, -1), '/') ELSE url END AS u FROM pages")
 def _(lib):
     return lib.given("pages").select("page_id", ops.path_to_url("url").alias("u"))
 

@@ -3,41 +3,48 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import context, ingest, library, vectors
+from lectern.operators import context, enrich, ingest, library, vectors
 from lectern.plans.registry import query
-from lectern.sources.schemas import schema
+from lectern.sources.schemas import CONTEXT, schema
+from lectern.sources.shared import shared_folder
 from lectern.streaming import streams
 
 
-@query("F08_page_and_chunk_by_id", "SELECT id, doc_id, 'chunk' AS kind FROM lib_chunks WHERE pos = 1 UNION ALL SELECT id, doc_id, 'page' FROM lib_pages WHERE page_num = 1")
+@query("F08_page_and_chunk_by_id", "SELECT id, doc_id, 'chunk' AS kind, parent_heading AS told FROM lib_chunks WHERE pos = 1 UNION ALL SELECT id, doc_id, 'page', CAST(n_chunks AS VARCHAR) FROM lib_pages WHERE page_num = 1 UNION ALL SELECT 'none', NULL, 'page', NULL")
 def _(lib):
-    c = lib.chunks.join(lib.chunks.where("pos = 1").select("id"), "id", "left_semi").select("id", "doc_id", F.lit("chunk").alias("kind"))
-    p = lib.pages.join(lib.pages.where("page_num = 1").select("id"), "id", "left_semi").select("id", "doc_id", F.lit("page").alias("kind"))
+    chunks = lib.chunks.select("id", "doc_id", F.to_json(F.struct("parent_heading")).alias("context"))
+    c = library.lookup(chunks, lib.chunks.where("pos = 1"), "id", {"context": CONTEXT}).select("id", "doc_id", F.lit("chunk").alias("kind"), F.col("context.parent_heading").alias("told"))
+    pages = lib.pages.select("id", "doc_id", F.to_json(F.struct("n_chunks")).alias("structure"))
+    absent = lib.spark.range(1).select(F.lit("none").alias("id"))
+    asked = lib.pages.where("page_num = 1").select("id").unionByName(absent)
+    p = library.lookup(pages, asked, "id", {"structure": "n_chunks string"}).select("id", "doc_id", F.lit("page").alias("kind"), F.col("structure.n_chunks").alias("told"))
     return c.unionByName(p)
 
 
-@query("F09_page_image", "SELECT doc_id, page_num, '/images/' || doc_id || '/page' || lpad(CAST(page_num AS VARCHAR), 3, '0') || '.png' AS image FROM lib_pages WHERE page_num = 2")
+@query("F09_page_image", "SELECT doc_id, page_num, md5(id) AS image_md5 FROM lib_pages WHERE page_num = 2 AND n_chunks > 1")
 def _(lib):
     asked = lib.pages.where("page_num = 2").select("doc_id", "page_num")
-    return library.page_info(lib.pages).join(asked, ["doc_id", "page_num"], "left_semi").select("doc_id", "page_num", F.col("image_path").alias("image"))
+    held = lib.pages.withColumn("image", F.when(F.col("n_chunks") > 1, F.encode("id", "UTF-8")))
+    return library.page_images(held, asked).select("doc_id", "page_num", F.md5("image").alias("image_md5"))
 
 
-@query("F12_sort_modes", "SELECT doc_id, row_number() OVER (ORDER BY lower(filename) DESC, doc_id) AS n FROM lib_documents ORDER BY n LIMIT 100")
-def _(lib):
-    top = library.sorted_documents(lib.documents, "name_desc").limit(100)
-    return top.withColumn("n", F.row_number().over(vectors.Window.orderBy(F.desc(F.lower("filename")), "doc_id")).cast("long")).select("doc_id", "n")
+MODES = {"newest_first": "created_at DESC", "oldest_first": "created_at", "name_asc": "lower(filename)", "name_desc": "lower(filename) DESC"}
 
 
-@query(
-    "F21_status_records",
-    "SELECT j.doc_id, CASE j.status WHEN 'completed' THEN 'completed' WHEN 'failed' THEN 'error' ELSE 'processing' END AS state, CASE WHEN j.status = 'completed' THEN changes END AS embeddings, CASE WHEN j.status = 'failed' THEN 'failed after ' || changes END AS error FROM lib_jobs j",
-)
+@query("F12_sort_modes", " UNION ALL ".join(f"SELECT * FROM (SELECT '{m}' AS mode, doc_id, row_number() OVER (ORDER BY {o}, doc_id) AS n FROM lib_documents ORDER BY n LIMIT 100)" for m, o in MODES.items()))
 def _(lib):
-    state = library.interface_state("status")
-    return lib.jobs.select("doc_id", state.alias("state"), F.when(state == "completed", F.col("changes")).alias("embeddings"), F.when(state == "error", F.concat(F.lit("failed after "), F.col("changes").cast("string"))).alias("error"))
+    tops = []
+    for mode in MODES:
+        top = library.sorted_documents(lib.documents, mode).limit(100)
+        way, column = library.SORTS[mode]
+        by = way(F.lower(column) if column == "filename" else F.col(column))
+        tops.append(top.select(F.lit(mode).alias("mode"), "doc_id", F.row_number().over(vectors.Window.orderBy(by, "doc_id")).cast("long").alias("n")))
+    return reduce(DataFrame.unionByName, tops)
 
 
 @query("V06_scores", "SELECT event_id, round(1 / (1 + value), 9) AS score FROM events")
@@ -77,7 +84,7 @@ def _(lib):
 
 @query("S03_batch_append", "SELECT doc_id, filename, format FROM lib_documents")
 def _(lib):
-    path = f"{streams.shared(lib.spark)}/lectern-append-{uuid.uuid4().hex}"
+    path = f"{shared_folder(lib.spark)}/lectern-append-{uuid.uuid4().hex}"
     for part in (0, 1):
         library.append(lib.documents.where(F.col("num") % 2 == part).select("doc_id", "filename", "format"), "documents", path)
     return lib.spark.read.schema(schema("documents")).parquet(path).select("doc_id", "filename", "format")
@@ -112,19 +119,31 @@ def _(lib):
     return ingest.summary_chunks(lib.documents.select("doc_id", ingest.parsed_enrichment(e).alias("enrichment"))).select("id", "text")
 
 
-@query("T07_session_sources", "SELECT conv_id AS key, count(*) AS turns, count(*) FILTER (WHERE role = 'assistant') AS answers FROM conversations GROUP BY conv_id")
+@query("T07_session_sources", "SELECT conv_id AS key, count(*) AS turns, count(*) FILTER (WHERE role = 'assistant') AS answers, string_agg(DISTINCT md5(text), ',' ORDER BY md5(text)) FILTER (WHERE role = 'assistant') AS sources FROM conversations GROUP BY conv_id")
 def _(lib):
     at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(mins=F.col("turn").cast("int"))
     turns = lib.given("conversations").select(F.col("conv_id").alias("key"), at.alias("ts"), "role", F.md5("text").alias("source"))
-    return streams.sessions(turns).select("key", "turns", "answers")
+    joined = F.array_join("sources", ",")
+    return streams.sessions(turns).select("key", "turns", "answers", F.when(joined != "", joined).alias("sources"))
 
 
-@query("T10_periodic_enrichment", "SELECT event_type AS doc_id, count(*) AS n FROM events GROUP BY event_type")
+@query(
+    "T10_periodic_enrichment",
+    """, h AS (SELECT doc_id, count(*) AS hub FROM (SELECT src_doc_id AS doc_id FROM lib_relations UNION ALL SELECT dst_doc_id FROM lib_relations) GROUP BY 1)
+SELECT d.doc_id, coalesce(h.hub, 0) AS hub_score, d.lang AS kept FROM lib_documents d LEFT JOIN h ON d.doc_id = h.doc_id""",
+)
 def _(lib):
-    path = f"{streams.shared(lib.spark)}/lectern-enriched-{uuid.uuid4().hex}"
+    """Each batch of arriving documents has the library enriched again; the last run's metadata counts."""
+    path = f"{shared_folder(lib.spark)}/lectern-enriched-{uuid.uuid4().hex}"
+    documents = lib.documents.withColumn("metadata", F.to_json(F.struct("lang")))
 
-    def enrich(batch, epoch):
-        batch.groupBy(F.col("event_type").alias("doc_id")).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+    def run(batch, epoch):
+        steps = enrich.enrichment_steps(documents, lib.relations, lib.chunks, lib.vectors.select(F.col("chunk").alias("id"), "doc", F.lit(1).alias("word_count"), "tokens"), enrich.Settings())
+        properties = steps["node_properties"]()[0]
+        enrich.with_graph_metadata(documents, properties).select("doc_id", "metadata").write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
-    streams.enriched_periodically(streams.table_stream(lib.spark, f"{lib.dir}/events.parquet"), enrich)
-    return lib.spark.read.schema("doc_id string, n long").parquet(f"{path}/batch=*").groupBy("doc_id").agg(F.sum("n").alias("n"))
+    streams.enriched_periodically(streams.table_stream(lib.spark, f"{lib.dir}/documents.parquet"), run)
+    stored = lib.spark.read.schema("doc_id string, metadata string, batch int").option("basePath", path).parquet(f"{path}/batch=*")
+    last = stored.groupBy("doc_id").agg(F.max_by("metadata", "batch").alias("metadata"))
+    told = F.from_json("metadata", "lang string, graph struct<hub_score: long, enriched_at: string>")
+    return last.select("doc_id", told.alias("m")).where("m.graph.enriched_at is not null").select("doc_id", F.col("m.graph.hub_score").alias("hub_score"), F.col("m.lang").alias("kept"))

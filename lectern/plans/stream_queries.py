@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lectern.plans.registry import query
 from lectern.sources.derived import STATES
+from lectern.sources.shared import shared_folder
 from lectern.streaming import streams as ops
 
 
 def _state_stream(lib):
     e = ops.table_stream(lib.spark, f"{lib.dir}/events.parquet")
     status = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in STATES.items()], F.lit("storing"))
-    return e.select(F.col("event_id").alias("seq"), F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("doc_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+    return _with_progress(e.select(F.col("event_id").alias("seq"), F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("doc_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("ts")))
+
+
+def _with_progress(events):
+    """Progress goes up by a half every other event, so a status often comes again with another progress."""
+    step = (F.floor(F.col("seq") / 2) % 2).cast("double") / 2
+    return events.withColumns({"progress": step, "stage": F.when(F.col("status") == "storing", F.lit("last")).otherwise(F.col("status"))})
+
+
+@query("T01_file_intake", "SELECT DISTINCT sha256(html || chr(10)) AS doc_id FROM pages WHERE html IS NOT NULL")
+def _(lib):
+    """Files written from the pages' bodies, in two batches; the stream goes on where it stopped, each content a job once."""
+    base = f"{shared_folder(lib.spark)}/lectern-intake-{uuid.uuid4().hex}"
+    pages = lib.given("pages").where("html is not null")
+    found = []
+    for part in (0, 1):
+        own = pages.where(F.col("page_id") % 2 == part)
+        own.select(F.col("html").alias("value"), F.col("page_id").alias("id")).write.mode("append").partitionBy("id").text(f"{base}/in")
+        found.append(ops.drained(ops.intake_jobs(ops.files(lib.spark, f"{base}/in/*", "*.txt")), base=f"{base}/stream"))
+    return found[-1].select("doc_id")
 
 
 @query("T02_jobs_by_content", "SELECT DISTINCT sha256(html) AS doc_id FROM pages")
@@ -22,17 +44,18 @@ def _(lib):
     return ops.drained(ops.intake_jobs(files)).select("doc_id")
 
 
-CHANGES = ", c AS (SELECT *, lag(status) OVER (PARTITION BY doc_id ORDER BY ts, seq) AS b FROM lib_job_events) SELECT seq, doc_id, status FROM c WHERE b IS NULL OR b <> status"
+CHANGES = """, s AS (SELECT *, CAST(seq // 2 % 2 AS DOUBLE) / 2 AS progress, CASE WHEN status = 'storing' THEN 'last' ELSE status END AS stage FROM lib_job_events),
+c AS (SELECT *, lag((status, progress, stage)) OVER (PARTITION BY doc_id ORDER BY ts, seq) AS b FROM s) SELECT seq, doc_id, status, progress, stage FROM c WHERE b IS NULL OR b <> (status, progress, stage)"""
 
 
 @query("T03_changes_stream", CHANGES)
 def _(lib):
-    return ops.drained(ops.changes(_state_stream(lib))).select("seq", "doc_id", "status")
+    return ops.drained(ops.changes(_state_stream(lib))).select("seq", "doc_id", "status", "progress", "stage")
 
 
 @query("T03_changes_batch", CHANGES)
 def _(lib):
-    return ops.changes_batch(lib.job_events).select("seq", "doc_id", "status")
+    return ops.changes_batch(_with_progress(lib.job_events)).select("seq", "doc_id", "status", "progress", "stage")
 
 
 @query("T04_latest_state", "SELECT doc_id, arg_max(status, (ts, seq)) AS status FROM lib_job_events GROUP BY doc_id")
@@ -47,11 +70,15 @@ def _(lib):
 SELECT r.event_id AS upload_id FROM r WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.user_id = r.user_id AND u.ts >= r.ts AND u.ts <= r.ts + INTERVAL 10 MINUTE)""",
 )
 def _(lib):
-    e = lib.given("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    reg = e.where("event_type = 'view'").select(F.struct("user_id", "event_id").alias("k"), "user_id", "event_id", "ts")
-    up = e.where("event_type = 'purchase'").select(F.col("user_id").alias("buyer"), F.col("ts").alias("at"))
-    near = reg.join(up, (reg["user_id"] == up["buyer"]) & (up["at"] >= reg["ts"]) & (up["at"] <= reg["ts"] + F.expr("INTERVAL 10 MINUTES"))).select(F.col("event_id").alias("upload_id"), F.col("at").alias("ts"))
-    return ops.abandoned(reg.select(F.col("event_id").alias("upload_id"), "ts"), near).select("upload_id")
+    """Two streams over the events; one far later event, a key of its own, moves the watermarks past all others."""
+    base = f"{shared_folder(lib.spark)}/lectern-uploads-{uuid.uuid4().hex}"
+    e = lib.given("events").select("event_id", F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_type").where("ts is not null")
+    late = e.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
+    for n, part in enumerate((e, late.select(F.lit(None).cast("long").alias("event_id"), F.lit("end").alias("key"), "ts", F.explode(F.array(F.lit("view"), F.lit("purchase"))).alias("event_type")))):
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in/part={n}")
+    stream = lambda kind: ops.table_stream(lib.spark, f"{base}/in/part=0", 1, f"{base}/in/*").where(F.col("event_type") == kind)
+    found = ops.drained(ops.abandoned(stream("view").withColumnRenamed("event_id", "upload_id"), stream("purchase")))
+    return found.where("upload_id is not null").select("upload_id")
 
 
 @query(
@@ -67,9 +94,10 @@ def _(lib):
     return out.join(F.broadcast(last), "__epoch").select("key", F.col("started").cast("timestamp_ntz").alias("started"), "turns", "answers")
 
 
-@query("T08_history", "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS n FROM conversations")
+@query("T08_history", "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS n, role, md5(text) AS content_md5, CASE WHEN role = 'assistant' THEN 's' || turn END AS sources FROM conversations")
 def _(lib):
-    return ops.history(lib.given("conversations")).select("conv_id", "turn", "n")
+    turns = lib.given("conversations").withColumn("sources", F.array(F.concat(F.lit("s"), F.col("turn").cast("string"))))
+    return ops.history(turns).select("conv_id", "turn", "n", "role", F.md5("content").alias("content_md5"), F.array_join("sources", ",").alias("sources"))
 
 
 @query("T09_recent_sessions", "SELECT user_id AS key, max(ts) + INTERVAL 1800 SECOND AS ended FROM events GROUP BY user_id ORDER BY ended DESC, key LIMIT 50")

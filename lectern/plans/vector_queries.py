@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.operators import graph
 from lectern.operators import vectors as ops
 from lectern.plans.registry import query
 
@@ -101,6 +102,11 @@ def _(lib):
     return ops.pagerank_blend(_results(lib), ranks).select("query_id", "doc_id", F.round("blended", 6).alias("blended"))
 
 
+@query("V11_pagerank_blend_ranked")
+def _(lib):
+    return ops.pagerank_blend(_results(lib), graph.pagerank(lib.documents, lib.relations)).select("query_id", "doc_id", "score", "pagerank", F.round("blended", 6).alias("blended"))
+
+
 @query("V13_relations_inside", RESULTS + " SELECT DISTINCT x.query_id, e.src_doc_id, e.dst_doc_id, e.relation_type FROM lib_relations e JOIN r x ON x.doc_id = e.src_doc_id JOIN r y ON y.query_id = x.query_id AND y.doc_id = e.dst_doc_id")
 def _(lib):
     return ops.relations_inside(_results(lib), lib.relations)

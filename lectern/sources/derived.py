@@ -37,6 +37,20 @@ def padded(number: Column, width: int) -> Column:
     return F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), "0")
 
 
+def following(df: DataFrame, group: list[str], order: str, value: str, per_bucket: int = 100_000) -> DataFrame:
+    """(value, o): the value of the next row in the group by a number, which must not repeat.
+
+    Rows meet in buckets of the number only; a bucket's last row is followed by the first of the group's next one, so a
+    frequent group spreads over tasks.
+    """
+    key = F.concat_ws("\x01", *[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("none")) for c in group])
+    d = df.select(value, order, key.alias("k"), F.floor(F.col(order) / per_bucket).alias("b"))
+    firsts = d.groupBy("k", "b").agg(F.min_by(value, order).alias("f"))
+    ahead = firsts.select("k", "b", F.lead("f").over(Window.partitionBy("k").orderBy("b")).alias("f"))  # one row a bucket
+    inside = F.lead(value).over(Window.partitionBy("k", "b").orderBy(order))
+    return d.withColumn("o", inside).join(ahead, ["k", "b"]).select(value, F.coalesce("o", "f").alias("o"))
+
+
 class Library:
     """Library tables derived from one folder of given tables."""
 
@@ -105,8 +119,8 @@ class Library:
     def relations(self) -> DataFrame:
         """series_member: next document of the source; same_author: next of the same source and language, both ways."""
         d = self.documents.where("project_id is not null")
-        series = d.select("doc_id", F.lead("doc_id").over(Window.partitionBy("project_id").orderBy("num")).alias("o"))
-        author = d.select("doc_id", F.lead("doc_id").over(Window.partitionBy("project_id", "lang").orderBy("num")).alias("o"))
+        series = following(d, ["project_id"], "num", "doc_id")
+        author = following(d, ["project_id", "lang"], "num", "doc_id")
         one = series.where("o is not null").select(F.col("doc_id").alias("src_doc_id"), F.col("o").alias("dst_doc_id"), F.lit("series_member").alias("relation_type"))
         pair = author.where("o is not null").select(F.explode(F.array(F.struct(F.col("doc_id").alias("src_doc_id"), F.col("o").alias("dst_doc_id")), F.struct(F.col("o").alias("src_doc_id"), F.col("doc_id").alias("dst_doc_id")))).alias("p"))
         return one.unionByName(pair.select("p.*", F.lit("same_author").alias("relation_type")))
@@ -160,10 +174,10 @@ VIEWS = {
     "lib_windows": """SELECT doc_id, project_id, format, filename, pos, w[pos * 200 + 1 : pos * 200 + 250] AS p FROM (
   SELECT *, unnest(range(CAST(ceil(len(w) / 200.0) AS BIGINT))) AS pos FROM (
     SELECT doc_id, project_id, format, filename, [x FOR x IN regexp_split_to_array(markdown, '[ \\t\\r\\n]+') IF x <> ''] AS w FROM lib_documents) WHERE len(w) > 0)""",
-    "lib_chunks": """SELECT doc_id || '-chunk' || lpad(CAST(pos AS VARCHAR), 4, '0') AS id, doc_id, pos // 3 + 1 AS page_num, pos, array_to_string(p, ' ') AS text,
+    "lib_chunks": """SELECT doc_id || '-chunk' || lpad(CAST(pos AS VARCHAR), greatest(4, CAST(length(CAST(pos AS VARCHAR)) AS INTEGER)), '0') AS id, doc_id, pos // 3 + 1 AS page_num, pos, array_to_string(p, ' ') AS text,
   CAST(len(p) AS BIGINT) AS word_count, CASE WHEN format = 'mp3' THEN pos * 10.0 END AS start_time, CASE WHEN format = 'mp3' THEN pos * 10.0 + 10.0 END AS end_time,
   p[1] AS parent_heading, array_to_string(p[1:2], ' > ') AS section_path FROM lib_windows""",
-    "lib_pages": """SELECT doc_id || '-page' || lpad(CAST(page_num AS VARCHAR), 3, '0') AS id, doc_id, page_num, count(*) AS n_chunks, CAST(sum(word_count) AS BIGINT) AS words
+    "lib_pages": """SELECT doc_id || '-page' || lpad(CAST(page_num AS VARCHAR), greatest(3, CAST(length(CAST(page_num AS VARCHAR)) AS INTEGER)), '0') AS id, doc_id, page_num, count(*) AS n_chunks, CAST(sum(word_count) AS BIGINT) AS words
   FROM lib_chunks GROUP BY doc_id, page_num""",
     "lib_projects": """SELECT project_id, upper(project_id[1]) || lower(project_id[2:]) AS name, min(created_at) AS created_at FROM lib_documents WHERE project_id IS NOT NULL GROUP BY project_id""",
     "lib_tokens": """SELECT vec_id // 4 AS chunk, vec_id // 20 AS doc, vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL""",

@@ -15,24 +15,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lectern.sources.shared import shared_folder
+
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 IDLE = "1800 seconds"
 
 
-def shared(spark: SparkSession) -> str:
-    """The folder for stream checkpoints and sinks: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="lectern-stream-")
-    return folder.rstrip("/")
+def drained(stream: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
+    """What a stream makes of the input that is there now, as a Parquet table in the shared folder.
 
-
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream makes of the input that is there now, as a Parquet table in the shared folder."""
+    With ``base`` a later call goes on where the last one stopped and returns all that came out so far.
+    """
     spark = stream.sparkSession
-    base = f"{shared(spark)}/lectern-stream-{uuid.uuid4().hex}"
+    base = base or f"{shared_folder(spark)}/lectern-stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("__epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{base}/out/batch={epoch}")
@@ -48,9 +43,9 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
+def files(spark: SparkSession, folder: str, names: str = "*") -> DataFrame:
     """Stream of files in a folder (T-01)."""
-    return spark.readStream.format("binaryFile").schema(FILES).load(folder)
+    return spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", names).load(folder)
 
 
 def intake_jobs(stream: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -59,12 +54,14 @@ def intake_jobs(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return hashed.withWatermark("queued_at", late).dropDuplicatesWithinWatermark(["doc_id"])
 
 
-def table_stream(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
-    """Stream over the Parquet files of a table."""
+def table_stream(spark: SparkSession, path: str, per_trigger: int | None = None, folders: str | None = None) -> DataFrame:
+    """Stream over the Parquet files of a table, or of ``folders`` with its schema."""
     batch = spark.read.parquet(path)
     reader = spark.readStream.schema(batch.schema)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
+    if folders:
+        return reader.option("pathGlobFilter", "*.parquet").parquet(folders)
     folder, _, name = path.rpartition("/")
     return reader.option("pathGlobFilter", "*.parquet").parquet(path) if not _is_file(spark, path) else reader.option("pathGlobFilter", name).parquet(folder)
 
@@ -75,24 +72,41 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
 
 
-def changes(events: DataFrame) -> DataFrame:
-    """Only events whose status differs from the job's last one, by keyed state (T-03); events(doc_id, status, ts, seq)."""
+TRIPLE = ["status", "progress", "stage"]
+CHANGED = "doc_id string, status string, progress double, stage string, ts timestamp, seq long"
 
-    def emit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        whole = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        before = whole["status"].shift(fill_value=last if last is not None else "")
-        kept = whole[whole["status"] != before]
-        state.update((whole["status"].iloc[-1],))
-        yield kept[["doc_id", "status", "ts", "seq"]]
 
-    return events.select("doc_id", "status", "ts", "seq").groupBy("doc_id").applyInPandasWithState(emit, "doc_id string, status string, ts timestamp, seq long", "status string", "append", GroupStateTimeout.NoTimeout)
+def changes(events: DataFrame, late: str = "1 day", forget: str = "7 days") -> DataFrame:
+    """Only events whose (status, progress, stage) differs from the job's last, by keyed state (T-03); events(doc_id, status, progress, stage, ts, seq).
+
+    A job of which nothing was heard for ``forget`` of event time is forgotten; its next event counts as changed.
+    """
+    idle = int(pd.Timedelta(forget).total_seconds() * 1000)
+
+    def emit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get if state.exists else None
+        kept, seen = [], state.getCurrentWatermarkMs()
+        for row in pd.concat(list(frames)).sort_values(["ts", "seq"]).itertuples(index=False):
+            now = tuple(None if pd.isna(x) else x for x in (row.status, row.progress, row.stage))
+            if last is None or now != tuple(last):
+                kept.append(row)
+            last, seen = now, max(seen, 0 if pd.isna(row.ts) else row.ts.value // 10**6)
+        state.update(last)
+        state.setTimeoutTimestamp(seen + idle)
+        yield pd.DataFrame(kept, columns=["doc_id", *TRIPLE, "ts", "seq"])
+
+    given = events.select("doc_id", *TRIPLE, "ts", "seq").withWatermark("ts", late)
+    return given.groupBy("doc_id").applyInPandasWithState(emit, CHANGED, "status string, progress double, stage string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def changes_batch(events: DataFrame) -> DataFrame:
     """The batch twin of ``changes``."""
-    before = F.lag("status").over(Window.partitionBy("doc_id").orderBy("ts", "seq"))
-    return events.withColumn("__b", before).where(~F.col("status").eqNullSafe(F.col("__b"))).select("doc_id", "status", "ts", "seq")
+    now = F.struct(*TRIPLE)
+    before = F.lag(now).over(Window.partitionBy("doc_id").orderBy("ts", "seq"))
+    return events.withColumn("__b", before).where(~now.eqNullSafe(F.col("__b"))).select("doc_id", *TRIPLE, "ts", "seq")
 
 
 def latest(events: DataFrame) -> DataFrame:
@@ -101,11 +115,14 @@ def latest(events: DataFrame) -> DataFrame:
 
 
 def abandoned(registrations: DataFrame, uploads: DataFrame, within: str = "10 minutes") -> DataFrame:
-    """Registrations without an upload in time (T-05); both with (upload_id, ts)."""
-    r = registrations.select("upload_id", F.col("ts").alias("registered_at")).withWatermark("registered_at", within)
-    u = uploads.select(F.col("upload_id").alias("done_id"), F.col("ts").alias("uploaded_at")).withWatermark("uploaded_at", within)
-    on = F.expr(f"upload_id = done_id AND uploaded_at >= registered_at AND uploaded_at <= registered_at + INTERVAL {within}")
-    return r.join(u, on, "leftOuter").where("done_id is null").select("upload_id", "registered_at")
+    """Registrations (upload_id, key, ts) without an upload (key, ts) of their key in time (T-05).
+
+    On streams this is an outer join with watermarks on both sides: a registration comes out once no upload can match it.
+    """
+    r = registrations.select("upload_id", "key", F.col("ts").alias("registered_at")).withWatermark("registered_at", within)
+    u = uploads.select(F.col("key").alias("done_key"), F.col("ts").alias("uploaded_at")).withWatermark("uploaded_at", within)
+    on = F.expr(f"key = done_key AND uploaded_at >= registered_at AND uploaded_at <= registered_at + INTERVAL {within}")
+    return r.join(u, on, "leftOuter").where("done_key is null").select("upload_id", "registered_at")
 
 
 def sessions(turns: DataFrame, late: str | None = None) -> DataFrame:
@@ -118,8 +135,10 @@ def sessions(turns: DataFrame, late: str | None = None) -> DataFrame:
 
 
 def history(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, n): turns in order (T-08)."""
-    return turns.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    """(conv_id, turn, n, role, content, sources): turns in order with what was said; sources of assistant turns only (T-08)."""
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    sources = F.when(F.col("role") == "assistant", F.col("sources")) if "sources" in turns.columns else F.lit(None).cast("array<string>")
+    return turns.select("conv_id", "turn", n.alias("n"), "role", F.col("text").alias("content"), sources.alias("sources"))
 
 
 def recent_sessions(found: DataFrame, n: int = 50) -> DataFrame:
@@ -130,7 +149,7 @@ def recent_sessions(found: DataFrame, n: int = 50) -> DataFrame:
 def enriched_periodically(stream: DataFrame, enrich: Callable[[DataFrame, int], None], every: str | None = None) -> None:
     """Calls ``enrich(batch, epoch)`` for what came in; every so often, or once for what is there (T-10)."""
     spark = stream.sparkSession
-    writer = stream.writeStream.foreachBatch(enrich).option("checkpointLocation", f"{shared(spark)}/lectern-enrich-{uuid.uuid4().hex}")
+    writer = stream.writeStream.foreachBatch(enrich).option("checkpointLocation", f"{shared_folder(spark)}/lectern-enrich-{uuid.uuid4().hex}")
     query = (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
     if not every:
         query.awaitTermination()

@@ -1,15 +1,20 @@
 """Small cases with known results: boosts, blends, graphs, deletion, budgets, replies, sessions."""
 
+import hashlib
+import json
 import re
 import struct
+import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import context, enrich, graph, ingest, library, vectors
+from lectern.operators import context, enrich, graph, ingest, library, structure, vectors
 from lectern.operators import citations as cite
 from lectern.plans import catalog, registry  # noqa: F401  catalog registers the queries
-from lectern.sources.derived import padded
+from lectern.sources import shared
+from lectern.sources.derived import following, padded
 from lectern.sources.schemas import conform, schema_differences
 from lectern.streaming import streams
 
@@ -206,8 +211,8 @@ def test_conformance(spark):
 def test_queue_and_sessions(spark):
     t = spark.sql("SELECT 1 AS key, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,s) AS ts, 'assistant' AS role, 'd' AS source FROM VALUES (0), (1800), (3601) t(s)")
     assert sorted(r.turns for r in streams.sessions(t).collect()) == [1, 2]
-    r = spark.sql("SELECT 'a' AS upload_id, timestamp'2024-01-01 00:00:00' AS ts UNION ALL SELECT 'b', timestamp'2024-01-01 00:00:00'")
-    u = spark.sql("SELECT 'a' AS upload_id, timestamp'2024-01-01 00:09:00' AS ts UNION ALL SELECT 'b', timestamp'2024-01-01 00:11:00'")
+    r = spark.sql("SELECT 'a' AS upload_id, 'a' AS key, timestamp'2024-01-01 00:00:00' AS ts UNION ALL SELECT 'b', 'b', timestamp'2024-01-01 00:00:00'")
+    u = spark.sql("SELECT 'a' AS key, timestamp'2024-01-01 00:09:00' AS ts UNION ALL SELECT 'b', timestamp'2024-01-01 00:11:00'")
     assert [x.upload_id for x in streams.abandoned(r, u).collect()] == ["b"]
 
 
@@ -223,3 +228,197 @@ def test_full_run_isolates_errors(spark):
 
     got = {r.step: (r.rows, r.error) for r in enrich.full_run(spark, {"bad": broken, "good": lambda: nodes(spark, "ab")}).collect()}
     assert got == {"bad": (0, "no"), "good": (2, None)}
+
+
+def rows_of(name, spark, sf):
+    return registry.QUERIES[name](spark, sf).collect()
+
+
+def test_pagerank_and_labels_against_plain_python(spark, sf):
+    """G03, G05, G19, the ranked reading order, blend, communities and metadata on whole tables."""
+    lib = registry.library(spark, sf)
+    ids = sorted(r.doc_id for r in lib.documents.select("doc_id").collect())
+    links = [(r.src_doc_id, r.dst_doc_id) for r in lib.relations.collect()]
+    out, near = {i: [] for i in ids}, {i: [] for i in ids}
+    for a, b in links:
+        out[a].append(b)
+        if a != b:
+            near[a].append(b)
+            near[b].append(a)
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(200):
+        loose = sum(rank[i] for i in ids if not out[i])
+        fresh = dict.fromkeys(ids, 0.15 / len(ids) + 0.85 * loose / len(ids))
+        for a in ids:
+            for b in out[a]:
+                fresh[b] += 0.85 * rank[a] / len(out[a])
+        rank = fresh
+    got = {r.doc_id: r.pagerank for r in rows_of("G03_pagerank", spark, sf)}
+    assert got.keys() == rank.keys() and all(abs(got[i] - rank[i]) < 1e-5 for i in ids)
+    assert sum(got.values()) == pytest.approx(1, abs=1e-5)
+    best = sorted(got.values(), reverse=True)[:10]
+    assert [round(r.pagerank, 6) for r in rows_of("G19_top_ranked", spark, sf)] == pytest.approx([round(x, 6) for x in best], abs=2e-6)
+    label = {i: i for i in ids}
+    for _ in range(100):
+        fresh = {}
+        for i in ids:
+            votes = {}
+            for j in [i, *near[i]]:
+                votes[label[j]] = votes.get(label[j], 0) + 1
+            fresh[i] = min(votes, key=lambda v: (-votes[v], v))
+        settled = fresh == label
+        label = fresh
+        if settled:
+            break
+    found = rows_of("G05_label_propagation", spark, sf)
+    assert {r.doc_id: r.community for r in found} == label and {r.settled for r in found} == {settled}
+    order = sorted(rows_of("G22_reading_order_ranked", spark, sf), key=lambda r: r.position)
+    assert {r.method for r in order} == {"pagerank"} and [r.position for r in order] == list(range(1, len(ids) + 1))
+    assert all(got[a.doc_id] >= got[b.doc_id] - 1e-8 for a, b in zip(order, order[1:]))
+    sizes = {}
+    for c in label.values():
+        sizes[c] = sizes.get(c, 0) + 1
+    want = {(a, b) for a in ids for b in ids if a != b and label[a] == label[b] and sizes[label[a]] <= 20}
+    assert {tuple(r) for r in rows_of("E05_label_communities", spark, sf)} == want
+    hubs = {i: sum((a == i) + (b == i) for a, b in links) for i in ids}
+    for r in rows_of("E06_graph_metadata", spark, sf):
+        m = json.loads(r.metadata)
+        assert m["graph"]["community_id"] == label[r.doc_id] and m["graph"]["hub_score"] == hubs[r.doc_id] and "lang" in m
+        assert abs(m["graph"]["pagerank_score"] - got[r.doc_id]) < 2e-6 and m["graph"]["enriched_at"].startswith("2024-03-01T00:00:00")
+    blended = rows_of("V11_pagerank_blend_ranked", spark, sf)
+    top = {}
+    for r in blended:
+        top[r.query_id] = max(top.get(r.query_id, 0), got.get(r.doc_id, 0))
+    for r in blended:
+        assert r.blended == pytest.approx(0.9 * r.score + 0.1 * got.get(r.doc_id, 0) / top[r.query_id] if top[r.query_id] else r.score, abs=2e-5)
+
+
+def test_rerank_and_similar_edges_against_plain_python(spark, sf):
+    """V16 and E02 on whole tables."""
+    held = {r.chunk: (r.doc, [np.array(t, float) for t in r.tokens]) for r in registry.library(spark, sf).vectors.collect()}
+
+    def sim(a, b):
+        u = lambda x: x / np.linalg.norm(x)
+        return float(np.mean([max(u(x) @ u(y) for y in b) for x in a]))
+
+    def nearest(tokens, n, k):
+        hits = sorted((round(1 - sim(tokens, t), 12), c) for c, (_, t) in held.items())[:n]
+        best = {}
+        for d, c in hits:
+            best.setdefault(held[c][0], d)
+        return [doc for doc, _ in sorted(best.items(), key=lambda x: (x[1], x[0]))[:k]]
+
+    first, rep = {}, {}
+    for c in sorted(held):
+        first.setdefault(held[c][0], c)
+        rep[held[c][0]] = max(rep.get(held[c][0], (-1, -1)), (c % 3, c))
+    want = {}
+    for q in [c for c in held if c % 20 == 0]:
+        near = nearest(held[q][1], 50, 10)
+        scored = sorted(((-round(sim(held[q][1], held[first[d]][1]), 9), d) for d in near))[:5]
+        want |= {(q, d): (i, -s) for i, (s, d) in enumerate(scored, 1)}
+    got = {(r.query_id, r.doc): (r["rank"], r.similarity) for r in rows_of("V16_rerank", spark, sf)}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in got)
+    pairs = {}
+    for d, (_, c) in rep.items():
+        for o in nearest(held[c][1], 60, 6):
+            s = sim(held[c][1], held[rep[o][1]][1])
+            if o != d and s >= 0.15:
+                pairs[tuple(sorted((d, o)))] = max(s, pairs.get(tuple(sorted((d, o))), 0))
+    edges_ = {(r.src_doc_id, r.dst_doc_id): json.loads(r.metadata) for r in rows_of("E02_similar_edges", spark, sf)}
+    assert edges_.keys() == {x for a, b in pairs for x in ((a, b), (b, a))} and pairs
+    assert all(abs(m["score"] - pairs[tuple(sorted(k))]) < 1e-4 and m["method"] == "maxsim_reranked" for k, m in edges_.items())
+
+
+def test_clusters_and_safe_names_against_plain_python(spark, sf):
+    """C09 and F29 on whole tables."""
+    sources = rows_of("C01_ranked_sources", spark, sf)
+    links = [(r.src_doc_id, r.dst_doc_id) for r in registry.library(spark, sf).relations.collect()]
+    got = rows_of("C09_clusters", spark, sf)
+    assert len(got) == len(sources)
+    for q in {r.query_id for r in sources}:
+        docs = {r.doc_id for r in sources if r.query_id == q}
+        label = {d: d for d in docs}
+        for _ in docs:
+            for a, b in links:
+                if a in docs and b in docs:
+                    label[a] = label[b] = min(label[a], label[b])
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r.position)
+        assert [r.position for r in own] == list(range(1, len(own) + 1))
+        for a in own:
+            for b in own:
+                assert (a.cluster == b.cluster) == (label[a.doc_id] == label[b.doc_id])
+        assert len([1 for a, b in zip(own, own[1:]) if a.cluster != b.cluster]) == len({r.cluster for r in own}) - 1
+    paths = {r.id: r.section_path for r in registry.library(spark, sf).chunks.select("id", "section_path").collect()}
+    for r in rows_of("F29_header_safe", spark, sf):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", paths[r.id]) if ord(c) < 128)
+        assert r.safe == " ".join(plain.split())
+
+
+def test_markers_of_all_chunks_against_plain_python(spark, sf):
+    lib = registry.library(spark, sf)
+    texts = {r.doc_id: re.sub("[ \\t\\r\\n]+", " ", r.markdown or "").strip(" ") for r in lib.documents.select("doc_id", "markdown").collect()}
+    places = {}
+    for c in lib.chunks.collect():
+        places.setdefault(c.doc_id, []).append((texts[c.doc_id].find(c.text[:100].strip()), c.id, c.page_num, c.section_path or "", len(c.text)))
+    marked = {}
+    for doc, t in texts.items():
+        for at, i, page, section, n in sorted(places.get(doc, ()), reverse=True):
+            end, s = min(at + n, len(t)), section.replace('"', "&quot;")
+            t = f'{t[:at]}<!-- chunk:{i} page:{page} section:"{s}" -->\n<div data-chunk-id="{i}" data-page="{page}" data-section="{s}">\n{t[at:end]}\n</div>\n{t[end:]}'
+        marked[doc] = t
+    got = {r.doc_id: r.marked_md5 for r in rows_of("M02_markers_of_all_chunks", spark, sf)}
+    assert got == {d: hashlib.md5(t.encode()).hexdigest() for d, t in marked.items()}
+    for r in rows_of("M03_audit_of_all_chunks", spark, sf):
+        marks, opens = re.findall(cite.MARKER, marked[r.doc_id]), re.findall(cite.OPEN_DIV, marked[r.doc_id])
+        wrong, closes = sum(a != b for a, b in zip(marks, opens)), marked[r.doc_id].count("</div>")
+        assert (r.markers, r.opens, r.closes, r.mismatched, r.valid) == (len(marks), len(opens), closes, wrong, len(marks) == len(opens) == closes and not wrong)
+
+
+def test_patches(spark):
+    t = spark.createDataFrame([("a", "x", 1), ("b", "y", 2), ("c", "z", 3)], "doc_id string, filename string, num_pages int")
+    p = spark.createDataFrame([("a", "x1", None, 1), ("a", "x2", None, 2), ("b", None, ["filename"], 1), ("q", "no", None, 1)], "doc_id string, filename string, cleared array<string>, at int")
+    got = {tuple(r) for r in library.patched(t, p, ["doc_id"], ["filename"], F.col("at")).collect()}
+    assert got == {("a", "x2", 1), ("b", None, 2), ("c", "z", 3)}
+
+
+def test_sentence_list_keeps_the_end(spark):
+    texts = ["Dr. Smith came. He left. And more", "He saw Dr.", "a. b", "", "no end", "x! Mr. y? z "]
+    want = [["Smith came.", "He left.", "And more"], ["He saw Dr."], ["a.", "b"], [], ["no end"], ["x!", "y?", "z"]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(cite.sentence_list(F.col("t")).alias("s"))
+    assert [r.s for r in df.collect()] == want
+
+
+def test_cycle_is_an_error(spark):
+    with pytest.raises(ValueError):
+        graph.topological_order(nodes(spark, "AB"), edges(spark, [("A", "B"), ("B", "A")]))
+
+
+def test_no_display_box_for_bad_dimensions(spark):
+    df = spark.createDataFrame([(1.0, 1.0, 2.0, 2.0, 0, 10), (1.0, 1.0, 2.0, 2.0, 10, 10)], "x1 double, y1 double, x2 double, y2 double, w int, h int")
+    bad, good = structure.scaled(df, F.col("w"), F.col("h"), F.lit(20), F.lit(20)).collect()
+    assert bad.problem == "invalid original dimensions: 0x10" and bad.sx1 is None and bad.shown_w is None
+    assert good.problem is None and (good.sx1, good.shown_w) == (2.0, 2.0)
+
+
+def test_following_across_buckets(spark):
+    df = spark.createDataFrame([(n, "ab"[n % 3 == 0], None if n % 5 else "l") for n in range(0, 60, 2)], "num long, g string, l string").withColumn("doc_id", F.col("num").cast("string"))
+    for group in (["g"], ["g", "l"]):
+        rows = sorted(df.collect(), key=lambda r: r.num)
+        want = {r.doc_id: next((x.doc_id for x in rows if x.num > r.num and all(x[c] == r[c] for c in group)), None) for r in rows}
+        assert {r.doc_id: r.o for r in following(df, group, "num", "doc_id", per_bucket=7).collect()} == want
+
+
+def test_shared_folder_is_asked_for(monkeypatch):
+    class Bare:
+        conf = sparkContext = None
+
+        def get(self, *_):
+            return None
+
+        getCheckpointDir = get
+
+    bare = Bare()
+    bare.conf = bare.sparkContext = bare
+    with pytest.raises(ValueError):
+        shared.shared_folder(bare)
