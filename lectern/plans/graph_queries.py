@@ -45,6 +45,7 @@ def _(lib):
 FAR = ", k AS (SELECT project_id, num, doc_id, row_number() OVER (PARTITION BY project_id ORDER BY num) AS n FROM lib_documents WHERE project_id IS NOT NULL) SELECT a.doc_id AS source, b.doc_id, CAST(b.n - a.n AS INTEGER) AS distance FROM k a JOIN k b ON a.project_id = b.project_id AND a.n = 1 AND b.n > 1"
 
 
+@query("G06_distances_all", FAR)
 @query("G06_distances", FAR)
 def _(lib):
     """From the first document of each series; a forest's distances need only log rounds."""
