@@ -6,6 +6,8 @@ every round with reliable checkpoints in the folder named by spark.checkpoint.di
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,28 +27,34 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, max_i
 
 
 def pagerank_settled(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6) -> tuple[DataFrame, bool]:
-    """``pagerank`` and whether it settled before the rounds ran out."""
+    """``pagerank`` and whether it settled before the rounds ran out.
+
+    Dangling mass goes evenly to all, as the teleport does, so it only scales the ranks: the rounds leave it out and the
+    result is scaled to sum to 1. Each round then reads the one before it once.
+    """
     ids = cut(vertices.select("doc_id").distinct())
     n = ids.count()
     if not n:
         return ids.withColumn("pagerank", F.lit(0.0)), True
     multiple = edges.groupBy(F.col("src_doc_id").alias("src"), F.col("dst_doc_id").alias("dst")).agg(F.count("*").alias("m"))
     out = multiple.groupBy("src").agg(F.sum("m").alias("d"))
-    shares = cut(multiple.join(out, "src").select("src", "dst", (F.col("m") / F.col("d")).alias("share")))
-    sources = cut(out.select(F.col("src").alias("doc_id"), F.lit(True).alias("linked")))
-    now = cut(ids.join(sources, "doc_id", "left").select("doc_id", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / n).alias("pagerank")))
+    inner = ids.withColumnRenamed("doc_id", "dst")
+    shares = cut(multiple.join(out, "src").join(inner, "dst", "left_semi").select("src", "dst", (F.col("m") / F.col("d")).alias("share")))
+    nothing = ids.select("doc_id", F.lit(0.0).alias("got"))
+    now, total = cut(ids.select("doc_id", F.lit(1.0 / n).alias("rank"))), 1.0
+    settled = False
     for start in range(0, max_iter, 5):  # five rounds a job
-        was = now
+        was, before = now, total
         for _ in range(min(5, max_iter - start)):
-            loose = now.where("not linked").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("loose"))
-            given = now.join(shares, now["doc_id"] == shares["src"]).groupBy(F.col("dst").alias("doc_id")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
-            base = F.lit((1 - damping) / n) + F.col("loose") * (damping / n)
-            now = now.join(given, "doc_id", "left").crossJoin(F.broadcast(loose)).select("doc_id", "linked", (base + damping * F.coalesce("got", F.lit(0.0))).alias("pagerank"))
+            given = now.join(shares, now["doc_id"] == shares["src"]).select(F.col("dst").alias("doc_id"), (F.col("rank") * F.col("share")).alias("got"))
+            now = given.unionByName(nothing).groupBy("doc_id").agg((F.lit((1 - damping) / n) + damping * F.sum("got")).alias("rank"))
         now = cut(now)
-        moved = now.join(was.select("doc_id", F.col("pagerank").alias("was")), "doc_id").agg(F.sum(F.abs(F.col("pagerank") - F.col("was")))).first()[0]
+        total = now.agg(F.sum("rank")).first()[0]
+        moved = now.join(was.withColumnRenamed("rank", "was"), "doc_id").agg(F.sum(F.abs(F.col("rank") / total - F.col("was") / before))).first()[0]
         if moved < tol:
-            return now.select("doc_id", "pagerank"), True
-    return now.select("doc_id", "pagerank"), False
+            settled = True
+            break
+    return now.select("doc_id", (F.col("rank") / total).alias("pagerank")), settled
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -73,20 +81,44 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, max_iter: int = 100
 
 
 def labels_settled(vertices: DataFrame, edges: DataFrame, max_iter: int = 100) -> tuple[DataFrame, bool]:
-    """``label_propagation`` and whether a round without change came before the rounds ran out."""
+    """``label_propagation`` and whether a round without change came before the rounds ran out.
+
+    Synchronous votes end in one state or swing between two; a state equal to that of two rounds before decides the rest.
+    """
     ends = edges.where("src_doc_id <> dst_doc_id").select(F.col("src_doc_id").alias("doc_id"), F.col("dst_doc_id").alias("other"))
     near = cut(ends.unionByName(ends.select(F.col("other").alias("doc_id"), F.col("doc_id").alias("other"))))
-    now = cut(vertices.select("doc_id").distinct().withColumn("community", F.col("doc_id")))
-    for _ in range(max_iter):
-        votes = near.join(now.select(F.col("doc_id").alias("other"), "community"), "other").select("doc_id", "community").unionByName(now)
+    now = cut(vertices.select("doc_id").distinct().withColumns({"community": F.col("doc_id"), "before": F.lit(None).cast("string")}))
+    for done in range(1, max_iter + 1):
+        held = now.select("doc_id", "community")
+        votes = near.join(held.withColumnRenamed("doc_id", "other"), "other").select("doc_id", "community").unionByName(held)
         counted = votes.groupBy("doc_id", "community").agg(F.count("*").alias("n"))
         best = counted.groupBy("doc_id").agg(F.min(F.struct(-F.col("n"), F.col("community"))).alias("b")).select("doc_id", F.col("b.community").alias("fresh"))
         after = cut(now.join(best, "doc_id"))
-        changed = after.where("community <> fresh").limit(1).count()
-        now = after.select("doc_id", F.col("fresh").alias("community"))
-        if not changed:
-            return now, True
-    return now, False
+        moved, swung = after.agg(F.count_if(F.col("community") != F.col("fresh")), F.count_if(~F.col("before").eqNullSafe(F.col("fresh")))).first()
+        now = after.select("doc_id", F.col("fresh").alias("community"), F.col("community").alias("before"))
+        if not moved:
+            return now.select("doc_id", "community"), True
+        if not swung:
+            last = "community" if (max_iter - done) % 2 == 0 else "before"
+            return now.select("doc_id", F.col(last).alias("community")), False
+    return now.select("doc_id", "community"), False
+
+
+class Layers:
+    """Rows that grow layer by layer, held as checkpointed parts of doubling sizes: a row is rewritten log(layers) times."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[int, DataFrame]] = []
+
+    def add(self, rows: DataFrame) -> None:
+        level = 0
+        while self.parts and self.parts[-1][0] == level:
+            rows = cut(self.parts.pop()[1].unionByName(rows))
+            level += 1
+        self.parts.append((level, rows))
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [rows for _, rows in self.parts])
 
 
 def distances(edges: DataFrame, sources: DataFrame, max_depth: int = 1_000_000) -> DataFrame:
@@ -97,18 +129,20 @@ def distances(edges: DataFrame, sources: DataFrame, max_depth: int = 1_000_000)
     step = cut(edges.select(F.col("src_doc_id").alias("at"), F.col("dst_doc_id").alias("next"), "relation_type").distinct())
     start = sources.select(F.col("doc_id").alias("source")).distinct()
     frontier = start.select("source", F.col("source").alias("doc_id"), F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("relation_type"))
-    seen = frontier = cut(frontier)
+    frontier = cut(frontier)
+    seen = Layers()
+    seen.add(frontier)
     depth = 0
     while depth < max_depth:
         depth += 1
         ahead = frontier.join(step, frontier["doc_id"] == step["at"]).select("source", F.col("next").alias("doc_id"), F.col("at").alias("parent"), step["relation_type"])
         first = ahead.groupBy("source", "doc_id").agg(F.min(F.struct("parent", "relation_type")).alias("p"))
-        fresh = first.join(seen.select("source", "doc_id"), ["source", "doc_id"], "left_anti").select("source", "doc_id", F.lit(depth).alias("distance"), "p.parent", "p.relation_type")
+        fresh = first.join(seen.all().select("source", "doc_id"), ["source", "doc_id"], "left_anti").select("source", "doc_id", F.lit(depth).alias("distance"), "p.parent", "p.relation_type")
         frontier = cut(fresh)
         if not frontier.limit(1).count():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen.where("distance > 0")
+        seen.add(frontier)
+    return seen.all().where("distance > 0")
 
 
 def paths(reached: DataFrame, targets: DataFrame, max_steps: int = 10) -> DataFrame:
@@ -160,13 +194,13 @@ def topological_layers(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame
     if not own.groupBy("dst").count().where("count > 1").limit(1).count():  # at most one parent each: log rounds
         found = cut(forest_depths(left, own))
         return found.where("layer is not null").select("doc_id", "layer"), found.where("layer is null").select("doc_id")
-    done, layer = None, 0
+    done, layer = Layers(), 0
     while True:
         blocked = step.join(left.withColumnRenamed("doc_id", "src"), "src", "left_semi").select(F.col("dst").alias("doc_id")).distinct()
         free = cut(left.join(blocked, "doc_id", "left_anti").withColumn("layer", F.lit(layer)))
         if not free.limit(1).count():
-            return (done if done is not None else free), left
-        done = free if done is None else cut(done.unionByName(free))
+            return (done.all() if layer else free), left
+        done.add(free)
         left = cut(left.join(free, "doc_id", "left_anti"))
         layer += 1
 
