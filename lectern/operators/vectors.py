@@ -1,16 +1,15 @@
 """Multi-vector search (V): MaxSim scores, top-k lists, hybrid merge, graph boost and PageRank blend.
 
 A multi-vector is a list of token vectors. MaxSim of a query and a document is the mean over query tokens of the best
-cosine to any document token; distance is 1 - MaxSim and the score 1 / (1 + distance). Batch search scores blocks of
-queries against the corpus: a block's vectors, bounded by ``block``, go to every task, each task keeps the k best a
-query of its rows, and a window keeps k of those.
+cosine to any document token; distance is 1 - MaxSim and the score 1 / (1 + distance). Batch search deals queries and
+corpus into blocks of bounded size that meet as cells of a grid; each cell keeps the k best of its rows for a query, and
+a window keeps k of those. No vector passes the driver.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -57,47 +56,61 @@ def _units(tokens) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def search(corpus: DataFrame, queries: DataFrame, k: int, ident: str = "chunk", group: str = "doc", block: int = 1024) -> DataFrame:
-    """(query_id, <ident>, <group>, distance): the k nearest of ``corpus(ident, group, tokens)`` for each ``queries(query_id, tokens)`` (V-02, V-03, V-07).
+def _blocks(rows: DataFrame, names: list[str], tokens: str, out: str) -> DataFrame:
+    """Rows of one (at, part) gathered: their names as lists, their unit vectors end to end, and how many each has."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = f"at int, part int, {', '.join(f'{n}s array<{kinds[n]}>' for n in names)}, {out}_body binary, {out}_sizes array<int>"
 
-    Ties go to the smaller ident. Rows without vectors take no part.
+    def gather(frame: pd.DataFrame) -> pd.DataFrame:
+        units = [_units(t) for t in frame[tokens]]
+        made = {"at": [frame["at"].iloc[0]], "part": [frame["part"].iloc[0]]} | {f"{n}s": [frame[n].tolist()] for n in names}
+        return pd.DataFrame(made | {f"{out}_body": [np.concatenate(units).tobytes()], f"{out}_sizes": [[len(u) for u in units]]})
+
+    return rows.groupBy("at", "part").applyInPandas(gather, schema)
+
+
+def _distances(asked: np.ndarray, asked_sizes: np.ndarray, held: np.ndarray, held_sizes: np.ndarray) -> np.ndarray:
+    """1 - MaxSim of each query (row) and document (column)."""
+    best = np.maximum.reduceat(asked @ held.T, np.cumsum([0, *held_sizes[:-1]]), axis=1)
+    return np.round(1 - np.add.reduceat(best, np.cumsum([0, *asked_sizes[:-1]]), axis=0) / asked_sizes[:, None], 12)
+
+
+def _nearest(row: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k smallest, ties to the smaller name."""
+    if len(row) > k:
+        near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
+        return near[np.lexsort((names[near], row[near]))[:k]]
+    return np.arange(len(row))
+
+
+def search(corpus: DataFrame, queries: DataFrame, k: int, ident: str = "chunk", group: str = "doc", block: int = 2048, shard: int = 8192) -> DataFrame:
+    """(query_id, <ident>, <group>, distance, rank): the k nearest of ``corpus(ident, group, tokens)`` for each ``queries(query_id, tokens)`` (V-02, V-03, V-07).
+
+    Ties go to the smaller ident. Rows without vectors take no part. A grid cell is one block of about ``block`` query
+    vectors and one shard of about ``shard`` corpus vectors, which bounds a task's memory.
     """
-    corpus = corpus.select(ident, group, "tokens").where("size(tokens) > 0")
+    held = corpus.select(F.col(ident).alias("name"), F.col(group).alias("owner"), "tokens").where("size(tokens) > 0")
     asked = queries.select("query_id", "tokens").where("size(tokens) > 0")
-    blocks = max(1, math.ceil(asked.count() / block))
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {ident} {corpus.schema[ident].dataType.simpleString()}, {group} {corpus.schema[group].dataType.simpleString()}, distance double"
-    found = []
-    for b in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").collect()
-        if not own:
-            continue
-        ids = [r.query_id for r in own]
-        stacked = np.concatenate([_units(r.tokens) for r in own])
-        starts = np.cumsum([0, *[len(r.tokens) for r in own]])[:-1]
-        sizes = np.array([len(r.tokens) for r in own])
-        shared = corpus.sparkSession.sparkContext.broadcast((ids, stacked, starts, sizes))
-
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, stacked, starts, sizes = shared.value
-            for frame in frames:
-                tokens = [_units(t) for t in frame["tokens"]]
-                if not tokens:
-                    continue
-                edges = np.cumsum([0, *map(len, tokens)])[:-1]
-                best = np.maximum.reduceat(stacked @ np.concatenate(tokens).T, edges, axis=1)
-                distance = 1 - np.add.reduceat(best, starts, axis=0) / sizes[:, None]
-                names = frame[ident].to_numpy()
-                keep = [np.lexsort((names, np.round(row, 12)))[:k] for row in distance]
-                at = np.concatenate(keep)
-                q = np.repeat(np.arange(len(ids)), [len(x) for x in keep])
-                yield pd.DataFrame({"query_id": [ids[i] for i in q], ident: names[at], group: frame[group].to_numpy()[at], "distance": np.round(distance[q, at], 12)})
-
-        found.append(corpus.mapInPandas(run, schema))
-    if not found:
-        return corpus.sparkSession.createDataFrame([], schema)
-    merged = reduce(DataFrame.unionByName, found)
-    order = Window.partitionBy("query_id").orderBy("distance", ident)
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    kinds = [queries.schema["query_id"].dataType.simpleString(), corpus.schema[ident].dataType.simpleString(), corpus.schema[group].dataType.simpleString()]
+    blocks, shards = (max(1, math.ceil((rows.agg(F.sum(F.size("tokens"))).first()[0] or 0) / most)) for rows, most in ((asked, block), (held, shard)))
+    dealt = lambda rows, key, parts: rows.withColumns({"at": F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"), "part": F.size(F.get("tokens", F.lit(0)))})
+    left = _blocks(dealt(asked, "query_id", blocks), ["query_id"], "tokens", "q").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    right = _blocks(dealt(held, "name", shards), ["name", "owner"], "tokens", "c").withColumnRenamed("at", "shard").withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cells = left.join(right, ["at", "shard", "part"]).drop("at", "shard")
+
+    def score_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                names, owners, ids = np.asarray(r.names), np.asarray(r.owners), np.asarray(r.query_ids)
+                distance = _distances(np.frombuffer(r.q_body).reshape(-1, r.part), np.asarray(r.q_sizes), np.frombuffer(r.c_body).reshape(-1, r.part), np.asarray(r.c_sizes))
+                keep = [_nearest(row, names, k) for row in distance]
+                at, q = np.concatenate(keep), np.repeat(np.arange(len(ids)), [len(x) for x in keep])
+                yield pd.DataFrame({"query_id": ids[q], "name": names[at], "owner": owners[at], "distance": distance[q, at]})
+
+    found = cells.mapInPandas(score_cells, f"query_id {kinds[0]}, name {kinds[1]}, owner {kinds[2]}, distance double")
+    order = Window.partitionBy("query_id").orderBy("distance", "name")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", F.col("name").alias(ident), F.col("owner").alias(group), "distance", "rank")
 
 
 def hybrid(visual: DataFrame, text: DataFrame, k: int) -> DataFrame:

@@ -24,12 +24,12 @@ def _results(lib):
     return hits.groupBy("query_id", F.col("doc").cast("string").alias("doc_id")).agg(F.max(ops.score(F.col("distance"))).alias("score"))
 
 
-@query("V01_maxsim", DIST + " SELECT query_id, chunk, round(1 - distance, 6) AS similarity FROM d")
+@query("V01_maxsim", TOP + " SELECT query_id, chunk, round(1 - distance, 6) AS similarity FROM t WHERE rank <= 30")
 def _(lib):
-    q = _asked(lib).withColumnRenamed("tokens", "q")
-    n = lib.vectors.agg(F.count("*").alias("n"))
-    pairs = q.join(F.broadcast(n)).select("query_id", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("chunk"))
-    return pairs.join(lib.vectors.select("chunk", "tokens"), "chunk").select("query_id", "chunk", F.round(ops.maxsim("q", "tokens"), 6).alias("similarity"))
+    """The defining form on the pairs that the search brings up."""
+    near = ops.search(lib.vectors, _asked(lib), 30).select("query_id", "chunk")
+    pairs = near.join(_asked(lib).withColumnRenamed("tokens", "q"), "query_id").join(lib.vectors.select("chunk", "tokens"), "chunk")
+    return pairs.select("query_id", "chunk", F.round(ops.maxsim("q", "tokens"), 6).alias("similarity"))
 
 
 @query(
