@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; an error where there is none, for a local one would differ by machine."""
+    """The folder that spark.checkpoint.dir names.
+
+    Where it is unset, a temporary one on a local master, which is one machine, and an error on a cluster, where folders
+    differ by machine.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="lectern-shared-")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 

@@ -412,6 +412,7 @@ def test_following_across_buckets(spark):
 def test_shared_folder_is_asked_for(monkeypatch):
     class Bare:
         conf = sparkContext = None
+        master = "spark://host:7077"
 
         def get(self, *_):
             return None
