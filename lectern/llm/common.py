@@ -3,26 +3,16 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lectern-shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+from lectern.sources.shared import cut, shared_folder
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -32,12 +22,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint; Spark's cleaner removes its files once the frame is garbage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def running_start(df: DataFrame, group: list[str], key: list[str], value: str, out: str, rows: int, per_bucket: int = 50_000) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows before this one within ``group``.
 

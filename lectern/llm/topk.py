@@ -2,10 +2,11 @@
 
 Vectors are dealt by a hash of their id into shards of bounded size and queries into blocks of bounded size; a shard and
 a block of one grid cell meet as two packed rows, so a task multiplies one block by one shard at a time. Each tile keeps
-its k best a query, each cell of the grid k of those, and the last merge k of the cells' lists. Shuffled are the vectors
-once and the queries once a grid cell; there is no cap on candidates.
+its k best a query, each cell of the grid k of those, and the last merge k of the cells' lists. A cell is up to 16 shards
+and 64 query blocks. Shuffled are the vectors once for 64 query blocks and the queries once for 16 shards, in the
+narrowest integers that hold a block; there is no cap on candidates.
 
-Defined cases: components become floor(1024 * x) as doubles, held in 64 bits; vectors that are null, empty, or hold a
+Defined cases: components become floor(1024 * x) as doubles, held in 64 bits, to which larger ones and larger scores are cut; vectors that are null, empty, or hold a
 null or non-finite component take no part, nor do rows without an id; vectors of different lengths don't meet; repeated
 rows are candidates each, and a repeated query id is asked once, with its smallest vector; rows with the query's id are
 its own; equal scores go to the smaller id; an empty table gives no row; other columns are ignored.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import cut, runs
 
-PACKED = "cell int, dim int, at int, ids binary, body binary"
+PACKED = "cell int, dim int, at int, ids binary, kind string, body binary"
 
 
 def whole_components(embedding: str) -> Column:
@@ -42,14 +43,15 @@ def packed(rows: DataFrame, at: Column) -> DataFrame:
                 part = frame.iloc[s:e]
                 ids = part["vec_id"].to_numpy(np.int64)
                 body = np.array(part["parts"].tolist(), np.int64)
-                yield pd.DataFrame({"cell": [part["cell"].iloc[0]], "dim": [part["dim"].iloc[0]], "at": [part["at"].iloc[0]], "ids": [ids.tobytes()], "body": [body.tobytes()]})
+                kind = np.promote_types(np.min_scalar_type(min(body.min(), -1)), np.min_scalar_type(min(-1, -1 - body.max())))
+                yield pd.DataFrame({"cell": [part["cell"].iloc[0]], "dim": [part["dim"].iloc[0]], "at": [part["at"].iloc[0]], "ids": [ids.tobytes()], "kind": [kind.str], "body": [body.astype(kind).tobytes()]})
 
     return dealt.repartition("cell", "dim", "at").sortWithinPartitions("cell", "dim", "at", "vec_id", "parts").mapInPandas(pack, PACKED)
 
 
 def products(asked: np.ndarray, held: np.ndarray) -> np.ndarray:
     """Exact inner products; by floating point where every sum fits 53 bits."""
-    top = float(np.abs(asked).max(initial=0)) * float(np.abs(held).max(initial=0)) * asked.shape[1]
+    top = float(np.abs(asked.astype(np.float64)).max(initial=0)) * float(np.abs(held.astype(np.float64)).max(initial=0)) * asked.shape[1]
     if top < 2**53:
         return (asked.astype(np.float64) @ held.astype(np.float64).T).astype(np.int64)
     exact = asked.astype(object) @ held.astype(object).T
@@ -83,14 +85,15 @@ def exact_topk(vectors: DataFrame, asked: Column, k: int = 10, shard: int = 4096
     cells = max(1, min(shards, max(12, math.ceil(shards / 16))))
     held = packed(rows.withColumn("cell", F.pmod(F.pmod(F.xxhash64("vec_id"), F.lit(shards)), F.lit(cells)).cast("int")), F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
     turned = queries.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    posed = packed(turned, F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).select("cell", "dim", F.col("ids").alias("q_ids"), F.col("body").alias("q_body"))
-    tiles = held.join(posed, ["cell", "dim"])
+    bands = math.ceil(blocks / 64)
+    posed = packed(turned, F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).select("cell", "dim", F.pmod("at", F.lit(bands)).alias("band"), F.col("ids").alias("q_ids"), F.col("kind").alias("q_kind"), F.col("body").alias("q_body"))
+    tiles = held.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))).join(posed, ["cell", "dim", "band"])
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples():
                 ids, q_ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_ids, np.int64)
-                scores = products(np.frombuffer(r.q_body, np.int64).reshape(-1, r.dim), np.frombuffer(r.body, np.int64).reshape(-1, r.dim))
+                scores = products(np.frombuffer(r.q_body, r.q_kind).reshape(-1, r.dim), np.frombuffer(r.body, r.kind).reshape(-1, r.dim))
                 q, c = tile_best(scores, q_ids[:, None] == ids[None, :], k)
                 yield pd.DataFrame({"cell": r.cell, "query_id": q_ids[q], "vec_id": ids[c], "score": scores[q, c]})
 
