@@ -4,8 +4,10 @@ Every byte covered by a ``length``-byte string that also starts earlier goes. St
 anchor: of the ``gram``-byte grams inside a window the one of least hash, leftmost of equals. Equal windows have equal
 grams at equal places, so they meet under the anchor's hash; an anchor with its run of windows is one row per ~35 bytes.
 
-1. Rows with the same anchor, place and context hash form a class; all but its first are repeats whole (two 64-bit
-   hashes, of the gram and of the context, must agree).
+1. Rows with the same anchor, place and context hash form a class; all but its first are repeats whole. Inside a batch of
+   half a megabyte they are found before the shuffle and verified on the bytes, and only a class's first goes to its
+   anchor's task, so a hot anchor sends one row of a class a batch. Across batches two 64-bit hashes, of the gram and of
+   the context, must agree.
 2. The firsts of different classes under one anchor share only part of their windows. Their contexts are sorted as
    suffixes, forward from the anchor and backward from it: a mergesort network whose comparisons find the common
    extension by binary search over prefix polynomial hashes. Neighbours' extensions are verified on the bytes (a group
@@ -88,7 +90,10 @@ def anchors(data: bytes, starts: np.ndarray, ends: np.ndarray, length: int) -> t
 
 
 def anchor_rows(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """(anchor, context, doc, place): place packs the first window's start, the anchor's distance and the run's length."""
+    """(anchor, context, doc, place, again): place packs the first window's start, the anchor's distance and the run's length.
+
+    again marks repeats, compared byte by byte, of a context earlier in the same batch; their anchor only spreads them.
+    """
 
     def of(group: list[tuple[int, int, bytes]]) -> pd.DataFrame:
         data = b"".join(g[2] for g in group)
@@ -100,7 +105,17 @@ def anchor_rows(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.Data
         digest = xxhash.xxh3_64_intdigest
         context = np.fromiter((digest(data[s : s + n]) for s, n in zip(first.tolist(), (count + length - 1).tolist())), np.uint64, len(first)).view(np.int64)
         place = (first - starts[segment] + bases[segment] << 16) | (anchor - first << 8) | count
-        return pd.DataFrame({"anchor": key, "context": context, "doc": docs[segment], "place": place})
+        doc = docs[segment]
+        order = np.lexsort((place, doc, place & 0xFFFF, context, key))
+        new = np.ones(len(order), bool)
+        new[1:] = (key[order[1:]] != key[order[:-1]]) | (context[order[1:]] != context[order[:-1]]) | ((place[order[1:]] ^ place[order[:-1]]) & 0xFFFF != 0)
+        rest = np.flatnonzero(~new)
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))[rest]]
+        late = order[rest]
+        again = np.zeros(len(order), bool)
+        again[late] = [data[s : s + n] == data[f : f + n] for s, f, n in zip(first[late].tolist(), first[head].tolist(), (count[late] + length - 1).tolist())]
+        spread = (doc << 20) + (place >> 16)
+        return pd.DataFrame({"anchor": np.where(again, spread, key), "context": context, "doc": doc, "place": place, "again": again})
 
     for frame in frames:
         group, held = [], 0
@@ -268,10 +283,10 @@ SPANS = "doc long, start long, windows long"
 
 def repeats(rows: DataFrame, length: int, most: int) -> DataFrame:
     """(doc, start, windows): runs of windows that start earlier elsewhere, for rows (doc, text)."""
-    found = rows.mapInPandas(lambda frames: anchor_rows(frames, length), "anchor long, context long, doc long, place long").repartition("anchor")
-    kind = ["anchor", "context", F.col("place").bitwiseAND(F.lit(0xFFFF))]
+    found = rows.mapInPandas(lambda frames: anchor_rows(frames, length), "anchor long, context long, doc long, place long, again boolean").repartition("anchor")
+    kind = ["anchor", "again", "context", F.col("place").bitwiseAND(F.lit(0xFFFF))]
     of_class = Window.partitionBy(*kind).orderBy("doc", "place")
-    ranked = found.withColumn("first", F.row_number().over(of_class) == 1)
+    ranked = found.withColumn("first", ~F.col("again") & (F.row_number().over(of_class) == 1)).drop("again")
     counted = ranked.withColumn("classes", F.sum(F.col("first").cast("int")).over(Window.partitionBy("anchor")))
     marks = written(counted.where("not first or classes > 1"), "marks")
     later = marks.where("not first").select("doc", F.shiftright("place", 16).alias("start"), F.col("place").bitwiseAND(F.lit(255)).alias("windows"))

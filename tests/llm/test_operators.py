@@ -293,6 +293,27 @@ def test_suffix_dedup_tiles(spark, monkeypatch):
     assert seen == Counter({(i, s): 1 for i, t in enumerate(texts) for s in range(len(t.encode()) - 99)})
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_suffix_dedup_repeats_inside_a_batch(monkeypatch, collide):
+    """Equal contexts of a batch leave their anchor for its first one; colliding hashes of different bytes don't count."""
+    if collide:
+        monkeypatch.setattr(suffixdedup.xxhash, "xxh3_64_intdigest", lambda _: 7)
+    r = random.Random(4)
+    shared = "".join(r.choice("abcdefgh ") for _ in range(400))
+    texts = [shared[:180] + "".join(r.choice("xyz") for _ in range(120)) + shared[180:] for _ in range(40)] + [shared] * 5
+    made = list(suffixdedup.anchor_rows(iter([suffixdedup.pd.DataFrame({"doc": range(len(texts)), "text": texts})]), 100))
+    assert len(made) == 1
+    seen, late = set(), 0
+    for doc, place, again in sorted(zip(made[0].doc, made[0].place, made[0].again)):
+        start, count = place >> 16, place & 255
+        part = (place & 0xFFFF, texts[doc][start : start + count + 99])
+        assert not again or part in seen
+        assert collide or again == (part in seen)
+        seen.add(part)
+        late += again
+    assert late > 40
+
+
 def test_merge_sorted_orders_suffixes():
     r = random.Random(9)
     parts = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 12))) for _ in range(300)]
