@@ -113,6 +113,25 @@ def test_fewest_capacity():
     assert set(load) == set(range(8)) and max(load.values()) - min(load.values()) <= 50
 
 
+def test_groups_of_one_size_fill_runs_of_bins():
+    sizes = [7] * 1000 + [3] * 10 + [250]
+    bins = sharding.best_fit_decreasing(sizes, 100)
+    load, held = Counter(), Counter()
+    for s, b in zip(sizes, bins):
+        load[b] += s
+        held[b] += s == 7
+    assert load.pop(bins[-1]) == 250 and max(load.values()) <= 100 and max(held.values()) == 14 and len(load) == 72
+    assert len(sharding.fit_classes([(250, 1), (7, 1000), (3, 10)], 100)) <= 8
+
+
+def test_small_capacity_holds_for_every_group(spark):
+    texts = ["x" * (50 + i % 400) + str(i) for i in range(12_000)] + ["y" * 9_000, "y" * 8_999]
+    got = sharding.assign_shards(table(spark, texts), None, capacity=6_000).groupBy("shard").agg({"size": "sum", "*": "count"}).toPandas()
+    whole = got["sum(size)"].sum()
+    assert got["count(1)"].sum() == len(texts) and sorted(got["sum(size)"])[-2:] == [9_000, 9_001]
+    assert sorted(got["sum(size)"])[-3] <= 6_000 and len(got) - 2 <= 1.01 * (whole - 18_001) / 6_000 + 1
+
+
 # ---- 2 simhash
 
 
