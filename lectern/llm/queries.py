@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from lectern.llm.decontam import op5_benchmark_decontamination
 from lectern.llm.linededup import OP6_SQL, op6_line_dedup
+from lectern.llm.mainpage import op11_html_extraction
 from lectern.llm.packing import op8_packing
+from lectern.llm.periodic import op13_periodic_runs
 from lectern.llm.sharding import op1_sharding
 from lectern.llm.simhash import op2_simhash_near_dedup
 from lectern.llm.suffixdedup import op4_suffix_array_dedup
@@ -26,6 +28,8 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,
         "op10_token_counts": op10_token_counts,
+        "op11_html_extraction": op11_html_extraction,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
