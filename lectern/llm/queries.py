@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lectern.llm.collocations import OP12_SQL, op12_collocations
 from lectern.llm.decontam import op5_benchmark_decontamination
 from lectern.llm.linededup import OP6_SQL, op6_line_dedup
 from lectern.llm.mainpage import op11_html_extraction
@@ -29,9 +30,10 @@ def queries() -> dict:
         "op9_toxicity": op9_toxicity,
         "op10_token_counts": op10_token_counts,
         "op11_html_extraction": op11_html_extraction,
+        "op12_collocations": op12_collocations,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL, "op7_exact_topk": OP7_SQL}
+    return {"op6_line_dedup": OP6_SQL, "op7_exact_topk": OP7_SQL, "op12_collocations": OP12_SQL}

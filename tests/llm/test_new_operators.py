@@ -10,8 +10,9 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from lectern.llm import mainpage, periodic
+from lectern.llm import collocations, mainpage, periodic
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -77,6 +78,76 @@ def test_extract(spark, sf):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+# ---- 12 collocations
+
+
+def brute_phrases(rows, least, first, subsumed=80):
+    f, n = defaultdict(Counter), Counter()
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for text, lang in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(lower)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            if text is not None:
+                n["und" if lang is None else lang] += len(w)
+            for k in range(1, 5):
+                for i in range(len(w) - k + 1):
+                    f["und" if lang is None else lang][tuple(w[i : i + k])] += 1
+    out = []
+    for lang, counts in f.items():
+        cand = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
+        most = Counter()
+        for p, a in cand.items():
+            for m in range(2, len(p)):
+                for i in range(len(p) - m + 1):
+                    most[p[i : i + m]] = max(most[p[i : i + m]], a)
+        scored = []
+        for p, a in cand.items():
+            if 100 * most[p] >= subsumed * a and most[p]:
+                continue
+            score, _, left, right = min((2_000_000 * a // (counts[p[:k]] + counts[p[k:]]), k, counts[p[:k]], counts[p[k:]]) for k in range(1, len(p)))
+            scored.append((-score, -a, " ".join(p).encode(), left, right))
+        out += [(lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for i, (s, a, p, left, right) in enumerate(sorted(scored)[:first])]
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def prose():
+    r = random.Random(11)
+    words = ["The", "the", "of", "a", "é", "x-y", "日本", "\xa0b", "Zz"]
+    rows = [(None, "en"), ("", None), (" \t\n", "en"), (". ! ?", "de"), ("one", "en")]
+    for i in range(160):
+        w = [r.choice(words) for _ in range(r.randint(0, 60))]
+        rows.append(("".join(x + r.choice([" ", " ", "  ", "\t", ", ", ".\n", "\x0b"]) for x in w), r.choice(["en", "en", "de", None, "und"])))
+    rows += [("alpha beta gamma delta epsilon, tail", "en")] * 40 + [("alpha beta gamma " * 5000, "en")]
+    return rows
+
+
+def test_collocations(spark, prose):
+    docs = spark.createDataFrame([(t, g, 1, "x") for t, g in prose], "text string, lang string, n int, phrase string").repartition(5)
+    phrases, words = collocations.collocations(docs, least=5, batch_bytes=4000, bucket_words=2000)
+    top = collocations.ranked(phrases, "lang", [F.col("score").desc(), F.col("a").desc(), F.col("phrase")], 40).join(words, "lang")
+    got = sorted(map(tuple, top.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()))
+    assert got == brute_phrases(prose, 5, 40)
+    assert len(got) > 100 and {len(p[2].split(" ")) for p in got} == {2, 3, 4}
+
+
+def test_collocations_query(spark, prose, tmp_path):
+    import duckdb
+
+    spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(prose)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, collocations.op12_collocations(spark, str(tmp_path)).collect()))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = "lang, rank, phrase, a, l, r, n, score"
+    assert got == brute_phrases(prose, 30, 2000) == sorted(duckdb.sql(f"SELECT {columns} FROM ({collocations.OP12_SQL})").fetchall())
+
+
+def test_collocations_of_nothing(spark):
+    none = spark.createDataFrame([(None, "en"), ("", "en")], "text string, lang string")
+    for docs in (none, none.where("false")):
+        phrases, words = collocations.collocations(docs)
+        assert phrases.count() == 0 and words.count() == 0
+
+
 # ---- 13 periodic runs
 
 
