@@ -12,7 +12,7 @@ The merged stripes hold everything the scores need: an entry is the count of pre
 the next level has its extensions, whose maximum decides with that of the phrases it ends (subsumption), and the counts of
 its parts are entries of the levels below, joined by number.
 
-What is shuffled: distinct phrases of a batch as a few bytes each, in proportion to the input. Nothing is broadcast and
+What is shuffled: distinct phrases of a batch and their numbers as a few bytes each, in proportion to the input. Nothing is broadcast and
 nothing but row counts reaches the driver. A bucket's memory is bounded by ``bucket_words`` and a batch's by ``batch_bytes``,
 or by the longest text. The ranks of a language come from a range partition and the counts of its parts before.
 
@@ -24,6 +24,7 @@ columns, whatever their names, are not read; an empty table gives no row.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import written
+from lectern.llm.common import shared_folder, written
 
 #: What each byte of a text is: 0 of a word, 1 a gap, 2 the end of a piece; and its lower-case form (A-Z only).
 KIND = np.zeros(256, np.uint8)
@@ -44,7 +45,7 @@ KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-BATCH = "batch long, lang string, dictionary binary, words binary, phrases binary"
+BATCH = "batch long, lang string, dictionary binary, words binary"
 PART = "batch long, bucket int, lang string, prefixes binary, nexts binary, counts binary"
 MERGED = "kind int, batch long, bucket int, lang string, word string, prefix long, next long, id long, f long, names binary"
 
@@ -102,7 +103,7 @@ def batches(docs: DataFrame, text: str, lang: str, batch_bytes: int) -> DataFram
             number += 1
             sizes.pop(language)
             dictionary, words = word_numbers(held.pop(language))
-            return pd.DataFrame({"batch": [number], "lang": [language], "dictionary": [squeezed(dictionary)], "words": [pressed(words)], "phrases": [b""]})
+            return pd.DataFrame({"batch": [number], "lang": [language], "dictionary": [squeezed(dictionary)], "words": [pressed(words)]})
 
         for frame in frames:
             for language, value in zip(frame["lang"], frame["text"]):
@@ -119,13 +120,11 @@ def batches(docs: DataFrame, text: str, lang: str, batch_bytes: int) -> DataFram
     return named.mapInPandas(deal, BATCH)
 
 
-def entries(row, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(prefixes, nexts, counts, at) of a batch's distinct phrases at a level; ``at`` leads from places to them, -1 elsewhere."""
-    words = opened(row.words)
-    if level == 0:
-        counts = np.bincount(words, minlength=1)[1:]
-        return np.zeros(len(counts), np.int64), np.arange(1, len(counts) + 1), counts, words - 1
-    phrases = words if level == 1 else opened(row.phrases)
+def entries(words: np.ndarray, phrases: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(prefixes, nexts, counts, at): the distinct phrases of ``level`` + 1 words; ``at`` leads from places to them, -1 elsewhere.
+
+    ``words`` has the number of each place's word, ``phrases`` that of the phrase of ``level`` words that starts there, 0 for none.
+    """
     alive = np.flatnonzero((phrases[: len(phrases) - level] > 0) & (phrases[1 : len(phrases) - level + 1] > 0))
     prefixes, nexts = phrases[alive], words[alive + level]
     at = np.full(len(words), -1, np.int64)
@@ -140,13 +139,30 @@ def entries(row, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return p[firsts], n[firsts], np.diff(np.append(firsts, len(p))), at
 
 
-def buckets_of(row, level: int, prefixes: np.ndarray, nexts: np.ndarray, n: int) -> tuple[np.ndarray, list[bytes] | None]:
-    """The bucket of each entry, and the batch's dictionary where entries are words."""
-    if level == 0:
-        dictionary = lines_of(row.dictionary)[: len(nexts)]
-        return np.fromiter((zlib.crc32(w) % n for w in dictionary), np.int64, len(dictionary)), dictionary
+def buckets_of(prefixes: np.ndarray, nexts: np.ndarray, n: int) -> np.ndarray:
     mixed = prefixes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ nexts.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % n, None
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % n
+
+
+def at_level(row, level: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(prefixes, nexts, counts, bucket, dictionary) of a batch's entries at a level; the levels below are numbered by their replies."""
+    words, dictionary = opened(row.words), lines_of(row.dictionary)
+    counts = np.bincount(words, minlength=1)[1:]
+    bucket = np.fromiter((zlib.crc32(w) % n for w in dictionary[: len(counts)]), np.int64, len(counts))
+    prefixes, nexts, at, phrases = np.zeros(len(counts), np.int64), np.arange(1, len(counts) + 1), words - 1, words
+    for k in range(level):
+        order = np.argsort(bucket, kind="stable")
+        starts = np.searchsorted(bucket[order], np.arange(n + 1))
+        ids = np.zeros(len(nexts) + 1, np.int64)
+        for reply in getattr(row, f"replies{k}"):
+            b = reply["bucket"]
+            ids[order[starts[b] : starts[b + 1]]] = opened(reply["names"])
+        phrases = ids[at]
+        if k == 0:
+            words = phrases
+        prefixes, nexts, counts, at = entries(words, phrases, k + 1)
+        bucket = buckets_of(prefixes, nexts, n)
+    return prefixes, nexts, counts, bucket, dictionary
 
 
 def sent(table: DataFrame, level: int, n: int) -> DataFrame:
@@ -155,16 +171,15 @@ def sent(table: DataFrame, level: int, n: int) -> DataFrame:
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                prefixes, nexts, counts, _ = entries(row, level)
+                prefixes, nexts, counts, bucket, dictionary = at_level(row, level, n)
                 if not len(nexts):
                     continue
-                bucket, dictionary = buckets_of(row, level, prefixes, nexts, n)
                 order = np.argsort(bucket, kind="stable")
                 ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
                 rows = []
                 for s, e in zip([0, *ends[:-1].tolist()], ends.tolist()):
                     own = order[s:e]
-                    told = squeezed([dictionary[i] for i in own.tolist()]) if dictionary is not None else pressed(nexts[own])
+                    told = pressed(nexts[own]) if level else squeezed([dictionary[i] for i in own.tolist()])
                     steps = pressed(np.diff(prefixes[own], prepend=0)) if level else b""
                     rows.append((row.batch, int(bucket[own[0]]), row.lang, steps, told, pressed(counts[own])))
                 yield pd.DataFrame(rows, columns=["batch", "bucket", "lang", "prefixes", "nexts", "counts"])
@@ -234,40 +249,35 @@ def merged(parts: DataFrame, level: int, n: int, least: int) -> DataFrame:
     return parts.repartition("bucket").sortWithinPartitions("bucket", "batch").mapInPandas(merge, MERGED)
 
 
-def named(table: DataFrame, found: DataFrame, level: int, n: int) -> DataFrame:
-    """The batches with the numbers of their frequent phrases of this level at each place, 0 elsewhere."""
-    replies = found.where("kind = 0").groupBy("batch").agg(F.collect_list(F.struct("bucket", "names")).alias("replies"))
+def replied(table: DataFrame, found: DataFrame, level: int) -> DataFrame:
+    """The batches with what the buckets told them about this level; those that nothing was told have no frequent entry."""
+    replies = found.where("kind = 0").groupBy("batch").agg(F.collect_list(F.struct("bucket", "names")).alias(f"replies{level}"))
+    return table.join(replies, "batch")
 
-    def name(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for row in frame.itertuples():
-                prefixes, nexts, _, at = entries(row, level)
-                bucket, _ = buckets_of(row, level, prefixes, nexts, n)
-                order = np.argsort(bucket, kind="stable")
-                starts = np.searchsorted(bucket[order], np.arange(n + 1))
-                ids = np.zeros(len(nexts) + 1, np.int64)
-                for reply in row.replies:
-                    b = reply["bucket"]
-                    ids[order[starts[b] : starts[b + 1]]] = opened(reply["names"])
-                now = pressed(ids[at])
-                rows.append((row.batch, row.lang, b"", now if level == 0 else row.words, b"" if level == 0 else now))
-            yield pd.DataFrame(rows, columns=["batch", "lang", "dictionary", "words", "phrases"])
 
-    return table.join(replies, "batch").mapInPandas(name, BATCH)
+def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder that joins by ``key`` read without a shuffle, and the table's name."""
+    spark = df.sparkSession
+    name = f"lectern_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name), name
 
 
 def stripes(docs: DataFrame, text: str, lang: str, longest: int, least: int, batch_bytes: int, bucket_words: int) -> list[DataFrame]:
-    """The merged entries of each level, 0 (words) to ``longest`` - 1, as written tables."""
-    table = written(batches(docs, text, lang, batch_bytes), "batches")
+    """The merged entries of each level, 0 (words) to ``longest`` - 1, as written tables.
+
+    The batches are written once, bucketed by batch: each level reads them with the replies of the levels below, which are
+    all that moves, and numbers them anew.
+    """
+    table, name = bucketed(batches(docs, text, lang, batch_bytes), "batch")
     size = table.agg(F.sum(F.octet_length("words") + F.octet_length("dictionary"))).first()[0] or 0
     n = max(16, math.ceil(size / bucket_words))
     levels = []
     for level in range(longest):
         found = written(merged(sent(table, level, n), level, n, least), f"stripes{level}")
         levels.append(found)
-        if level + 1 < longest:
-            table = written(named(table, found, level, n), "batches")
+        table = replied(table, found, level)
+    docs.sparkSession.sql(f"DROP TABLE {name}")
     return levels
 
 
