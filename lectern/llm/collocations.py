@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -69,8 +70,31 @@ def lines_of(body: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(body).split(b"\n")
 
 
+def distinct(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words in the order of their bytes, and the place of each of ``words`` among them."""
+    held = words.dictionary_encode()
+    order = pc.sort_indices(held.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    return held.dictionary.take(order), place[held.indices.to_numpy(zero_copy_only=False)]
+
+
+def answer(ids: np.ndarray, n: int) -> bytes:
+    """Ascending numbers of one bucket, 0 for none, as which they are and their steps in units of ``n``."""
+    which = pressed(np.packbits(ids > 0))
+    return len(which).to_bytes(4, "little") + which + pressed(np.diff(ids[ids > 0] // n, prepend=0))
+
+
+def answered(body: bytes, size: int, bucket: int, n: int) -> np.ndarray:
+    """The numbers that ``answer`` gave, ``size`` of them."""
+    split = 4 + int.from_bytes(body[:4], "little")
+    out = np.zeros(size, np.int64)
+    out[np.unpackbits(opened(body[4:split]).astype(np.uint8))[:size] > 0] = np.cumsum(opened(body[split:])) * n + bucket
+    return out
+
+
 def word_numbers(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
-    """(dictionary, words): the distinct words and each word's place in it, from 1, with 0 between pieces."""
+    """(dictionary, words): the distinct words in byte order and each word's place in it, from 1, with 0 between pieces."""
     data = LOWER[np.frombuffer("\n".join(texts).encode("utf-8"), np.uint8)]
     kind = KIND[data]
     inside = kind == 0
@@ -80,13 +104,13 @@ def word_numbers(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     body = data[inside]
     before = np.cumsum(inside)
     offsets = np.append(before[starts] - 1, len(body)).astype(np.int32)
-    held = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+    dictionary, number = distinct(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)]))
     piece = np.cumsum(kind == 2)[starts] if len(starts) else starts
     fresh = np.concatenate([[0], (piece[1:] != piece[:-1]).astype(np.int64)]) if len(starts) else starts
     places = np.arange(len(starts)) + np.cumsum(fresh)
     words = np.zeros(int(places[-1]) + 1 if len(places) else 0, np.int64)
-    words[places] = held.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    return held.dictionary.to_pylist(), words
+    words[places] = number + 1
+    return dictionary.to_pylist(), words
 
 
 def batches(docs: DataFrame, text: str, lang: str, batch_bytes: int) -> DataFrame:
@@ -156,7 +180,7 @@ def at_level(row, level: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         ids = np.zeros(len(nexts) + 1, np.int64)
         for reply in getattr(row, f"replies{k}"):
             b = reply["bucket"]
-            ids[order[starts[b] : starts[b + 1]]] = opened(reply["names"])
+            ids[order[starts[b] : starts[b + 1]]] = answered(reply["names"], int(starts[b + 1] - starts[b]), b, n)
         phrases = ids[at]
         if k == 0:
             words = phrases
@@ -210,8 +234,7 @@ def merged(parts: DataFrame, level: int, n: int, least: int) -> DataFrame:
         langs = sorted({r.lang for r in rows})
         lang = np.array([langs.index(r.lang) for r in rows])[owner]
         if level == 0:
-            flat = pa.array([w for r in rows for w in lines_of(r.nexts)], pa.binary()).dictionary_encode()
-            nexts = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            shown, nexts = distinct(pa.array([w for r in rows for w in lines_of(r.nexts)], pa.binary()))
             prefixes = lang
         else:
             nexts = np.concatenate([opened(r.nexts) for r in rows])
@@ -226,7 +249,7 @@ def merged(parts: DataFrame, level: int, n: int, least: int) -> DataFrame:
         ids = np.where(kept, np.cumsum(kept) * n + bucket, 0)
         names = np.empty(len(p), np.int64)
         names[order] = np.repeat(ids, np.diff(np.append(firsts, len(p))))
-        numbers = [(r.batch, pressed(part)) for r, part in zip(rows, np.split(names, np.cumsum(sizes)[:-1])) if part.any()]
+        numbers = [(r.batch, answer(part, n)) for r, part in zip(rows, np.split(names, np.cumsum(sizes)[:-1])) if part.any()]
         if numbers:
             yield told(0, bucket, batch=[x for x, _ in numbers], names=[x for _, x in numbers])
         firsts = firsts[kept]
@@ -236,8 +259,7 @@ def merged(parts: DataFrame, level: int, n: int, least: int) -> DataFrame:
         if not len(firsts):
             return
         if level == 0:
-            shown = flat.dictionary.to_pylist()
-            yield told(1, bucket, lang=languages, word=[shown[i].decode("utf-8") for i in q[firsts].tolist()], id=ids[kept], f=f[kept])
+            yield told(1, bucket, lang=languages, word=[shown[i].as_py().decode("utf-8") for i in q[firsts].tolist()], id=ids[kept], f=f[kept])
         else:
             yield told(1, bucket, lang=languages, prefix=p[firsts], next=q[firsts], id=ids[kept], f=f[kept])
 
