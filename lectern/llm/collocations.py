@@ -46,19 +46,23 @@ KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-BATCH = "batch long, lang string, dictionary binary, words binary"
+BATCH = "batch long, lang string, dictionary binary, counts binary, words binary"
 PART = "batch long, bucket int, lang string, prefixes binary, nexts binary, counts binary"
 MERGED = "kind int, batch long, bucket int, lang string, word string, prefix long, next long, id long, f long, names binary"
 
 
 def pressed(a: np.ndarray) -> bytes:
-    """Integers in the narrowest width, compressed."""
-    kind = np.min_scalar_type(int(a.max(initial=0)))
-    return kind.str.encode() + zstandard.ZstdCompressor(level=1).compress(a.astype(kind).tobytes())
+    """Non-negative integers, compressed: the lowest byte of each, then the next, up to the highest in use."""
+    width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def opened(body: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(body[3:]), np.dtype(body[:3].decode())).astype(np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body[1:]), np.uint8).reshape(body[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : body[0]] = planes.T
+    return out.view("<i8").ravel()
 
 
 def squeezed(words: list[bytes]) -> bytes:
@@ -113,6 +117,13 @@ def word_numbers(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     return dictionary.to_pylist(), words
 
 
+def by_frequency(counts: np.ndarray) -> np.ndarray:
+    """The rank of each word, from 1, most frequent first, which are smaller numbers to keep; 0 stays 0."""
+    out = np.zeros(len(counts) + 1, np.int64)
+    out[1 + np.argsort(-counts, kind="stable")] = np.arange(1, len(counts) + 1)
+    return out
+
+
 def batches(docs: DataFrame, text: str, lang: str, batch_bytes: int) -> DataFrame:
     """One row for the texts of one language in a stretch of a partition."""
     named = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text")).where("text is not null")
@@ -127,7 +138,9 @@ def batches(docs: DataFrame, text: str, lang: str, batch_bytes: int) -> DataFram
             number += 1
             sizes.pop(language)
             dictionary, words = word_numbers(held.pop(language))
-            return pd.DataFrame({"batch": [number], "lang": [language], "dictionary": [squeezed(dictionary)], "words": [pressed(words)]})
+            counts = np.bincount(words, minlength=1)[1:]
+            told = {"dictionary": [squeezed(dictionary)], "counts": [pressed(counts)], "words": [pressed(by_frequency(counts)[words])]}
+            return pd.DataFrame({"batch": [number], "lang": [language]} | told)
 
         for frame in frames:
             for language, value in zip(frame["lang"], frame["text"]):
@@ -170,8 +183,8 @@ def buckets_of(prefixes: np.ndarray, nexts: np.ndarray, n: int) -> np.ndarray:
 
 def at_level(row, level: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """(prefixes, nexts, counts, bucket, dictionary) of a batch's entries at a level; the levels below are numbered by their replies."""
-    words, dictionary = opened(row.words), lines_of(row.dictionary)
-    counts = np.bincount(words, minlength=1)[1:]
+    counts, dictionary = opened(row.counts), lines_of(row.dictionary)
+    words = np.argsort(by_frequency(counts))[opened(row.words)]
     bucket = np.fromiter((zlib.crc32(w) % n for w in dictionary[: len(counts)]), np.int64, len(counts))
     prefixes, nexts, at, phrases = np.zeros(len(counts), np.int64), np.arange(1, len(counts) + 1), words - 1, words
     for k in range(level):
@@ -304,7 +317,7 @@ def stripes(docs: DataFrame, text: str, lang: str, longest: int, least: int, bat
 
 
 def collocations(
-    docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 4, least: int = 30, subsumed: int = 80, batch_bytes: int = 6_000_000, bucket_words: int = 1_500_000
+    docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 4, least: int = 30, subsumed: int = 80, batch_bytes: int = 10_000_000, bucket_words: int = 1_500_000
 ) -> tuple[DataFrame, DataFrame]:
     """(phrases, words): scored phrases (lang, phrase, a, l, r, score), without those that a longer one subsumes, and (lang, n).
 
