@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.library import delete_where
+
 # Stages with their descriptions and progress.
 STAGES = {
     "queued": ("Queued for processing", 0.0),
@@ -28,9 +30,12 @@ def current_state(events: DataFrame) -> DataFrame:
     return events.groupBy("doc_id").agg(F.max_by(F.struct("status", "ts", "seq"), F.struct("ts", "seq")).alias("s")).select("doc_id", "s.*")
 
 
-def purge(jobs: DataFrame, cutoff: Column, at: str = "updated_at") -> DataFrame:
-    """Jobs without those completed or failed before the cutoff (J-05)."""
-    return jobs.where(~(F.col("status").isin("completed", "failed") & (F.col(at) < cutoff)))
+def purge(jobs: DataFrame, cutoff: Column, at: str = "completed_at") -> tuple[DataFrame, DataFrame]:
+    """(jobs without those that completed or failed before the cutoff, one-row count of those) (J-05).
+
+    A job without a status or a completion time stays.
+    """
+    return delete_where(jobs, F.col("status").isin("completed", "failed") & (F.col(at) < cutoff))
 
 
 def queue_summary(jobs: DataFrame) -> DataFrame:

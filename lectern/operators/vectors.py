@@ -1,9 +1,11 @@
 """Multi-vector search (V): MaxSim scores, top-k lists, hybrid merge, graph boost and PageRank blend.
 
 A multi-vector is a list of token vectors. MaxSim of a query and a document is the mean over query tokens of the best
-cosine to any document token; distance is 1 - MaxSim and the score 1 / (1 + distance). Batch search deals queries and
-corpus into blocks of bounded size that meet as cells of a grid; each cell keeps the k best of its rows for a query, and
-a window keeps k of those. No vector passes the driver.
+cosine to any document token; distance is 1 - MaxSim and the score 1 / (1 + distance). Batch search deals queries into
+blocks and the corpus into shards of bounded size. Up to 64 blocks are a band and up to 16 shards a cell; a band and a cell
+meet in one task, so a shard is shuffled once for 64 blocks and a block once for 16 shards, in the components' own width.
+Each pair of block and shard keeps the k best of its rows for a query, each cell k of those, and a last window k of the
+cells'. No vector passes the driver.
 """
 
 from __future__ import annotations
@@ -50,23 +52,28 @@ def score(distance: Column) -> Column:
     return F.coalesce(F.lit(1.0) / (F.lit(1.0) + distance), F.lit(0.0))
 
 
-def _units(tokens) -> np.ndarray:
-    m = np.array([np.asarray(t, np.float64) for t in tokens])
+#: Blocks of a band and shards of a cell.
+BAND, CELL = 64, 16
+
+
+def _unit_rows(body: bytes, kind: str, part: int) -> np.ndarray:
+    m = np.frombuffer(body, np.dtype(kind)).reshape(-1, part).astype(np.float64)
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _blocks(rows: DataFrame, names: list[str], tokens: str, out: str) -> DataFrame:
-    """Rows of one (at, part) gathered: their names as lists, their unit vectors end to end, and how many each has."""
+def _packed(rows: DataFrame, names: list[str], out: str) -> DataFrame:
+    """Rows (at, part, tokens) of one (at, part) gathered: their names as lists, their vectors end to end as they are stored, and how many each has."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    width = np.dtype(np.float32 if kinds["tokens"] == "array<array<float>>" else np.float64)
     schema = f"at int, part int, {', '.join(f'{n}s array<{kinds[n]}>' for n in names)}, {out}_body binary, {out}_sizes array<int>"
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
-        units = [_units(t) for t in frame[tokens]]
+        held = [np.array([np.asarray(v, width) for v in t]) for t in frame["tokens"]]
         made = {"at": [frame["at"].iloc[0]], "part": [frame["part"].iloc[0]]} | {f"{n}s": [frame[n].tolist()] for n in names}
-        return pd.DataFrame(made | {f"{out}_body": [np.concatenate(units).tobytes()], f"{out}_sizes": [[len(u) for u in units]]})
+        return pd.DataFrame(made | {f"{out}_body": [np.concatenate(held).tobytes()], f"{out}_sizes": [[len(u) for u in held]]})
 
-    return rows.groupBy("at", "part").applyInPandas(gather, schema)
+    return rows.groupBy("at", "part").applyInPandas(gather, schema).withColumn(f"{out}_kind", F.lit(width.str))
 
 
 def _distances(asked: np.ndarray, asked_sizes: np.ndarray, held: np.ndarray, held_sizes: np.ndarray) -> np.ndarray:
@@ -83,33 +90,40 @@ def _nearest(row: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(row))
 
 
+def grid(blocks: int, shards: int) -> tuple[int, int]:
+    """(bands, cells) of a grid; there are at least 12 cells where there are as many shards, so that few queries use all cores too."""
+    return math.ceil(blocks / BAND), min(shards, max(12, math.ceil(shards / CELL)))
+
+
 def search(corpus: DataFrame, queries: DataFrame, k: int, ident: str = "chunk", group: str = "doc", block: int = 2048, shard: int = 8192) -> DataFrame:
     """(query_id, <ident>, <group>, distance, rank): the k nearest of ``corpus(ident, group, tokens)`` for each ``queries(query_id, tokens)`` (V-02, V-03, V-07).
 
-    Ties go to the smaller ident. Rows without vectors take no part. A grid cell is one block of about ``block`` query
-    vectors and one shard of about ``shard`` corpus vectors, which bounds a task's memory.
+    Ties go to the smaller ident. Rows without vectors take no part. A block has about ``block`` query vectors and a shard
+    about ``shard`` corpus vectors; a task holds one of each at a time.
     """
     held = corpus.select(F.col(ident).alias("name"), F.col(group).alias("owner"), "tokens").where("size(tokens) > 0")
     asked = queries.select("query_id", "tokens").where("size(tokens) > 0")
     kinds = [queries.schema["query_id"].dataType.simpleString(), corpus.schema[ident].dataType.simpleString(), corpus.schema[group].dataType.simpleString()]
     blocks, shards = (max(1, math.ceil((rows.agg(F.sum(F.size("tokens"))).first()[0] or 0) / most)) for rows, most in ((asked, block), (held, shard)))
+    bands, cells = grid(blocks, shards)
     dealt = lambda rows, key, parts: rows.withColumns({"at": F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"), "part": F.size(F.get("tokens", F.lit(0)))})
-    left = _blocks(dealt(asked, "query_id", blocks), ["query_id"], "tokens", "q").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = _blocks(dealt(held, "name", shards), ["name", "owner"], "tokens", "c").withColumnRenamed("at", "shard").withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cells = left.join(right, ["at", "shard", "part"]).drop("at", "shard")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = _packed(dealt(asked, "query_id", blocks), ["query_id"], "q").withColumns({"band": F.col("at") % bands, "cell": every(cells)}).drop("at")
+    right = _packed(dealt(held, "name", shards), ["name", "owner"], "c").withColumns({"cell": F.col("at") % cells, "band": every(bands)}).drop("at")
+    tiles = left.join(right, ["cell", "band", "part"]).drop("band")
 
-    def score_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score_tiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples():
                 names, owners, ids = np.asarray(r.names), np.asarray(r.owners), np.asarray(r.query_ids)
-                distance = _distances(np.frombuffer(r.q_body).reshape(-1, r.part), np.asarray(r.q_sizes), np.frombuffer(r.c_body).reshape(-1, r.part), np.asarray(r.c_sizes))
+                distance = _distances(_unit_rows(r.q_body, r.q_kind, r.part), np.asarray(r.q_sizes), _unit_rows(r.c_body, r.c_kind, r.part), np.asarray(r.c_sizes))
                 keep = [_nearest(row, names, k) for row in distance]
                 at, q = np.concatenate(keep), np.repeat(np.arange(len(ids)), [len(x) for x in keep])
-                yield pd.DataFrame({"query_id": ids[q], "name": names[at], "owner": owners[at], "distance": distance[q, at]})
+                yield pd.DataFrame({"cell": r.cell, "query_id": ids[q], "name": names[at], "owner": owners[at], "distance": distance[q, at]})
 
-    found = cells.mapInPandas(score_cells, f"query_id {kinds[0]}, name {kinds[1]}, owner {kinds[2]}, distance double")
-    order = Window.partitionBy("query_id").orderBy("distance", "name")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = tiles.mapInPandas(score_tiles, f"cell int, query_id {kinds[0]}, name {kinds[1]}, owner {kinds[2]}, distance double")
+    nearest = lambda rows, *by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("distance", "name"))).where(F.col("rank") <= k)
+    best = nearest(nearest(found, "query_id", "cell").drop("rank"), "query_id") if cells > 1 else nearest(found, "query_id")
     return best.select("query_id", F.col("name").alias(ident), F.col("owner").alias(group), "distance", "rank")
 
 

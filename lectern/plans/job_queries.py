@@ -31,9 +31,24 @@ def _(lib):
     return lib.jobs.where("status = 'failed'").orderBy(F.desc("queued_at"), "doc_id").limit(50).select("doc_id", "queued_at")
 
 
-@query("J05_purge", "SELECT doc_id, status FROM lib_jobs WHERE NOT (status IN ('completed', 'failed') AND updated_at < TIMESTAMP '2024-01-20 00:00:00')")
+#: Every third job has no completion time, every seventh no status.
+ENDED = "SELECT doc_id, CASE WHEN changes % 7 <> 0 THEN status END AS status, CASE WHEN changes % 3 <> 0 THEN updated_at END AS completed_at FROM lib_jobs"
+OVER = "coalesce(status IN ('completed', 'failed') AND completed_at < TIMESTAMP '2024-01-20 00:00:00', false)"
+
+
+def _purged(lib):
+    jobs = lib.jobs.withColumns({"status": F.when(F.col("changes") % 7 != 0, F.col("status")), "completed_at": F.when(F.col("changes") % 3 != 0, F.col("updated_at"))})
+    return ops.purge(jobs, F.lit("2024-01-20 00:00:00").cast("timestamp"))
+
+
+@query("J05_purge", f"SELECT doc_id, status FROM ({ENDED}) WHERE NOT {OVER}")
+def _(lib):
+    return _purged(lib)[0].select("doc_id", "status")
+
+
+@query("J05_purged_count", f"SELECT count(*) FILTER (WHERE {OVER}) AS deleted FROM ({ENDED})")
 def _(lib):
-    return ops.purge(lib.jobs, F.lit("2024-01-20 00:00:00").cast("timestamp")).select("doc_id", "status")
+    return _purged(lib)[1]
 
 
 @query("J06_queue_summary", "SELECT count(*) FILTER (WHERE status IN ('queued', 'processing')) AS active, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) AS total FROM lib_jobs")
