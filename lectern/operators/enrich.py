@@ -23,6 +23,8 @@ class Settings:
     min_jaccard: float = 0.5
     largest_community: int = 20
     interval_s: int = 3600
+    recall: float = 0.95
+    exact: bool = False
     max_iter: int = 100
 
 
@@ -41,12 +43,20 @@ def both_directions(pairs: DataFrame, relation_type: str, metadata: Column) -> D
 def similar_edges(chunks: DataFrame, s: Settings) -> DataFrame:
     """similar_to: each document's representative against all chunks (E-02).
 
-    The nearest documents are scored again by exact MaxSim of the representatives; those of enough similarity get edges both
+    Candidates come from a hyperplane index that finds chunks of ``min_similarity`` with the chance ``recall``, or from the
+    whole corpus where ``exact`` is set; equal representatives ask once. The nearest documents are scored again by exact MaxSim of the representatives; those of enough similarity get edges both
     ways, a pair once with its best score.
     """
     rep = cut(representatives(chunks))
     asked = rep.select(F.col("doc").alias("query_id"), "tokens")
-    hits = vectors.search(chunks.select(F.col("id").alias("chunk"), "doc", "tokens"), asked, 10 * (s.neighbours + 1))
+    corpus, most = chunks.select(F.col("id").alias("chunk"), "doc", "tokens"), 10 * (s.neighbours + 1)
+    if s.exact:
+        hits = vectors.search(corpus, asked, most)
+    else:
+        classes = cut(asked.groupBy("tokens").agg(F.min("query_id").alias("first")))
+        found = vectors.search_near(corpus, classes.select(F.col("first").alias("query_id"), "tokens"), most, s.min_similarity, s.recall)
+        same = asked.join(classes, "tokens").select("query_id", "first")
+        hits = found.withColumnRenamed("query_id", "first").join(same, "first").drop("first")
     near = vectors.nearest_documents(hits, s.neighbours + 1).where("query_id <> doc")
     scored = vectors.reranked(near, asked, rep.select("doc", "tokens"), s.neighbours + 1).where(F.col("similarity") >= s.min_similarity)
     pairs = scored.groupBy(F.least("query_id", "doc").alias("a"), F.greatest("query_id", "doc").alias("b")).agg(F.max("similarity").alias("score"))

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.sources.shared import cut
+
 # Boost of a result for each edge to another result, by relation type.
 BOOSTS = {
     "similar_to": 0.04,
@@ -127,6 +129,73 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, ident: str = "chunk",
     return best.select("query_id", F.col("name").alias(ident), F.col("owner").alias(group), "distance", "rank")
 
 
+def index_size(vectors: int, similarity: float, recall: float, per_bucket: int = 64) -> tuple[int, int]:
+    """(bits, tables) of a hyperplane index: buckets of about ``per_bucket`` spread vectors, and as many tables as find two vectors of that cosine with that chance."""
+    bits = max(8, math.ceil(math.log2(max(vectors, 1) / per_bucket)))
+    same = (1 - math.acos(similarity) / math.pi) ** bits
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
+
+
+def signatures(rows: DataFrame, name: str, bits: int, tables: int, seed: int = 17) -> DataFrame:
+    """(name, part, table, sign): the sides of ``bits`` random hyperplanes on which each token vector lies, table by table; distinct within a row."""
+    kind = rows.schema[name].dataType.simpleString()
+    weights = 1 << np.arange(bits, dtype=np.int64)
+
+    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for ident, tokens in zip(frame[name], frame["tokens"]):
+                m = np.array([np.asarray(t, np.float64) for t in tokens])
+                if m.shape[1] not in planes:
+                    planes[m.shape[1]] = np.random.default_rng((seed, m.shape[1])).standard_normal((m.shape[1], tables * bits))
+                signs = ((m @ planes[m.shape[1]] > 0).reshape(len(m), tables, bits) * weights).sum(axis=2)
+                told = np.unique(np.stack([np.broadcast_to(np.arange(tables), signs.shape).ravel(), signs.ravel()], axis=1), axis=0)
+                yield pd.DataFrame({"name": [ident] * len(told), "part": m.shape[1], "table": told[:, 0], "sign": told[:, 1]})
+
+    return rows.select(name, "tokens").where("size(tokens) > 0").mapInPandas(sign, f"name {kind}, part int, table int, sign long")
+
+
+def search_near(corpus: DataFrame, queries: DataFrame, k: int, similarity: float = 0.7, recall: float = 0.95, most: int = 512, ident: str = "chunk", group: str = "doc") -> DataFrame:
+    """Like ``search``, among rows of at least about ``similarity`` to the query: a hyperplane index over the token vectors brings up candidates, which are scored exactly (E-02).
+
+    MaxSim is a mean over the query's tokens, so at least one of them has the mean's cosine to a token of the document; two
+    such vectors share a bucket with the chance ``recall``, more tokens only add to it. Equal rows count as one up to the k
+    that can be among a query's nearest; a bucket of more than ``most`` rows is not paired: its rows and queries meet in
+    the exact grid instead, so nothing is cut.
+    """
+    order = Window.partitionBy("tokens").orderBy(ident)
+    held = cut(corpus.select(ident, group, "tokens").where("size(tokens) > 0").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).drop("__n"))
+    asked = queries.select("query_id", "tokens").where("size(tokens) > 0")
+    bits, tables = index_size(held.agg(F.sum(F.size("tokens"))).first()[0] or 0, similarity, recall)
+    own = cut(signatures(held, ident, bits, tables))
+    keys = ["part", "table", "sign"]
+    sizes = own.groupBy(*keys).agg(F.count("*").alias("n"))
+    ours = own.select(F.col("name").alias(ident), *keys)
+    theirs = cut(signatures(asked, "query_id", bits, tables).select(F.col("name").alias("query_id"), *keys).join(sizes, keys))
+    pairs = theirs.where(F.col("n") <= most).join(ours, keys).select("query_id", ident).distinct()
+    scored = score_pairs(pairs, asked, held, ident, group)
+    crowded = theirs.where(F.col("n") > most)
+    grid_corpus = held.join(ours.join(crowded.select(*keys).distinct(), keys).select(ident).distinct(), ident)
+    rest = search(grid_corpus, asked.join(crowded.select("query_id").distinct(), "query_id"), k, ident, group).drop("rank")
+    both = scored.unionByName(rest).dropDuplicates(["query_id", ident])
+    best = both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", ident))).where(F.col("rank") <= k)
+    return best.select("query_id", ident, group, "distance", "rank")
+
+
+def score_pairs(pairs: DataFrame, asked: DataFrame, held: DataFrame, ident: str, group: str) -> DataFrame:
+    """(query_id, ident, group, distance) of given pairs, exactly."""
+    kinds = [asked.schema["query_id"].dataType.simpleString(), held.schema[ident].dataType.simpleString(), held.schema[group].dataType.simpleString()]
+    met = pairs.join(asked.withColumnRenamed("tokens", "__q"), "query_id").join(held.withColumnRenamed("tokens", "__d"), ident).select("query_id", ident, group, "__q", "__d")
+
+    def score_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit = lambda t: _unit_rows(np.array([np.asarray(v, np.float64) for v in t]).tobytes(), "<f8", len(t[0]))
+        for frame in frames:
+            distance = [round(1 - float((unit(q) @ unit(d).T).max(axis=1).mean()), 12) for q, d in zip(frame["__q"], frame["__d"])]
+            yield frame.drop(columns=["__q", "__d"]).assign(distance=distance)
+
+    return met.mapInPandas(score_rows, f"query_id {kinds[0]}, `{ident}` {kinds[1]}, `{group}` {kinds[2]}, distance double")
+
+
 def hybrid(visual: DataFrame, text: DataFrame, k: int) -> DataFrame:
     """Best of both sides for each (query, doc, page); visual wins ties (V-04). Sides hold (query_id, doc_id, page_num, distance)."""
     both = visual.withColumn("__side", F.lit(0)).unionByName(text.withColumn("__side", F.lit(1)))

@@ -38,7 +38,20 @@ def _(lib):
 @query("E02_similar_edges")
 def _(lib):
     v = lib.vectors.select(F.col("chunk").alias("id"), "doc", (F.col("chunk") % 3).alias("word_count"), "tokens")
-    return enrich.similar_edges(v, enrich.Settings(min_similarity=0.15))
+    return enrich.similar_edges(v, enrich.Settings(min_similarity=0.15, exact=True))
+
+
+def with_variants(lib):
+    """Chunks (id, doc, word_count, tokens) and a variant of each in a document of its own, its vectors bent a little."""
+    v = lib.vectors.select(F.col("chunk").alias("id"), "doc", (F.col("chunk") % 3).alias("word_count"), "tokens")
+    bent = F.transform("tokens", lambda t: F.transform(t, lambda x, i: (x * (F.lit(1.0) + F.lit(0.9) * F.sin(F.lit(1.7) * i + F.col("id")))).cast("float")))
+    return v.unionByName(v.select((F.col("id") + 1_000_000_000).alias("id"), (F.col("doc") + 1_000_000_000).alias("doc"), "word_count", bent.alias("tokens")))
+
+
+@query("E02_similar_edges_indexed")
+def _(lib):
+    """At the reference's threshold, by the candidate index."""
+    return enrich.similar_edges(with_variants(lib), enrich.Settings())
 
 
 @query("E03_heading_sets", "SELECT DISTINCT doc_id, lower(trim(unnest([parent_heading, section_path]), ' ')) AS heading FROM lib_chunks")

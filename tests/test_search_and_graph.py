@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import jobs, vectors
+from lectern.operators import enrich, graph, jobs, vectors
+from lectern.plans import catalog, registry
+from lectern.plans.context_queries import with_variants
 
 
 def plain_distance(q, d):
@@ -54,3 +56,32 @@ def test_purge(spark):
     assert {r.doc_id for r in left.collect()} == set("cdefg") and gone.first().deleted == 2
     left, gone = jobs.purge(t.where("false"), F.lit(5))
     assert left.count() == 0 and gone.first().deleted == 0
+
+
+def test_index_finds_what_the_exact_search_finds(spark, sf):
+    """Recall of the candidate index against the exact edges, on the library and a variant of each chunk."""
+    v = with_variants(registry.library(spark, sf)).cache()
+    told = lambda df: {(r.src_doc_id, r.dst_doc_id): r.metadata for r in df.collect()}
+    exact = told(enrich.similar_edges(v, enrich.Settings(exact=True)))
+    found = told(catalog.queries()["E02_similar_edges_indexed"](spark, sf))
+    assert len(exact) > 20 and found.items() <= exact.items() and len(found) >= 0.9 * len(exact)
+
+
+def test_index_with_copies_and_crowded_buckets(spark):
+    r = np.random.default_rng(5)
+    base = r.standard_normal((30, 2, 16))
+    rows = [(i, i % 50, (base[i % 30] + 0.15 * r.standard_normal((2, 16))).tolist()) for i in range(200)]
+    rows += [(1000 + i, 60 + i, base[0].tolist()) for i in range(40)]  # copies
+    corpus = spark.createDataFrame(rows, "chunk long, doc long, tokens array<array<double>>").repartition(4)
+    queries = corpus.where("chunk % 10 = 0").select(F.col("chunk").alias("query_id"), "tokens")
+    near = lambda rows: {(x.query_id, x["rank"]): (x.chunk, round(x.distance, 9)) for x in rows.where("distance < 0.3").collect()}
+    want = near(vectors.search(corpus, queries, 5))
+    for most in (3, 512):  # with nearly all buckets crowded, and with none
+        got = near(vectors.search_near(corpus, queries, 5, 0.7, 0.98, most))
+        assert sum(got.get(k) == x for k, x in want.items()) >= 0.95 * len(want) and len(want) > 80
+
+
+def test_index_size():
+    bits, tables = vectors.index_size(10**6, 0.7, 0.95)
+    same = (1 - np.arccos(0.7) / np.pi) ** bits
+    assert 1 - (1 - same) ** tables >= 0.95 > 1 - (1 - same) ** (tables - 1)
