@@ -206,41 +206,123 @@ def topological_layers(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame
 
 
 def has_cycle(vertices: DataFrame, edges: DataFrame) -> bool:
-    return topological_layers(vertices, edges)[1].limit(1).count() > 0
+    """Whether an edge leads to its own start or two documents lie on a common cycle (G-09)."""
+    ids = vertices.select("doc_id").distinct()
+    own = edge_set(edges, ids).select("src_doc_id", "dst_doc_id").distinct()
+    if own.where("src_doc_id = dst_doc_id").limit(1).count():
+        return True
+    turned = own.select(F.col("dst_doc_id").alias("src_doc_id"), F.col("src_doc_id").alias("dst_doc_id"))
+    if own.join(turned, ["src_doc_id", "dst_doc_id"], "left_semi").limit(1).count():
+        return True
+    return strong_components(ids, own).where("doc_id <> component").limit(1).count() > 0
 
 
 def strong_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(doc_id, component): strongly connected components by forward-backward colouring, named by their largest id (G-07)."""
-    left = cut(vertices.select("doc_id").distinct())
-    step = cut(edges.where("src_doc_id <> dst_doc_id").select(F.col("src_doc_id").alias("src"), F.col("dst_doc_id").alias("dst")).distinct())
-    done = None
+    """(doc_id, component): strongly connected components, named by their largest id (G-07).
+
+    The graph shrinks by rounds. Documents that point at each other merge, all that hang together at once by connected
+    components. Chains of documents with one edge in and one out become an edge, found by doubled pointers; a chain belongs to the
+    component of its two ends if they share one. Documents without an edge in or out go. All this takes rounds in the log
+    of the longest chain. What none of it shrinks is split by colours: the largest id that reaches each document, in as
+    many rounds as the longest way in what is left.
+    """
+    names = cut(vertices.select("doc_id").distinct())
+    step = cut(edge_set(edges, names).where("src_doc_id <> dst_doc_id").select(F.col("src_doc_id").alias("src"), F.col("dst_doc_id").alias("dst")).distinct())
+    label = names.withColumn("at", F.col("doc_id"))
+    chains = []
     for _ in range(max_rounds):
-        if not left.limit(1).count():
+        if not step.limit(1).count():
             break
-        own = cut(step.join(left.withColumnRenamed("doc_id", "src"), "src", "left_semi").join(left.withColumnRenamed("doc_id", "dst"), "dst", "left_semi"))
-        colour = cut(left.withColumn("c", F.col("doc_id")))
-        while True:  # the largest id that reaches each vertex
-            got = own.join(colour.select(F.col("doc_id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("doc_id")).agg(F.max("c").alias("g"))
-            fresh = cut(colour.join(got, "doc_id", "left").select("doc_id", "c", F.greatest("c", F.coalesce("g", "c")).alias("n")))
-            moved = fresh.where("c <> n").limit(1).count()
-            colour = fresh.select("doc_id", F.col("n").alias("c"))
-            if not moved:
-                break
-        roots = cut(colour.where("doc_id = c"))
-        held = roots
-        while True:  # what reaches its colour's root inside the colour
-            back = own.join(held.select(F.col("doc_id").alias("dst"), "c"), "dst").select(F.col("src").alias("doc_id"), "c").distinct().join(colour, ["doc_id", "c"], "left_semi")
-            fresh = cut(back.join(held, "doc_id", "left_anti"))
-            if not fresh.limit(1).count():
-                break
-            held = cut(held.unionByName(fresh))
-        found = held.select("doc_id", F.col("c").alias("component"))
-        done = found if done is None else cut(done.unionByName(found))
-        left = cut(left.join(found, "doc_id", "left_anti"))
+        turned = step.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        mutual = cut(step.join(turned, ["src", "dst"], "left_semi").where("src < dst"))
+        if mutual.limit(1).count():
+            ends = mutual.select("src").union(mutual.select("dst")).distinct().withColumnRenamed("src", "doc_id")
+            groups = cut(connected_components(ends, mutual.select(F.col("src").alias("src_doc_id"), F.col("dst").alias("dst_doc_id"))).select(F.col("doc_id").alias("at"), F.col("component").alias("root")))
+            label, step = relabelled(label, groups), contracted(step, groups)
+            continue
+        before = step.count()
+        step, chain = without_chains(step)
+        if chain is not None:
+            rings = chain.where("src is null").select("at", "root")
+            label = relabelled(label, rings)
+            chains.append(chain.where("src is not null").select("at", "src", "dst"))
+        both = step.select("src").distinct().join(step.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        step = cut(step.join(both, "src", "left_semi").join(both.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"))
+        if chain is None and step.count() == before:
+            groups = coloured(step)
+            label = relabelled(label, groups)
+            gone = groups.select(F.col("at").alias("src"))
+            step = cut(step.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti"))
     else:
-        if left.limit(1).count():
-            raise RuntimeError("strong components did not settle")
-    return done if done is not None else left.withColumn("component", F.col("doc_id"))
+        raise RuntimeError("strong components did not settle")
+    for chain in reversed(chains):
+        held = label.select("doc_id", F.col("at").alias("root"))
+        ends = chain.join(held.withColumnRenamed("doc_id", "src"), "src").join(held.select(F.col("doc_id").alias("dst"), F.col("root").alias("other")), "dst")
+        label = relabelled(label, ends.where("root = other").select("at", "root"))
+    top = label.groupBy("at").agg(F.max("doc_id").alias("component"))
+    return label.join(top, "at").select("doc_id", "component")
+
+
+def relabelled(label: DataFrame, groups: DataFrame) -> DataFrame:
+    """(doc_id, at) with ``at`` replaced by groups(at, root) where it is there."""
+    return cut(label.join(groups, "at", "left").select("doc_id", F.coalesce("root", "at").alias("at")))
+
+
+def contracted(step: DataFrame, groups: DataFrame) -> DataFrame:
+    """Edges between the groups' roots, without loops and repeats."""
+    one = step.join(groups.select(F.col("at").alias("src"), F.col("root").alias("r")), "src", "left").select(F.coalesce("r", "src").alias("src"), "dst")
+    two = one.join(groups.select(F.col("at").alias("dst"), F.col("root").alias("r")), "dst", "left").select("src", F.coalesce("r", "dst").alias("dst"))
+    return cut(two.where("src <> dst").distinct())
+
+
+def without_chains(step: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(edges in which each chain is one edge, chain (at, src, dst, root)): the ends outside of each vertex with one edge in and one out.
+
+    A ring of such vertices has no ends; its vertices have the smallest as ``root`` instead. None where there is no chain.
+    """
+    into = step.groupBy(F.col("dst").alias("at")).agg(F.count("*").alias("n_in"), F.min("src").alias("src"))
+    out = step.groupBy(F.col("src").alias("at")).agg(F.count("*").alias("n_out"), F.min("dst").alias("dst"))
+    inner = cut(into.join(out, "at").where("n_in = 1 and n_out = 1").select("at", "src", "dst"))
+    n = inner.count()
+    if not n:
+        return step, None
+    now, reach = inner.select("at", "src", "dst", F.col("at").alias("low")), 1
+    while True:
+        back = now.select(F.col("at").alias("src"), F.col("src").alias("src2"), F.col("low").alias("low2"))
+        ahead = now.select(F.col("at").alias("dst"), F.col("dst").alias("dst2"))
+        met = cut(now.join(back, "src", "left").join(ahead, "dst", "left"))
+        open_ended = met.where("src2 is not null or dst2 is not null").limit(1).count() > 0
+        ring = F.col("src2").isNotNull() & F.col("dst2").isNotNull()
+        if not open_ended or reach > n:
+            chain = met.select("at", F.when(~ring, F.col("src")).alias("src"), F.when(~ring, F.col("dst")).alias("dst"), F.when(ring, F.least("low", "low2")).alias("root"))
+            chain = cut(chain)
+            break
+        now = met.select("at", F.coalesce("src2", "src").alias("src"), F.coalesce("dst2", "dst").alias("dst"), F.least("low", "low2").alias("low"))
+        reach *= 2
+    own = inner.select("at")
+    rest = step.join(own.withColumnRenamed("at", "src"), "src", "left_anti").join(own.withColumnRenamed("at", "dst"), "dst", "left_anti").select("src", "dst")
+    return cut(rest.unionByName(chain.where("src is not null and src <> dst").select("src", "dst")).distinct()), chain
+
+
+def coloured(step: DataFrame) -> DataFrame:
+    """(at, root): the strong components of the vertices that no larger id outside of their component reaches."""
+    own = step
+    colour = cut(step.select(F.col("src").alias("doc_id")).union(step.select("dst")).distinct().withColumn("c", F.col("doc_id")))
+    while True:  # the largest id that reaches each vertex; what reaches that one does too
+        got = own.join(colour.select(F.col("doc_id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("doc_id")).agg(F.max("c").alias("g"))
+        far = colour.select(F.col("doc_id").alias("c"), F.col("c").alias("f"))
+        fresh = cut(colour.join(got, "doc_id", "left").join(far, "c").select("doc_id", "c", F.greatest("c", F.coalesce("g", "c"), "f").alias("n")))
+        moved = fresh.where("c <> n").limit(1).count()
+        colour = fresh.select("doc_id", F.col("n").alias("c"))
+        if not moved:
+            break
+    held = edge = cut(colour.where("doc_id = c"))
+    while True:  # what reaches its colour's root inside the colour
+        back = own.join(edge.select(F.col("doc_id").alias("dst"), "c"), "dst").select(F.col("src").alias("doc_id"), "c").distinct().join(colour, ["doc_id", "c"], "left_semi")
+        edge = cut(back.join(held, "doc_id", "left_anti"))
+        if not edge.limit(1).count():
+            return held.select(F.col("doc_id").alias("at"), F.col("c").alias("root"))
+        held = cut(held.unionByName(edge))
 
 
 def relations_of(relations: DataFrame, keys: DataFrame, direction: str = "both", relation_type: str | None = None) -> DataFrame:

@@ -64,6 +64,26 @@ def _(lib):
     return ops.strong_components(*_types(lib))
 
 
+@query(
+    "G07_strong_components_relations",
+    """SELECT d.doc_id, coalesce(m.top, d.doc_id) AS component FROM lib_documents d LEFT JOIN (
+WITH RECURSIVE e AS (SELECT DISTINCT src_doc_id AS s, dst_doc_id AS t FROM lib_relations), r AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s)
+SELECT a.s, max(a.t) AS top FROM r a JOIN r b ON a.s = b.t AND a.t = b.s GROUP BY a.s) m ON d.doc_id = m.s""",
+)
+def _(lib):
+    return ops.strong_components(lib.documents, lib.relations)
+
+
+@query(
+    "G09_has_cycle_relations",
+    """SELECT 'all' AS relations, EXISTS (SELECT 1 FROM lib_relations a JOIN lib_relations b ON a.src_doc_id = b.dst_doc_id AND a.dst_doc_id = b.src_doc_id) AS cyclic
+UNION ALL SELECT 'series_member', EXISTS (SELECT 1 FROM lib_relations WHERE relation_type = 'series_member' AND CAST(src_doc_id AS BIGINT) >= CAST(dst_doc_id AS BIGINT))""",
+)
+def _(lib):
+    found = [("all", ops.has_cycle(lib.documents, lib.relations)), ("series_member", ops.has_cycle(lib.documents, lib.relations.where(SERIES)))]
+    return lib.spark.createDataFrame(found, "relations string, cyclic boolean")
+
+
 LAYERS = "SELECT doc_id, CAST(CASE WHEN project_id IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY project_id ORDER BY num) - 1 END AS INTEGER) AS layer FROM lib_documents"
 
 

@@ -85,3 +85,48 @@ def test_index_size():
     bits, tables = vectors.index_size(10**6, 0.7, 0.95)
     same = (1 - np.arccos(0.7) / np.pi) ** bits
     assert 1 - (1 - same) ** tables >= 0.95 > 1 - (1 - same) ** (tables - 1)
+
+
+def plain_components(ids, pairs):
+    ahead = defaultdict(set)
+    for a, b in pairs:
+        if a in ids and b in ids:
+            ahead[a].add(b)
+
+    def reach(v):
+        seen, todo = set(), [v]
+        while todo:
+            for w in ahead[todo.pop()] - seen:
+                seen.add(w)
+                todo.append(w)
+        return seen
+
+    far = {v: reach(v) for v in ids}
+    return {v: max([v, *(w for w in far[v] if v in far[w])]) for v in ids}
+
+
+def relations(spark, pairs):
+    return spark.createDataFrame([(a, b, "r") for a, b in pairs], "src_doc_id string, dst_doc_id string, relation_type string")
+
+
+def test_strong_components(spark):
+    r = random.Random(2)
+    ids = [f"{i:03}" for i in range(90)]
+    ring = [(ids[i], ids[(i + 1) % 20]) for i in range(20)]
+    tail = [(ids[i], ids[i + 1]) for i in range(19, 40)]
+    ear = [(ids[3], ids[41]), (ids[41], ids[42]), (ids[42], ids[10])]
+    core = [(r.choice(ids[45:70]), r.choice(ids[45:70])) for _ in range(45)]
+    odd = [(ids[80], ids[80]), (ids[81], ids[82]), (ids[82], ids[81]), (ids[83], "elsewhere"), (ids[81], ids[82])]
+    pairs = ring + tail + ear + core + odd
+    docs = spark.createDataFrame([(i,) for i in ids], "doc_id string")
+    got = {x.doc_id: x.component for x in graph.strong_components(docs, relations(spark, pairs)).collect()}
+    assert got == plain_components(set(ids), pairs)
+
+
+def test_cycles(spark):
+    docs = spark.createDataFrame([(i,) for i in "ABCDEF"], "doc_id string")
+    has = lambda *pairs: graph.has_cycle(docs, relations(spark, pairs))
+    assert not has(("A", "B"), ("A", "C"), ("B", "D"), ("C", "D"), ("D", "E"))
+    assert has(("A", "A")) and has(("A", "B"), ("B", "A")) and has(("A", "B"), ("B", "C"), ("C", "A"), ("A", "D"))
+    assert not has(("A", "X"), ("X", "A"))
+    assert not graph.has_cycle(docs.where("false"), relations(spark, [("A", "A")]))
