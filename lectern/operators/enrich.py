@@ -141,6 +141,61 @@ def full_run(spark: SparkSession, steps: dict, s: Settings | None = None) -> Dat
     return spark.createDataFrame(rows, "step string, rows long, error string, ms long, settled boolean")
 
 
+def stored_run(
+    documents: DataFrame, relations: DataFrame, chunks: DataFrame, vector_chunks: DataFrame, s: Settings, path: str, run: int = 0, project_id: str | None = None, at: Column | None = None
+) -> DataFrame:
+    """The four steps with their results kept under ``path``; gives one row a step as ``full_run`` (E-07).
+
+    Each run writes folders of its own, named by its number, so a repeated run replaces what it wrote before and nothing
+    else: ``edges/relation_type=T/run=N`` and ``properties/run=N``, the documents with their graph metadata. A step that
+    fails leaves the edges of the last run that made them. Within ``project_id`` only its documents, chunks and relations
+    take part, and the edges of a type are replaced as a whole. Every step reads the relations as they were when the run
+    began.
+    """
+    spark = documents.sparkSession
+    if project_id is not None:
+        ids = cut(documents.where(F.col("project_id") == project_id).select("doc_id"))
+        relations, documents = graph.edge_set(relations, ids), documents.join(ids, "doc_id", "left_semi")
+        chunks = chunks.join(ids, "doc_id", "left_semi")
+        vector_chunks = vector_chunks.join(ids, vector_chunks["doc"].cast("string") == ids["doc_id"], "left_semi")
+    steps = enrichment_steps(documents, relations, chunks, vector_chunks, s)
+
+    def kept(name: str) -> tuple[DataFrame, bool | None]:
+        made = steps[name]()
+        df, settled = made if isinstance(made, tuple) else (made, None)
+        if name == "node_properties":
+            folder = f"{path}/properties/run={run}"
+            shown = with_graph_metadata(documents, df, at).select("doc_id", "metadata")
+            shown.write.mode("overwrite").parquet(folder)
+            return df, settled
+        folder = f"{path}/edges/relation_type={name}/run={run}"
+        df.select(F.col("src_doc_id").cast("string"), F.col("dst_doc_id").cast("string"), "metadata").write.mode("overwrite").parquet(folder)
+        return spark.read.schema("src_doc_id string, dst_doc_id string, metadata string").parquet(folder), settled
+
+    report = full_run(spark, {name: lambda name=name: kept(name) for name in steps}, s)
+    report.coalesce(1).write.mode("overwrite").parquet(f"{path}/report/run={run}")  # four rows
+    return spark.read.schema(report.schema).parquet(f"{path}/report/run={run}")
+
+
+def stored_relations(spark: SparkSession, path: str, relations: DataFrame | None = None) -> DataFrame:
+    """The edges of each computed type from its last good run, with those of other types from ``relations`` (S-14, E-07)."""
+    report = spark.read.schema("step string, rows long, error string, run int").option("basePath", f"{path}/report").parquet(f"{path}/report/run=*")
+    last = report.where("error is null and step <> 'node_properties'").groupBy(F.col("step").alias("relation_type")).agg(F.max("run").alias("run"))
+    schema = "src_doc_id string, dst_doc_id string, metadata string, relation_type string, run int"
+    edges = spark.read.schema(schema).option("basePath", f"{path}/edges").parquet(f"{path}/edges/relation_type=*/run=*")
+    found = edges.join(F.broadcast(last), ["relation_type", "run"]).select("src_doc_id", "dst_doc_id", "relation_type", "metadata")  # at most three rows
+    if relations is None:
+        return found
+    others = relations.join(F.broadcast(last.select("relation_type")), "relation_type", "left_anti")
+    return others.unionByName(found, allowMissingColumns=True).select("src_doc_id", "dst_doc_id", "relation_type", "metadata")
+
+
+def stored_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, metadata) of each document from the last run that had it (E-06, E-07)."""
+    runs = spark.read.schema("doc_id string, metadata string, run int").option("basePath", f"{path}/properties").parquet(f"{path}/properties/run=*")
+    return runs.groupBy("doc_id").agg(F.max_by("metadata", "run").alias("metadata"))
+
+
 def without_own_edges(relations: DataFrame, relation_type: str) -> DataFrame:
     """Input of a computed type: all edges but those it will replace."""
     return relations.where(F.col("relation_type") != relation_type)

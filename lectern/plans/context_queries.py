@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lectern.operators import context as ops
 from lectern.operators import enrich, graph
 from lectern.plans.registry import query
+from lectern.sources.shared import shared_folder
 
 HITS = """, hits AS (SELECT project_id AS query_id, c.doc_id, page_num, pos, c.id AS chunk_id, c.text, d.num % 2 = 0 AS is_visual, ((d.num * 37 + pos * 11) % 100) / 100.0::DOUBLE AS score FROM lib_chunks c JOIN lib_documents d ON c.doc_id = d.doc_id WHERE word_count > 20),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, page_num ORDER BY score DESC, pos, chunk_id) AS k FROM hits),
@@ -106,6 +109,48 @@ def _(lib):
     return stored.select("doc_id", "metadata")
 
 
+def _stored(lib, s, project_id=None):
+    path = f"{shared_folder(lib.spark)}/lectern-enriched-{uuid.uuid4().hex}"
+    report = enrich.stored_run(lib.documents.withColumn("metadata", F.to_json(F.struct("lang"))), lib.relations, lib.chunks, with_variants(lib), s, path, project_id=project_id)
+    return path, report
+
+
+@query("E07_stored_edges")
+def _(lib):
+    """The library's relations after a full run over all documents."""
+    path, _ = _stored(lib, enrich.Settings())
+    return enrich.stored_relations(lib.spark, path, lib.relations)
+
+
+@query("E07_stored_edges_of_a_project")
+def _(lib):
+    path, _ = _stored(lib, enrich.Settings(), "src1")
+    return enrich.stored_relations(lib.spark, path).select("src_doc_id", "dst_doc_id", "relation_type")
+
+
+H = ", h AS (SELECT DISTINCT doc_id, lower(trim(unnest([parent_heading, section_path]), ' ')) AS heading FROM lib_chunks), n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1), s AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM h a JOIN h b ON a.heading = b.heading AND a.doc_id < b.doc_id GROUP BY ALL)"
+
+
+@query(
+    "E08_settings",
+    H
+    + """ SELECT t AS min_jaccard, m AS largest_community,
+(SELECT 2 * count(*) FROM s JOIN n x ON s.a = x.doc_id JOIN n y ON s.b = y.doc_id WHERE c >= t * (x.n + y.n - c)) AS topic_edges,
+(SELECT coalesce(sum(k * (k - 1)), 0)::BIGINT FROM (SELECT count(*) AS k FROM lib_documents WHERE project_id IS NOT NULL GROUP BY project_id, lang) WHERE k <= m) AS community_edges
+FROM (VALUES (0.5::DOUBLE, 20), (0.3::DOUBLE, 60)) v(t, m)""",
+)
+def _(lib):
+    """Edges made under the reference's settings and under looser ones."""
+    c = lib.documents.where("project_id is not null").select("doc_id", F.concat("project_id", F.lit("-"), "lang").alias("community"))
+    headings = enrich.heading_sets(lib.chunks)
+    rows = None
+    for s in (enrich.Settings(), enrich.Settings(min_jaccard=0.3, largest_community=60)):
+        topics = enrich.topic_edges(headings, s).agg(F.count("*").alias("topic_edges"))
+        row = topics.join(enrich.community_edges(c, s).agg(F.count("*").alias("community_edges"))).select(F.lit(s.min_jaccard).alias("min_jaccard"), F.lit(s.largest_community).alias("largest_community"), "topic_edges", "community_edges")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 @query("E07_full_run")
 def _(lib):
     v = lib.vectors.select(F.col("chunk").alias("id"), "doc", (F.col("chunk") % 3).alias("word_count"), "tokens")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import context, enrich, ingest, library, vectors
+from lectern.operators import context, enrich, graph, ingest, library, vectors
 from lectern.plans.registry import query
 from lectern.sources.schemas import CONTEXT, schema
 from lectern.sources.shared import shared_folder
@@ -133,17 +133,21 @@ def _(lib):
 SELECT d.doc_id, coalesce(h.hub, 0) AS hub_score, d.lang AS kept FROM lib_documents d LEFT JOIN h ON d.doc_id = h.doc_id""",
 )
 def _(lib):
-    """Each batch of arriving documents has the library enriched again; the last run's metadata counts."""
+    """Each batch of arriving documents is added to the library, which is then enriched in all four steps and stored.
+
+    A batch and its run are written under the batch's number, so a repeated batch changes nothing.
+    """
     path = f"{shared_folder(lib.spark)}/lectern-enriched-{uuid.uuid4().hex}"
-    documents = lib.documents.withColumn("metadata", F.to_json(F.struct("lang")))
+    known = lib.documents.withColumn("metadata", F.to_json(F.struct("lang")))
+    vectors = lib.vectors.select(F.col("chunk").alias("id"), "doc", F.lit(1).alias("word_count"), "tokens")
 
     def run(batch, epoch):
-        steps = enrich.enrichment_steps(documents, lib.relations, lib.chunks, lib.vectors.select(F.col("chunk").alias("id"), "doc", F.lit(1).alias("word_count"), "tokens"), enrich.Settings())
-        properties = steps["node_properties"]()[0]
-        enrich.with_graph_metadata(documents, properties).select("doc_id", "metadata").write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        batch.select(F.col("doc_id").cast("string").alias("doc_id")).write.mode("overwrite").parquet(f"{path}/arrived/batch={epoch}")
+        arrived = lib.spark.read.schema("doc_id string, batch int").option("basePath", f"{path}/arrived").parquet(f"{path}/arrived/batch=*").where(F.col("batch") <= epoch).select("doc_id").distinct()
+        documents = known.join(arrived, "doc_id", "left_semi")
+        own = vectors.join(arrived, vectors["doc"].cast("string") == arrived["doc_id"], "left_semi")
+        enrich.stored_run(documents, graph.edge_set(lib.relations, arrived), lib.chunks.join(arrived, "doc_id", "left_semi"), own, enrich.Settings(), path, run=epoch)
 
     streams.enriched_periodically(streams.table_stream(lib.spark, f"{lib.dir}/documents.parquet"), run)
-    stored = lib.spark.read.schema("doc_id string, metadata string, batch int").option("basePath", path).parquet(f"{path}/batch=*")
-    last = stored.groupBy("doc_id").agg(F.max_by("metadata", "batch").alias("metadata"))
     told = F.from_json("metadata", "lang string, graph struct<hub_score: long, enriched_at: string>")
-    return last.select("doc_id", told.alias("m")).where("m.graph.enriched_at is not null").select("doc_id", F.col("m.graph.hub_score").alias("hub_score"), F.col("m.lang").alias("kept"))
+    return enrich.stored_metadata(lib.spark, path).select("doc_id", told.alias("m")).where("m.graph.enriched_at is not null").select("doc_id", F.col("m.graph.hub_score").alias("hub_score"), F.col("m.lang").alias("kept"))

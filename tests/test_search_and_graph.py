@@ -115,7 +115,7 @@ def test_strong_components(spark):
     ring = [(ids[i], ids[(i + 1) % 20]) for i in range(20)]
     tail = [(ids[i], ids[i + 1]) for i in range(19, 40)]
     ear = [(ids[3], ids[41]), (ids[41], ids[42]), (ids[42], ids[10])]
-    core = [(r.choice(ids[45:70]), r.choice(ids[45:70])) for _ in range(45)]
+    core = [(r.choice(ids[45:53]), r.choice(ids[45:53])) for _ in range(14)]
     odd = [(ids[80], ids[80]), (ids[81], ids[82]), (ids[82], ids[81]), (ids[83], "elsewhere"), (ids[81], ids[82])]
     pairs = ring + tail + ear + core + odd
     docs = spark.createDataFrame([(i,) for i in ids], "doc_id string")
@@ -130,3 +130,37 @@ def test_cycles(spark):
     assert has(("A", "A")) and has(("A", "B"), ("B", "A")) and has(("A", "B"), ("B", "C"), ("C", "A"), ("A", "D"))
     assert not has(("A", "X"), ("X", "A"))
     assert not graph.has_cycle(docs.where("false"), relations(spark, [("A", "A")]))
+
+
+def test_stored_run(spark, sf, tmp_path):
+    """A run's stored edges equal the steps alone; repeats change nothing, failures keep what was, scopes hold."""
+    lib = registry.library(spark, sf)
+    s = enrich.Settings(min_similarity=0.7)
+    docs = lib.documents.where("num < 60").withColumn("metadata", F.lit('{"a":1}')).cache()
+    held = graph.edge_set(lib.relations, docs).cache()
+    chunks = lib.chunks.join(docs.select("doc_id"), "doc_id", "left_semi").cache()
+    path = str(tmp_path / "kept")
+    told = lambda df: {(r.src_doc_id, r.dst_doc_id, r.relation_type) for r in df.collect()}
+    vectors_ = with_variants(lib).cache()
+    report = enrich.stored_run(docs, held, chunks, vectors_, s, path)
+    assert {r.step: r.error for r in report.collect()} == dict.fromkeys(("similar_to", "same_topic", "overlaps_topic", "node_properties"))
+    first = told(enrich.stored_relations(spark, path, held))
+    want = told(held) | told(enrich.similar_edges(vectors_, s)) | told(enrich.topic_edges(enrich.heading_sets(chunks), s))
+    want |= told(enrich.community_edges(graph.label_propagation(docs, held), s))
+    strings = {(str(a), str(b), t) for a, b, t in want}
+    assert first == strings and {"similar_to", "same_topic"} <= {t for _, _, t in first}
+    metadata = {r.doc_id: r.metadata for r in enrich.stored_metadata(spark, path).collect()}
+    assert len(metadata) == 60 and all('"a":1' in m and '"graph"' in m for m in metadata.values())
+    broken = vectors_.select("id", "doc", "word_count", F.raise_error(F.lit("no vectors")).cast("array<array<float>>").alias("tokens"))
+    report = enrich.stored_run(docs, held, chunks.where("false"), broken, s, path, run=1)
+    errors = {r.step: r.error for r in report.collect()}
+    assert errors["similar_to"] and not errors["same_topic"]
+    second = told(enrich.stored_relations(spark, path, held))
+    assert {x for x in second if x[2] == "similar_to"} == {x for x in first if x[2] == "similar_to"}
+    assert not {x for x in second if x[2] == "same_topic"}
+
+
+def test_stored_run_of_a_project(spark, sf):
+    edges = catalog.queries()["E07_stored_edges_of_a_project"](spark, sf).collect()
+    own = {r.doc_id for r in registry.library(spark, sf).documents.where("project_id = 'src1'").collect()}
+    assert edges and all({r.src_doc_id, r.dst_doc_id} <= own for r in edges)
