@@ -6,12 +6,13 @@ every round with reliable checkpoints in the folder named by spark.checkpoint.di
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.sources.shared import cut
+from lectern.sources.shared import cut, shared_folder
 
 
 def edge_set(relations: DataFrame, documents: DataFrame, project_id: str | None = None) -> DataFrame:
@@ -256,16 +257,19 @@ def strong_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 1
     else:
         raise RuntimeError("strong components did not settle")
     for chain in reversed(chains):
-        held = label.select("doc_id", F.col("at").alias("root"))
-        ends = chain.join(held.withColumnRenamed("doc_id", "src"), "src").join(held.select(F.col("doc_id").alias("dst"), F.col("root").alias("other")), "dst")
-        label = relabelled(label, ends.where("root = other").select("at", "root"))
+        ends = chain.select("at", F.explode(F.array("src", "dst")).alias("doc_id")).join(label.withColumnRenamed("at", "root"), "doc_id")
+        both = cut(ends.groupBy("at").agg(F.min("root").alias("root"), F.max("root").alias("other")))
+        label = relabelled(label, both.where("root = other").select("at", "root"))
     top = label.groupBy("at").agg(F.max("doc_id").alias("component"))
     return label.join(top, "at").select("doc_id", "component")
 
 
 def relabelled(label: DataFrame, groups: DataFrame) -> DataFrame:
-    """(doc_id, at) with ``at`` replaced by groups(at, root) where it is there."""
-    return cut(label.join(groups, "at", "left").select("doc_id", F.coalesce("root", "at").alias("at")))
+    """(doc_id, at) with ``at`` replaced by groups(at, root) where it is there; as a table, since planning slows down with repeated checkpoints of joins."""
+    spark = label.sparkSession
+    path = f"{shared_folder(spark)}/lectern-labels-{uuid.uuid4().hex}"
+    label.join(groups, "at", "left").select("doc_id", F.coalesce("root", "at").alias("at")).write.parquet(path)
+    return spark.read.schema("doc_id string, at string").parquet(path)
 
 
 def contracted(step: DataFrame, groups: DataFrame) -> DataFrame:
