@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Citation and sentence patterns, abbreviations, chunk marker formats.
 CITATION = r"\[\[?(\d+)\](?:\]\([^\)]+\))?\]?"
@@ -172,19 +173,49 @@ def chunk_positions(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return heads.join(documents.select("doc_id", "markdown"), "doc_id").mapInPandas(run, "id string, doc_id string, position long")
 
 
-def with_markers(placed: DataFrame, documents: DataFrame) -> DataFrame:
-    """Documents with markers around their located chunks, inserted from last to first (M-02); placed(doc_id, id, page_num, section_path, position, length)."""
-    item = F.struct(F.col("position").cast("int").alias("position"), "id", "page_num", "section_path", "length")
-    lists = placed.where("position is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list(item), asc=False).alias("places"))
+def _wrapped(text: str, places: list) -> str:
+    """``text`` with a wrapper around each place (position, head, length); places come from last to first.
+
+    A place reaches ``length`` characters on from its position in the text as it stands by then, later wrappers included.
+    The text from the last position on is kept as pieces, first piece on top; a place takes its characters off the top and
+    puts them back as one piece, so the work is the sum of the lengths and not places times text.
+    """
+    pieces: list[str] = []
+    begun = len(text)
+    for place in places:
+        at, left = min(place["position"], begun), place["length"]
+        pieces.append(text[at:begun])
+        begun, inside = at, []
+        while pieces and left > 0:
+            piece = pieces.pop()
+            if len(piece) > left:
+                pieces.append(piece[left:])
+                piece = piece[:left]
+            inside.append(piece)
+            left -= len(piece)
+        pieces.append("\n</div>\n")
+        pieces.append("".join([place["head"], *inside]))
+    return text[:begun] + "".join(reversed(pieces))
+
+
+@F.pandas_udf(T.StringType())
+def _with_wrappers(texts: pd.Series, places: pd.Series) -> pd.Series:
+    return pd.Series([t if t is None or p is None else _wrapped(t, p) for t, p in zip(texts, places)], dtype=object)
 
-    def insert(text: Column, x: Column) -> Column:
-        page, section = x["page_num"].cast("string"), F.regexp_replace(F.coalesce(x["section_path"], F.lit("")), '"', "&quot;")
-        head = F.concat(F.lit("<!-- chunk:"), x["id"], F.lit(" page:"), page, F.lit(' section:"'), section, F.lit('" -->\n<div data-chunk-id="'), x["id"], F.lit('" data-page="'), page, F.lit('" data-section="'), section, F.lit('">\n'))
-        end = F.least(x["position"] + x["length"], F.length(text)).cast("int")
-        return F.concat(F.substr(text, F.lit(1), x["position"]), head, F.substr(text, x["position"] + 1, end - x["position"]), F.lit("\n</div>\n"), F.substr(text, end + 1))
 
+def with_markers(placed: DataFrame, documents: DataFrame) -> DataFrame:
+    """Documents with markers around their located chunks, inserted from last to first (M-02); placed(doc_id, id, page_num, section_path, position, length).
+
+    A chunk without a page number is on page 1, one without a length is empty; a document without a located chunk stays as it is.
+    """
+    page, section = F.coalesce("page_num", F.lit(1)).cast("string"), F.regexp_replace(F.coalesce("section_path", F.lit("")), '"', "&quot;")
+    head = F.concat(F.lit("<!-- chunk:"), "id", F.lit(" page:"), page, F.lit(' section:"'), section, F.lit('" -->\n<div data-chunk-id="'), "id", F.lit('" data-page="'), page, F.lit('" data-section="'), section, F.lit('">\n'))
+    item = F.struct(F.col("position").cast("int").alias("position"), "id", "page_num", "section_path", F.coalesce("length", F.lit(0)).alias("length"), head.alias("head"))
+    ordered = F.sort_array(F.collect_list(item), asc=False)
+    slim = F.transform(ordered, lambda x: F.struct(x["position"].alias("position"), x["length"].alias("length"), x["head"].alias("head")))
+    lists = placed.where("position is not null").groupBy("doc_id").agg(slim.alias("places"))
     joined = documents.join(lists, "doc_id", "left")
-    return joined.withColumn("marked", F.when(F.col("places").isNull(), F.col("markdown")).otherwise(F.aggregate("places", F.col("markdown"), insert))).drop("places")
+    return joined.withColumn("marked", F.when(F.col("places").isNull(), F.col("markdown")).otherwise(_with_wrappers("markdown", "places"))).drop("places")
 
 
 def marker_audit(text: Column) -> Column:

@@ -78,24 +78,59 @@ def with_context(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.try_parse_json("context").isNotNull()).select("doc_id", told["parent_heading"].alias("parent_heading"), path.alias("section_path"))
 
 
+def _sets(headings: DataFrame) -> DataFrame:
+    return headings.groupBy("doc_id").agg(F.sort_array(F.collect_set("heading")).alias("headings"))
+
+
+def topic_classes(headings: DataFrame) -> DataFrame:
+    """(class_id, headings, members): each distinct set of headings, named after its smallest document (E-04)."""
+    return _sets(headings).groupBy("headings").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members")).select("class_id", "headings", "members")
+
+
+def topic_links(classes: DataFrame, s: Settings) -> DataFrame:
+    """(a, b, jaccard, shared) of different classes whose sets have a Jaccard of at least min_jaccard, a before b (E-04).
+
+    Headings are ranked from rare to common. The smaller set of a pair is looked up by its first headings only, the larger
+    one by somewhat more of them, and the places of a heading in both bound what the sets can share. A heading of a third
+    of all documents is thus looked up in sets that consist of little else.
+    """
+    t = s.min_jaccard
+    single = classes.select("class_id", F.size("headings").alias("n"), F.explode("headings").alias("heading"))
+    freq = single.groupBy("heading").agg(F.count("*").alias("df"))
+    ranked = single.join(freq, "heading").withColumn("at", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "heading")))
+    first = lambda share: ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1)
+    small = first(2 * t / (1 + t)).select("heading", F.col("class_id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ix"))
+    large = first(t).select("heading", F.col("class_id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("iy"))
+    most = 1 + F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
+    smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    fits = smaller & (F.col("nx") >= F.col("ny") * t) & (most >= t * (F.col("nx") + F.col("ny") - most))
+    pairs = small.join(large, "heading").where(fits).select("x", "y").distinct()
+    own = lambda name, held: classes.select(F.col("class_id").alias(name), F.col("headings").alias(held))
+    met = pairs.join(own("x", "hx"), "x").join(own("y", "hy"), "y").withColumn("shared", F.sort_array(F.array_intersect("hx", "hy")))
+    n, c = F.size("hx") + F.size("hy"), F.size("shared")
+    return met.where(c >= t * (n - c)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round(c / (n - c), 4).alias("jaccard"), "shared")
+
+
+def topic_members(headings: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, class_id, links): a document's class and how many documents it shares its topic with (E-04); one row a document."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("class_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("class_id"), F.col("a").alias("other")))).alias("e")).select("e.*")
+    others = ends.join(classes.select(F.col("class_id").alias("other"), "members"), "other").groupBy("class_id").agg(F.sum("members").alias("reached"))
+    told = classes.join(others, "class_id", "left").select("headings", "class_id", (F.col("members") - 1 + F.coalesce("reached", F.lit(0))).alias("links"))
+    return _sets(headings).join(told, "headings").select("doc_id", "class_id", "links")
+
+
 def topic_edges(headings: DataFrame, s: Settings) -> DataFrame:
     """same_topic: pairs of documents that share headings, Jaccard of at least min_jaccard (E-04).
 
-    Candidates come from an inverted index. A pair can only qualify on its rarest ceil((1 - t) * size) + 1 headings of
-    either side (prefix filter), so common headings don't pair all their documents.
+    Classes of equal sets are compared once; this expands them into all their pairs. ``topic_members`` and ``topic_links``
+    tell the same in rows linear in the documents and in the pairs of different sets.
     """
-    freq = headings.groupBy("heading").agg(F.count("*").alias("df"))
-    by_rarity = Window.partitionBy("doc_id").orderBy("df", "heading")
-    size = F.count("*").over(Window.partitionBy("doc_id"))
-    ranked = headings.join(freq, "heading").withColumn("n", size).withColumn("at", F.row_number().over(by_rarity))
-    prefix = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * s.min_jaccard) + 1).select("heading", "doc_id", "n")
-    a, b = prefix.select("heading", F.col("doc_id").alias("a"), F.col("n").alias("na")), prefix.select("heading", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * s.min_jaccard)
-    candidates = a.join(b, "heading").where(fits).select("a", "b", "na", "nb").distinct()
-    left, right = headings.select(F.col("doc_id").alias("a"), "heading"), headings.select(F.col("doc_id").alias("b"), "heading")
-    shared = candidates.join(left, "a").join(right, ["b", "heading"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.sort_array(F.collect_list("heading")).alias("shared"))
-    scored = shared.withColumn("jaccard", F.round(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), 4)).where(F.col("c") >= s.min_jaccard * (F.col("na") + F.col("nb") - F.col("c")))
-    return both_directions(scored, "same_topic", F.to_json(F.struct("jaccard", F.col("shared").alias("shared_headings"))))
+    classes = topic_classes(headings)
+    links = topic_links(classes, s).unionByName(classes.where("members > 1").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.lit(1.0).alias("jaccard"), F.col("headings").alias("shared")))
+    members = _sets(headings).join(classes, "headings").select("doc_id", "class_id")
+    left, right = members.select(F.col("class_id").alias("a"), F.col("doc_id").alias("p")), members.select(F.col("class_id").alias("b"), F.col("doc_id").alias("q"))
+    pairs = links.join(left, "a").join(right, "b").where("a <> b or p < q")
+    return both_directions(pairs.select(F.col("p").alias("a"), F.col("q").alias("b"), "jaccard", "shared"), "same_topic", F.to_json(F.struct("jaccard", F.col("shared").alias("shared_headings"))))
 
 
 def community_edges(communities: DataFrame, s: Settings) -> DataFrame:

@@ -70,17 +70,31 @@ def _(lib):
     return enrich.heading_sets(enrich.with_context(lib.chunks.select("doc_id", context.alias("context"))))
 
 
-@query(
-    "E04_topic_edges",
-    """, h AS (SELECT DISTINCT doc_id, lower(trim(unnest([parent_heading, section_path]), ' ')) AS heading FROM lib_chunks), n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1),
+TOPICS = """, h AS (SELECT DISTINCT doc_id, lower(trim(unnest([parent_heading, section_path]), ' ')) AS heading FROM lib_chunks), n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1),
 s AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM h a JOIN h b ON a.heading = b.heading AND a.doc_id < b.doc_id GROUP BY ALL),
-j AS (SELECT a, b FROM s JOIN n x ON s.a = x.doc_id JOIN n y ON s.b = y.doc_id WHERE c >= 0.5 * (x.n + y.n - c))
-SELECT a AS src_doc_id, b AS dst_doc_id, 'same_topic' AS relation_type FROM j UNION ALL SELECT b, a, 'same_topic' FROM j""",
-)
+j AS (SELECT a, b, c, x.n + y.n - c AS total FROM s JOIN n x ON s.a = x.doc_id JOIN n y ON s.b = y.doc_id WHERE c >= 0.5 * (x.n + y.n - c)),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY string_agg(heading, chr(0) ORDER BY heading)) AS class_id FROM h GROUP BY doc_id)
+"""
+
+
+@query("E04_topic_edges", TOPICS + "SELECT a AS src_doc_id, b AS dst_doc_id, 'same_topic' AS relation_type FROM j UNION ALL SELECT b, a, 'same_topic' FROM j")
 def _(lib):
     return enrich.topic_edges(enrich.heading_sets(lib.chunks), enrich.Settings()).select("src_doc_id", "dst_doc_id", "relation_type")
 
 
+@query("E04_topic_members", TOPICS + "SELECT k.doc_id, k.class_id, CAST(count(l.p) AS BIGINT) AS links FROM k LEFT JOIN (SELECT a AS p FROM j UNION ALL SELECT b FROM j) l ON k.doc_id = l.p GROUP BY 1, 2")
+def _(lib):
+    headings = enrich.heading_sets(lib.chunks)
+    classes = enrich.topic_classes(headings)
+    return enrich.topic_members(headings, classes, enrich.topic_links(classes, enrich.Settings()))
+
+
+@query("E04_topic_links", TOPICS + "SELECT DISTINCT j.a, j.b, round(j.c / j.total, 4) AS jaccard FROM j JOIN k x ON j.a = x.doc_id AND x.class_id = j.a JOIN k y ON j.b = y.doc_id AND y.class_id = j.b")
+def _(lib):
+    """Pairs of different sets of headings, each once; E04_topic_members tells who has them."""
+    return enrich.topic_links(enrich.topic_classes(enrich.heading_sets(lib.chunks)), enrich.Settings()).select("a", "b", "jaccard")
+
+
 @query(
     "E05_community_edges",
     """, c AS (SELECT doc_id, project_id || '-' || lang AS community FROM lib_documents WHERE project_id IS NOT NULL), n AS (SELECT community FROM c GROUP BY 1 HAVING count(*) <= 20)

@@ -161,6 +161,45 @@ def test_topic_and_community_edges(spark):
     assert enrich.community_edges(c, enrich.Settings()).count() == 4
 
 
+def test_topic_classes_against_all_pairs(spark):
+    rnd = np.random.default_rng(3)
+    sets = {f"d{i:03d}": {f"h{int(x)}" for x in rnd.zipf(1.4, rnd.integers(1, 8)) if x < 40} | ({"common"} if i % 3 else set()) for i in range(220)}
+    sets |= {f"e{i}": sets[f"d{i:03d}"] for i in range(0, 60, 2)}
+    sets = {d: h for d, h in sets.items() if h}
+    table = spark.createDataFrame([(d, h) for d, hs in sets.items() for h in hs], "doc_id string, heading string")
+    for t in (0.34, 0.5, 0.8, 1.0):
+        s = enrich.Settings(min_jaccard=t)
+        wanted = {(a, b) for a in sets for b in sets if a != b and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
+        got = [(r.src_doc_id, r.dst_doc_id) for r in enrich.topic_edges(table, s).collect()]
+        assert len(got) == len(set(got)) and set(got) == wanted
+        classes = enrich.topic_classes(table)
+        links = enrich.topic_links(classes, s)
+        assert all(sets[r.a] != sets[r.b] and r.shared == sorted(sets[r.a] & sets[r.b]) for r in links.collect())
+        members = {r.doc_id: (r.class_id, r.links) for r in enrich.topic_members(table, classes, links).collect()}
+        assert members == {d: (min(x for x in sets if sets[x] == sets[d]), sum(a == d for a, _ in wanted)) for d in sets}
+    assert enrich.topic_edges(table.limit(0), enrich.Settings()).count() == 0
+
+
+def test_nested_markers_and_many_of_them(spark):
+    """Equal positions, places inside others and beyond the end; then more places than a copy of the text for each could bear."""
+    def slow(t, items):
+        for at, i, page, n in sorted(items, reverse=True):
+            end = min(at + n, len(t))
+            t = f'{t[:at]}<!-- chunk:{i} page:{page} section:"" -->\n<div data-chunk-id="{i}" data-page="{page}" data-section="">\n{t[at:end]}\n</div>\n{t[end:]}'
+        return t
+
+    rnd = np.random.default_rng(5)
+    text = "".join(rnd.choice(list("ab é\U0001f600"), 400))
+    cases = {f"d{k}": [(int(rnd.integers(0, 400)) // 7 * 7, f"c{i}", 1, int(rnd.integers(0, 500))) for i in range(k)] for k in (1, 2, 9, 60)}
+    docs = spark.createDataFrame([(d, text) for d in cases] + [("none", text), ("null", None)], "doc_id string, markdown string")
+    placed = spark.createDataFrame([(d, i, None, None, at, n) for d, xs in cases.items() for at, i, _, n in xs] + [("null", "c", 1, None, 0, 5), ("none", "c", 1, None, None, 5)], "doc_id string, id string, page_num long, section_path string, position long, length int")
+    got = {r.doc_id: r.marked for r in cite.with_markers(placed, docs).collect()}
+    assert got == {**{d: slow(text, xs) for d, xs in cases.items()}, "none": text, "null": None}
+    long = spark.range(1).select(F.lit("x").alias("doc_id"), F.repeat(F.lit("word "), 2_000_000).alias("markdown"))
+    many = spark.range(40_000).select(F.lit("x").alias("doc_id"), F.col("id").cast("string").alias("id"), F.lit(1).alias("page_num"), F.lit("s").alias("section_path"), (F.col("id") * 250).alias("position"), F.lit(300).alias("length"))
+    assert cite.with_markers(many, long).select(F.regexp_count("marked", F.lit("</div>")).alias("n")).first().n == 40_000
+
+
 def test_supplementary_and_clusters(spark):
     s = spark.createDataFrame([(1, "A", 1, 0.9, 1), (1, "B", 1, 0.5, 2), (1, "C", 1, 0.7, 3)], "query_id long, doc_id string, page_num long, score double, rank int")
     got = context.supplementary(s, edges(spark, [("A", x) for x in "WXYZ"])).collect()
