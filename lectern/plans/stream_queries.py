@@ -32,8 +32,8 @@ def _(lib):
     found = []
     for part in (0, 1):
         own = pages.where(F.col("page_id") % 2 == part)
-        own.select(F.col("html").alias("value"), F.col("page_id").alias("id")).write.mode("append").partitionBy("id").text(f"{base}/in")
-        found.append(ops.drained(ops.intake_jobs(ops.files(lib.spark, f"{base}/in/*", "*.txt")), base=f"{base}/stream"))
+        own.select(F.col("html").alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(f"{base}/in")
+        found.append(ops.drained(ops.intake_jobs(ops.files(lib.spark, f"{base}/in", "*.txt")), base=f"{base}/stream"))
     return found[-1].select("doc_id")
 
 
@@ -70,28 +70,44 @@ def _(lib):
 SELECT r.event_id AS upload_id FROM r WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.user_id = r.user_id AND u.ts >= r.ts AND u.ts <= r.ts + INTERVAL 10 MINUTE)""",
 )
 def _(lib):
-    """Two streams over the events; one far later event, a key of its own, moves the watermarks past all others."""
+    """Two streams over the events; one far later row in each moves the watermarks past all others."""
     base = f"{shared_folder(lib.spark)}/lectern-uploads-{uuid.uuid4().hex}"
-    e = lib.given("events").select("event_id", F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_type").where("ts is not null")
-    late = e.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
-    for n, part in enumerate((e, late.select(F.lit(None).cast("long").alias("event_id"), F.lit("end").alias("key"), "ts", F.explode(F.array(F.lit("view"), F.lit("purchase"))).alias("event_type")))):
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in/part={n}")
-    stream = lambda kind: ops.table_stream(lib.spark, f"{base}/in/part=0", 1, f"{base}/in/*").where(F.col("event_type") == kind)
-    found = ops.drained(ops.abandoned(stream("view").withColumnRenamed("event_id", "upload_id"), stream("purchase")))
+    at = F.col("ts").cast("timestamp").alias("ts")
+
+    def stream(kind):
+        columns = (F.col("event_id").alias("upload_id"), F.col("user_id").cast("string").alias("key"), at)
+        own = ops.table_stream(lib.spark, f"{lib.dir}/events.parquet").where(F.col("event_type") == kind).select(*columns)
+        return ops.with_end(own, lib.given("events").select(at), f"{base}/{kind}")
+
+    found = ops.drained(ops.abandoned(stream("view"), stream("purchase")))
     return found.where("upload_id is not null").select("upload_id")
 
 
-@query(
-    "T06_sessions",
-    """, m AS (SELECT user_id, event_type, event_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1800 SECOND THEN 0 ELSE 1 END AS fresh FROM events),
+SESSIONS = """, m AS (SELECT user_id, event_type, event_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1800 SECOND THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM m)
-SELECT user_id AS key, min(ts) AS started, count(*) AS turns, count(*) FILTER (WHERE event_type = 'view') AS answers FROM s GROUP BY user_id, n""",
-)
+SELECT user_id AS key, min(ts) AS started, count(*) AS turns, count(*) FILTER (WHERE event_type = 'view') AS answers FROM s GROUP BY user_id, n"""
+
+
+def _turns(e):
+    return e.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "view", "assistant").otherwise("user").alias("role"), F.col("event_type").alias("source"))
+
+
+@query("T06_sessions", SESSIONS)
+def _(lib):
+    """By the built-in session window; a later row without a key closes the last sessions."""
+    path = f"{shared_folder(lib.spark)}/lectern-turns-{uuid.uuid4().hex}"
+    e = ops.with_end(_turns(ops.table_stream(lib.spark, f"{lib.dir}/events.parquet")), _turns(lib.given("events")), path)
+    out = ops.drained(ops.sessions(e, "0 seconds").select("key", "started", "turns", "answers"))
+    return out.where("key is not null").select("key", F.col("started").cast("timestamp_ntz").alias("started"), "turns", "answers")
+
+
+@query("T06_closed_sessions", SESSIONS)
 def _(lib):
-    e = ops.table_stream(lib.spark, f"{lib.dir}/events.parquet").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "view", "assistant").otherwise("user").alias("role"), F.col("event_type").alias("source"))
-    out = ops.drained(ops.sessions(e, "0 seconds").select("key", "started", "ended", "turns", "answers"), "complete")
-    last = out.agg(F.max("__epoch").alias("__epoch"))
-    return out.join(F.broadcast(last), "__epoch").select("key", F.col("started").cast("timestamp_ntz").alias("started"), "turns", "answers")
+    """By keyed state and timers."""
+    path = f"{shared_folder(lib.spark)}/lectern-turns-{uuid.uuid4().hex}"
+    e = ops.with_end(_turns(ops.table_stream(lib.spark, f"{lib.dir}/events.parquet")), _turns(lib.given("events")), path)
+    out = ops.drained(ops.closed_sessions(e, "0 seconds"))
+    return out.where("key is not null").select("key", F.col("started").cast("timestamp_ntz").alias("started"), "turns", "answers")
 
 
 @query("T08_history", "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS n, role, md5(text) AS content_md5, CASE WHEN role = 'assistant' THEN 's' || turn END AS sources FROM conversations")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.sources.shared import shared_folder
@@ -134,6 +135,91 @@ def sessions(turns: DataFrame, late: str | None = None) -> DataFrame:
     )
 
 
+IDLE_US = 1_800_000_000
+OPEN = "first long, last long, turns long, answers long, sources array<string>"
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class OpenSessions(StatefulProcessor):
+    """A key's sessions that may still grow, as a list state; a timer a session closes it once no turn in time can join it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", OPEN)
+
+    @staticmethod
+    def _closes(session: tuple) -> int:
+        """The first millisecond at which a turn is later than 1800 s after the session's last."""
+        return (session[1] + IDLE_US) // 1000 + 1
+
+    def _keep(self, sessions: list[tuple]) -> None:
+        if sessions:
+            self.open.put(sessions)
+        else:
+            self.open.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        joined = before
+        for frame in rows:
+            said = frame["role"] == "assistant"
+            fresh = [(at, at, 1, int(a), [s] if a and isinstance(s, str) else []) for at, a, s in zip(frame["at"].tolist(), said.tolist(), frame["source"].tolist())]
+            joined, parts = [], sorted([*joined, *fresh], key=lambda x: x[:2])
+            for first, last, turns, answers, sources in parts:
+                if joined and first <= joined[-1][1] + IDLE_US:
+                    f, l, t, a, s = joined[-1]
+                    joined[-1] = (f, max(l, last), t + turns, a + answers, sorted({*s, *sources}) if sources else s)
+                else:
+                    joined.append((first, last, turns, answers, list(sources)))
+        old, new = {self._closes(x) for x in before}, {self._closes(x) for x in joined}
+        for at in old - new:
+            self.handle.deleteTimer(at)
+        for at in new - old:
+            self.handle.registerTimer(at)
+        self._keep(joined)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        held = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        done = [x for x in held if self._closes(x) <= now]
+        self._keep([x for x in held if self._closes(x) > now])
+        if done:
+            out = pd.DataFrame(done, columns=["first", "last", "turns", "answers", "sources"])
+            out.insert(0, "id", key[0])
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+def closed_sessions(turns: DataFrame, late: str) -> DataFrame:
+    """The sessions of ``sessions``, each once it has ended, in append mode with keyed state and timers (T-06); turns is a stream.
+
+    A session is given out and its state dropped when the watermark is more than 1800 s past its last turn; a gap of just
+    1800 s is bridged. Turns later than the watermark, and those without a time, are left out, as in ``sessions``. The state
+    of a key is its open sessions, not their turns. Keys are written as text for the state, so that null is a key like any
+    other. Keyed state with timers needs the RocksDB store, which this sets.
+    """
+    turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    kind = T.StructType([T.StructField("key", turns.schema["key"].dataType)])
+    given = turns.where("ts is not null").select(F.to_json(F.struct("key")).alias("id"), F.col("role").cast("string").alias("role"), F.col("source").cast("string").alias("source"), F.unix_micros("ts").alias("at"), "ts").withWatermark("ts", late)
+    found = given.groupBy("id").transformWithStateInPandas(OpenSessions(), f"id string, {OPEN}", "Append", "EventTime")
+    ended = F.timestamp_micros(F.col("last") + IDLE_US)
+    return found.select(F.from_json("id", kind)["key"].alias("key"), F.timestamp_micros("first").alias("started"), ended.alias("ended"), "turns", "answers", "sources")
+
+
+def with_end(stream: DataFrame, batch: DataFrame, path: str, days: int = 2) -> DataFrame:
+    """``stream`` and one row of nulls ``days`` after the last ``ts`` of ``batch``, which moves the watermark past all others.
+
+    All of it must come in one trigger (no limit of files), since what comes after that row is late.
+    """
+    last = batch.agg((F.max("ts") + F.make_interval(days=F.lit(days))).alias("ts"))
+    row = last.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields])
+    row.write.parquet(path)
+    return stream.unionByName(stream.sparkSession.readStream.schema(stream.schema).parquet(path))
+
+
 def history(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, n, role, content, sources): turns in order with what was said; sources of assistant turns only (T-08)."""
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))

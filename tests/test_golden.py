@@ -255,6 +255,43 @@ def test_queue_and_sessions(spark):
     assert [x.upload_id for x in streams.abandoned(r, u).collect()] == ["b"]
 
 
+def test_sessions_close_by_timers(spark, tmp_path):
+    """A gap of just 1800 s joins, one microsecond more does not; a late bridge joins two; what has ended is not given out again and its state is gone."""
+    said = "key string, ts timestamp, role string, source string"
+    at = lambda *s: [f"2024-01-01 {x}" for x in s]
+
+    def turns(key, *times):
+        return [(key, t, "assistant", f"s{i}") for i, t in enumerate(at(*times))]
+
+    batches = [
+        turns("a", "00:00:00", "00:30:00", "01:00:00.000001") + turns("b", "00:29:00", "01:00:30") + [("a", None, "user", None)] + [(None, x, "user", None) for x in at("00:00:01")],
+        turns("b", "00:55:00") + turns("z", "01:02:00"),
+        turns("z", "03:00:00"),
+        turns("a", "01:00:02") + turns("c", "03:10:00"),  # the first is later than the watermark
+        turns("z", "09:00:00"),
+    ]
+    base, given, state = str(tmp_path / "out"), str(tmp_path / "in"), []
+    spark.createDataFrame([], said).write.parquet(given)
+    for rows in batches:
+        spark.createDataFrame(rows, "key string, ts string, role string, source string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(given)
+        stream = spark.readStream.schema(said).parquet(given)
+        found = streams.drained(streams.closed_sessions(stream, "10 minutes"), base=base)
+        state.append(found.count())
+    got = sorted((str(r.key), str(r.started)[11:], str(r.ended)[11:], r.turns, r.answers, r.sources) for r in found.collect())
+    assert got == sorted([
+        ("None", "00:00:01", "00:30:01", 1, 0, []),
+        ("a", "00:00:00", "01:00:00", 2, 2, ["s0", "s1"]),
+        ("a", "01:00:00.000001", "01:30:00.000001", 1, 1, ["s2"]),
+        ("b", "00:29:00", "01:30:30", 3, 3, ["s0", "s1"]),
+        ("c", "03:10:00", "03:40:00", 1, 1, ["s0"]),
+        ("z", "01:02:00", "01:32:00", 1, 1, ["s0"]),
+        ("z", "03:00:00", "03:30:00", 1, 1, ["s0"]),
+    ])
+    assert state == sorted(state) and state[-1] == 7
+    left = spark.read.format("statestore").option("stateVarName", "open").option("flattenCollectionTypes", "true").load(f"{base}/state")
+    assert {r.key.id for r in left.select("key").collect()} == {'{"key":"z"}'}
+
+
 def test_file_intake_stream(spark, tmp_path):
     for n, body in (("a.txt", b"x"), ("b.txt", b"x"), ("c.txt", b"y")):
         (tmp_path / n).write_bytes(body)
