@@ -14,7 +14,7 @@ alike; other columns, whatever their names, come back unchanged; an empty table
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import cut, private
@@ -51,6 +51,13 @@ def spread_lines(lines: DataFrame, min_sites: int, margin: float = 0.25, lg_k: i
     return clear.unionByName(exact).select(*KEY, "sites", F.col("first.__doc").alias("first_doc"), F.col("first.__at").alias("first_at"))
 
 
+def staying(gone: Column) -> Column:
+    """Whether each line up to the last one that goes stays, from the ascending positions of those that go; one look-up a line."""
+    before = F.concat(F.array(F.lit(-1)), F.slice(gone, 1, F.size(gone) - 1))
+    between = F.zip_with(gone, before, lambda at, last: at - last - 1)
+    return F.flatten(F.transform(between, lambda n: F.concat(F.array_repeat(F.lit(True), n), F.array(F.lit(False)))))
+
+
 def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = 10, margin: float = 0.25, counts: tuple[str, str] | None = None) -> DataFrame:
     """``docs`` with the text of kept lines; ``counts`` names two columns to add: how many lines there were and how many went."""
     if counts and {c.lower() for c in counts} & {c.lower() for c in docs.columns}:
@@ -58,17 +65,18 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = 1
     lines = cut(line_rows(docs.select("doc_id", "text", F.col(f"`{site}`").alias("__s")), "__s"))
     spread = spread_lines(lines, min_sites, margin)
     later = ~(F.col("__doc").eqNullSafe(F.col("first_doc")) & (F.col("__at") == F.col("first_at")))
-    doc, gone = private(docs, "doc", "gone")
-    cuts = lines.join(spread, KEY).where(later).groupBy(F.col("__doc").alias(doc)).agg(F.collect_set("__at").alias(gone))
+    doc, gone, stays = private(docs, "doc", "gone", "stays")
+    cuts = lines.join(spread, KEY).where(later).groupBy(F.col("__doc").alias(doc)).agg(F.sort_array(F.collect_set("__at")).alias("__cut"))
+    cuts = cuts.select(doc, F.size("__cut").alias(gone), staying(F.col("__cut")).alias(stays))
     joined = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts[doc]), "left")
-    parts, cut_lines = F.split("text", "\n"), F.col(gone)
-    numbered = F.filter(F.arrays_zip(parts.alias("line"), F.sequence(F.lit(0), F.size(parts) - 1).alias("at")), lambda x: ~F.array_contains(cut_lines, x["at"]))
-    kept = F.when(cut_lines.isNull(), F.col("text")).otherwise(F.array_join(F.transform(numbered, lambda x: x["line"]), "\n"))
+    parts = F.split("text", "\n")
+    left = F.filter(parts, lambda line, at: F.coalesce(F.get(F.col(stays), at), F.lit(True)))
+    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     told = []
     if counts:
         told = [
             F.when(F.length("text") > 0, F.size(parts)).otherwise(0).alias(counts[0]),
-            F.when(cut_lines.isNull(), 0).otherwise(F.size(cut_lines)).alias(counts[1]),
+            F.coalesce(F.col(gone), F.lit(0)).alias(counts[1]),
         ]
     return joined.select(*[kept.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns], *told)
 
