@@ -64,6 +64,10 @@ def part_starts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(fresh), kind
 
 
+#: Longer words are encoded each time, so that the memos are bounded in bytes too (texts without spaces are one word).
+LONGEST = 64
+
+
 class WordEncoder:
     """``encode(text)`` gives little-endian ids of ``width`` bytes each."""
 
@@ -104,7 +108,9 @@ class WordEncoder:
                 if ids is None:
                     part = parts[i]
                     shown = part.decode("ascii") if part.isalpha() else part.decode("latin-1").translate(VISIBLE)
-                    found[i] = known[part] = b"".join([small[t.id] for t in split(shown)])
+                    found[i] = b"".join([small[t.id] for t in split(shown)])
+                    if len(part) <= LONGEST:
+                        known[part] = found[i]
         return found
 
     def _latin(self, bodies: list[bytes]) -> list[bytes]:
@@ -134,9 +140,11 @@ class WordEncoder:
         for word in GAPS(text):
             ids = self.words.get(word)
             if ids is None:
-                if len(self.words) >= self.limit:
-                    self.words = {"": b""}
-                ids = self.words[word] = self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+                ids = self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+                if len(word) <= LONGEST:
+                    if len(self.words) >= self.limit:
+                        self.words = {"": b""}
+                    self.words[word] = ids
             out.append(ids)
         return b"".join(out)
 

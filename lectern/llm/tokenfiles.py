@@ -1,10 +1,10 @@
 """Token-ID / binary output (3): documents' ids as separately compressed frames that share one zstandard dictionary.
 
 File format. A folder of Parquet part files in ascending doc_id order; each row is one pack:
-``part, pack`` (order), ``dict_hash`` (xxh64 of the dictionary), ``ids_width`` (bytes an id), ``doc_ids``,
+``part, pack`` (order), ``first_id, last_id`` (the smallest and largest doc_id), ``dict_hash`` (xxh64 of the dictionary), ``ids_width`` (bytes an id), ``doc_ids``,
 ``offsets`` (n + 1 byte offsets into ``payload``), ``counts`` (ids a document) and ``payload`` (the documents' zstandard
 frames, each compressed alone with the dictionary). A second folder, ``dictionary``, holds the dictionary with its hash.
-So one short document is read by its pack's offset index and one small frame. Spark's writer commits the files, which
+So one short document is read by the range of ids, which leads to its pack, the pack's offset index and one small frame. Spark's writer commits the files, which
 makes lost or repeated tasks harmless and lets them lie in any store that Spark reaches.
 
 The dictionary is trained on serialized id arrays of at most ``sample_docs`` documents (the lowest hashes of doc_id),
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from lectern.llm.common import shared_folder
 from lectern.llm.encoding import documents, encode_texts, encoder, tokenizer_path, wide
 
-PACKS = "part int, pack int, dict_hash string, ids_width int, doc_ids array<long>, offsets array<long>, counts array<long>, payload binary"
+PACKS = "part int, pack int, first_id long, last_id long, dict_hash string, ids_width int, doc_ids array<long>, offsets array<long>, counts array<long>, payload binary"
 
 
 def train_dictionary(encoded: DataFrame, size: int, sample_docs: int, sample_bytes: int) -> bytes:
@@ -65,7 +65,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
 
         def row() -> pd.DataFrame:
             offsets = [0, *np.cumsum([len(b) for b in body]).tolist()]
-            return pd.DataFrame({"part": [part], "pack": [n], "dict_hash": [name], "ids_width": [width], "doc_ids": [ids], "offsets": [offsets], "counts": [counts], "payload": [b"".join(body)]})
+            known = [i for i in ids if i is not None] or [None]
+            ends = {"first_id": pd.array(known[:1], dtype="Int64"), "last_id": pd.array(known[-1:], dtype="Int64")}
+            return pd.DataFrame({"part": [part], "pack": [n], **ends, "dict_hash": [name], "ids_width": [width], "doc_ids": [ids], "offsets": [offsets], "counts": [counts], "payload": [b"".join(body)]})
 
         coder = encoder(tokenizer)
         end, width = np.array([end_id], dtype=coder.kind).tobytes(), coder.width
@@ -129,10 +131,15 @@ def read_token_files(spark, path: str) -> DataFrame:
     return opened.join(starts, ["part", "pack"]).select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_width", "ids")
 
 
+def packs_of(spark, path: str, doc_id: int) -> DataFrame:
+    """The packs whose range of ids holds ``doc_id``; the files' statistics leave out the pages of all others, payloads too."""
+    return spark.read.schema(PACKS).parquet(f"{path}/packs").where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+
+
 def read_document(spark, path: str, doc_id: int) -> list[int] | None:
-    """The ids of one document: its pack is picked by the index, and only its frame is decompressed."""
+    """The ids of one document, by its pack's range, its place in the pack and its frame alone; of repeated rows the first."""
     _, trained = read_dictionary(spark, path)
-    row = spark.read.schema(PACKS).parquet(f"{path}/packs").where(F.array_contains("doc_ids", F.lit(doc_id))).first()
+    row = packs_of(spark, path, doc_id).where(F.array_contains("doc_ids", F.lit(doc_id))).orderBy("part", "pack").first()
     if row is None:
         return None
     press = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -227,7 +228,7 @@ def test_similar_groups(spark, empty):
 # ---- 3 token files, encoder
 
 
-def test_token_files(spark, docs, empty, odd):
+def test_token_files(spark, docs, empty, odd, capsys):
     tok = Tokenizer.from_file(WORDS)
     path = f"{shared_folder(spark)}/files-{random.random()}"
     tokenfiles.write_token_files(docs, path, WORDS, 1, pack_bytes=2000)
@@ -240,6 +241,9 @@ def test_token_files(spark, docs, empty, odd):
         at += len(ids)
     assert tokenfiles.read_document(spark, path, 9) == tok.encode(rows()[9], add_special_tokens=False).ids + [1]
     assert tokenfiles.read_document(spark, path, -5) is None
+    assert [9 in r.doc_ids for r in tokenfiles.packs_of(spark, path, 9).collect()] == [True] and spark.read.parquet(f"{path}/packs").count() > 3
+    tokenfiles.packs_of(spark, path, 9).explain("formatted")
+    assert "GreaterThanOrEqual(last_id,9)" in capsys.readouterr().out
     for df, given in ((empty, []), (odd, ODD)):
         p = f"{path}-{len(given)}"
         tokenfiles.write_token_files(df, p, WORDS, 1)
@@ -289,6 +293,16 @@ def slow_dedup(texts, n=100):
     return out
 
 
+def test_memos_hold_no_long_words():
+    """Texts without spaces leave nothing in the memos, and have the library's ids."""
+    e, tok = WordEncoder(WORDS), Tokenizer.from_file(WORDS)
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choices(letters, k=n)) for letters, n in (("\u4e00\u4e8c\u4e09\u56db", 2000), ("abcdefgh", 3000)) for _ in range(20)]
+    for text, ids in zip(texts, e.encode_many(texts)):
+        assert np.frombuffer(ids, e.kind).tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert max(map(len, [*e.words, *e.parts])) <= 64
+
+
 @pytest.mark.parametrize("most", [32_768, 2])
 def test_suffix_dedup(spark, docs, empty, odd, most):
     want = slow_dedup(rows())
@@ -418,6 +432,24 @@ def test_line_dedup(spark, empty):
     assert linededup.remove_boilerplate(empty).count() == 0
 
 
+def test_line_dedup_of_very_many_lines(spark):
+    """Twelve documents of 100,000 lines share every other line; lines are kept in place, and the time is linear in them."""
+    n = 100_000
+    lines = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i % 2 == 0, F.concat(F.lit("shared "), i.cast("string"))).otherwise(F.concat(F.lit("own "), F.col("id").cast("string"), F.lit(" "), i.cast("string"))))
+    docs = spark.range(12).select(F.col("id").alias("doc_id"), F.array_join(lines, "\n").alias("text"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"))
+    started = time.monotonic()
+    got = {r.doc_id: (r.removed, r.md5) for r in linededup.remove_boilerplate(docs, counts=("lines", "removed")).select("doc_id", "removed", F.md5("text").alias("md5")).collect()}
+    assert time.monotonic() - started < 120
+    kept = {d: "\n".join(f"own {d} {i}" if i % 2 else f"shared {i}" for i in range(n) if i % 2 or d == 0) for d in range(12)}
+    assert got == {d: (0 if d == 0 else n // 2, hashlib.md5(t.encode()).hexdigest()) for d, t in kept.items()}
+
+
+@pytest.mark.parametrize("gone", [[0], [4], [0, 1, 2], [1, 3, 4], [0, 5]])
+def test_staying(spark, gone):
+    flags = spark.createDataFrame([(gone,)], "g array<int>").select(linededup.staying(F.col("g"))).first()[0]
+    assert flags == [i not in gone for i in range(max(gone) + 1)]
+
+
 def test_line_dedup_names_and_repeats(spark):
     """Columns named like private ones come back; repeated rows and rows without a doc_id are cut as one document each."""
     rows = [(i, f"same\nown {i}", f"s{i}") for i in range(3)] + [(2, "same\nown 3", "s9"), (None, "same", "s8"), (None, "x\nsame", None)]
