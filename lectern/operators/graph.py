@@ -123,9 +123,10 @@ class Layers:
 
 
 def distances(edges: DataFrame, sources: DataFrame, max_depth: int = 1_000_000) -> DataFrame:
-    """(source, doc_id, distance, parent, relation_type): fewest hops from each source along edges, the source itself left out (G-06, G-11, G-12).
+    """(source, doc_id, distance, parent, relation_type): fewest hops from each source along edges, the source itself left out (G-11, G-12).
 
-    The parent is the smallest (parent, relation_type) that reaches a document first.
+    The parent is the smallest (parent, relation_type) that reaches a document first. ``reached`` tells distances alone,
+    in less space.
     """
     step = cut(edges.select(F.col("src_doc_id").alias("at"), F.col("dst_doc_id").alias("next"), "relation_type").distinct())
     start = sources.select(F.col("doc_id").alias("source")).distinct()
@@ -146,6 +147,51 @@ def distances(edges: DataFrame, sources: DataFrame, max_depth: int = 1_000_000)
     return seen.all().where("distance > 0")
 
 
+WORDS = 4  # columns of 64 sources each in a row of bitmaps
+
+
+def reached(edges: DataFrame, sources: DataFrame, max_depth: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(members (source, block, slot), hops (doc_id, block, distance, b0, b1, ...)): which sources first reach a document in how many hops (G-06, G-11, G-13).
+
+    Sources are numbered and dealt into blocks of 256; a row holds the sources of a block as bits, so a hop moves and
+    merges bitmaps and not a row for each source. The sources themselves have distance 0. Sources without edges count
+    as sources, null ids as none; an empty table gives no row.
+    """
+    names = [f"b{w}" for w in range(WORDS)]
+    step = cut(edges.select(F.col("src_doc_id").alias("at"), F.col("dst_doc_id").alias("next")).where("at <> next").distinct())
+    numbers = numbered(sources.select(F.col("doc_id").alias("source")).where("source is not null").distinct(), ["source"])
+    at = F.col("position") - 1
+    members = cut(numbers.select("source", F.floor(at / (64 * WORDS)).alias("block"), (at % (64 * WORDS)).cast("int").alias("slot")))
+    bit = lambda w: F.expr(f"case when slot div 64 = {w} then shiftleft(1L, slot % 64) else 0L end").alias(f"b{w}")
+    frontier = cut(members.select(F.col("source").alias("doc_id"), "block", F.lit(0).alias("distance"), *[bit(w) for w in range(WORDS)]))
+    seen = Layers()
+    seen.add(frontier)
+    none = F.lit(0).cast("long")
+    for depth in range(1, max_depth + 1):
+        ahead = frontier.join(step, frontier["doc_id"] == step["at"]).select(F.col("next").alias("doc_id"), "block", *names, *[none.alias(f"s{w}") for w in range(WORDS)])
+        held = seen.all().select("doc_id", "block", *[none.alias(c) for c in names], *[F.col(f"b{w}").alias(f"s{w}") for w in range(WORDS)])
+        merged = ahead.unionByName(held).groupBy("doc_id", "block").agg(*[F.bit_or(c).alias(c) for c in names + [f"s{w}" for w in range(WORDS)]])
+        fresh = merged.select("doc_id", "block", F.lit(depth).alias("distance"), *[F.expr(f"b{w} & ~s{w}").alias(f"b{w}") for w in range(WORDS)])
+        frontier = cut(fresh.where(" or ".join(f"{c} <> 0" for c in names)))
+        if not frontier.limit(1).count():
+            break
+        seen.add(frontier)
+    return members, seen.all()
+
+
+def expanded(members: DataFrame, hops: DataFrame) -> DataFrame:
+    """(source, doc_id, distance) of each bit of ``reached``, the sources themselves left out."""
+    words = ", ".join(f"b{w}" for w in range(WORDS))
+    slots = F.expr(f"explode(filter(sequence(0, {64 * WORDS - 1}), i -> getbit(array({words})[i div 64], i % 64) = 1))")
+    return hops.where("distance > 0").select("doc_id", "block", "distance", slots.alias("slot")).join(members, ["block", "slot"]).select("source", "doc_id", "distance")
+
+
+def closeness(hops: DataFrame) -> DataFrame:
+    """(doc_id, sources, nearest, farthest, total) of the distances from other sources to each document, counted on bitmaps."""
+    n = F.expr(" + ".join(f"bit_count(b{w})" for w in range(WORDS))).cast("long")
+    return hops.where("distance > 0").groupBy("doc_id").agg(F.sum(n).alias("sources"), F.min("distance").alias("nearest"), F.max("distance").alias("farthest"), F.sum(n * F.col("distance")).alias("total"))
+
+
 def paths(reached: DataFrame, targets: DataFrame, max_steps: int = 10) -> DataFrame:
     """(source, target, path): the steps 'from>to:type' back from each (source, target) along parents (G-12)."""
     tree = cut(reached.where(F.col("distance") <= max_steps))
@@ -188,22 +234,58 @@ def topological_order(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def topological_layers(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, layer) of vertices in dependency order, vertices on or behind cycles) (G-08, G-09)."""
-    left = cut(vertices.select("doc_id").distinct())
-    step = cut(edges.select(F.col("src_doc_id").alias("src"), F.col("dst_doc_id").alias("dst")).distinct())
-    own = cut(step.join(left.withColumnRenamed("doc_id", "src"), "src", "left_semi").join(left.withColumnRenamed("doc_id", "dst"), "dst", "left_semi"))
-    if not own.groupBy("dst").count().where("count > 1").limit(1).count():  # at most one parent each: log rounds
-        found = cut(forest_depths(left, own))
-        return found.where("layer is not null").select("doc_id", "layer"), found.where("layer is null").select("doc_id")
-    done, layer = Layers(), 0
+    """((doc_id, layer) of vertices in dependency order, vertices on or behind cycles) (G-08, G-09).
+
+    A layer is the number of edges on the longest way from a document without prerequisites; all of those hang from one
+    top. A vertex with a single edge in stands a known way behind that edge's start, so it hangs from the nearest vertex
+    above with none or several, found by doubled pointers, and hands its edges out to it; of edges that then lie between
+    the same two the longest stays. So a round takes off all chains and trees at once, in the log of their length, and
+    at least one layer of anything else. What has no vertex with a single edge in is on or behind a cycle.
+    """
+    names = cut(vertices.select("doc_id").distinct())
+    key = lambda c: F.concat(F.lit("v"), c)
+    own = edge_set(edges, names).select(key(F.col("src_doc_id")).alias("src"), key(F.col("dst_doc_id")).alias("dst"), F.lit(1).cast("long").alias("w")).distinct()
+    top = names.select(F.lit("").alias("src"), key(F.col("doc_id")).alias("dst"), F.lit(1).cast("long").alias("w")).join(own.select("dst"), "dst", "left_anti")
+    step = cut(own.unionByName(top))
+    hung = []
     while True:
-        blocked = step.join(left.withColumnRenamed("doc_id", "src"), "src", "left_semi").select(F.col("dst").alias("doc_id")).distinct()
-        free = cut(left.join(blocked, "doc_id", "left_anti").withColumn("layer", F.lit(layer)))
-        if not free.limit(1).count():
-            return (done.all() if layer else free), left
-        done.add(free)
-        left = cut(left.join(free, "doc_id", "left_anti"))
-        layer += 1
+        several = F.count("*").alias("n")
+        single = step.groupBy("dst").agg(several, F.min("src").alias("far"), F.min("w").alias("hops")).where("n = 1")
+        at = hung_from(single.select(F.col("dst").alias("at"), "far", "hops"))
+        if at is None:
+            break
+        hung.append(at.where("not open"))
+        kept = step.join(at.select(F.col("at").alias("dst")), "dst", "left_anti")
+        moved = kept.join(at.withColumnRenamed("at", "src"), "src", "left")
+        blocked = F.coalesce("open", F.lit(False))  # behind a ring: waits for itself for ever
+        start = F.when(blocked, F.col("dst")).otherwise(F.coalesce("far", "src"))
+        step = cut(moved.select(start.alias("src"), "dst", (F.col("w") + F.coalesce("hops", F.lit(0))).alias("w")).groupBy("src", "dst").agg(F.max("w").alias("w")))
+    known = vertices.sparkSession.createDataFrame([("", 0)], "far string, layer long")
+    done = known
+    for at in reversed(hung):
+        placed = at.join(done, "far").select(F.col("at").alias("far"), (F.col("layer") + F.col("hops")).alias("layer"))
+        done = cut(done.unionByName(placed))
+    layers = done.where("far <> ''").select(F.expr("substring(far, 2)").alias("doc_id"), (F.col("layer") - 1).cast("int").alias("layer"))
+    return layers, names.join(layers, "doc_id", "left_anti")
+
+
+def hung_from(single: DataFrame) -> DataFrame | None:
+    """(at, far, hops, open) for single(at, far, hops): the nearest vertex above that is not itself in ``single``.
+
+    ``open`` marks vertices on or behind a ring of such vertices, which have none. None where ``single`` is empty.
+    """
+    now, reach = cut(single.withColumn("open", F.lit(True))), 1
+    n = now.count()
+    if not n:
+        return None
+    while True:
+        above = now.select(F.col("at").alias("far"), F.col("far").alias("next"), F.col("hops").alias("more"), F.col("open").alias("further"))
+        moved = now.where("open").join(above, "far", "left")
+        fresh = moved.select("at", F.coalesce("next", "far").alias("far"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.coalesce("further", F.lit(False)).alias("open"))
+        now = cut(now.where("not open").unionByName(fresh))
+        reach *= 2
+        if reach > 2 * n or not now.where("open").limit(1).count():
+            return now
 
 
 def has_cycle(vertices: DataFrame, edges: DataFrame) -> bool:
@@ -341,8 +423,8 @@ def relations_of(relations: DataFrame, keys: DataFrame, direction: str = "both",
 def neighbourhood(relations: DataFrame, centres: DataFrame, depth: int, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes (source, doc_id, depth), induced edges) around each centre (G-13)."""
     r = relations if not types else relations.where(F.col("relation_type").isin(types))
-    reached = distances(r, centres, depth).select("source", "doc_id", F.col("distance").alias("depth"))
-    nodes = reached.unionByName(centres.select(F.col("doc_id").alias("source"), "doc_id", F.lit(0).alias("depth")).distinct())
+    around = expanded(*reached(r, centres, depth)).select("source", "doc_id", F.col("distance").alias("depth"))
+    nodes = around.unionByName(centres.select(F.col("doc_id").alias("source"), "doc_id", F.lit(0).alias("depth")).distinct())
     ends = nodes.select("source", "doc_id")
     edges = r.join(ends.withColumnRenamed("doc_id", "src_doc_id"), "src_doc_id").join(ends.withColumnRenamed("doc_id", "dst_doc_id"), ["source", "dst_doc_id"], "left_semi").select("source", "src_doc_id", "dst_doc_id", "relation_type").distinct()
     return nodes, edges

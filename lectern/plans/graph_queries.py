@@ -59,6 +59,19 @@ def _(lib):
     return ops.distances(lib.relations.where(SERIES), first, max_depth=10).select("source", "doc_id", "distance")
 
 
+@query(
+    "G06_distances_every_20th",
+    """SELECT doc_id, count(*) AS sources, min(distance) AS nearest, max(distance) AS farthest, CAST(sum(distance) AS BIGINT) AS total FROM (
+WITH RECURSIVE e AS (SELECT DISTINCT src_doc_id AS s, dst_doc_id AS t FROM lib_relations), r(source, doc_id, distance) USING KEY (source, doc_id) AS (
+SELECT doc_id, doc_id, 0 FROM lib_documents WHERE num % 20 = 0
+UNION SELECT r.source, e.t, min(r.distance + 1) FROM r JOIN e ON r.doc_id = e.s LEFT JOIN recurring.r k ON k.source = r.source AND k.doc_id = e.t WHERE k.source IS NULL GROUP BY r.source, e.t)
+SELECT * FROM r) WHERE distance > 0 GROUP BY doc_id""",
+)
+def _(lib):
+    """Over all relations to any depth, from every document whose id is divisible by 20, summed up for each document."""
+    return ops.closeness(ops.reached(lib.relations, lib.documents.where("num % 20 = 0"))[1])
+
+
 @query("G07_strong_components", ", v AS (SELECT DISTINCT event_type AS doc_id FROM events) SELECT doc_id, (SELECT max(doc_id) FROM v) AS component FROM v WHERE (SELECT count(DISTINCT src) FROM lib_transitions) > 1")
 def _(lib):
     return ops.strong_components(*_types(lib))
@@ -122,6 +135,18 @@ def _(lib):
     return ops.distances(lib.relations, lib.documents.where("format = 'png'"), max_depth=2).select("source", "doc_id", F.col("distance").alias("depth"))
 
 
+@query(
+    "G11_related_every_20th",
+    """, e AS (SELECT DISTINCT src_doc_id AS s, dst_doc_id AS t FROM lib_relations), h0 AS (SELECT doc_id AS source, doc_id FROM lib_documents WHERE num % 20 = 0),
+h1 AS (SELECT DISTINCT source, t AS doc_id FROM h0 JOIN e ON s = doc_id), h2 AS (SELECT DISTINCT source, t AS doc_id FROM h1 JOIN e ON s = doc_id), h3 AS (SELECT DISTINCT source, t AS doc_id FROM h2 JOIN e ON s = doc_id)
+SELECT source, doc_id, CAST(min(d) AS INTEGER) AS depth FROM (SELECT *, 1 AS d FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3) WHERE source <> doc_id GROUP BY ALL""",
+)
+def _(lib):
+    """Within three steps of every document whose id is divisible by 20."""
+    found = ops.expanded(*ops.reached(lib.relations, lib.documents.where("num % 20 = 0"), max_depth=3))
+    return found.select("source", "doc_id", F.col("distance").alias("depth"))
+
+
 @query("G12_paths", ", k AS (SELECT project_id, num, doc_id, row_number() OVER (PARTITION BY project_id ORDER BY num) AS n FROM lib_documents WHERE project_id IS NOT NULL), h AS (SELECT *, doc_id || '>' || lead(doc_id) OVER (PARTITION BY project_id ORDER BY num) || ':series_member' AS step FROM k) SELECT a.doc_id AS source, t.doc_id AS target, string_agg(h.step, ' ' ORDER BY h.n) AS path FROM k a JOIN k t ON a.project_id = t.project_id AND a.n = 1 AND t.n BETWEEN 2 AND 11 JOIN h ON h.project_id = a.project_id AND h.n < t.n GROUP BY ALL")
 def _(lib):
     """From the first document of each series to every one within the ten steps of a path."""
