@@ -65,21 +65,71 @@ def box_problem(width: Column, height: Column) -> Column:
     )
 
 
+SMALL_PAGE = 16  # boxes up to which a page is one tile
+
+
+def tile_sizes(elements: DataFrame, key: list[str]) -> DataFrame:
+    """(key, tile_w, tile_h): a page's tiles are as wide and high as its boxes on average, at least a page's part in the root of their number.
+
+    So a box lies on few tiles on average, and none on more than about as many as the page has boxes. Pages of up to 16
+    boxes are one tile (null sizes).
+    """
+    n = F.count("*")
+    side = lambda a, b: F.greatest(F.avg(F.col(b) - F.col(a)), (F.max(b) - F.min(a)) / F.sqrt(n))
+    sized = elements.groupBy(*key).agg(n.alias("n"), side("x1", "x2").alias("w"), side("y1", "y2").alias("h"))
+    told = lambda c: F.when((F.col("n") > SMALL_PAGE) & (F.col(c) > 0) & (F.col(c) < float("inf")), F.col(c))
+    return sized.select(*key, told("w").alias("tile_w"), told("h").alias("tile_h"))
+
+
+def tile(at: Column, size: str) -> Column:
+    return F.coalesce(F.floor(at / F.col(size)), F.lit(0).cast("long"))
+
+
+def on_tiles(elements: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
+    """``elements`` once for each tile (tx, ty) of their page that they touch, with the page's tile sizes."""
+    dealt = elements.join(sizes, key)
+    return dealt.withColumn("tx", F.explode(F.sequence(tile(F.col("x1"), "tile_w"), tile(F.col("x2"), "tile_w")))).withColumn("ty", F.explode(F.sequence(tile(F.col("y1"), "tile_h"), tile(F.col("y2"), "tile_h"))))
+
+
+def finite_boxes(elements: DataFrame) -> DataFrame:
+    """Boxes with four finite coordinates in order; the others hold and overlap nothing."""
+    corners = [F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")]
+    ok = reduce(Column.__and__, [~F.isnan(c) & (F.abs(c) < float("inf")) for c in corners])
+    return elements.where(ok & (F.col("x1") <= F.col("x2")) & (F.col("y1") <= F.col("y2")))
+
+
 def overlaps(elements: DataFrame, key: list[str]) -> DataFrame:
-    """Pairs of a page's elements that intersect, with area and intersection over union (B-06)."""
-    a = elements.select(*key, *[F.col(c).alias(f"a_{c}") for c in ("element", "x1", "y1", "x2", "y2")])
-    b = elements.select(*key, *[F.col(c).alias(f"b_{c}") for c in ("element", "x1", "y1", "x2", "y2")])
-    w = F.least("a_x2", "b_x2") - F.greatest("a_x1", "b_x1")
-    h = F.least("a_y2", "b_y2") - F.greatest("a_y1", "b_y1")
+    """Pairs of a page's elements that intersect, with area and intersection over union (B-06).
+
+    Boxes meet on the tiles of their page, so a page of very many boxes is many small joins; of the tiles that two share
+    the one with the upper left corner of their intersection reports them. Elements are told apart by ``element``, which is
+    unique on a page. Boxes without area, with null or infinite coordinates or on a page of null key overlap nothing.
+    """
+    boxes = finite_boxes(elements.select(*key, "element", "x1", "y1", "x2", "y2")).where("x1 < x2 and y1 < y2")
+    dealt = on_tiles(boxes, tile_sizes(boxes, key), key)
+    own = ("element", "x1", "y1", "x2", "y2")
+    a = dealt.select(*key, "tx", "ty", "tile_w", "tile_h", *[F.col(c).alias(f"a_{c}") for c in own])
+    b = dealt.select(*key, "tx", "ty", *[F.col(c).alias(f"b_{c}") for c in own])
+    left, upper = F.greatest("a_x1", "b_x1"), F.greatest("a_y1", "b_y1")
+    w, h = F.least("a_x2", "b_x2") - left, F.least("a_y2", "b_y2") - upper
     area = lambda p: (F.col(f"{p}_x2") - F.col(f"{p}_x1")) * (F.col(f"{p}_y2") - F.col(f"{p}_y1"))
-    both = a.join(b, key).where("a_element < b_element").withColumn("w", w).withColumn("h", h).where("w > 0 and h > 0")
+    met = (F.col("a_element") < F.col("b_element")) & (w > 0) & (h > 0) & (tile(left, "tile_w") == F.col("tx")) & (tile(upper, "tile_h") == F.col("ty"))
+    both = a.join(b, [*key, "tx", "ty"]).where(met).withColumn("w", w).withColumn("h", h)
     common = F.col("w") * F.col("h")
     return both.select(*key, "a_element", "b_element", common.alias("intersection"), (common / (area("a") + area("b") - common)).alias("iou"))
 
 
 def clicked(clicks: DataFrame, elements: DataFrame, key: list[str]) -> DataFrame:
-    """Clicks (click_id, key, x, y) with the elements that hold them (B-07)."""
-    return clicks.join(elements, key).where("x between x1 and x2 and y between y1 and y2").select("click_id", *key, "element")
+    """Clicks (click_id, key, x, y) with the elements that hold them, edges included (B-07).
+
+    A click meets only the boxes on its tile. Clicks without a place and boxes with null or infinite coordinates give no row.
+    """
+    boxes = finite_boxes(elements.select(*key, "element", "x1", "y1", "x2", "y2"))
+    sizes = tile_sizes(boxes, key)
+    placed = clicks.select("click_id", *key, "x", "y").where("x is not null and y is not null").join(sizes, key)
+    at = placed.select("click_id", *key, "x", "y", tile(F.col("x"), "tile_w").alias("tx"), tile(F.col("y"), "tile_h").alias("ty"))
+    held = on_tiles(boxes, sizes, key).select(*key, "tx", "ty", "element", "x1", "y1", "x2", "y2")
+    return at.join(held, [*key, "tx", "ty"]).where("x between x1 and x2 and y between y1 and y2").select("click_id", *key, "element")
 
 
 def structure_rules(structure: str) -> dict[str, Column]:
