@@ -9,6 +9,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from lectern.operators import graph, vectors
 from lectern.sources.shared import cut
@@ -48,17 +49,35 @@ def similar_edges(chunks: DataFrame, s: Settings) -> DataFrame:
     ways, a pair once with its best score.
     """
     rep = cut(representatives(chunks))
-    asked = rep.select(F.col("doc").alias("query_id"), "tokens")
-    corpus, most = chunks.select(F.col("id").alias("chunk"), "doc", "tokens"), 10 * (s.neighbours + 1)
+    hits = similar_hits(chunks.select(F.col("id").alias("chunk"), "doc", "tokens"), rep.select(F.col("doc").alias("query_id"), "tokens"), s)
+    return similar_pairs(similar_scores(hits, rep, s))
+
+
+def most_hits(s: Settings) -> int:
+    """Nearest chunks of a document among which its neighbours are sought."""
+    return 10 * (s.neighbours + 1)
+
+
+def similar_hits(corpus: DataFrame, asked: DataFrame, s: Settings) -> DataFrame:
+    """(query_id, chunk, doc, distance) of the nearest ``most_hits`` chunks of ``corpus(chunk, doc, tokens)`` for each ``asked(query_id, tokens)``."""
     if s.exact:
-        hits = vectors.search(corpus, asked, most)
-    else:
-        classes = cut(asked.groupBy("tokens").agg(F.min("query_id").alias("first")))
-        found = vectors.search_near(corpus, classes.select(F.col("first").alias("query_id"), "tokens"), most, s.min_similarity, s.recall)
-        same = asked.join(classes, "tokens").select("query_id", "first")
-        hits = found.withColumnRenamed("query_id", "first").join(same, "first").drop("first")
+        return vectors.search(corpus, asked, most_hits(s)).drop("rank")
+    classes = cut(asked.groupBy("tokens").agg(F.min("query_id").alias("first")))
+    found = vectors.search_near(corpus, classes.select(F.col("first").alias("query_id"), "tokens"), most_hits(s), s.min_similarity, s.recall)
+    same = asked.join(classes, "tokens").select("query_id", "first")
+    return found.withColumnRenamed("query_id", "first").join(same, "first").select("query_id", "chunk", "doc", "distance")
+
+
+def similar_scores(hits: DataFrame, rep: DataFrame, s: Settings) -> DataFrame:
+    """(query_id, doc, similarity): each query's nearest other documents by exact MaxSim of representatives, those of enough similarity."""
     near = vectors.nearest_documents(hits, s.neighbours + 1).where("query_id <> doc")
-    scored = vectors.reranked(near, asked, rep.select("doc", "tokens"), s.neighbours + 1).where(F.col("similarity") >= s.min_similarity)
+    asked = rep.select(F.col("doc").alias("query_id"), "tokens")
+    scored = vectors.reranked(near, asked, rep.select("doc", "tokens"), s.neighbours + 1)
+    return scored.where(F.col("similarity") >= s.min_similarity).select("query_id", "doc", "similarity")
+
+
+def similar_pairs(scored: DataFrame) -> DataFrame:
+    """Edges both ways of scored pairs, a pair once with its best score."""
     pairs = scored.groupBy(F.least("query_id", "doc").alias("a"), F.greatest("query_id", "doc").alias("b")).agg(F.max("similarity").alias("score"))
     return both_directions(pairs, "similar_to", F.to_json(F.struct(F.round("score", 4).alias("score"), F.lit("maxsim_reranked").alias("method"))))
 
@@ -87,24 +106,31 @@ def topic_classes(headings: DataFrame) -> DataFrame:
     return _sets(headings).groupBy("headings").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members")).select("class_id", "headings", "members")
 
 
-def topic_links(classes: DataFrame, s: Settings) -> DataFrame:
+def topic_links(classes: DataFrame, s: Settings, fresh: DataFrame | None = None) -> DataFrame:
     """(a, b, jaccard, shared) of different classes whose sets have a Jaccard of at least min_jaccard, a before b (E-04).
 
     Headings are ranked from rare to common. The smaller set of a pair is looked up by its first headings only, the larger
     one by somewhat more of them, and the places of a heading in both bound what the sets can share. A heading of a third
-    of all documents is thus looked up in sets that consist of little else.
+    of all documents is thus looked up in sets that consist of little else. With ``fresh(class_id)`` only links that have
+    one of these classes at an end are sought, under headings of theirs.
     """
     t = s.min_jaccard
     single = classes.select("class_id", F.size("headings").alias("n"), F.explode("headings").alias("heading"))
     freq = single.groupBy("heading").agg(F.count("*").alias("df"))
     ranked = single.join(freq, "heading").withColumn("at", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "heading")))
+    if fresh is None:
+        new = F.lit(True)
+    else:
+        ranked = ranked.join(fresh.select("class_id", F.lit(True).alias("new")), "class_id", "left")
+        ranked = ranked.join(ranked.where("new").select("heading").distinct(), "heading", "left_semi")
+        new = F.coalesce("new", F.lit(False))
     first = lambda share: ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1)
-    small = first(2 * t / (1 + t)).select("heading", F.col("class_id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ix"))
-    large = first(t).select("heading", F.col("class_id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("iy"))
+    small = first(2 * t / (1 + t)).select("heading", F.col("class_id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ix"), new.alias("new_x"))
+    large = first(t).select("heading", F.col("class_id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("iy"), new.alias("new_y"))
     most = 1 + F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
     smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     fits = smaller & (F.col("nx") >= F.col("ny") * t) & (most >= t * (F.col("nx") + F.col("ny") - most))
-    pairs = small.join(large, "heading").where(fits).select("x", "y").distinct()
+    pairs = small.join(large, "heading").where(fits & (F.col("new_x") | F.col("new_y"))).select("x", "y").distinct()
     own = lambda name, held: classes.select(F.col("class_id").alias(name), F.col("headings").alias(held))
     met = pairs.join(own("x", "hx"), "x").join(own("y", "hy"), "y").withColumn("shared", F.sort_array(F.array_intersect("hx", "hy")))
     n, c = F.size("hx") + F.size("hy"), F.size("shared")
@@ -119,17 +145,23 @@ def topic_members(headings: DataFrame, classes: DataFrame, links: DataFrame) ->
     return _sets(headings).join(told, "headings").select("doc_id", "class_id", "links")
 
 
-def topic_edges(headings: DataFrame, s: Settings) -> DataFrame:
+def topic_edges(headings: DataFrame, s: Settings, fresh: DataFrame | None = None) -> DataFrame:
     """same_topic: pairs of documents that share headings, Jaccard of at least min_jaccard (E-04).
 
     Classes of equal sets are compared once; this expands them into all their pairs. ``topic_members`` and ``topic_links``
-    tell the same in rows linear in the documents and in the pairs of different sets.
+    tell the same in rows linear in the documents and in the pairs of different sets. With ``fresh(doc_id)`` only edges
+    that touch one of these documents.
     """
     classes = topic_classes(headings)
-    links = topic_links(classes, s).unionByName(classes.where("members > 1").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.lit(1.0).alias("jaccard"), F.col("headings").alias("shared")))
     members = _sets(headings).join(classes, "headings").select("doc_id", "class_id")
-    left, right = members.select(F.col("class_id").alias("a"), F.col("doc_id").alias("p")), members.select(F.col("class_id").alias("b"), F.col("doc_id").alias("q"))
-    pairs = links.join(left, "a").join(right, "b").where("a <> b or p < q")
+    ends = members.withColumn("new", F.lit(True)) if fresh is None else members.join(fresh.select("doc_id", F.lit(True).alias("new")).distinct(), "doc_id", "left")
+    touched = None if fresh is None else cut(ends.where("new").select("class_id").distinct())
+    alike = classes.where("members > 1") if touched is None else classes.where("members > 1").join(touched, "class_id", "left_semi")
+    same = alike.select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.lit(1.0).alias("jaccard"), F.col("headings").alias("shared"))
+    links = topic_links(classes, s, touched).unionByName(same)
+    left = ends.select(F.col("class_id").alias("a"), F.col("doc_id").alias("p"), F.col("new").alias("new_p"))
+    right = ends.select(F.col("class_id").alias("b"), F.col("doc_id").alias("q"), F.col("new").alias("new_q"))
+    pairs = links.join(left, "a").join(right, "b").where("(a <> b or p < q) and (new_p or new_q)")
     return both_directions(pairs.select(F.col("p").alias("a"), F.col("q").alias("b"), "jaccard", "shared"), "same_topic", F.to_json(F.struct("jaccard", F.col("shared").alias("shared_headings"))))
 
 
@@ -177,7 +209,7 @@ def full_run(spark: SparkSession, steps: dict, s: Settings | None = None) -> Dat
 
 
 def stored_run(
-    documents: DataFrame, relations: DataFrame, chunks: DataFrame, vector_chunks: DataFrame, s: Settings, path: str, run: int = 0, project_id: str | None = None, at: Column | None = None
+    documents: DataFrame, relations: DataFrame, chunks: DataFrame, vector_chunks: DataFrame, s: Settings, path: str, run: int = 0, project_id: str | None = None, at: Column | None = None, batch: DataFrame | None = None
 ) -> DataFrame:
     """The four steps with their results kept under ``path``; gives one row a step as ``full_run`` (E-07).
 
@@ -185,7 +217,8 @@ def stored_run(
     else: ``edges/relation_type=T/run=N`` and ``properties/run=N``, the documents with their graph metadata. A step that
     fails leaves the edges of the last run that made them. Within ``project_id`` only its documents, chunks and relations
     take part, and the edges of a type are replaced as a whole. Every step reads the relations as they were when the run
-    began.
+    began. With ``batch(doc_id)``, the documents that came since the last run, similar_to and same_topic compute the edges
+    that touch them alone and take the others from earlier runs (``grown_steps``).
     """
     spark = documents.sparkSession
     if project_id is not None:
@@ -194,6 +227,8 @@ def stored_run(
         chunks = chunks.join(ids, "doc_id", "left_semi")
         vector_chunks = vector_chunks.join(ids, vector_chunks["doc"].cast("string") == ids["doc_id"], "left_semi")
     steps = enrichment_steps(documents, relations, chunks, vector_chunks, s)
+    if batch is not None:
+        steps |= grown_steps(documents, chunks, vector_chunks, s, path, run, batch)
 
     def kept(name: str) -> tuple[DataFrame, bool | None]:
         made = steps[name]()
@@ -212,6 +247,78 @@ def stored_run(
     return spark.read.schema(report.schema).parquet(f"{path}/report/run={run}")
 
 
+def of_runs(spark: SparkSession, folder: str, schema: str, runs: DataFrame, before: int) -> DataFrame:
+    """What those of runs(run) that are before a number wrote into ``folder``, with the column ``run``; later folders are not opened."""
+    try:
+        held = spark.read.schema(f"{schema}, run int").option("basePath", folder).parquet(f"{folder}/run=*")
+    except AnalysisException as e:  # no run so far
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], f"{schema}, run int")
+    return held.where(F.col("run") < before).join(F.broadcast(runs), "run", "left_semi")  # a row a run
+
+
+def grown_steps(documents: DataFrame, chunks: DataFrame, vector_chunks: DataFrame, s: Settings, path: str, run: int, batch: DataFrame) -> dict:
+    """similar_to and same_topic as functions that go on from the good runs before ``run`` under ``path`` (E-07, T-10).
+
+    A step's new documents are the batch and those that no good run of the step has seen, so a failed step is made up for.
+    New representatives are compared with all chunks and the others with the new documents' chunks only; the nearest chunks
+    of a document are kept, so both together are what a full run finds (with the index each finds pairs with the chance
+    ``recall``). A document that comes again replaces what it was; those that had it among their nearest ask anew. Only
+    what earlier runs left counts, so a run that is repeated under its number gives the same, and so does a batch that comes
+    twice. Settings must stay as they were. Communities and ranks are of the whole graph and are computed anew.
+    """
+    spark = documents.sparkSession
+
+    def written(df: DataFrame, folder: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{folder}/run={run}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{folder}/run={run}")
+
+    def good(step: str) -> DataFrame:
+        told = of_runs(spark, f"{path}/report", "step string, error string", spark.range(run).select(F.col("id").cast("int").alias("run")), run)
+        return cut(told.where((F.col("step") == step) & F.col("error").isNull()).select("run").distinct())
+
+    def fresh(step: str, runs: DataFrame) -> DataFrame:
+        ids = documents.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+        seen = of_runs(spark, f"{path}/seen/relation_type={step}", "doc_id string", runs, run)
+        again = ids.join(batch.select(F.col("doc_id").cast("string").alias("doc_id")), "doc_id", "left_semi")
+        return written(ids.join(seen, "doc_id", "left_anti").unionByName(again).distinct(), f"seen/relation_type={step}")
+
+    def similar() -> DataFrame:
+        runs = good("similar_to")
+        new = fresh("similar_to", runs)
+        kind, name = vector_chunks.schema["doc"].dataType.simpleString(), vector_chunks.schema["id"].dataType.simpleString()
+        of_new = lambda rows, c: rows.join(new.withColumnRenamed("doc_id", "__new"), F.col(c).cast("string") == F.col("__new"), "left_semi")
+        last = cut(of_runs(spark, f"{path}/similar_asked", f"query_id {kind}", runs, run).groupBy("query_id").agg(F.max("run").alias("run")))
+        held = of_runs(spark, f"{path}/similar_hits", f"query_id {kind}, chunk {name}, doc {kind}, distance double", runs, run).join(last, ["query_id", "run"]).drop("run")
+        rep = cut(representatives(vector_chunks))
+        corpus = vector_chunks.select(F.col("id").alias("chunk"), "doc", "tokens")
+        anew = cut(of_new(rep.select(F.col("doc").alias("query_id")), "query_id").union(of_new(last.select("query_id"), "query_id")).union(of_new(held, "doc").select("query_id")).distinct())
+        asked = rep.select(F.col("doc").alias("query_id"), "tokens")
+        whole = similar_hits(corpus, asked.join(anew, "query_id", "left_semi"), s)
+        came = cut(similar_hits(of_new(corpus, "doc"), asked.join(anew, "query_id", "left_anti"), s))
+        both = held.join(came.select("query_id").distinct(), "query_id", "left_semi").withColumn("new", F.lit(False)).unionByName(came.withColumn("new", F.lit(True)))
+        order = Window.partitionBy("query_id").orderBy("distance", "chunk")
+        nearest = cut(both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most_hits(s)))
+        moved = nearest.where("new").select("query_id").distinct()
+        hits = written(whole.unionByName(nearest.join(moved, "query_id", "left_semi").select(*whole.columns)), "similar_hits")
+        now = written(anew.union(moved).distinct(), "similar_asked")
+        scored = written(similar_scores(hits, rep, s), "similar_scored")
+        before = of_runs(spark, f"{path}/similar_scored", f"query_id {kind}, doc {kind}, similarity double", runs, run).join(last, ["query_id", "run"]).join(now, "query_id", "left_anti")
+        return similar_pairs(before.select(*scored.columns).unionByName(scored))
+
+    def topics() -> DataFrame:
+        runs = good("same_topic")
+        new = cut(fresh("same_topic", runs))
+        latest = runs.agg(F.max("run").alias("run"))
+        held = of_runs(spark, f"{path}/edges/relation_type=same_topic", "src_doc_id string, dst_doc_id string, metadata string", latest, run).drop("run")
+        old = held.join(new.withColumnRenamed("doc_id", "src_doc_id"), "src_doc_id", "left_anti").join(new.withColumnRenamed("doc_id", "dst_doc_id"), "dst_doc_id", "left_anti")
+        found = topic_edges(heading_sets(chunks).withColumn("doc_id", F.col("doc_id").cast("string")), s, new)
+        return found.unionByName(old.withColumn("relation_type", F.lit("same_topic")))
+
+    return {"similar_to": similar, "same_topic": topics}
+
+
 def stored_relations(spark: SparkSession, path: str, relations: DataFrame | None = None) -> DataFrame:
     """The edges of each computed type from its last good run, with those of other types from ``relations`` (S-14, E-07)."""
     report = spark.read.schema("step string, rows long, error string, run int").option("basePath", f"{path}/report").parquet(f"{path}/report/run=*")

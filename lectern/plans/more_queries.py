@@ -133,7 +133,8 @@ def _(lib):
 SELECT d.doc_id, coalesce(h.hub, 0) AS hub_score, d.lang AS kept FROM lib_documents d LEFT JOIN h ON d.doc_id = h.doc_id""",
 )
 def _(lib):
-    """Each batch of arriving documents is added to the library, which is then enriched in all four steps and stored.
+    """Each batch of arriving documents is added to the library, which is then enriched in all four steps and stored; edges by
+    similarity and by topic are computed for the batch's documents only.
 
     A batch and its run are written under the batch's number, so a repeated batch changes nothing.
     """
@@ -146,7 +147,7 @@ def _(lib):
         arrived = lib.spark.read.schema("doc_id string, batch int").option("basePath", f"{path}/arrived").parquet(f"{path}/arrived/batch=*").where(F.col("batch") <= epoch).select("doc_id").distinct()
         documents = known.join(arrived, "doc_id", "left_semi")
         own = vectors.join(arrived, vectors["doc"].cast("string") == arrived["doc_id"], "left_semi")
-        enrich.stored_run(documents, graph.edge_set(lib.relations, arrived), lib.chunks.join(arrived, "doc_id", "left_semi"), own, enrich.Settings(), path, run=epoch)
+        enrich.stored_run(documents, graph.edge_set(lib.relations, arrived), lib.chunks.join(arrived, "doc_id", "left_semi"), own, enrich.Settings(), path, run=epoch, batch=batch)
 
     streams.enriched_periodically(streams.table_stream(lib.spark, f"{lib.dir}/documents.parquet"), run)
     told = F.from_json("metadata", "lang string, graph struct<hub_score: long, enriched_at: string>")
