@@ -32,7 +32,9 @@ def _(lib):
     found = []
     for part in (0, 1):
         own = pages.where(F.col("page_id") % 2 == part)
-        own.select(F.col("html").alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(f"{base}/in")
+        spread = own.select(F.col("html").alias("value")).repartition(lib.spark.sparkContext.defaultParallelism)  # a file a page: all cores write
+        # tasks move their files themselves; what a task tried twice may leave is the same content, which is one job
+        spread.write.mode("append").option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(f"{base}/in")
         found.append(ops.drained(ops.intake_jobs(ops.files(lib.spark, f"{base}/in", "*.txt")), base=f"{base}/stream"))
     return found[-1].select("doc_id")
 
