@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import graph as ops
+from lectern.operators import regions
 from lectern.plans.registry import query
 
 SERIES = "relation_type = 'series_member'"
@@ -69,7 +70,7 @@ SELECT * FROM r) WHERE distance > 0 GROUP BY doc_id""",
 )
 def _(lib):
     """Over all relations to any depth, from every document whose id is divisible by 20, summed up for each document."""
-    return ops.closeness(ops.reached(lib.relations, lib.documents.where("num % 20 = 0"))[1])
+    return regions.closeness(lib.relations, lib.documents.where("num % 20 = 0"), lib.documents.select("doc_id", "project_id", "num"))
 
 
 @query("G07_strong_components", ", v AS (SELECT DISTINCT event_type AS doc_id FROM events) SELECT doc_id, (SELECT max(doc_id) FROM v) AS component FROM v WHERE (SELECT count(DISTINCT src) FROM lib_transitions) > 1")
