@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -24,19 +25,33 @@ def _with_progress(events):
     return events.withColumns({"progress": step, "stage": F.when(F.col("status") == "storing", F.lit("last")).otherwise(F.col("status"))})
 
 
+FOLDER = 10_000  # files of a folder, about; the driver lists a folder and remembers its files
+
+
 @query("T01_file_intake", "SELECT DISTINCT sha256(html || chr(10)) AS doc_id FROM pages WHERE html IS NOT NULL")
 def _(lib):
-    """Files written from the pages' bodies, in two batches; the stream goes on where it stopped, each content a job once."""
+    """Files written from the pages' bodies, into the first folder in two batches: its stream goes on where it stopped. Each content is a job once.
+
+    A stream of files keeps every file it has seen on the driver, so a folder has a bounded number and a stream of its own,
+    which tells the hashes of its files; one stream over what they tell makes the jobs.
+    """
     base = f"{shared_folder(lib.spark)}/lectern-intake-{uuid.uuid4().hex}"
-    pages = lib.given("pages").where("html is not null")
-    found = []
-    for part in (0, 1):
-        own = pages.where(F.col("page_id") % 2 == part)
-        spread = own.select(F.col("html").alias("value")).repartition(lib.spark.sparkContext.defaultParallelism)  # a file a page: all cores write
-        # tasks move their files themselves; what a task tried twice may leave is the same content, which is one job
-        spread.write.mode("append").option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(f"{base}/in")
-        found.append(ops.drained(ops.intake_jobs(ops.files(lib.spark, f"{base}/in", "*.txt")), base=f"{base}/stream"))
-    return found[-1].select("doc_id")
+    pages = lib.given("pages").where("html is not null").select("page_id", F.col("html").alias("value"))
+    folders = max(1, math.ceil(pages.count() / FOLDER))
+    dealt = pages.withColumn("folder", F.pmod(F.xxhash64("page_id", "value"), F.lit(folders)).cast("int"))
+    dealt = dealt.select("value", "folder", F.when(F.col("folder") == 0, F.coalesce(F.pmod("page_id", F.lit(2)), F.lit(0))).otherwise(0).cast("int").alias("part"))
+    dealt.write.partitionBy("folder", "part").parquet(f"{base}/dealt")  # read a folder and batch at a time
+    for folder in range(folders):
+        into = f"{base}/in" if not folder else f"{base}/in-{folder}"
+        for part in (0,) if folder else (0, 1):
+            own = lib.spark.read.schema("value string, folder int, part int").parquet(f"{base}/dealt").where(f"folder = {folder} and part = {part}")
+            spread = own.select("value").repartition(lib.spark.sparkContext.defaultParallelism)  # a file a page: all cores write
+            # tasks move their files themselves; what a task tried twice may leave is the same content, which is one job
+            spread.write.mode("append").option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(into)
+            with ops.small_files(lib.spark):
+                ops.drained(ops.hashed(ops.files(lib.spark, into, "*.txt")), base=f"{base}/arrived/{folder}")
+    told = lib.spark.readStream.schema("doc_id string, filename string, queued_at timestamp").option("pathGlobFilter", "*.parquet").parquet(f"{base}/arrived/*/out/*")
+    return ops.drained(ops.jobs_once(told), base=f"{base}/stream").select("doc_id")
 
 
 @query("T02_jobs_by_content", "SELECT DISTINCT sha256(html) AS doc_id FROM pages")
